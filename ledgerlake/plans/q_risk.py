@@ -1 +1,298 @@
-"""Registered queries (filled in below)."""
+"""Queries R5–R8, R10–R14, B1–B4, T8 (health, ESG, advice, benchmarks, growth)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlake.functions.exprs import rnd
+from ledgerlake.functions.fixed import (ADVICE_RECOMMENDATIONS, ADVICE_TRIGGERS, ADVISORY, ANSWER_DEBT,
+                                        ANSWER_HEADER, ANSWER_MARGIN, ANSWER_RECS_HEADER, ANSWER_RUNWAY,
+                                        ESG_RECOMMENDATIONS, HEALTH_RECOMMENDATIONS, INSIGHTS, KPI_BENCHMARKS)
+from ledgerlake.operators import advice as AD
+from ledgerlake.operators import benchmark as BM
+from ledgerlake.operators import positions as P
+from ledgerlake.operators import risk as RK
+from ledgerlake.operators.series import growth_rate
+from ledgerlake.plans.oracle_fixtures import R, with_fixtures
+from ledgerlake.plans.registry import register
+from ledgerlake.plans.sqlbits import band_sql, growth_cte, kpis_cte, metrics_cte, sq, values_sql
+from ledgerlake.sources import fixtures as FX
+from ledgerlake.sources.tables import Tables
+
+
+def _pos(spark, d):
+    return FX.positions(Tables(spark, d))
+
+
+# ---------------------------------------------------------------- T8, R5, R6
+@register("growth_rate", with_fixtures(f"""
+WITH {growth_cte('series')}
+SELECT entity_id, {R('last_total', 4)} AS last_total, {R('prior_total', 4)} AS prior_total,
+       {R('growth_rate', 6)} AS growth_rate FROM gr""", "series"))
+def growth_rate_q(spark, d):
+    g = growth_rate(FX.series(Tables(spark, d)))
+    return g.select("entity_id", rnd("last_total", 4).alias("last_total"),
+                    rnd("prior_total", 4).alias("prior_total"), rnd("growth_rate", 6).alias("growth_rate"))
+
+
+HEALTH_SQL = f"""{growth_cte('customer_series')},
+h AS (SELECT p.*, coalesce(gr.growth_rate, 0) AS g FROM positions p LEFT JOIN gr USING (entity_id)),
+comp AS (SELECT entity_id,
+  least(greatest((CASE WHEN revenue > 0 THEN (revenue - expenses) / revenue ELSE 0 END + 0.2) * 250, 0.0), 100.0) AS profitability,
+  least(greatest(coalesce(cash, 0) / CASE WHEN expenses > 0 THEN expenses / 12 ELSE 1 END * 10, 0.0), 100.0) AS liquidity,
+  greatest(0.0, 100 - (CASE WHEN revenue > 0 THEN liabilities / revenue ELSE 0 END) * 200) AS leverage,
+  least(greatest((g + 0.1) * 500, 0.0), 100.0) AS growth FROM h),
+hs AS (SELECT *, profitability * 0.3 + liquidity * 0.25 + leverage * 0.25 + growth * 0.2 AS score FROM comp)"""
+
+
+def _health(spark, d):
+    t = Tables(spark, d)
+    return RK.health_score(FX.positions(t), growth_rate(FX.customer_series(t)))
+
+
+@register("health_score", with_fixtures(f"""
+WITH {HEALTH_SQL}
+SELECT entity_id, {R('profitability', 4)} AS profitability, {R('liquidity', 4)} AS liquidity,
+  {R('leverage', 4)} AS leverage, {R('growth', 4)} AS growth, {R('score', 4)} AS health_score,
+  {band_sql('health_level', 'score')} AS health_level FROM hs""", "positions", "customer_series"))
+def health_score(spark, d):
+    h = _health(spark, d)
+    return h.select("entity_id", *[rnd(c, 4).alias(c) for c in
+                                   ("profitability", "liquidity", "leverage", "growth", "health_score")],
+                    "health_level")
+
+
+_HREC = values_sql([(k, i + 1, m) for k, ms in HEALTH_RECOMMENDATIONS.items() for i, m in enumerate(ms)],
+                   ["health_level", "ordinal", "message"])
+
+
+@register("health_recommendations", with_fixtures(f"""
+WITH {HEALTH_SQL},
+lv AS (SELECT entity_id, {band_sql('health_level', 'score')} AS health_level FROM hs)
+SELECT entity_id, health_level, CAST(ordinal AS INTEGER) AS ordinal, message FROM lv JOIN {_HREC} r USING (health_level)""",
+    "positions", "customer_series"))
+def health_recommendations(spark, d):
+    return RK.health_recommendations(_health(spark, d)).select("entity_id", "health_level", "ordinal", "message")
+
+
+# ---------------------------------------------------------------- R7, R8
+ESG_SQL = """e AS (SELECT entity_id, avg(environmental) AS environmental, avg(social) AS social,
+    avg(governance) AS governance FROM esg_ratings GROUP BY 1),
+es AS (SELECT *, environmental * 0.3 + social * 0.3 + governance * 0.4 AS score FROM e)"""
+
+
+@register("esg_score", with_fixtures(f"""
+WITH {ESG_SQL}
+SELECT entity_id, {R('environmental', 6)} AS environmental, {R('social', 6)} AS social,
+  {R('governance', 6)} AS governance, {R('score', 6)} AS esg_score,
+  {band_sql('esg_level', 'score')} AS risk_level FROM es""", "esg_ratings"))
+def esg_score(spark, d):
+    e = RK.esg_score(FX.esg_ratings(Tables(spark, d)))
+    return e.select("entity_id", *[rnd(c, 6).alias(c) for c in
+                                   ("environmental", "social", "governance", "esg_score")], "risk_level")
+
+
+_EREC = values_sql([(k, i + 1, m) for k, ms in ESG_RECOMMENDATIONS.items() for i, m in enumerate(ms)],
+                   ["esg_band", "ordinal", "message"])
+
+
+@register("esg_recommendations", with_fixtures(f"""
+WITH {ESG_SQL},
+b AS (SELECT entity_id, {band_sql('esg_advice', 'score')} AS esg_band FROM es)
+SELECT entity_id, esg_band, CAST(ordinal AS INTEGER) AS ordinal, message FROM b JOIN {_EREC} r USING (esg_band)""",
+    "esg_ratings"))
+def esg_recommendations(spark, d):
+    e = RK.esg_recommendations(RK.esg_score(FX.esg_ratings(Tables(spark, d))))
+    return e.select("entity_id", "esg_band", "ordinal", "message")
+
+
+# ---------------------------------------------------------------- R10–R14
+@register("swot", with_fixtures(f"""
+WITH {metrics_cte()},
+s AS (SELECT *, {band_sql('margin_swot', 'profit_margin')} AS margin_label,
+   {band_sql('margin_swot', 'profit_margin', 'severity')} AS ms,
+   {band_sql('debt_swot', 'debt_ratio')} AS debt_label, {band_sql('debt_swot', 'debt_ratio', 'severity')} AS ds_,
+   {band_sql('runway_swot', 'runway_months')} AS runway_label,
+   {band_sql('runway_swot', 'runway_months', 'severity')} AS rs FROM m),
+c AS (SELECT *, (CASE WHEN ms = 0 THEN 1 ELSE 0 END) + (CASE WHEN ds_ = 0 THEN 1 ELSE 0 END)
+        + (CASE WHEN rs = 0 THEN 1 ELSE 0 END) AS strengths,
+      (CASE WHEN ms > 0 THEN 1 ELSE 0 END) + (CASE WHEN ds_ > 0 THEN 1 ELSE 0 END)
+        + (CASE WHEN rs > 0 THEN 1 ELSE 0 END) AS weaknesses FROM s)
+SELECT entity_id, {R('profit_margin', 6)} AS profit_margin, {R('debt_ratio', 6)} AS debt_ratio,
+  {R('runway_months', 6)} AS runway_months, margin_label, debt_label, runway_label,
+  CAST(strengths AS INTEGER) AS strengths, CAST(weaknesses AS INTEGER) AS weaknesses,
+  CASE WHEN greatest(ms, ds_, rs) = 2 THEN 'high' ELSE 'medium' END AS risk_level,
+  CASE WHEN strengths > weaknesses THEN 'good' WHEN weaknesses > strengths THEN 'poor' ELSE 'fair' END AS overall_health
+FROM c""", "positions"))
+def swot(spark, d):
+    s = AD.swot(_pos(spark, d))
+    return s.select("entity_id", *[rnd(c, 6).alias(c) for c in ("profit_margin", "debt_ratio", "runway_months")],
+                    "margin_label", "debt_label", "runway_label", "strengths", "weaknesses",
+                    F.col("swot_risk_level").alias("risk_level"), "overall_health")
+
+
+_TRIG = []
+for _i, (_cat, _metric, _op, _cut) in enumerate(ADVICE_TRIGGERS):
+    _TRIG.append(f"SELECT entity_id, {_i} AS cat FROM m WHERE {_metric} {_op} {_cut!r}")
+_RECS = values_sql([(i, j, msg) for i, (cat, *_r) in enumerate(ADVICE_TRIGGERS)
+                    for j, msg in enumerate(ADVICE_RECOMMENDATIONS[cat])], ["cat", "idx", "msg"])
+
+
+@register("top_recommendations", with_fixtures(f"""
+WITH {metrics_cte()},
+c AS ({' UNION ALL '.join(_TRIG)}),
+r AS (SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY c.cat, idx) AS rk, msg
+      FROM c JOIN {_RECS} x ON x.cat = c.cat)
+SELECT entity_id, CAST(rk AS INTEGER) AS rank, msg AS recommendation FROM r WHERE rk <= 3""", "positions"))
+def top_recommendations(spark, d):
+    return AD.top_recommendations(_pos(spark, d))
+
+
+def _kr(spark, d):
+    k = P.kpis(_pos(spark, d))
+    return (k.withColumn("debt_ratio", rnd("debt_ratio", 2))
+             .withColumn("runway_months", rnd("runway_months", 2)))
+
+
+_KR = f"""kr AS (SELECT entity_id, revenue, profit, {R('debt_ratio', 2)} AS debt_ratio,
+    {R('runway_months', 2)} AS runway_months FROM k)"""
+_ADV = [f"CASE WHEN coalesce({c}, 0) {op} {cut} THEN {sq(bad)} ELSE {sq(good)} END"
+        for (c, bad, good), (op, cut) in zip(ADVISORY, [("<", 0), (">", 0.5), ("<", 6)])]
+
+
+@register("advisory_messages", with_fixtures(f"""
+WITH {kpis_cte()}, {_KR}
+SELECT entity_id, concat_ws(' ', {', '.join(_ADV)}) AS advisory FROM kr""", "positions"))
+def advisory_messages(spark, d):
+    return AD.advisory_messages(_kr(spark, d))
+
+
+_M, _RW, _D = INSIGHTS["margin"], INSIGHTS["runway"], INSIGHTS["debt"]
+
+
+@register("insights", with_fixtures(f"""
+WITH {kpis_cte()}, {_KR},
+x AS (SELECT entity_id, CASE WHEN revenue > 0 THEN profit / revenue * 100 ELSE 0 END AS mg, runway_months AS rw,
+      debt_ratio AS dr FROM kr)
+SELECT entity_id, 1 AS ordinal, CASE WHEN mg > 20 THEN {sq(_M[0])} WHEN mg > 10 THEN {sq(_M[1])} ELSE {sq(_M[2])} END AS insight FROM x
+UNION ALL SELECT entity_id, 2, CASE WHEN rw > 18 THEN {sq(_RW[0])} WHEN rw > 12 THEN {sq(_RW[1])} ELSE {sq(_RW[2])} END FROM x
+UNION ALL SELECT entity_id, 3, CASE WHEN dr < 0.3 THEN {sq(_D[0])} WHEN dr < 0.5 THEN {sq(_D[1])} ELSE {sq(_D[2])} END FROM x""",
+    "positions"))
+def insights(spark, d):
+    return AD.insights(_kr(spark, d))
+
+
+def _fmt_sql(tpl, v, dec):
+    head, tail = tpl.split("{v}")
+    return f"{sq(head)} || printf('%.{dec}f', {R(v, dec)}) || {sq(tail)}"
+
+
+def _recs_text_sql():
+    parts = []
+    for cat, metric, op, cut in ADVICE_TRIGGERS:
+        msgs = ADVICE_RECOMMENDATIONS[cat][:3]
+        body = "".join(f"{i + 1}. {msg}\n" for i, msg in enumerate(msgs))
+        parts.append(f"WHEN {metric} {op} {cut!r} THEN {sq(ANSWER_RECS_HEADER + body)}")
+    return "CASE " + " ".join(parts) + " ELSE '' END"
+
+
+@register("question_answers", with_fixtures(f"""
+WITH {metrics_cte()},
+j AS (SELECT q.q_id, m.*, lower(q.question) AS ql FROM questions q JOIN m USING (entity_id))
+SELECT q_id, entity_id, {sq(ANSWER_HEADER)}
+  || CASE WHEN instr(ql, 'profit') > 0 OR instr(ql, 'margin') > 0 THEN
+       CASE WHEN profit_margin * 100 > 20 THEN {_fmt_sql(ANSWER_MARGIN[0], 'profit_margin * 100', 1)}
+            WHEN profit_margin * 100 > 10 THEN {_fmt_sql(ANSWER_MARGIN[1], 'profit_margin * 100', 1)}
+            ELSE {_fmt_sql(ANSWER_MARGIN[2], 'profit_margin * 100', 1)} END ELSE '' END
+  || CASE WHEN instr(ql, 'cash') > 0 OR instr(ql, 'runway') > 0 THEN
+       CASE WHEN runway_months > 18 THEN {_fmt_sql(ANSWER_RUNWAY[0], 'runway_months', 1)}
+            WHEN runway_months > 12 THEN {_fmt_sql(ANSWER_RUNWAY[1], 'runway_months', 1)}
+            ELSE {_fmt_sql(ANSWER_RUNWAY[2], 'runway_months', 1)} END ELSE '' END
+  || CASE WHEN instr(ql, 'debt') > 0 OR instr(ql, 'liability') > 0 THEN
+       CASE WHEN debt_ratio < 0.3 THEN {_fmt_sql(ANSWER_DEBT[0], 'debt_ratio', 2)}
+            WHEN debt_ratio < 0.5 THEN {_fmt_sql(ANSWER_DEBT[1], 'debt_ratio', 2)}
+            ELSE {_fmt_sql(ANSWER_DEBT[2], 'debt_ratio', 2)} END ELSE '' END
+  || {_recs_text_sql()} AS answer
+FROM j""", "positions", "questions"))
+def question_answers(spark, d):
+    t = Tables(spark, d)
+    return AD.question_answers(FX.questions(t), FX.positions(t))
+
+
+# ---------------------------------------------------------------- B1–B4
+BENCH_METRICS = ["cash_runway_months", "debt_to_revenue", "debt_to_equity", "profit_margin", "expense_ratio"]
+_R4 = """r4 AS (SELECT entity_id, segment,
+  coalesce(cash,0) / CASE WHEN expenses > 0 THEN expenses / 12 ELSE 1 END AS cash_runway_months,
+  CASE WHEN revenue > 0 THEN liabilities / revenue ELSE 0 END AS debt_to_revenue,
+  CASE WHEN coalesce(cash,0) > 0 THEN liabilities / greatest(cash, 1) ELSE 0 END AS debt_to_equity,
+  CASE WHEN revenue > 0 THEN (revenue - expenses) / revenue ELSE 0 END AS profit_margin,
+  CASE WHEN revenue > 0 THEN expenses / revenue ELSE 0 END AS expense_ratio FROM positions),
+lg AS (UNPIVOT r4 ON cash_runway_months, debt_to_revenue, debt_to_equity, profit_margin, expense_ratio
+       INTO NAME metric VALUE value),
+bm AS (SELECT segment, metric, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS median,
+       quantile_cont(value, 0.75) AS p75 FROM lg GROUP BY 1, 2)"""
+_PR = """CASE WHEN value >= p75 THEN CASE WHEN p75 > median THEN 75 + (value - p75) / (p75 - median) * 25 ELSE 100.0 END
+     WHEN value >= median THEN CASE WHEN p75 > median THEN 50 + (value - median) / (p75 - median) * 25 ELSE 50.0 END
+     WHEN value >= p25 THEN CASE WHEN median > p25 THEN 25 + (value - p25) / (median - p25) * 25 ELSE 25.0 END
+     ELSE CASE WHEN p25 > 0 THEN greatest(0.0, value / p25 * 25) ELSE 0.0 END END"""
+_CMP = f"""cmp AS (SELECT lg.entity_id, lg.segment, lg.metric, lg.value, bm.p25, bm.median, bm.p75,
+    least({_PR}, 100.0) AS pr FROM lg JOIN bm USING (segment, metric))"""
+
+
+def _long_r4(spark, d):
+    r = RK.financial_ratios(_pos(spark, d)).select("entity_id", "segment", *BENCH_METRICS)
+    return r.unpivot(["entity_id", "segment"], BENCH_METRICS, "metric", "value")
+
+
+@register("industry_benchmarks", with_fixtures(f"""
+WITH {_R4}
+SELECT segment, metric, {R('p25', 6)} AS p25, {R('median', 6)} AS median, {R('p75', 6)} AS p75 FROM bm""",
+    "positions"))
+def industry_benchmarks(spark, d):
+    b = BM.industry_benchmarks(_long_r4(spark, d))
+    return b.select("segment", "metric", *[rnd(c, 6).alias(c) for c in ("p25", "median", "p75")])
+
+
+@register("benchmark_compare", with_fixtures(f"""
+WITH {_R4}, {_CMP}
+SELECT entity_id, metric, {R('value', 6)} AS value, {R('pr', 4)} AS percentile_rank,
+  {band_sql('performance', 'pr')} AS performance FROM cmp""", "positions"))
+def benchmark_compare(spark, d):
+    lg = _long_r4(spark, d)
+    c = BM.benchmark_compare(lg, BM.industry_benchmarks(lg))
+    return c.select("entity_id", "metric", rnd("value", 6).alias("value"),
+                    rnd("percentile_rank", 4).alias("percentile_rank"), "performance")
+
+
+@register("benchmark_overall", with_fixtures(f"""
+WITH {_R4}, {_CMP},
+a AS (SELECT entity_id, avg(pr) AS ap FROM cmp GROUP BY 1)
+SELECT p.entity_id, {R('a.ap', 4)} AS avg_percentile,
+  CASE WHEN a.ap IS NULL THEN 'unknown' ELSE {band_sql('performance', 'a.ap')} END AS overall_performance
+FROM positions p LEFT JOIN a USING (entity_id)""", "positions"))
+def benchmark_overall(spark, d):
+    lg = _long_r4(spark, d)
+    c = BM.benchmark_compare(lg, BM.industry_benchmarks(lg))
+    o = BM.benchmark_overall(_pos(spark, d), c)
+    return o.select("entity_id", rnd("avg_percentile", 4).alias("avg_percentile"), "overall_performance")
+
+
+_KB = values_sql([(m, t["excellent"], t["good"], t["poor"]) for m, t in KPI_BENCHMARKS.items()],
+                 ["metric", "excellent", "good", "poor"])
+
+
+@register("static_benchmarks", with_fixtures(f"""
+WITH {metrics_cte()},
+lg AS (UNPIVOT (SELECT entity_id, profit_margin, debt_ratio, runway_months FROM m)
+       ON profit_margin, debt_ratio, runway_months INTO NAME metric VALUE value)
+SELECT entity_id, metric, {R('value', 6)} AS value,
+  CASE WHEN metric IN ('debt_ratio', 'burn_rate') THEN
+    CASE WHEN value <= excellent THEN 'excellent' WHEN value <= good THEN 'good' WHEN value <= poor THEN 'poor' ELSE 'critical' END
+  ELSE CASE WHEN value >= excellent THEN 'excellent' WHEN value >= good THEN 'good' WHEN value >= poor THEN 'poor' ELSE 'critical' END
+  END AS rating
+FROM lg JOIN {_KB} kb USING (metric)""", "positions"))
+def static_benchmarks(spark, d):
+    m = AD.health_metrics(_pos(spark, d)).select("entity_id", "profit_margin", "debt_ratio", "runway_months")
+    lg = m.unpivot("entity_id", ["profit_margin", "debt_ratio", "runway_months"], "metric", "value")
+    r = BM.static_benchmark_rating(lg)
+    return r.select("entity_id", "metric", rnd("value", 6).alias("value"), "rating")

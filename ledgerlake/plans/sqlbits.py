@@ -43,3 +43,38 @@ def kpis_cte(src: str = "positions") -> str:
       (CASE WHEN coalesce(cash, 0) <> 0 THEN cash ELSE greatest(revenue - expenses, 0) END)
       / (CASE WHEN expenses > 0 THEN expenses / 12 ELSE 0 END) ELSE 0 END AS runway_months
   FROM {src})"""
+
+
+def sq(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def metrics_cte(src: str = "positions", name: str = "m") -> str:
+    """Margin, debt ratio, runway (cash / monthly expenses) with 0 for bad denominators."""
+    return f"""{name} AS (SELECT *,
+    CASE WHEN revenue > 0 THEN (revenue - expenses) / revenue ELSE 0 END AS profit_margin,
+    CASE WHEN revenue > 0 THEN liabilities / revenue ELSE 0 END AS debt_ratio,
+    CASE WHEN expenses > 0 THEN coalesce(cash, 0) / (expenses / 12) ELSE 0 END AS runway_months
+  FROM {src})"""
+
+
+def growth_cte(src: str, name: str = "gr") -> str:
+    return f"""{name}0 AS (SELECT *, max(ds) OVER (PARTITION BY entity_id) AS last FROM {src}),
+{name}1 AS (SELECT entity_id,
+    coalesce(sum(CASE WHEN ds > last - INTERVAL 12 MONTH THEN y END), 0) AS last_total,
+    coalesce(sum(CASE WHEN ds > last - INTERVAL 24 MONTH AND NOT (ds > last - INTERVAL 12 MONTH) THEN y END), 0) AS prior_total
+  FROM {name}0 GROUP BY 1),
+{name} AS (SELECT *, CASE WHEN prior_total > 0 THEN (last_total - prior_total) / prior_total ELSE 0 END AS growth_rate
+  FROM {name}1)"""
+
+
+def values_sql(rows, cols) -> str:
+    def lit(v):
+        if isinstance(v, str):
+            return sq(v)
+        if v is None:
+            return "NULL"
+        return repr(v)
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(cols)}))"
