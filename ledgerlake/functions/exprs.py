@@ -76,3 +76,13 @@ def parse_date_any(x) -> Column:
     """First format that parses the whole text wins; none -> NULL."""
     c = F.trim(_c(x).cast("string"))
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS + ISO_TIMESTAMP_FORMATS])
+
+
+def to_units(x, d: int = 6) -> Column:
+    """Value in integer units of 10^-d (BIGINT): exact, order-independent sums."""
+    return F.floor(_c(x) * F.lit(float(10 ** d)) + F.lit(0.5)).cast("bigint")
+
+
+def exact_sum(x, d: int = 6) -> Column:
+    """Sum on a 10^-d grid in BIGINT: the same bits whatever the partitioning or engine."""
+    return (F.sum(to_units(x, d)) / F.lit(float(10 ** d))).cast("double")

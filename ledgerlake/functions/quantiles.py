@@ -64,9 +64,13 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs, names=None,
     return g.select(*keys, "n", *outs)
 
 
-def group_percentiles(df: DataFrame, keys, value: str, probs, names=None) -> DataFrame:
-    """Spark's exact ``percentile`` per group, for groups bounded by design."""
+def group_percentiles(df: DataFrame, keys, value: str, probs, names=None, extra=()) -> DataFrame:
+    """Spark's exact ``percentile`` per group, for groups bounded by design.
+
+    ``extra`` aggregates ride along in the same pass.
+    """
     names = names or [f"q{int(round(p * 1000)):03d}" for p in probs]
     arr = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]))
-    g = df.groupBy(*keys).agg(arr.alias("_q"), F.count(F.col(value)).alias("n"))
-    return g.select(*keys, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    g = df.groupBy(*keys).agg(arr.alias("_q"), F.count(F.col(value)).alias("n"), *extra)
+    extra_names = [e._jc.toString().split(" AS ")[-1].strip("`") for e in extra]
+    return g.select(*keys, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)], *extra_names)

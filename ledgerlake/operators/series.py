@@ -25,18 +25,24 @@ def monthly_resample(series: DataFrame, by=("entity_id",), ds="ds", y="y", how:
 
     One aggregate to (entity, month), one per-entity aggregate that collects the
     entity's months into a map (bounded by its calendar span) and a generated
-    month spine — no join back.
+    month spine — no join back. ``y`` may be one column or a list.
     """
+    ys = [y] if isinstance(y, str) else list(y)
     m = month_start(ds)
-    agg = F.sum(F.coalesce(F.col(y), F.lit(0.0))) if how == "sum" else F.avg(y)
-    monthly = series.groupBy(*by, m.alias("_m")).agg(agg.alias("_y"))
-    per = monthly.groupBy(*by).agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"),
-                                   F.map_from_entries(F.collect_list(F.struct("_m", "_y"))).alias("_mp"))
-    spine = per.select(*by, "_mp", F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month"))).alias(ds))
-    val = F.element_at(F.col("_mp"), F.col(ds))
     if how == "sum":
-        val = F.coalesce(val, F.lit(0.0))
-    return spine.select(*by, ds, val.alias(y))
+        aggs = [F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in ys]
+    else:
+        aggs = [F.avg(c).alias(c) for c in ys]
+    monthly = series.groupBy(*by, m.alias("_m")).agg(*aggs)
+    per = monthly.groupBy(*by).agg(
+        F.min("_m").alias("_lo"), F.max("_m").alias("_hi"),
+        F.map_from_entries(F.collect_list(F.struct("_m", F.struct(*ys)))).alias("_mp"))
+    spine = per.select(*by, "_mp", F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month"))).alias(ds))
+    vals = []
+    for c in ys:
+        v = F.element_at(F.col("_mp"), F.col(ds)).getField(c)
+        vals.append((F.coalesce(v, F.lit(0.0)) if how == "sum" else v).alias(c))
+    return spine.select(*by, ds, *vals)
 
 
 def lag_features(series: DataFrame, by=("entity_id",), ds="ds", y="y", max_lags: int = 12) -> DataFrame:
