@@ -1 +1,379 @@
-"""Registered queries (filled in below)."""
+"""Queries S1–S6, C1–C9, D1–D15 over the messy, features, segment_pnl and cells fixtures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlake.functions.exprs import FLOAT_TEXT, rnd
+from ledgerlake.functions.fixed import FINANCIAL_RULES, NA_STRINGS, TEXT_RULES
+from ledgerlake.operators import clean as CL
+from ledgerlake.operators import positions as P
+from ledgerlake.operators import quality as Q
+from ledgerlake.plans.oracle_fixtures import R, with_fixtures
+from ledgerlake.plans.registry import register
+from ledgerlake.plans.sqlbits import sq
+from ledgerlake.session import scratch_path
+from ledgerlake.sources import fixtures as FX
+from ledgerlake.sources import ingest as IN
+from ledgerlake.sources.tables import Tables
+
+TEXT = ["amount_text", "date_text", "note", "blank"]
+NUMS = ["row_id", "revenue", "expenses", "cash"]
+ALL = ["row_id", "amount_text", "date_text", "note", "blank", "revenue", "expenses", "cash"]
+DUCK_FORMATS = ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y-%m", "%m-%Y", "%Y", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S"]
+
+
+def NUM(v):
+    return f"regexp_matches(regexp_replace({v}, '[,$%]', '', 'g'), {sq(FLOAT_TEXT)})"
+
+
+def DATE(v):
+    return "coalesce(" + ", ".join(f"try_strptime(trim({v}), '{f}')" for f in DUCK_FORMATS) + ")"
+
+
+def _messy(spark, d):
+    return FX.messy(Tables(spark, d))
+
+
+# ---------------------------------------------------------------- S1–S6
+_NA = ", ".join(sq(x) for x in NA_STRINGS)
+
+
+@register("csv_scan", with_fixtures(f"""
+SELECT row_id, {", ".join(f"CASE WHEN {c} IN ({_NA}) THEN NULL ELSE {c} END AS {c}" for c in TEXT)},
+  revenue, expenses, cash FROM messy""", "messy"))
+def csv_scan(spark, d):
+    """Write the messy table as CSV to the shared scratch folder, scan it back with a declared schema."""
+    m = _messy(spark, d)
+    path = IN.write_csv(m, scratch_path(spark, "csv_scan"))
+    return IN.read_csv(spark, path, schema=m.schema)
+
+
+@register("ingest_manifest", """
+WITH f AS (SELECT regexp_extract(filename, '([^/]+)$', 1) AS file_name, size FROM read_blob('/root/testdata/sf0.01/*')),
+g AS (SELECT file_name, CASE WHEN contains(file_name, '.') THEN lower(string_split(file_name, '.')[-1]) ELSE '' END AS extension,
+        size AS size_bytes FROM f)
+SELECT file_name, extension, size_bytes,
+  NOT (size_bytes > 52428800) AND extension IN ('csv', 'xlsx', 'xls', 'pdf') AS is_valid,
+  concat_ws('; ', CASE WHEN size_bytes > 52428800 THEN 'File size exceeds maximum limit of 50MB' END,
+            CASE WHEN extension NOT IN ('csv', 'xlsx', 'xls', 'pdf') THEN 'Unsupported file type: ' || extension END) AS errors
+FROM g""")
+def ingest_manifest(spark, d):
+    return IN.ingest_manifest(spark, d)
+
+
+_S3 = """sh AS (SELECT doc_id, page, strategy, table_no, count(DISTINCT row_idx) AS n_rows, count(DISTINCT col_idx) AS n_cols
+      FROM cells GROUP BY 1, 2, 3, 4),
+cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, CASE WHEN strategy = 'lattice' THEN 0 ELSE 1 END) AS rk
+      FROM sh WHERE table_no = 0 AND page BETWEEN 4 AND 25 AND n_rows > 3 AND n_cols > 3),
+docs AS (SELECT DISTINCT doc_id FROM cells),
+s3 AS (SELECT d.doc_id, c.page, c.strategy, c.table_no, c.n_rows, c.n_cols, c.page IS NOT NULL AS found
+      FROM docs d LEFT JOIN (SELECT * FROM cand WHERE rk = 1) c USING (doc_id))"""
+
+
+@register("first_usable_table", with_fixtures(f"WITH {_S3}\nSELECT * FROM s3", "cells"))
+def first_usable_table(spark, d):
+    return IN.first_usable_table(FX.cells(Tables(spark, d)))
+
+
+@register("promote_header", with_fixtures(f"""
+WITH {_S3},
+c AS (SELECT cells.*, CASE WHEN regexp_matches(text, '^\\s*$') THEN NULL ELSE text END AS t
+      FROM cells JOIN (SELECT * FROM s3 WHERE found) ch USING (doc_id, page, strategy, table_no)),
+rws AS (SELECT doc_id, row_idx, count(t) AS filled FROM c GROUP BY 1, 2),
+hdr AS (SELECT doc_id, coalesce(min(CASE WHEN filled > 2 THEN row_idx END), min(row_idx)) AS h FROM rws GROUP BY 1),
+nm AS (SELECT c.doc_id, c.col_idx, coalesce(c.t, 'col_' || CAST(c.col_idx AS VARCHAR)) AS column_name
+      FROM c JOIN hdr ON hdr.doc_id = c.doc_id AND c.row_idx = hdr.h)
+SELECT c.doc_id, CAST(c.row_idx - hdr.h - 1 AS BIGINT) AS row_no, c.col_idx,
+  coalesce(nm.column_name, 'col_' || CAST(c.col_idx AS VARCHAR)) AS column_name, c.t AS value
+FROM c JOIN hdr ON hdr.doc_id = c.doc_id
+JOIN rws r ON r.doc_id = c.doc_id AND r.row_idx = c.row_idx AND r.filled > 0
+LEFT JOIN nm ON nm.doc_id = c.doc_id AND nm.col_idx = c.col_idx
+WHERE c.row_idx > hdr.h""", "cells"))
+def promote_header(spark, d):
+    cells = FX.cells(Tables(spark, d))
+    out = IN.promote_header(cells, IN.first_usable_table(cells))
+    return out.withColumn("row_no", F.col("row_no").cast("bigint"))
+
+
+@register("result_sink", with_fixtures("""
+SELECT row_id, coalesce(x1, 0) AS x1, coalesce(x2, 0) AS x2, coalesce(x3, 0) AS x3, coalesce(x4, 0) AS x4
+FROM features""", "features"))
+def result_sink(spark, d):
+    return IN.result_sink(FX.features(Tables(spark, d)), scratch_path(spark, "result_sink"))
+
+
+@register("preview_summary", with_fixtures("""
+SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_columns, CAST(3 AS BIGINT) AS n_dtypes FROM messy""", "messy"))
+def preview_summary(spark, d):
+    return IN.preview_summary(_messy(spark, d))
+
+
+# ---------------------------------------------------------------- C1–C9
+@register("drop_empty_rows", with_fixtures("""
+SELECT amount_text, note, blank FROM messy WHERE NOT (amount_text IS NULL AND note IS NULL AND blank IS NULL)""", "messy"))
+def drop_empty_rows(spark, d):
+    return CL.drop_empty_rows(_messy(spark, d).select("amount_text", "note", "blank"))
+
+
+@register("drop_empty_columns", with_fixtures(
+    "SELECT row_id, amount_text, date_text, note, revenue, expenses, cash FROM messy", "messy"))
+def drop_empty_columns(spark, d):
+    return CL.drop_empty_columns(_messy(spark, d))
+
+
+@register("trim_column_names", with_fixtures(f"SELECT {', '.join(ALL)} FROM messy", "messy"))
+def trim_column_names(spark, d):
+    m = _messy(spark, d)
+    padded = m.toDF(*[f"  {c} " for c in m.columns])
+    return CL.trim_column_names(padded)
+
+
+@register("dedupe_rows", with_fixtures("SELECT DISTINCT * FROM messy", "messy"))
+def dedupe_rows(spark, d):
+    return CL.dedupe_rows(_messy(spark, d))
+
+
+@register("clean_numeric_text", with_fixtures("""
+SELECT row_id, TRY_CAST(regexp_replace(amount_text, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS amount_text,
+  date_text, note, blank, revenue, expenses, cash FROM messy""", "messy"))
+def clean_numeric_text(spark, d):
+    return CL.clean_numeric_text(_messy(spark, d))
+
+
+@register("clean_pnl_columns", with_fixtures("""
+WITH c AS (SELECT entity_id, business,
+    TRY_CAST(regexp_replace(gov, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS gov,
+    TRY_CAST(regexp_replace(adj_revenue, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS adj_revenue,
+    TRY_CAST(regexp_replace(adj_ebitda, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS adj_ebitda FROM segment_pnl)
+SELECT * FROM c WHERE adj_revenue IS NOT NULL AND adj_ebitda IS NOT NULL""", "segment_pnl"))
+def clean_pnl_columns(spark, d):
+    return P.clean_pnl(FX.segment_pnl(Tables(spark, d)))
+
+
+@register("coerce_series", with_fixtures(f"""
+SELECT row_id, CAST({DATE('date_text')} AS DATE) AS ds,
+  CASE WHEN regexp_matches(amount_text, {sq(CL.NUMBER_TEXT)}) THEN TRY_CAST(trim(amount_text) AS DOUBLE) END AS y
+FROM messy WHERE {DATE('date_text')} IS NOT NULL""", "messy"))
+def coerce_series(spark, d):
+    return CL.coerce_series(_messy(spark, d), "date_text", "amount_text", keys=["row_id"])
+
+
+@register("impute_mean", with_fixtures(f"""
+SELECT row_id, x1, {R('coalesce(x2, avg(x2) OVER ())', 6)} AS x2, x3, x4 FROM features""", "features"))
+def impute_mean(spark, d):
+    f = CL.impute_mean(FX.features(Tables(spark, d)), ["x2"])
+    return f.select("row_id", "x1", rnd("x2", 6).alias("x2"), "x3", "x4")
+
+
+@register("standardize", with_fixtures(f"""
+SELECT row_id, {", ".join(
+    R(f"(x{i} - avg(x{i}) OVER ()) / CASE WHEN stddev_pop(x{i}) OVER () = 0 THEN 1 ELSE stddev_pop(x{i}) OVER () END", 6)
+    + f" AS x{i}" for i in range(1, 5))} FROM features""", "features"))
+def standardize(spark, d):
+    z = CL.standardize(FX.features(Tables(spark, d)), ["x1", "x2", "x3", "x4"], keep=["row_id"])
+    return z.select("row_id", *[rnd(f"x{i}", 6).alias(f"x{i}") for i in range(1, 5)])
+
+
+# ---------------------------------------------------------------- D1–D15
+@register("structure_check", with_fixtures("""
+SELECT 'row_count' AS check_name, count(*) AS value, count(*) < 1 AS failed FROM messy
+UNION ALL SELECT 'column_count', 8, false UNION ALL SELECT 'duplicate_names', 0, false
+UNION ALL SELECT 'blank_names', 0, false""", "messy"))
+def structure_check(spark, d):
+    return Q.structure_check(_messy(spark, d))
+
+
+def _d2_sql():
+    parts = []
+    for c in TEXT:
+        parts.append(f"""SELECT '{c}' AS "column", count({c}) AS non_null,
+      count_if({NUM(c)}) AS numeric_count, count_if(NOT {NUM(c)} AND {DATE(c)} IS NOT NULL) AS date_count FROM messy""")
+    return " UNION ALL ".join(parts)
+
+
+_D2 = f"""d2 AS ({_d2_sql()}),
+d2b AS (SELECT *, non_null - numeric_count - date_count AS text_count,
+    CASE WHEN non_null > 0 THEN numeric_count / non_null END AS numeric_ratio,
+    CASE WHEN non_null > 0 THEN date_count / non_null END AS date_ratio FROM d2),
+d2c AS (SELECT *, CASE WHEN numeric_ratio > 0.8 THEN 'numeric' WHEN date_ratio > 0.8 THEN 'date' END AS flag FROM d2b)"""
+
+
+@register("type_ratio_profile", with_fixtures(f"""
+WITH {_D2}
+SELECT "column", non_null, numeric_count, date_count, text_count, {R('numeric_ratio', 6)} AS numeric_ratio,
+  {R('date_ratio', 6)} AS date_ratio, flag FROM d2c""", "messy"))
+def type_ratio_profile(spark, d):
+    t = Q.type_ratio_profile(Q.column_stats(_messy(spark, d)))
+    return t.select("column", "non_null", "numeric_count", "date_count", "text_count",
+                    rnd("numeric_ratio", 6).alias("numeric_ratio"), rnd("date_ratio", 6).alias("date_ratio"), "flag")
+
+
+@register("negative_value_check", with_fixtures("""
+SELECT 'revenue' AS "column", count_if(revenue < 0) AS negative_count, count_if(revenue < 0) > 0 AS flagged FROM messy
+UNION ALL SELECT 'cash', count_if(cash < 0), count_if(cash < 0) > 0 FROM messy""", "messy"))
+def negative_value_check(spark, d):
+    return Q.negative_value_check(Q.column_stats(_messy(spark, d)))
+
+
+@register("extreme_value_check", with_fixtures(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CAST(max({c}) AS DOUBLE) AS max_value, max({c}) > 1e10 AS flagged FROM messy"""
+    for c in NUMS), "messy"))
+def extreme_value_check(spark, d):
+    return Q.extreme_value_check(Q.column_stats(_messy(spark, d)))
+
+
+def _d5_sql():
+    parts = []
+    for c in NUMS:
+        parts.append(f"""SELECT '{c}' AS "column", quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3,
+      count({c}) AS nn, (SELECT count(*) FROM messy) AS n_rows FROM messy""")
+    return " UNION ALL ".join(parts)
+
+
+def _d5_cnt_sql():
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count_if({c} < f.lower OR {c} > f.upper) AS outliers
+      FROM messy, (SELECT * FROM d5b WHERE "column" = '{c}') f""" for c in NUMS)
+
+
+_D5 = f"""d5 AS ({_d5_sql()}),
+d5b AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM d5),
+d5c AS ({_d5_cnt_sql()}),
+d5d AS (SELECT b.*, c.outliers, c.outliers / b.nn AS ratio FROM d5b b JOIN d5c c USING ("column"))"""
+
+
+@register("iqr_outliers", with_fixtures(f"""
+WITH {_D5}
+SELECT "column", {R('q1', 6)} AS q1, {R('q3', 6)} AS q3, {R('iqr', 6)} AS iqr, {R('lower', 6)} AS lower,
+  {R('upper', 6)} AS upper, outliers, nn AS non_null, {R('ratio', 6)} AS outlier_ratio, ratio > 0.1 AS warn,
+  outliers > n_rows * 0.05 AS review FROM d5d""", "messy"))
+def iqr_outliers(spark, d):
+    o = Q.iqr_outliers(_messy(spark, d))
+    return o.select("column", *[rnd(c, 6).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")], "outliers",
+                    "non_null", rnd("outlier_ratio", 6).alias("outlier_ratio"), "warn", "review")
+
+
+_COUNTS = " + ".join(f"count({c})" for c in ALL)
+_D6 = f"d6 AS (SELECT count(*) * 8 AS total_cells, {_COUNTS} AS filled_cells FROM messy)"
+
+
+@register("completeness", with_fixtures(f"""
+WITH {_D6}
+SELECT total_cells, filled_cells, {R('filled_cells / total_cells', 6)} AS completeness,
+  filled_cells / total_cells < 0.8 AS warn FROM d6""", "messy"))
+def completeness(spark, d):
+    c = Q.completeness(Q.column_stats(_messy(spark, d)))
+    return c.select("total_cells", "filled_cells", rnd("completeness", 6).alias("completeness"), "warn")
+
+
+@register("empty_columns", with_fixtures(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS non_null, count({c}) = 0 AS is_empty FROM messy""" for c in ALL),
+    "messy"))
+def empty_columns(spark, d):
+    return Q.empty_columns(Q.column_stats(_messy(spark, d)))
+
+
+_ALLNULL = " AND ".join(f"{c} IS NULL" for c in ALL)
+
+
+@register("empty_rows", with_fixtures(f"""
+SELECT count_if({_ALLNULL}) AS empty_rows, count_if({_ALLNULL}) > 0 AS warn FROM messy""", "messy"))
+def empty_rows(spark, d):
+    t = Q.table_stats(_messy(spark, d))
+    return t.select("empty_rows", (F.col("empty_rows") > 0).alias("warn"))
+
+
+@register("duplicate_rows", with_fixtures("""
+SELECT (SELECT count(*) FROM messy) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS duplicate_rows""",
+    "messy"))
+def duplicate_rows(spark, d):
+    return Q.duplicate_rows(_messy(spark, d))
+
+
+@register("loss_records", with_fixtures("""
+SELECT count_if(revenue - expenses < 0) AS loss_records, count_if(revenue - expenses < 0) > 0 AS warn FROM messy""",
+    "messy"))
+def loss_records(spark, d):
+    t = Q.table_stats(_messy(spark, d))
+    return t.select("loss_records", (F.col("loss_records") > 0).alias("warn"))
+
+
+@register("excess_cash_records", with_fixtures("""
+SELECT count_if(cash > expenses / 12 * 24) AS excess_cash_records, count_if(cash > expenses / 12 * 24) > 0 AS warn
+FROM messy""", "messy"))
+def excess_cash_records(spark, d):
+    t = Q.table_stats(_messy(spark, d))
+    return t.select("excess_cash_records", (F.col("excess_cash_records") > 0).alias("warn"))
+
+
+@register("missing_heavy_columns", with_fixtures(f"""
+WITH n AS (SELECT count(*) AS n FROM messy),
+c AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, count(*) - count({c}) AS null_count FROM messy" for c in ALL)})
+SELECT col AS "column", null_count, {R('null_count / n', 6)} AS null_ratio FROM c, n WHERE null_count > n * 0.1""",
+    "messy"))
+def missing_heavy_columns(spark, d):
+    m = Q.missing_heavy_columns(Q.column_stats(_messy(spark, d)))
+    return m.select("column", "null_count", rnd("null_ratio", 6).alias("null_ratio"))
+
+
+@register("quality_score", with_fixtures(f"""
+WITH {_D2}, {_D5}, {_D6},
+ts AS (SELECT count_if(revenue - expenses < 0) AS loss, count_if(cash > expenses / 12 * 24) AS excess,
+         count_if({_ALLNULL}) AS er FROM messy),
+dup AS (SELECT (SELECT count(*) FROM messy) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS dups),
+ec AS (SELECT {" + ".join(f"CASE WHEN count({c}) = 0 THEN 1 ELSE 0 END" for c in ALL)} AS empty_cols FROM messy),
+cnt AS (SELECT
+   (SELECT CASE WHEN empty_cols > 0 THEN 1 ELSE 0 END FROM ec) AS errors,
+   (SELECT count(*) FROM d2c WHERE flag IS NOT NULL)
+   + (SELECT count_if(revenue < 0) > 0 FROM messy)::INT + (SELECT count_if(cash < 0) > 0 FROM messy)::INT
+   + (SELECT {" + ".join(f"(max({c}) > 1e10)::INT" for c in NUMS)} FROM messy)
+   + (SELECT count(*) FROM d5d WHERE ratio > 0.1)
+   + (SELECT (filled_cells / total_cells < 0.8)::INT FROM d6)
+   + (SELECT (er > 0)::INT + (loss > 0)::INT + (excess > 0)::INT FROM ts)
+   + (SELECT (dups > 0)::INT FROM dup) AS warnings,
+   (SELECT filled_cells / total_cells FROM d6) AS comp,
+   (SELECT count_if(flag = 'numeric') / count(*) FROM d2c) AS tir)
+SELECT CAST(errors AS BIGINT) AS errors, CAST(warnings AS BIGINT) AS warnings, {R('comp', 6)} AS completeness,
+  {R('tir', 6)} AS type_issue_ratio,
+  {R('greatest(0.0, least(1.0, 1.0 - errors * 0.2 - warnings * 0.05 - (1 - comp) * 0.3 - tir * 0.2))', 6)} AS quality_score
+FROM cnt""", "messy"))
+def quality_score(spark, d):
+    s = Q.quality_score(_messy(spark, d))
+    return s.select("errors", "warnings", rnd("completeness", 6).alias("completeness"),
+                    rnd("type_issue_ratio", 6).alias("type_issue_ratio"), rnd("quality_score", 6).alias("quality_score"))
+
+
+@register("financial_validation", with_fixtures(f"""
+WITH g AS (SELECT note, sum(CAST(floor(revenue * 10000.0 + 0.5) AS BIGINT)) / 10000.0 AS tr,
+     sum(CAST(floor(expenses * 10000.0 + 0.5) AS BIGINT)) / 10000.0 AS te FROM messy GROUP BY 1)
+SELECT note, tr AS total_revenue, te AS total_expenses, tr - te AS total_profit,
+  {R('CASE WHEN tr > 0 THEN (tr - te) / tr ELSE 0 END', 6)} AS profit_margin,
+  tr - te < 0 AS loss_warning, te > tr * 0.9 AS high_expense_warning FROM g""", "messy"))
+def financial_validation(spark, d):
+    v = Q.financial_validation(_messy(spark, d), by=["note"])
+    return v.select("note", "total_revenue", "total_expenses", "total_profit",
+                    rnd("profit_margin", 6).alias("profit_margin"), "loss_warning", "high_expense_warning")
+
+
+def _d15_sql():
+    parts = []
+    present = {"revenue", "expenses", "cash"}
+    for name, lo, hi, req in FINANCIAL_RULES:
+        if name in present:
+            parts.append(f"""SELECT '{name}' AS rule_column, '{name}' AS source_column, 'range' AS rule, true AS present,
+      count({name}) AS n_checked, count_if({name} < {lo!r} OR {name} > {hi!r}) AS n_violations FROM messy""")
+            if req:
+                parts.append(f"""SELECT '{name}', '{name}', 'required', true, count(*), count_if({name} IS NULL) FROM messy""")
+        elif req:
+            parts.append(f"""SELECT '{name}', NULL, 'required', false, count(*), count(*) FROM messy""")
+    for name, pat in TEXT_RULES:
+        if name == "category":
+            parts.append(f"""SELECT '{name}', 'note', 'pattern', true, count(note),
+      count_if(NOT regexp_matches(note, {sq(pat)})) FROM messy""")
+    return " UNION ALL ".join(parts)
+
+
+@register("rule_range_check", with_fixtures(_d15_sql(), "messy"))
+def rule_range_check(spark, d):
+    return Q.rule_range_check(_messy(spark, d), column_map={"category": "note"})

@@ -10,6 +10,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def duck_count_if(sql: str) -> str:
+    """``count_if(x)`` -> ``count(*) FILTER (WHERE x)``: BIGINT, and 0 (not NULL) on all-NULL input."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = duck_count_if(sql[j + len(key):k - 1])
+        out.append(sql[i:j] + f"(count(*) FILTER (WHERE {inner}))")
+        i = k
+
+
 def register(name: str, oracle: str | None = None):
     """Register a query; ``oracle`` is its DuckDB twin (None -> rows-only check)."""
     def deco(fn):
@@ -17,7 +34,7 @@ def register(name: str, oracle: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLE[name] = oracle
+            ORACLE[name] = duck_count_if(oracle)
         return fn
     return deco
 
