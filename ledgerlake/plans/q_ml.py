@@ -1 +1,55 @@
-"""Registered queries (filled in below)."""
+"""Queries A5–A9 (clusters, silhouette, isolation forest, anomaly rate): rows-only checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlake.functions.exprs import rnd
+from ledgerlake.operators import ml as ML
+from ledgerlake.plans.registry import register
+from ledgerlake.sources import fixtures as FX
+from ledgerlake.sources.tables import Tables
+
+COLS = ["x1", "x2", "x3", "x4"]
+
+
+def _features(spark, d):
+    return FX.features(Tables(spark, d))
+
+
+@register("kmeans")
+def kmeans(spark, d):
+    lab, _ = ML.kmeans(_features(spark, d), COLS)
+    return lab.select("row_id", "cluster")
+
+
+@register("cluster_profile")
+def cluster_profile(spark, d):
+    f = _features(spark, d)
+    lab, _ = ML.kmeans(f, COLS)
+    p = ML.cluster_profile(lab, f, COLS)
+    return p.select("cluster", "size", rnd("percentage", 2).alias("percentage"), "centroid",
+                    *[rnd(f"mean_{c}", 6).alias(f"mean_{c}") for c in COLS],
+                    *[rnd(f"std_{c}", 6).alias(f"std_{c}") for c in COLS])
+
+
+@register("silhouette")
+def silhouette(spark, d):
+    f = _features(spark, d)
+    lab, _ = ML.kmeans(f, COLS)
+    s = ML.silhouette(lab) if lab is not None else None
+    n = f.count()
+    return spark.createDataFrame([(3, None if s is None else round(s, 4), n)],
+                                 "n_clusters int, silhouette_score double, total_records long")
+
+
+@register("isolation_forest")
+def isolation_forest(spark, d):
+    a = ML.isolation_forest(_features(spark, d), COLS)
+    return a.select("row_id", rnd("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
+
+
+@register("anomaly_rate")
+def anomaly_rate(spark, d):
+    r = ML.anomaly_rate(ML.isolation_forest(_features(spark, d), COLS))
+    return r.select("total_anomalies", "total_records", rnd("anomaly_rate", 4).alias("anomaly_rate"))
