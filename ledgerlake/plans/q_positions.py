@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.bands import band_lookup, bands_table
-from ledgerlake.functions.exprs import rnd
+from ledgerlake.functions.exprs import exact_sum, rnd
 from ledgerlake.operators import positions as P
 from ledgerlake.operators import risk as RK
 from ledgerlake.plans.oracle_fixtures import R, with_fixtures
@@ -48,13 +48,13 @@ def risk_summary(spark, d):
 @register("risk_distribution", with_fixtures(f"""
 WITH {risk_cte()}
 SELECT segment, {band_sql('risk_level', 'score')} AS risk_level, count(*) AS customers,
-       {R('sum(revenue)', 2)} AS revenue
+       sum(CAST(floor(revenue * 10000.0 + 0.5) AS BIGINT)) / 10000.0 AS revenue
 FROM risk GROUP BY 1, 2""", "positions"))
 def risk_distribution(spark, d):
     """R2 per segment: the flagship slice (entities per risk level)."""
     s = RK.risk_summary(RK.risk_factors(_pos(spark, d)))
     return s.groupBy("segment", "risk_level").agg(F.count(F.lit(1)).alias("customers"),
-                                                  rnd(F.sum("revenue"), 2).alias("revenue"))
+                                                  exact_sum("revenue", 4).alias("revenue"))
 
 
 @register("risk_factor_long", with_fixtures(f"""

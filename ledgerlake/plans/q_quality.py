@@ -67,7 +67,9 @@ _S3 = """sh AS (SELECT doc_id, page, strategy, table_no, count(DISTINCT row_idx)
 cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, CASE WHEN strategy = 'lattice' THEN 0 ELSE 1 END) AS rk
       FROM sh WHERE table_no = 0 AND page BETWEEN 4 AND 25 AND n_rows > 3 AND n_cols > 3),
 docs AS (SELECT DISTINCT doc_id FROM cells),
-s3 AS (SELECT d.doc_id, c.page, c.strategy, c.table_no, c.n_rows, c.n_cols, c.page IS NOT NULL AS found
+s3 AS (SELECT d.doc_id, CAST(coalesce(c.page, 0) AS BIGINT) AS page, c.strategy,
+        CAST(coalesce(c.table_no, -1) AS INTEGER) AS table_no, coalesce(c.n_rows, 0) AS n_rows,
+        coalesce(c.n_cols, 0) AS n_cols, c.page IS NOT NULL AS found
       FROM docs d LEFT JOIN (SELECT * FROM cand WHERE rk = 1) c USING (doc_id))"""
 
 

@@ -71,7 +71,10 @@ def first_usable_table(cells: DataFrame, first_page: int = 4, last_page: int = 2
                                                F.struct("page", srank.alias("r"))).alias("b"))
     docs = cells.select("doc_id").distinct()
     j = docs.join(best, "doc_id", "left")
-    return j.select("doc_id", "b.page", "b.strategy", "b.table_no", "b.n_rows", "b.n_cols",
+    # documents without a usable table keep a row: found = false, page 0, table -1, shape 0 x 0
+    return j.select("doc_id", F.coalesce("b.page", F.lit(0)).cast("bigint").alias("page"), "b.strategy",
+                    F.coalesce("b.table_no", F.lit(-1)).cast("int").alias("table_no"),
+                    F.coalesce("b.n_rows", F.lit(0)).alias("n_rows"), F.coalesce("b.n_cols", F.lit(0)).alias("n_cols"),
                     F.col("b").isNotNull().alias("found"))
 
 

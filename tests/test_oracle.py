@@ -33,7 +33,7 @@ def _canon(df):
     for r in df.itertuples(index=False):
         out = []
         for v in r:
-            if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+            if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
                 out.append(None)
             elif isinstance(v, (datetime.date, pd.Timestamp)):
                 out.append(pd.Timestamp(v).isoformat())
