@@ -25,34 +25,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs, names=None,
-                    num_partitions: int | None = None) -> DataFrame:
-    keys = list(keys)
-    names = names or [f"q{int(round(p * 1000)):03d}" for p in probs]
+def ordinal_rank(df: DataFrame, keys, order, rank_col: str = "_rank",
+                 num_partitions: int | None = None) -> DataFrame:
+    """0-based position of each row within its key when sorted by ``order`` — without a per-key window.
+
+    Range partitioning on (keys, order) spreads a hot key over many partitions;
+    rows are numbered in place, per-(key, partition) counts give each partition
+    its offset. The numbered rows are checkpointed (shared folder) so every
+    consumer sees one numbering. Ties in ``order`` get distinct positions.
+    """
+    keys, order = list(keys), list(order)
     spark = df.sparkSession
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    srt = (v.repartitionByRange(n_part, *keys, "_v").sortWithinPartitions(*keys, "_v")
+    srt = (df.repartitionByRange(n_part, *keys, *order).sortWithinPartitions(*keys, *order)
              .withColumn("_id", F.monotonically_increasing_id())
              .withColumn("_pid", F.shiftright(F.col("_id"), 33)))
-    # One materialisation in the shared checkpoint folder: both consumers below
-    # must see the same partition numbering, even if an executor is lost and
-    # the input would be recomputed in another order.
     srt = srt.checkpoint(eager=True)
     seg = srt.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_first"))
     wk = Window.partitionBy(*keys)
     seg = (seg.withColumn("_before", F.sum("_c").over(wk.orderBy("_pid")) - F.col("_c"))
               .withColumn("_n", F.sum("_c").over(wk)))
+    out = srt.join(seg, keys + ["_pid"]).withColumn(rank_col, F.col("_before") + (F.col("_id") - F.col("_first")))
+    return out.drop("_id", "_pid", "_c", "_first", "_before")
+
+
+def exact_quantiles(df: DataFrame, keys, value: str, probs, names=None,
+                    num_partitions: int | None = None) -> DataFrame:
+    keys = list(keys)
+    names = names or [f"q{int(round(p * 1000)):03d}" for p in probs]
+    v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ranked = ordinal_rank(v, keys, ["_v"], num_partitions=num_partitions)
     pos = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
     need = []
     for p_ in pos:
         need += [F.floor(p_), F.ceil(p_)]
-    seg = seg.withColumn("_need", F.array(*need))
-    # keep the segments that hold a needed rank
-    seg = seg.where(F.exists("_need", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))))
-    hits = (srt.join(seg, keys + ["_pid"])
-               .withColumn("_rank", F.col("_before") + (F.col("_id") - F.col("_first")))
-               .where(F.array_contains("_need", F.col("_rank"))))
+    hits = ranked.where(F.array_contains(F.array(*need), F.col("_rank")))
     aggs = [F.first("_n").alias("n")]
     for i, p in enumerate(probs):
         aggs += [F.max(F.when(F.col("_rank") == F.floor(pos[i]), F.col("_v"))).alias(f"_lo{i}"),

@@ -26,12 +26,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.functions.quantiles import exact_quantiles
-from ledgerlake.operators.clean import impute_mean, standardize
 
 
 def prepare(df: DataFrame, columns, id_col: str = "row_id") -> DataFrame:
-    """Mean-impute then z-score (population std) the feature columns."""
-    return standardize(impute_mean(df.select(id_col, *columns), list(columns)), list(columns), keep=[id_col])
+    """Mean-impute then z-score (population std) the feature columns, from ONE aggregate pass.
+
+    Imputed values sit on the mean, so the population std of the imputed column
+    is std_pop(non-NULL) · sqrt(count / n); a zero std divides by 1.
+    """
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for c in columns:
+        aggs += [F.avg(c).alias(f"_mu_{c}"), F.stddev_pop(c).alias(f"_sd_{c}"), F.count(c).alias(f"_k_{c}")]
+    stats = df.agg(*aggs)
+    j = df.select(id_col, *columns).crossJoin(F.broadcast(stats))  # one row: a proven size bound
+    out = []
+    for c in columns:
+        sd = F.coalesce(F.col(f"_sd_{c}"), F.lit(0.0)) * F.sqrt(F.col(f"_k_{c}") / F.col("_n"))
+        x = F.coalesce(F.col(c), F.col(f"_mu_{c}"))
+        out.append(((x - F.col(f"_mu_{c}")) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)).alias(c))
+    return j.select(id_col, *out)
 
 
 # ---------------------------------------------------------------- A5–A7
@@ -159,7 +172,8 @@ def _score(columns, forest: pd.DataFrame, psi: int, id_col: str):
 def isolation_forest(df: DataFrame, columns, id_col: str = "row_id", n_trees: int = 100, psi: int = 256,
                      contamination: float = 0.1, seed: int = 42, min_rows: int = 10) -> DataFrame:
     """Anomaly score per row (higher = more isolated) and the contamination cut-off flag."""
-    scaled = prepare(df, columns, id_col)
+    # materialised once in the shared checkpoint folder: sampled, scored and counted from one copy
+    scaled = prepare(df, columns, id_col).checkpoint(eager=True)
     n = scaled.count()
     if n < min_rows:
         return scaled.select(id_col, F.lit(None).cast("double").alias("anomaly_score"),

@@ -65,9 +65,14 @@ def lag_features(series: DataFrame, by=("entity_id",), ds="ds", y="y", max_lags:
 
 
 def growth_rate(series: DataFrame, by=("entity_id",), ds="ds", y="y", months: int = 12) -> DataFrame:
-    """Trailing-``months`` total vs the ``months`` before it, relative to each entity's last month."""
+    """Trailing-``months`` total vs the ``months`` before it, relative to each entity's last month.
+
+    Facts are first summed to (entity, month) with partial aggregation, so the
+    per-entity window only sees the entity's months.
+    """
+    monthly = series.groupBy(*by, month_start(ds).alias(ds)).agg(F.sum(y).alias(y))
     last = F.max(ds).over(Window.partitionBy(*by))
-    s = series.withColumn("_last", last)
+    s = monthly.withColumn("_last", last)
     cur = F.col(ds) > F.add_months("_last", -months)
     prev = (F.col(ds) > F.add_months("_last", -2 * months)) & ~cur
     g = s.groupBy(*by).agg(F.coalesce(F.sum(F.when(cur, F.col(y))), F.lit(0.0)).alias("last_total"),

@@ -114,9 +114,14 @@ def correlation_pvalue(corr: DataFrame) -> DataFrame:
 
 
 def trend(series: DataFrame, by=("entity_id",), ds="ds", y="y") -> DataFrame:
-    """A3: slope / r² / direction / strength against the row number after a date sort."""
-    w = Window.partitionBy(*by).orderBy(ds, y)
-    s = series.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))
+    """A3: slope / r² / direction / strength against the row number after a date sort.
+
+    Row numbers come from ``ordinal_rank`` (range-partitioned), so an entity
+    with a third of all rows is still ranked by many tasks; the regression is a
+    partial aggregate per entity.
+    """
+    from ledgerlake.functions.quantiles import ordinal_rank
+    s = ordinal_rank(series.select(*by, ds, y), by, [ds, y], rank_col="_x").withColumn("_x", F.col("_x").cast("double"))
     g = s.groupBy(*by).agg(
         F.regr_slope(y, "_x").alias("slope"), F.regr_r2(y, "_x").alias("r_squared"),
         F.corr(y, "_x").alias("_r"), F.min_by(y, "_x").alias("_first"), F.max_by(y, "_x").alias("_last"),
