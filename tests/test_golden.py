@@ -130,3 +130,20 @@ def test_advice(spark, pos):
     assert [r["recommendation"] for r in top] == ["Review and optimize operational expenses",
                                                   "Implement automation to reduce labor costs",
                                                   "Negotiate better terms with suppliers"]
+
+
+def test_edges_null_cash_negative_revenue(spark):
+    p = spark.createDataFrame([(1, 1000.0, 600.0, 0.0, None), (2, -100.0, 50.0, 10.0, 0.0)],
+                              "entity_id long, revenue double, expenses double, liabilities double, cash double")
+    k = by_id(P.kpis(p), "runway_months", "debt_ratio")
+    assert k[1][0] == pytest.approx(8.0)          # NULL cash falls through to max(profit, 0) / burn
+    r = by_id(RK.risk_summary(RK.risk_factors(p)), "leverage_risk", "burn_risk", "risk_level")
+    assert float(r[2][0]) == 1.0 and float(r[2][1]) == 1.0 and r[2][2] == "high"
+    h = by_id(RK.health_score(p), "health_score")
+    assert 0 <= h[2][0] <= 100
+
+
+def test_missing_measure_counts_as_zero(spark):
+    facts = spark.createDataFrame([(1, 10.0), (1, 5.0), (2, 1.0)], "entity_id long, Revenue double")
+    got = by_id(P.rollup_positions(facts), "revenue", "expenses", "liabilities", "cash")
+    assert got[1] == (15.0, 0.0, 0.0, 0.0) and got[2] == (1.0, 0.0, 0.0, 0.0)
