@@ -72,10 +72,25 @@ DATE_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM", "MM-yyyy",
 ISO_TIMESTAMP_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
 
 
+# The text shape each format can parse. A failed parse is costly (the parser
+# throws), so the parser only sees text of the right shape.
+FORMAT_SHAPES = {
+    "yyyy-MM-dd": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "MM/dd/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "dd/MM/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy-MM": r"^\d{4}-\d{1,2}$",
+    "MM-yyyy": r"^\d{1,2}-\d{4}$",
+    "yyyy": r"^\d{4}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$",
+}
+
+
 def parse_date_any(x) -> Column:
     """First format that parses the whole text wins; none -> NULL."""
     c = F.trim(_c(x).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS + ISO_TIMESTAMP_FORMATS])
+    return F.coalesce(*[F.when(c.rlike(FORMAT_SHAPES[f]), F.try_to_timestamp(c, F.lit(f)))
+                        for f in DATE_FORMATS + ISO_TIMESTAMP_FORMATS])
 
 
 def to_units(x, d: int = 6) -> Column:

@@ -137,34 +137,45 @@ def _grow(columns, seed: int, psi: int):
 
 
 def _score(columns, forest: pd.DataFrame, psi: int, id_col: str):
+    """Walk every tree at once: (trees × rows) index arrays, at most depth-many NumPy steps per batch."""
     trees = sorted(forest["tree"].unique())
-    arrays = {}
-    for t in trees:
-        ft = forest[forest["tree"] == t].sort_values("node")
-        arrays[t] = (ft["feature"].to_numpy(), ft["split"].to_numpy(), ft["left"].to_numpy(),
-                     ft["right"].to_numpy(), ft["size"].to_numpy())
+    width = int(forest.groupby("tree")["node"].max().max()) + 1
+    nt = len(trees)
+    feat = np.full((nt, width), -1, dtype=np.int64)
+    split = np.zeros((nt, width))
+    left = np.zeros((nt, width), dtype=np.int64)
+    right = np.zeros((nt, width), dtype=np.int64)
+    corr = np.zeros((nt, width))
+    pos = {t: i for i, t in enumerate(trees)}
+    ti = forest["tree"].map(pos).to_numpy()
+    ni = forest["node"].to_numpy()
+    feat[ti, ni] = forest["feature"].to_numpy()
+    split[ti, ni] = forest["split"].to_numpy()
+    left[ti, ni] = np.maximum(forest["left"].to_numpy(), 0)
+    right[ti, ni] = np.maximum(forest["right"].to_numpy(), 0)
+    corr[ti, ni] = [_c(float(x)) for x in forest["size"].to_numpy()]
     cpsi = _c(psi)
-    cvec = np.vectorize(_c)
+    rows_t = np.arange(nt)[:, None]
 
     def score(batches):
         for pdf in batches:
             X = pdf[list(columns)].to_numpy(dtype=float)
-            total = np.zeros(len(X))
-            for t in trees:
-                feat, split, left, right, size = arrays[t]
-                node = np.zeros(len(X), dtype=int)
-                depth = np.zeros(len(X))
-                active = feat[node] >= 0
-                while active.any():
-                    rows = np.nonzero(active)[0]
-                    f = feat[node[rows]]
-                    go_left = X[rows, f] < split[node[rows]]
-                    node[rows] = np.where(go_left, left[node[rows]], right[node[rows]])
-                    depth[rows] += 1
-                    active = feat[node] >= 0
-                total += depth + cvec(size[node].astype(float))
-            mean_h = total / len(trees)
-            s = np.power(2.0, -mean_h / cpsi) if cpsi > 0 else np.full(len(X), 0.5)
+            b = len(X)
+            node = np.zeros((nt, b), dtype=np.int64)
+            depth = np.zeros((nt, b))
+            cols_b = np.arange(b)[None, :]
+            while True:
+                f = feat[rows_t, node]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                xv = X[cols_b, np.maximum(f, 0)]
+                go_left = xv < split[rows_t, node]
+                nxt = np.where(go_left, left[rows_t, node], right[rows_t, node])
+                node = np.where(inner, nxt, node)
+                depth += inner
+            mean_h = (depth + corr[rows_t, node]).mean(axis=0)
+            s = np.power(2.0, -mean_h / cpsi) if cpsi > 0 else np.full(b, 0.5)
             yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "anomaly_score": s})
     return score
 
@@ -193,7 +204,12 @@ def isolation_forest(df: DataFrame, columns, id_col: str = "row_id", n_trees: in
     # the forest is ≤ n_trees·(2ψ−1) rows: a proven bound, collected once and shipped to the scorers
     forest_pd = forest.toPandas()
     out_schema = T.StructType([scaled.schema[id_col], T.StructField("anomaly_score", T.DoubleType())])
-    scores = scaled.select(id_col, *columns).mapInPandas(_score(columns, forest_pd, psi, id_col), out_schema)
+    to_score = scaled.select(id_col, *columns)
+    par = spark_parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if to_score.rdd.getNumPartitions() < spark_parallelism:  # CPU-bound: use every core
+        to_score = to_score.repartition(par)
+    # scored once: the cut-off quantile and the output both read this copy
+    scores = to_score.mapInPandas(_score(columns, forest_pd, psi, id_col), out_schema).checkpoint(eager=True)
     cutoff = exact_quantiles(scores.withColumn("_k", F.lit(0)), ["_k"], "anomaly_score",
                              [1.0 - contamination], ["cutoff"]).select("cutoff")
     return (scores.crossJoin(F.broadcast(cutoff))

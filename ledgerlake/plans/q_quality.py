@@ -28,7 +28,11 @@ def NUM(v):
 
 
 def DATE(v):
-    return "coalesce(" + ", ".join(f"try_strptime(trim({v}), '{f}')" for f in DUCK_FORMATS) + ")"
+    from ledgerlake.functions.exprs import DATE_FORMATS, FORMAT_SHAPES, ISO_TIMESTAMP_FORMATS
+    shapes = [FORMAT_SHAPES[f] for f in DATE_FORMATS + ISO_TIMESTAMP_FORMATS]
+    return "coalesce(" + ", ".join(
+        f"CASE WHEN regexp_matches(trim({v}), {sq(sh)}) THEN try_strptime(trim({v}), '{f}') END"
+        for f, sh in zip(DUCK_FORMATS, shapes)) + ")"
 
 
 def _messy(spark, d):
