@@ -1,8 +1,9 @@
 """Cash-flow path risk per entity.
 
 * Parameters are estimated from each entity's monthly flows (P1).
-* Normal draws come from counter hashing: md5(seed, entity, path, month,
-  stream) gives two uniforms and Box–Muller a normal. A draw depends only on
+* Normal draws come from counter hashing: md5(seed, entity, path, month)
+  gives four 32-bit uniforms, and Box–Muller turns them into the revenue and
+  the expense normal. A draw depends only on
   its coordinates, so any partitioning, retry or engine gives the same path.
 * Amounts are integer cents, so running balances, finals and their means are
   exact and order-independent.
@@ -25,7 +26,7 @@ from ledgerlake.functions.exprs import rnd
 from ledgerlake.functions.quantiles import group_percentiles
 from ledgerlake.operators.series import monthly_resample
 
-TWO48 = float(2 ** 48)
+TWO32 = float(2 ** 32)
 
 
 def flow_params(flows: DataFrame, by=("entity_id",), ds="ds", cash_months: float = 6.0) -> DataFrame:
@@ -40,15 +41,14 @@ def flow_params(flows: DataFrame, by=("entity_id",), ds="ds", cash_months: float
     return g.withColumn("initial_cash", rnd(F.col("expense_mean") * cash_months, 2))
 
 
-def _uniform(h, part: int):
-    return (F.conv(F.substring(h, 1 + 12 * part, 12), 16, 10).cast("double") + 0.5) / TWO48
+def _uniform(h, k: int):
+    """k-th 32-bit slice (k = 0..3) of a 128-bit md5 hex digest, as a uniform in (0, 1)."""
+    return (F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("double") + 0.5) / TWO32
 
 
-def hash_normal(seed: int, key_cols, step, stream: str):
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in key_cols],
-                          step.cast("string"), F.lit(stream)))
-    u1, u2 = _uniform(h, 0), _uniform(h, 1)
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
+def _normal(h, k: int):
+    """Box–Muller on slices k and k+1 of the digest."""
+    return F.sqrt(F.lit(-2.0) * F.log(_uniform(h, k))) * F.cos(F.lit(2 * math.pi) * _uniform(h, k + 1))
 
 
 def _cents(x):
@@ -68,15 +68,17 @@ def outcome_paths(params: DataFrame, by=("entity_id",), paths: int = 10_000, mon
     hi = F.least(lo + block, F.lit(paths)) - 1
     p = blocks.select("*", F.explode(F.sequence(lo, hi)).alias("path_id")).drop("_blk")
     steps = F.sequence(F.lit(1), F.lit(months))
-    keys = [F.col(c) for c in by] + [F.col("path_id")]
+    keys = [F.col(c).cast("string") for c in by] + [F.col("path_id").cast("string")]
+    # one digest per (path, month): slices 0-1 drive revenue, slices 2-3 expenses
+    digests = F.transform(steps, lambda s: F.md5(F.concat_ws("|", F.lit(str(seed)), *keys, s.cast("string"))))
 
-    def draw(mean, std, stream):
-        return F.transform(steps, lambda s: _cents(F.greatest(
-            F.lit(0.0), F.col(mean) + F.col(std) * hash_normal(seed, keys, s, stream))))
+    def draw(mean, std, k):
+        return F.transform("_h", lambda h: _cents(F.greatest(F.lit(0.0), F.col(mean) + F.col(std) * _normal(h, k))))
 
+    p = p.select("*", digests.alias("_h"))
     return p.select(*by, "path_id", _cents(F.col("initial_cash")).alias("initial_cents"),
-                    draw("revenue_mean", "revenue_std", "r").alias("revenue_cents"),
-                    draw("expense_mean", "expense_std", "e").alias("expense_cents"))
+                    draw("revenue_mean", "revenue_std", 0).alias("revenue_cents"),
+                    draw("expense_mean", "expense_std", 2).alias("expense_cents"))
 
 
 def path_summary(p: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ledgerlake.operators import positions as P
 from ledgerlake.operators import risk as RK
 from ledgerlake.plans.oracle_fixtures import R, with_fixtures
 from ledgerlake.plans.registry import register
+from ledgerlake.session import materialize
 from ledgerlake.plans.sqlbits import band_sql, kpis_cte, risk_cte
 from ledgerlake.sources import fixtures as FX
 from ledgerlake.sources.tables import Tables
@@ -120,7 +121,7 @@ SELECT entity_id, metric, {R('value', 6)} AS value,
               ELSE {band_sql('risk_level', 'value', 'severity')} END AS severity
 FROM long""", "positions"))
 def band_lookup_q(spark, d):
-    pos = _pos(spark, d)
+    pos = materialize(_pos(spark, d))  # read by the KPI and the risk branch
     k = P.kpis(pos).select("entity_id", "debt_ratio", "runway_months")
     r = RK.risk_summary(RK.risk_factors(pos)).select("entity_id", "risk_score")
     long = (k.unpivot("entity_id", ["debt_ratio", "runway_months"], "metric", "value")

@@ -12,7 +12,7 @@ from ledgerlake.operators import quality as Q
 from ledgerlake.plans.oracle_fixtures import R, with_fixtures
 from ledgerlake.plans.registry import register
 from ledgerlake.plans.sqlbits import sq
-from ledgerlake.session import scratch_path
+from ledgerlake.session import materialize, scratch_path
 from ledgerlake.sources import fixtures as FX
 from ledgerlake.sources import ingest as IN
 from ledgerlake.sources.tables import Tables
@@ -97,7 +97,7 @@ JOIN rws r ON r.doc_id = c.doc_id AND r.row_idx = c.row_idx AND r.filled > 0
 LEFT JOIN nm ON nm.doc_id = c.doc_id AND nm.col_idx = c.col_idx
 WHERE c.row_idx > hdr.h""", "cells"))
 def promote_header(spark, d):
-    cells = FX.cells(Tables(spark, d))
+    cells = materialize(FX.cells(Tables(spark, d)))  # read by table picking and header promotion
     out = IN.promote_header(cells, IN.first_usable_table(cells))
     return out.withColumn("row_no", F.col("row_no").cast("bigint"))
 
@@ -345,7 +345,7 @@ SELECT CAST(errors AS BIGINT) AS errors, CAST(warnings AS BIGINT) AS warnings, {
   {R('greatest(0.0, least(1.0, 1.0 - errors * 0.2 - warnings * 0.05 - (1 - comp) * 0.3 - tir * 0.2))', 6)} AS quality_score
 FROM cnt""", "messy"))
 def quality_score(spark, d):
-    s = Q.quality_score(_messy(spark, d))
+    s = Q.quality_score(materialize(_messy(spark, d)))  # one profile reads it many times
     return s.select("errors", "warnings", rnd("completeness", 6).alias("completeness"),
                     rnd("type_issue_ratio", 6).alias("type_issue_ratio"), rnd("quality_score", 6).alias("quality_score"))
 

@@ -15,6 +15,7 @@ from ledgerlake.operators import risk as RK
 from ledgerlake.operators.series import growth_rate
 from ledgerlake.plans.oracle_fixtures import R, with_fixtures
 from ledgerlake.plans.registry import register
+from ledgerlake.session import materialize
 from ledgerlake.plans.sqlbits import band_sql, growth_cte, kpis_cte, metrics_cte, sq, values_sql
 from ledgerlake.sources import fixtures as FX
 from ledgerlake.sources.tables import Tables
@@ -271,9 +272,11 @@ SELECT p.entity_id, {R('a.ap', 4)} AS avg_percentile,
   CASE WHEN a.ap IS NULL THEN 'unknown' ELSE {band_sql('performance', 'a.ap')} END AS overall_performance
 FROM positions p LEFT JOIN a USING (entity_id)""", "positions"))
 def benchmark_overall(spark, d):
-    lg = _long_r4(spark, d)
+    pos = materialize(_pos(spark, d))  # read by the peer quantiles, the ranks and the entity list
+    r = RK.financial_ratios(pos).select("entity_id", "segment", *BENCH_METRICS)
+    lg = r.unpivot(["entity_id", "segment"], BENCH_METRICS, "metric", "value")
     c = BM.benchmark_compare(lg, BM.industry_benchmarks(lg))
-    o = BM.benchmark_overall(_pos(spark, d), c)
+    o = BM.benchmark_overall(pos, c)
     return o.select("entity_id", rnd("avg_percentile", 4).alias("avg_percentile"), "overall_performance")
 
 

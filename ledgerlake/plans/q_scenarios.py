@@ -102,7 +102,7 @@ def _summary(spark, d):
     return PT.path_summary(PT.outcome_paths(_params(spark, d), paths=PATHS, months=MONTHS, seed=SEED))
 
 
-_TWO48 = f"{float(2 ** 48)!r}"
+_TWO32 = f"{float(2 ** 32)!r}"
 _PARAMS = f"""mf AS (SELECT entity_id, ds, sum(revenue) AS revenue, sum(expenses) AS expenses FROM monthly_flows GROUP BY 1, 2),
 sp AS (SELECT entity_id, unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS ds FROM mf GROUP BY 1),
 ff AS (SELECT sp.entity_id, coalesce(mf.revenue, 0) AS revenue, coalesce(mf.expenses, 0) AS expenses
@@ -113,24 +113,23 @@ params AS (SELECT entity_id, count(*) AS n_months, {R('avg(revenue)', 2)} AS rev
 params2 AS (SELECT *, {R('expense_mean * 6.0', 2)} AS initial_cash FROM params)"""
 
 
-def _u(h, part):
-    return f"((CAST(('0x' || substr({h}, {1 + 12 * part}, 12)) AS BIGINT) + 0.5) / {_TWO48})"
+def _u(h, k):
+    return f"((CAST(('0x' || substr({h}, {1 + 8 * k}, 8)) AS BIGINT) + 0.5) / {_TWO32})"
 
 
-def _z(h):
-    return f"(sqrt(-2.0 * ln({_u(h, 0)})) * cos({2 * math.pi!r} * {_u(h, 1)}))"
+def _z(h, k):
+    return f"(sqrt(-2.0 * ln({_u(h, k)})) * cos({2 * math.pi!r} * {_u(h, k + 1)}))"
 
 
 _DRAWS = f"""{_PARAMS},
 pp AS (SELECT p.*, r.range AS path_id FROM params2 p CROSS JOIN range(0, {PATHS}) r),
 dh AS (SELECT entity_id, path_id, s.range AS step, revenue_mean, revenue_std, expense_mean, expense_std,
    CAST(floor(initial_cash * 100.0 + 0.5) AS BIGINT) AS initial_cents,
-   md5(concat_ws('|', '{SEED}', CAST(entity_id AS VARCHAR), CAST(path_id AS VARCHAR), CAST(s.range AS VARCHAR), 'r')) AS hr,
-   md5(concat_ws('|', '{SEED}', CAST(entity_id AS VARCHAR), CAST(path_id AS VARCHAR), CAST(s.range AS VARCHAR), 'e')) AS he
+   md5(concat_ws('|', '{SEED}', CAST(entity_id AS VARCHAR), CAST(path_id AS VARCHAR), CAST(s.range AS VARCHAR))) AS h
   FROM pp CROSS JOIN range(1, {MONTHS + 1}) s),
 dr AS (SELECT entity_id, path_id, step, initial_cents,
-   CAST(floor(greatest(0.0, revenue_mean + revenue_std * {_z('hr')}) * 100.0 + 0.5) AS BIGINT) AS rc,
-   CAST(floor(greatest(0.0, expense_mean + expense_std * {_z('he')}) * 100.0 + 0.5) AS BIGINT) AS ec FROM dh),
+   CAST(floor(greatest(0.0, revenue_mean + revenue_std * {_z('h', 0)}) * 100.0 + 0.5) AS BIGINT) AS rc,
+   CAST(floor(greatest(0.0, expense_mean + expense_std * {_z('h', 2)}) * 100.0 + 0.5) AS BIGINT) AS ec FROM dh),
 bal AS (SELECT *, initial_cents + sum(rc - ec) OVER (PARTITION BY entity_id, path_id ORDER BY step
    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bc FROM dr),
 fin AS (SELECT entity_id, path_id, max(initial_cents) + sum(rc - ec) AS final_cents, min(bc) AS min_cents

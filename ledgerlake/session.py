@@ -62,3 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def env_master() -> str:
     return f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back (lineage cut).
+
+    For derived inputs that one plan reads several times; a lost executor then
+    re-reads the written copy instead of recomputing the derivation.
+    """
+    return df.checkpoint(eager=True)
