@@ -7,9 +7,10 @@
   its coordinates, so any partitioning, retry or engine gives the same path.
 * Amounts are integer cents, so running balances, finals and their means are
   exact and order-independent.
-* A path is one row with a ``months``-long array: final balance and minimum
-  balance are one ``aggregate`` fold, with no window and no shuffle; the long
-  (path, month) form is an ``explode`` of that row.
+* Draws are generated as (entity, path, month) rows inside the (entity, block)
+  partitions, so the hashing is plain codegen'd expressions; the running
+  balance window and the per-path aggregate reuse that partitioning and add
+  no exchange.
 * Paths are generated per (entity, block of paths) and shuffled at that grain,
   so a few entities still spread over all cores, and many entities do not
   shuffle per path.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.exprs import rnd
@@ -57,7 +58,11 @@ def _cents(x):
 
 def outcome_paths(params: DataFrame, by=("entity_id",), paths: int = 10_000, months: int = 12,
                   seed: int = 42, block: int = 1000) -> DataFrame:
-    """One row per (entity, path) with revenue/expense cent arrays (clamped at 0)."""
+    """One row per (entity, path, month) with revenue / expense draws in cents (clamped at 0).
+
+    Rows are generated inside the (entity, block) partitions and never shuffled
+    again: the draw itself is plain codegen'd expressions.
+    """
     n_blocks = (paths + block - 1) // block
     blocks = params.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_blk"))
     # An explicit partition count: AQE must not coalesce this tiny shuffle,
@@ -66,41 +71,38 @@ def outcome_paths(params: DataFrame, by=("entity_id",), paths: int = 10_000, mon
     blocks = blocks.repartition(n_out, *[F.col(c) for c in by], F.col("_blk"))
     lo = F.col("_blk") * block
     hi = F.least(lo + block, F.lit(paths)) - 1
-    p = blocks.select("*", F.explode(F.sequence(lo, hi)).alias("path_id")).drop("_blk")
-    steps = F.sequence(F.lit(1), F.lit(months))
-    keys = [F.col(c).cast("string") for c in by] + [F.col("path_id").cast("string")]
+    p = blocks.select("*", F.explode(F.sequence(lo, hi)).alias("path_id"))
+    p = p.select("*", F.explode(F.sequence(F.lit(1), F.lit(months))).alias("step"))
+    keys = [F.col(c).cast("string") for c in by] + [F.col("path_id").cast("string"), F.col("step").cast("string")]
     # one digest per (path, month): slices 0-1 drive revenue, slices 2-3 expenses
-    digests = F.transform(steps, lambda s: F.md5(F.concat_ws("|", F.lit(str(seed)), *keys, s.cast("string"))))
+    p = p.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *keys)))
 
     def draw(mean, std, k):
-        return F.transform("_h", lambda h: _cents(F.greatest(F.lit(0.0), F.col(mean) + F.col(std) * _normal(h, k))))
+        return _cents(F.greatest(F.lit(0.0), F.col(mean) + F.col(std) * _normal(F.col("_h"), k)))
 
-    p = p.select("*", digests.alias("_h"))
-    return p.select(*by, "path_id", _cents(F.col("initial_cash")).alias("initial_cents"),
+    return p.select(*by, "_blk", "path_id", "step", _cents(F.col("initial_cash")).alias("initial_cents"),
                     draw("revenue_mean", "revenue_std", 0).alias("revenue_cents"),
                     draw("expense_mean", "expense_std", 2).alias("expense_cents"))
 
 
-def path_summary(p: DataFrame) -> DataFrame:
-    """Final and minimum balance per path in one fold over the months (cents)."""
-    deltas = F.zip_with("revenue_cents", "expense_cents", lambda r, e: r - e)
-    init = F.struct(F.col("initial_cents").alias("bal"), F.lit(None).cast("bigint").alias("mn"))
-    fold = F.aggregate(deltas, init, lambda s, x: F.struct(
-        (s["bal"] + x).alias("bal"), F.least(s["mn"], s["bal"] + x).alias("mn")))
-    return p.select("*", fold["bal"].alias("final_cents"), fold["mn"].alias("min_cents"))
+def running_balance(draws: DataFrame, by=("entity_id",)) -> DataFrame:
+    """Balance after each month = initial + running sum of (revenue − expenses), in cents.
+
+    The window's partition keys include the generation block, so it sorts inside
+    the existing partitions (no exchange).
+    """
+    w = (Window.partitionBy(*by, "_blk", "path_id").orderBy("step")
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return draws.withColumn("balance_cents", F.col("initial_cents")
+                            + F.sum(F.col("revenue_cents") - F.col("expense_cents")).over(w))
 
 
-def running_balance(p: DataFrame, by=("entity_id",)) -> DataFrame:
-    """Long (entity, path, step, revenue, expenses, balance) rows from the path arrays."""
-    deltas = F.zip_with("revenue_cents", "expense_cents", lambda r, e: r - e)
-    m = F.size("revenue_cents")
-    bal = F.transform(F.sequence(F.lit(1), m), lambda i: F.aggregate(
-        F.slice(deltas, 1, i), F.col("initial_cents"), lambda a, x: a + x))
-    z = F.arrays_zip(F.col("revenue_cents").alias("r"), F.col("expense_cents").alias("e"), bal.alias("b"))
-    out = p.select(*by, "path_id", F.posexplode(z).alias("pos", "v"))
-    return out.select(*by, "path_id", (F.col("pos") + 1).alias("step"),
-                      (F.col("v.r") / 100.0).alias("revenue"), (F.col("v.e") / 100.0).alias("expenses"),
-                      (F.col("v.b") / 100.0).alias("balance"))
+def path_summary(draws: DataFrame, by=("entity_id",)) -> DataFrame:
+    """Final and minimum balance per path (cents), grouped where the paths already live."""
+    rb = running_balance(draws, by)
+    return rb.groupBy(*by, "_blk", "path_id").agg(
+        (F.first("initial_cents") + F.sum(F.col("revenue_cents") - F.col("expense_cents"))).alias("final_cents"),
+        F.min("balance_cents").alias("min_cents"))
 
 
 def tail_risk(summary: DataFrame, by=("entity_id",)) -> DataFrame:
@@ -125,7 +127,6 @@ def breach_probability(summary: DataFrame, by=("entity_id",)) -> DataFrame:
 
 def final_cash_histogram(summary: DataFrame, by=("entity_id",), bins: int = 50) -> DataFrame:
     """Equal-width histogram of final cash per entity (non-empty bins)."""
-    from pyspark.sql import Window
     w = Window.partitionBy(*by)
     v = F.col("final_cents") / 100.0
     s = summary.select(*by, v.alias("v"), F.min(v).over(w).alias("mn"), F.max(v).over(w).alias("mx"))

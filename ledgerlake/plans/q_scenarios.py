@@ -149,8 +149,8 @@ SELECT entity_id, CAST(path_id AS BIGINT) AS path_id, CAST(step AS INTEGER) AS s
   rc / 100.0 AS revenue, ec / 100.0 AS expenses FROM dr""", "monthly_flows"))
 def outcome_paths(spark, d):
     p = PT.outcome_paths(_params(spark, d), paths=PATHS, months=MONTHS, seed=SEED)
-    r = PT.running_balance(p)
-    return r.select("entity_id", "path_id", "step", "revenue", "expenses")
+    return p.select("entity_id", "path_id", "step", (F.col("revenue_cents") / 100.0).alias("revenue"),
+                    (F.col("expense_cents") / 100.0).alias("expenses"))
 
 
 @register("running_balance", with_fixtures(f"""
@@ -159,7 +159,8 @@ SELECT entity_id, CAST(path_id AS BIGINT) AS path_id, CAST(step AS INTEGER) AS s
     "monthly_flows"))
 def running_balance(spark, d):
     p = PT.outcome_paths(_params(spark, d), paths=PATHS, months=MONTHS, seed=SEED)
-    return PT.running_balance(p).select("entity_id", "path_id", "step", "balance")
+    return PT.running_balance(p).select("entity_id", "path_id", "step",
+                                        (F.col("balance_cents") / 100.0).alias("balance"))
 
 
 @register("tail_risk", with_fixtures(f"""
