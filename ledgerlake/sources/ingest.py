@@ -6,7 +6,7 @@ parsed on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,25 +80,30 @@ def first_usable_table(cells: DataFrame, first_page: int = 4, last_page: int = 2
 
 def promote_header(cells: DataFrame, chosen: DataFrame | None = None, min_cells: int = 2) -> DataFrame:
     """Blanks -> NULL; header = first row with > 2 filled cells (row 0 if none);
-    rows above it dropped, all-NULL rows dropped. Long output (doc_id, row_no, column_name, value).
+    rows above it dropped, all-NULL rows dropped. Long output (doc_id, row_no, col_idx, column_name, value).
+
+    Two data-sized shuffles: the per-row fill count (a window over (doc, row),
+    so a large document is spread over its rows) and one join of the cells to a
+    per-document table (header row + column-name map, bounded by the width of
+    a table).
     """
     keys = ["doc_id", "page", "strategy", "table_no"]
     c = cells if chosen is None else cells.join(chosen.where("found").select(*keys), keys, "left_semi")
-    c = c.withColumn("text", F.when(F.col("text").rlike(r"^\s*$"), F.lit(None)).otherwise(F.col("text")))
-    rows = c.groupBy("doc_id", "row_idx").agg(F.count("text").alias("filled"))
-    hdr = rows.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("filled") > min_cells, F.col("row_idx"))),
-                                                F.min("row_idx")).alias("header_idx"))
-    ch = c.join(hdr, "doc_id")
-    names = ch.where(F.col("row_idx") == F.col("header_idx")).select(
-        "doc_id", "col_idx", F.coalesce(F.col("text"), F.concat(F.lit("col_"), F.col("col_idx").cast("string")))
-        .alias("column_name"))
-    body = ch.where(F.col("row_idx") > F.col("header_idx"))
-    keep = rows.where(F.col("filled") > 0).select("doc_id", "row_idx")
-    body = body.join(keep, ["doc_id", "row_idx"], "left_semi")
-    out = body.join(names, ["doc_id", "col_idx"], "left")
-    return out.select("doc_id", (F.col("row_idx") - F.col("header_idx") - 1).alias("row_no"), "col_idx",
-                      F.coalesce(F.col("column_name"), F.concat(F.lit("col_"), F.col("col_idx").cast("string")))
-                      .alias("column_name"), F.col("text").alias("value"))
+    c = c.select("doc_id", "row_idx", "col_idx",
+                 F.when(F.col("text").rlike(r"^\s*$"), F.lit(None)).otherwise(F.col("text")).alias("text"))
+    c = c.withColumn("filled", F.count("text").over(Window.partitionBy("doc_id", "row_idx")))
+    hdr = c.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("filled") > min_cells, F.col("row_idx"))),
+                                             F.min("row_idx")).alias("header_idx"))
+    default_name = F.concat(F.lit("col_"), F.col("col_idx").cast("string"))
+    # per-document tables grow with the number of documents: never broadcast them
+    names = (c.join(hdr.hint("merge"), "doc_id").where(F.col("row_idx") == F.col("header_idx"))
+              .groupBy("doc_id", "header_idx")
+              .agg(F.map_from_entries(F.collect_list(F.struct("col_idx", F.coalesce(F.col("text"), default_name))))
+                   .alias("names")))
+    body = c.join(names.hint("merge"), "doc_id").where((F.col("row_idx") > F.col("header_idx")) & (F.col("filled") > 0))
+    return body.select("doc_id", (F.col("row_idx") - F.col("header_idx") - 1).alias("row_no"), "col_idx",
+                       F.coalesce(F.element_at("names", F.col("col_idx")), default_name).alias("column_name"),
+                       F.col("text").alias("value"))
 
 
 def result_sink(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
