@@ -30,10 +30,10 @@ def benchmark_compare(long: DataFrame, bench: DataFrame, keys=("entity_id",), by
                       metric="metric", value="value", compat: bool = False) -> DataFrame:
     """B2: metrics that have a benchmark only (inner join), rank and performance label.
 
-    ``bench`` has one row per (segment, metric): small by construction, so the
-    join broadcasts it.
+    ``bench`` has one row per (segment, metric); how many segments there are
+    depends on the data, so the broadcast decision is left to AQE's runtime size.
     """
-    j = long.join(F.broadcast(bench), [*by, metric])
+    j = long.join(bench, [*by, metric])
     rank = percentile_rank(F.col(value), F.col("p25"), F.col("median"), F.col("p75"), compat)
     return j.select(*keys, *by, metric, value, "p25", "median", "p75",
                     rank.alias("percentile_rank")).withColumn(

@@ -1,8 +1,9 @@
 """Cleaning as projections, filters and casts.
 
-Column choices that depend on the data (empty columns, numeric-looking text)
-come from ONE aggregate pass that returns one row of per-column counts; only
-that row (size = number of columns) reaches the driver.
+Column choices and column statistics that depend on the data (empty columns,
+numeric-looking text, means, standard deviations) come from ONE aggregate pass
+that returns one row; only that row (size ∝ number of columns) reaches the
+driver, the way Spark ML's Imputer / StandardScaler fit their models.
 """
 
 from __future__ import annotations
@@ -84,19 +85,18 @@ def impute_mean(df: DataFrame, columns, by=()) -> DataFrame:
         w = Window.partitionBy(*by)
         return df.select(*[F.coalesce(F.col(c), F.avg(c).over(w)).alias(c) if c in columns else F.col(c)
                            for c in df.columns])
-    means = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
-    j = df.crossJoin(F.broadcast(means))  # one row: a proven size bound
-    return j.select(*[F.coalesce(F.col(c), F.col(f"_mean_{c}")).alias(c) if c in columns else F.col(c)
-                      for c in df.columns])
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()  # one row of k numbers
+    return df.select(*[F.coalesce(F.col(c), F.lit(means[c]).cast("double")).alias(c) if c in columns
+                       else F.col(c) for c in df.columns])
 
 
 def standardize(df: DataFrame, columns, keep=()) -> DataFrame:
     """Z-scores with the population std; a zero std divides by 1."""
-    stats = df.agg(*[F.avg(c).alias(f"_mu_{c}") for c in columns],
-                   *[F.stddev_pop(c).alias(f"_sd_{c}") for c in columns])
-    j = df.crossJoin(F.broadcast(stats))  # one row
+    st = df.agg(*[F.avg(c).alias(f"_mu_{c}") for c in columns],
+                *[F.stddev_pop(c).alias(f"_sd_{c}") for c in columns]).first()  # one row of 2k numbers
     out = []
     for c in columns:
-        sd = F.col(f"_sd_{c}")
-        out.append(((F.col(c) - F.col(f"_mu_{c}")) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)).alias(c))
-    return j.select(*keep, *out)
+        mu, sd = st[f"_mu_{c}"], st[f"_sd_{c}"]
+        div = 1.0 if not sd else sd
+        out.append(((F.col(c) - F.lit(mu).cast("double")) / F.lit(float(div))).alias(c))
+    return df.select(*keep, *out)

@@ -37,14 +37,14 @@ def prepare(df: DataFrame, columns, id_col: str = "row_id") -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in columns:
         aggs += [F.avg(c).alias(f"_mu_{c}"), F.stddev_pop(c).alias(f"_sd_{c}"), F.count(c).alias(f"_k_{c}")]
-    stats = df.agg(*aggs)
-    j = df.select(id_col, *columns).crossJoin(F.broadcast(stats))  # one row: a proven size bound
+    st = df.agg(*aggs).first()  # one row of 3k + 1 numbers
     out = []
     for c in columns:
-        sd = F.coalesce(F.col(f"_sd_{c}"), F.lit(0.0)) * F.sqrt(F.col(f"_k_{c}") / F.col("_n"))
-        x = F.coalesce(F.col(c), F.col(f"_mu_{c}"))
-        out.append(((x - F.col(f"_mu_{c}")) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)).alias(c))
-    return j.select(id_col, *out)
+        n, k = st["_n"], st[f"_k_{c}"]
+        sd = (st[f"_sd_{c}"] or 0.0) * math.sqrt(k / n) if n else 0.0
+        mu = F.lit(st[f"_mu_{c}"]).cast("double")
+        out.append(((F.coalesce(F.col(c), mu) - mu) / F.lit(float(sd) if sd else 1.0)).alias(c))
+    return df.select(id_col, *out)
 
 
 # ---------------------------------------------------------------- A5–A7
@@ -211,9 +211,8 @@ def isolation_forest(df: DataFrame, columns, id_col: str = "row_id", n_trees: in
     # scored once: the cut-off quantile and the output both read this copy
     scores = to_score.mapInPandas(_score(columns, forest_pd, psi, id_col), out_schema).checkpoint(eager=True)
     cutoff = exact_quantiles(scores.withColumn("_k", F.lit(0)), ["_k"], "anomaly_score",
-                             [1.0 - contamination], ["cutoff"]).select("cutoff")
-    return (scores.crossJoin(F.broadcast(cutoff))
-                  .withColumn("is_anomaly", F.col("anomaly_score") > F.col("cutoff")).drop("cutoff"))
+                             [1.0 - contamination], ["cutoff"]).first()["cutoff"]
+    return scores.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(cutoff))
 
 
 def anomaly_rate(flagged: DataFrame) -> DataFrame:

@@ -115,11 +115,11 @@ def iqr_outliers(df: DataFrame) -> DataFrame:
     q = exact_quantiles(long, ["column"], "value", [0.25, 0.75], ["q1", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("lower", F.col("q1") - 1.5 * F.col("iqr")).withColumn("upper", F.col("q3") + 1.5 * F.col("iqr"))
-    n_rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    n_rows = df.count()
     # fences: one row per numeric column (bounded by the schema) -> broadcast
     cnt = long.join(F.broadcast(q.select("column", "lower", "upper")), "column").groupBy("column").agg(
         F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).alias("outliers"))
-    out = q.join(cnt, "column").crossJoin(F.broadcast(n_rows))
+    out = q.join(cnt, "column").withColumn("n_rows", F.lit(n_rows))
     ratio = F.col("outliers") / F.col("n")
     return out.select("column", "q1", "q3", "iqr", "lower", "upper", "outliers", F.col("n").alias("non_null"),
                       ratio.alias("outlier_ratio"), (ratio > 0.1).alias("warn"),
@@ -193,10 +193,12 @@ def quality_score(df: DataFrame) -> DataFrame:
     f = findings(df).agg(F.count_if(F.col("severity") == "error").alias("errors"),
                          F.count_if(F.col("severity") == "warning").alias("warnings"))
     stats = column_stats(df)
-    comp = completeness(stats).select("completeness")
-    tr = type_ratio_profile(stats).agg(
-        F.count(F.lit(1)).alias("text_columns"), F.count_if(F.col("flag") == "numeric").alias("type_issues"))
-    j = f.crossJoin(comp).crossJoin(tr)
+    c = completeness(stats).first()["completeness"]
+    t = type_ratio_profile(stats).agg(
+        F.count(F.lit(1)).alias("text_columns"), F.count_if(F.col("flag") == "numeric").alias("type_issues")).first()
+    j = f.select("*", F.lit(c).cast("double").alias("completeness"),
+                 F.lit(t["text_columns"]).cast("long").alias("text_columns"),
+                 F.lit(t["type_issues"]).cast("long").alias("type_issues"))
     ratio = F.when(F.col("text_columns") > 0, F.col("type_issues") / F.col("text_columns")).otherwise(F.lit(0.0))
     score = (F.lit(1.0) - F.col("errors") * 0.2 - F.col("warnings") * 0.05
              - (1 - F.col("completeness")) * 0.3 - ratio * 0.2)
