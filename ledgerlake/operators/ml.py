@@ -183,8 +183,12 @@ def _score(columns, forest: pd.DataFrame, psi: int, id_col: str):
 def isolation_forest(df: DataFrame, columns, id_col: str = "row_id", n_trees: int = 100, psi: int = 256,
                      contamination: float = 0.1, seed: int = 42, min_rows: int = 10) -> DataFrame:
     """Anomaly score per row (higher = more isolated) and the contamination cut-off flag."""
+    scaled = prepare(df, columns, id_col)
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if scaled.rdd.getNumPartitions() < par:  # hashing and scoring are CPU-bound: use every core
+        scaled = scaled.repartition(par)
     # materialised once in the shared checkpoint folder: sampled, scored and counted from one copy
-    scaled = prepare(df, columns, id_col).checkpoint(eager=True)
+    scaled = scaled.checkpoint(eager=True)
     n = scaled.count()
     if n < min_rows:
         return scaled.select(id_col, F.lit(None).cast("double").alias("anomaly_score"),
