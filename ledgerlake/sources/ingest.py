@@ -65,12 +65,12 @@ def first_usable_table(cells: DataFrame, first_page: int = 4, last_page: int = 2
     shape = cells.groupBy(*keys).agg(F.count_distinct("row_idx").alias("n_rows"),
                                      F.count_distinct("col_idx").alias("n_cols"))
     srank = F.when(F.col("strategy") == "lattice", 0).otherwise(1)
-    cand = shape.where((F.col("table_no") == 0) & F.col("page").between(first_page, last_page)
-                       & (F.col("n_rows") > min_rows) & (F.col("n_cols") > min_cols))
-    best = cand.groupBy("doc_id").agg(F.min_by(F.struct("page", "strategy", "table_no", "n_rows", "n_cols"),
-                                               F.struct("page", srank.alias("r"))).alias("b"))
-    docs = cells.select("doc_id").distinct()
-    j = docs.join(best, "doc_id", "left")
+    usable = ((F.col("table_no") == 0) & F.col("page").between(first_page, last_page)
+              & (F.col("n_rows") > min_rows) & (F.col("n_cols") > min_cols))
+    # one aggregate per document: tables that are not usable have a NULL ordering and never win,
+    # so a document without any usable table keeps its row with b = NULL (no extra pass, no join)
+    j = shape.groupBy("doc_id").agg(F.min_by(F.struct("page", "strategy", "table_no", "n_rows", "n_cols"),
+                                             F.when(usable, F.struct("page", srank.alias("r")))).alias("b"))
     # documents without a usable table keep a row: found = false, page 0, table -1, shape 0 x 0
     return j.select("doc_id", F.coalesce("b.page", F.lit(0)).cast("bigint").alias("page"), "b.strategy",
                     F.coalesce("b.table_no", F.lit(-1)).cast("int").alias("table_no"),
