@@ -151,9 +151,9 @@ def missing_heavy_columns(stats: DataFrame, share: float = 0.1) -> DataFrame:
         "column", nulls.alias("null_count"), (nulls / F.col("n_rows")).alias("null_ratio"))
 
 
-def findings(df: DataFrame) -> DataFrame:
+def findings(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Errors and warnings as rows (check, column, severity) — the input of D13."""
-    stats = column_stats(df)
+    stats = stats if stats is not None else column_stats(df)
     ts = table_stats(df)
     rows = []
     d1 = structure_check(df).where("failed").select(F.col("check_name").alias("code"), F.lit(None).cast("string").alias("column"),
@@ -190,9 +190,10 @@ def findings(df: DataFrame) -> DataFrame:
 
 def quality_score(df: DataFrame) -> DataFrame:
     """1 − .2·errors − .05·warnings − .3·(1 − completeness) − .2·(numeric-looking text share), in [0, 1]."""
-    f = findings(df).agg(F.count_if(F.col("severity") == "error").alias("errors"),
-                         F.count_if(F.col("severity") == "warning").alias("warnings"))
-    stats = column_stats(df)
+    # the profile (one row per column) is computed once and read by every check below
+    stats = column_stats(df).checkpoint(eager=True)
+    f = findings(df, stats).agg(F.count_if(F.col("severity") == "error").alias("errors"),
+                                F.count_if(F.col("severity") == "warning").alias("warnings"))
     c = completeness(stats).first()["completeness"]
     t = type_ratio_profile(stats).agg(
         F.count(F.lit(1)).alias("text_columns"), F.count_if(F.col("flag") == "numeric").alias("type_issues")).first()
