@@ -144,12 +144,13 @@ def cells(t: Tables) -> DataFrame:
     cols = F.array(*[F.lit(i) for i in range(4)])
     headers = ["Line", "Part", "Quantity", "Flag"]
     docs = li.select("doc_id").distinct()
-    title = docs.select("doc_id", F.lit(0).alias("row_idx"), F.explode(cols).alias("col_idx")).select(
-        "doc_id", "row_idx", "col_idx",
-        F.when(F.col("col_idx") == 0, F.lit("Order lines")).otherwise(F.lit("  ")).alias("text"))
-    head = docs.select("doc_id", F.lit(1).alias("row_idx"), F.explode(cols).alias("col_idx")).select(
-        "doc_id", "row_idx", "col_idx", F.element_at(F.array(*[F.lit(h) for h in headers]),
-                                                     F.col("col_idx") + 1).alias("text"))
+    # title row (row 0) and header row (row 1) of every document, from one pass over the documents
+    top = [F.struct(F.lit(0).alias("row_idx"), F.lit(i).alias("col_idx"),
+                    F.lit("Order lines" if i == 0 else "  ").alias("text")) for i in range(4)]
+    top += [F.struct(F.lit(1).alias("row_idx"), F.lit(i).alias("col_idx"), F.lit(h).alias("text"))
+            for i, h in enumerate(headers)]
+    head = docs.select("doc_id", F.explode(F.array(*top)).alias("c")).select("doc_id", "c.row_idx", "c.col_idx",
+                                                                            "c.text")
     body = li.select("*", F.explode(cols).alias("col_idx")).select(
         "doc_id", "row_idx", "col_idx",
         F.when(F.col("col_idx") == 0, F.col("l_linenumber").cast("string"))
@@ -157,7 +158,7 @@ def cells(t: Tables) -> DataFrame:
          .when(F.col("col_idx") == 2, F.col("l_quantity").cast("int").cast("string"))
          .otherwise(F.when(F.col("l_returnflag") == "N", F.lit("")).otherwise(F.col("l_returnflag")))
          .alias("text"))
-    grid = title.unionByName(head).unionByName(body)
+    grid = head.unionByName(body)
     return grid.select(
         "doc_id", (1 + F.col("doc_id") % 30).alias("page"),
         F.when(F.col("doc_id") % 2 == 0, "lattice").otherwise("stream").alias("strategy"),
