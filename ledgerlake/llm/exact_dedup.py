@@ -41,7 +41,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     one = F.when(F.col("_texts") == 1, F.col("group_size")).otherwise(
         F.raise_error(F.lit("two different texts share a SHA-256 digest")).cast("long"))
     groups = groups.select("_h", "keep_id", one.alias("group_size"))
-    joined = rows.select("_id", "_h").join(groups, "_h")
+    # dealt anew by id, so that the join itself may split a digest with very many rows
+    joined = rows.select("_id", "_h").join(groups, "_h").repartition("_id")
     nth = F.row_number().over(Window.partitionBy("_h", "_id").orderBy("keep_id"))
     return joined.select(
         F.col("_id").alias(id_col), "keep_id", "group_size",

@@ -100,3 +100,27 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlake.llm.license_scan import scan
     return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@register("op2_quality_rules")
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.quality_rules import judge
+    return judge(table(spark, sf_dir, "documents"))
+
+
+@register("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.quality_classifier import classify
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op3_simhash")
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.simhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.line_dedup import near_lines
+    return near_lines(table(spark, sf_dir, "documents")).drop("text_hash")
