@@ -91,12 +91,11 @@ def jaccard(a: Column, b: Column) -> Column:
     """Exact similarity of the shingle sets of two lines."""
     def shingles(line):
         # the one-element array holds the encoded line, so that it is encoded once
-        return F.array_distinct(F.transform(F.array(F.encode(line, "UTF-32")), lambda u: F.transform(
-            _offsets((F.octet_length(u) / 4).cast("int")), lambda p: _shingle_hash(u, p)))[0])
+        return F.transform(F.array(F.encode(line, "UTF-32")), lambda u: F.transform(
+            _offsets((F.octet_length(u) / 4).cast("int")), lambda p: _shingle_hash(u, p)))[0]
 
     def similarity(s):
-        both = F.size(F.array_intersect(s["a"], s["b"]))
-        return both / (F.size(s["a"]) + F.size(s["b"]) - both)
+        return F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"]))
 
     return F.transform(F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b"))), similarity)[0]
 
@@ -121,6 +120,7 @@ def line_links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         roots, F.col("_k") == F.col("node"), "left").select(
         "band", "next", "_k", F.coalesce("root", "_k").alias("_c"),
         (F.coalesce("_j", F.lit(1.0)) < similarity).alias("_away"))
+    away = staged(away, "line-away")  # read twice
     mixed = away.groupBy("band").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("band")
     bucket, beside = Window.partitionBy("band"), Window.partitionBy("band").orderBy("next", "_k")
     here, away_here = F.struct("_k", "_c"), F.when(F.col("_away"), F.struct("_k", "_c"))
