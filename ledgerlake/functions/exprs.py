@@ -22,7 +22,9 @@ def rnd(x, d: int) -> Column:
     arithmetic, so it gives the same bits in every engine.
     """
     s = float(10 ** d)
-    return (F.floor(_c(x) * F.lit(s) + F.lit(0.5)) / F.lit(s)).cast("double")
+    scaled = _c(x) * F.lit(s) + F.lit(0.5)
+    # ``floor`` gives a BIGINT; from 2^53 on a double has no fraction left, so its value is its floor
+    return (F.when(F.abs(scaled) < F.lit(2.0 ** 53), F.floor(scaled).cast("double")).otherwise(scaled) / F.lit(s))
 
 
 def sdiv(a, b) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from ledgerlake.functions.quantiles import exact_quantiles
 
 
-def prepare(df: DataFrame, columns, id_col: str = "row_id") -> DataFrame:
+def prepare(df: DataFrame, columns, id_col: str = "row_id", originals: bool = False) -> DataFrame:
     """Mean-impute then z-score (population std) the feature columns, from ONE aggregate pass.
 
     Imputed values sit on the mean, so the population std of the imputed column
@@ -44,32 +44,32 @@ def prepare(df: DataFrame, columns, id_col: str = "row_id") -> DataFrame:
         sd = (st[f"_sd_{c}"] or 0.0) * math.sqrt(k / n) if n else 0.0
         mu = F.lit(st[f"_mu_{c}"]).cast("double")
         out.append(((F.coalesce(F.col(c), mu) - mu) / F.lit(float(sd) if sd else 1.0)).alias(c))
-    return df.select(id_col, *out)
+    # the values before scaling, beside the scaled ones: ids may repeat, so no later join could find them
+    kept = [F.col(c).alias(f"_o_{c}") for c in columns] if originals else []
+    return df.select(id_col, *out, *kept)
 
 
 # ---------------------------------------------------------------- A5–A7
 def kmeans(df: DataFrame, columns, k: int = 3, seed: int = 42, id_col: str = "row_id"):
-    """A5: cluster labels on the scaled columns. Returns (labelled frame, model) or (empty, None) when n < k."""
+    """A5: cluster labels on the scaled columns. Returns (labelled frame, model); with fewer than k rows every cluster is NULL and the model None."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
-    scaled = prepare(df, columns, id_col)
+    scaled = prepare(df, columns, id_col, originals=True)
     if scaled.limit(k).count() < k:
-        return scaled.select(id_col, F.lit(None).cast("int").alias("cluster")).limit(0), None
+        return scaled.withColumn("cluster", F.lit(None).cast("int")), None
     va = VectorAssembler(inputCols=list(columns), outputCol="features")
     feats = va.transform(scaled)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(feats)
     return model.transform(feats), model
 
 
-def cluster_profile(labelled: DataFrame, original: DataFrame, columns, id_col: str = "row_id") -> DataFrame:
+def cluster_profile(labelled: DataFrame, columns) -> DataFrame:
     """Size, share %, centroid (scaled space), mean and sample std of the original values per cluster."""
-    scaled = labelled.select(id_col, "cluster", *[F.col(c).alias(f"_z_{c}") for c in columns])
-    j = scaled.join(original.select(id_col, *columns), id_col)
-    g = j.groupBy("cluster").agg(
+    g = labelled.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"),
-        F.array(*[F.avg(f"_z_{c}") for c in columns]).alias("centroid"),
-        *[F.avg(c).alias(f"mean_{c}") for c in columns],
-        *[F.stddev_samp(c).alias(f"std_{c}") for c in columns])
+        F.array(*[F.avg(c) for c in columns]).alias("centroid"),
+        *[F.avg(f"_o_{c}").alias(f"mean_{c}") for c in columns],
+        *[F.stddev_samp(f"_o_{c}").alias(f"std_{c}") for c in columns])
     # k rows: the window over all of them is tiny
     return g.withColumn("percentage", F.col("size") / F.sum("size").over(Window.partitionBy()) * 100)
 
@@ -222,4 +222,4 @@ def isolation_forest(df: DataFrame, columns, id_col: str = "row_id", n_trees: in
 def anomaly_rate(flagged: DataFrame) -> DataFrame:
     """Anomalies, records and their ratio."""
     return flagged.agg(F.count_if("is_anomaly").alias("total_anomalies"), F.count(F.lit(1)).alias("total_records")
-                       ).withColumn("anomaly_rate", F.col("total_anomalies") / F.col("total_records"))
+                       ).withColumn("anomaly_rate", F.try_divide("total_anomalies", "total_records"))

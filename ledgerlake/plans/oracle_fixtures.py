@@ -22,7 +22,6 @@ FROM customer LEFT JOIN ord ON ord.o_custkey = c_custkey LEFT JOIN flow ON flow.
 SELECT l_suppkey AS entity_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS ds,
        sum(l_extendedprice * (1 - l_discount)) AS y
 FROM lineitem
-WHERE NOT (l_suppkey % 10 = 3 AND month(l_shipdate) IN (4, 5, 6) AND year(l_shipdate) = 1998)
 GROUP BY 1, 2
 """,
     "monthly_flows": """

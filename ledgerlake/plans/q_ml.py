@@ -27,7 +27,7 @@ def kmeans(spark, d):
 def cluster_profile(spark, d):
     f = _features(spark, d)
     lab, _ = ML.kmeans(f, COLS)
-    p = ML.cluster_profile(lab, f, COLS)
+    p = ML.cluster_profile(lab, COLS)
     return p.select("cluster", "size", rnd("percentage", 2).alias("percentage"), "centroid",
                     *[rnd(f"mean_{c}", 6).alias(f"mean_{c}") for c in COLS],
                     *[rnd(f"std_{c}", 6).alias(f"std_{c}") for c in COLS])

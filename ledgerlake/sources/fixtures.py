@@ -48,12 +48,9 @@ def positions(t: Tables) -> DataFrame:
 
 
 def series(t: Tables) -> DataFrame:
-    """series(entity_id, ds, y): monthly supplier revenue, with a planted gap."""
+    """series(entity_id, ds, y): monthly supplier revenue over all of lineitem."""
     li = t.lineitem
-    gap = ((F.col("l_suppkey") % 10 == 3) & F.month("l_shipdate").isin(4, 5, 6)
-           & (F.year("l_shipdate") == 1998))
-    return (li.where(~gap)
-              .groupBy(F.col("l_suppkey").alias("entity_id"), _month(F.col("l_shipdate")).alias("ds"))
+    return (li.groupBy(F.col("l_suppkey").alias("entity_id"), _month(F.col("l_shipdate")).alias("ds"))
               .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("y")))
 
 
