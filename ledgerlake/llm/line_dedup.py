@@ -12,10 +12,14 @@
 4. Where a bucket still holds lines of several components, the lines that are not similar to the
    least one are paired with the least of them, and every line with its neighbour in the order of
    a further minimum, which puts similar lines side by side. The pairs of steps 3 and 4 grow with
-   the bucket, not with its square.
-5. Components come from distributed star contraction; the first line of each stays.
-
-Lines are identified by a 64-bit hash in steps 1 to 4 and by that hash and a second one when equal
+   the bucket, not with its square, and put most similar lines into one component.
+5. In buckets that still hold several components, every line outside the largest of them is compared
+   with every line of another component, so that no link of a bucket is lost. The shingle sets are
+   compared inside the join, which puts out links alone. Jaccard distance is a metric: lines whose
+   distances from the bucket's least line differ by more than ``1 - SIMILARITY`` are passed over.
+6. Components come from distributed star contraction; the first line of each stays.
+
+Lines are identified by a 64-bit hash in steps 1 to 5 and by that hash and a second one when equal
 lines are put together, so a clash costs a fuzzy link at worst.
 """
 
@@ -87,17 +91,18 @@ def candidates(lines: DataFrame) -> DataFrame:
     return distinct.join(shared, "_k")
 
 
+def _shingles(line: Column) -> Column:
+    # the one-element array holds the encoded line, so that it is encoded once
+    return F.transform(F.array(F.encode(line, "UTF-32")), lambda u: F.transform(
+        _offsets((F.octet_length(u) / 4).cast("int")), lambda p: _shingle_hash(u, p)))[0]
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Exact similarity of the shingle sets of two lines."""
-    def shingles(line):
-        # the one-element array holds the encoded line, so that it is encoded once
-        return F.transform(F.array(F.encode(line, "UTF-32")), lambda u: F.transform(
-            _offsets((F.octet_length(u) / 4).cast("int")), lambda p: _shingle_hash(u, p)))[0]
-
     def similarity(s):
         return F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"]))
 
-    return F.transform(F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b"))), similarity)[0]
+    return F.transform(F.array(F.struct(_shingles(a).alias("a"), _shingles(b).alias("b"))), similarity)[0]
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -119,9 +124,9 @@ def line_links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     away = within.join(star, (F.col("lead") == F.col("_a")) & (F.col("_k") == F.col("_b")), "left").join(
         roots, F.col("_k") == F.col("node"), "left").select(
         "band", "next", "_k", F.coalesce("root", "_k").alias("_c"),
-        (F.coalesce("_j", F.lit(1.0)) < similarity).alias("_away"))
-    away = staged(away, "line-away")  # read twice
-    mixed = away.groupBy("band").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("band")
+        (1 - F.coalesce("_j", F.lit(1.0))).alias("_d"), (F.coalesce("_j", F.lit(1.0)) < similarity).alias("_away"))
+    away = staged(away, "line-away")  # read several times
+    mixed = _mixed(away)
     bucket, beside = Window.partitionBy("band"), Window.partitionBy("band").orderBy("next", "_k")
     here, away_here = F.struct("_k", "_c"), F.when(F.col("_away"), F.struct("_k", "_c"))
     beside_it = away.join(mixed, "band").withColumns({
@@ -131,7 +136,37 @@ def line_links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.least("_k", "_o._k").alias("_a"), F.greatest("_k", "_o._k").alias("_b")).distinct()
     across = across.join(star.select("_a", "_b"), ["_a", "_b"], "left_anti")
     more = _verified(across, found).where(F.col("_j") >= similarity).select("_a", "_b")
-    return components(roots.toDF("_a", "_b").unionByName(more), "line-components")
+    roots = components(roots.toDF("_a", "_b").unionByName(more), "line-near")
+    return components(roots.toDF("_a", "_b").unionByName(_open_links(away, roots, found, similarity)), "line-components")
+
+
+def _mixed(lines: DataFrame) -> DataFrame:
+    """The buckets that hold lines of several components."""
+    return lines.groupBy("band").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("band")
+
+
+def _open_links(away: DataFrame, roots: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(_a, _b): all similar lines of a bucket that are in different components."""
+    reach = 1.0 - similarity + 1e-9
+    now = away.join(roots, F.col("_k") == F.col("node"), "left").select(
+        "band", "_k", F.coalesce("root", "_k").alias("_c"), "_d", F.floor(F.col("_d") / reach).cast("int").alias("_cell"))
+    now = staged(now.join(_mixed(now), "band"), "line-open")
+    sizes = now.groupBy("band", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("_n", "_c"))["_c"].alias("_main"))
+    sets = staged(found.join(now.select("_k").distinct(), "_k", "left_semi").select(
+        "_k", F.array_distinct(_shingles(F.col("_line"))).alias("_s")), "line-sets")
+    every = now.join(largest, "band").join(sets, "_k").withColumn("_n", F.size("_s"))
+    # a line outside the largest component, at its own distance cell and both beside it
+    few = every.where(F.col("_c") != F.col("_main")).select(
+        "band", F.explode(F.array(*[F.col("_cell") + i for i in (-1, 0, 1)])).alias("_cell"), F.col("_k").alias("_k1"),
+        F.col("_c").alias("_c1"), F.col("_d").alias("_d1"), F.col("_n").alias("_n1"), F.col("_s").alias("_s1"))
+    both = F.size(F.array_intersect("_s1", "_s"))
+    similar = both / (F.col("_n1") + F.col("_n") - both) >= similarity
+    return few.join(every, ["band", "_cell"]).where(
+        (F.col("_c1") != F.col("_c")) & ((F.col("_c") == F.col("_main")) | (F.col("_k1") < F.col("_k")))
+        & (F.abs(F.col("_d1") - F.col("_d")) <= reach)
+        & (F.least("_n1", "_n") >= F.greatest("_n1", "_n") * similarity - 1e-9) & similar).select(
+        F.col("_k1").alias("_a"), F.col("_k").alias("_b")).distinct()
 
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
