@@ -14,9 +14,9 @@
    a further minimum, which puts similar lines side by side. The pairs of steps 3 and 4 grow with
    the bucket, not with its square, and put most similar lines into one component.
 5. In buckets that still hold several components, every line outside the largest of them is compared
-   with every line of another component, so that no link of a bucket is lost. The shingle sets are
-   compared inside the join, which puts out links alone. Jaccard distance is a metric: lines whose
-   distances from the bucket's least line differ by more than ``1 - SIMILARITY`` are passed over.
+   with every line of another component, so that no link of a bucket is lost. Jaccard distance is a
+   metric: lines whose distances from the bucket's least line differ by more than
+   ``1 - SIMILARITY`` cannot be similar and are passed over.
 6. Components come from distributed star contraction; the first line of each stays.
 
 Lines are identified by a 64-bit hash in steps 1 to 5 and by that hash and a second one when equal
@@ -146,27 +146,23 @@ def _mixed(lines: DataFrame) -> DataFrame:
 
 
 def _open_links(away: DataFrame, roots: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(_a, _b): all similar lines of a bucket that are in different components."""
+    """(_a, _b): all similar lines of a bucket that are in different components. Pairs are of ids until they are distinct."""
     reach = 1.0 - similarity + 1e-9
     now = away.join(roots, F.col("_k") == F.col("node"), "left").select(
         "band", "_k", F.coalesce("root", "_k").alias("_c"), "_d", F.floor(F.col("_d") / reach).cast("int").alias("_cell"))
     now = staged(now.join(_mixed(now), "band"), "line-open")
     sizes = now.groupBy("band", "_c").agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.groupBy("band").agg(F.max(F.struct("_n", "_c"))["_c"].alias("_main"))
-    sets = staged(found.join(now.select("_k").distinct(), "_k", "left_semi").select(
-        "_k", F.array_distinct(_shingles(F.col("_line"))).alias("_s")), "line-sets")
-    every = now.join(largest, "band").join(sets, "_k").withColumn("_n", F.size("_s"))
+    every = now.join(largest, "band")
     # a line outside the largest component, at its own distance cell and both beside it
     few = every.where(F.col("_c") != F.col("_main")).select(
         "band", F.explode(F.array(*[F.col("_cell") + i for i in (-1, 0, 1)])).alias("_cell"), F.col("_k").alias("_k1"),
-        F.col("_c").alias("_c1"), F.col("_d").alias("_d1"), F.col("_n").alias("_n1"), F.col("_s").alias("_s1"))
-    both = F.size(F.array_intersect("_s1", "_s"))
-    similar = both / (F.col("_n1") + F.col("_n") - both) >= similarity
-    return few.join(every, ["band", "_cell"]).where(
+        F.col("_c").alias("_c1"), F.col("_d").alias("_d1"))
+    pairs = few.join(every, ["band", "_cell"]).where(
         (F.col("_c1") != F.col("_c")) & ((F.col("_c") == F.col("_main")) | (F.col("_k1") < F.col("_k")))
-        & (F.abs(F.col("_d1") - F.col("_d")) <= reach)
-        & (F.least("_n1", "_n") >= F.greatest("_n1", "_n") * similarity - 1e-9) & similar).select(
-        F.col("_k1").alias("_a"), F.col("_k").alias("_b")).distinct()
+        & (F.abs(F.col("_d1") - F.col("_d")) <= reach)).select(
+        F.least("_k1", "_k").alias("_a"), F.greatest("_k1", "_k").alias("_b")).distinct()
+    return _verified(pairs, found).where(F.col("_j") >= similarity).select("_a", "_b")
 
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
