@@ -75,13 +75,12 @@ def cluster_profile(labelled: DataFrame, columns) -> DataFrame:
 
 
 def silhouette(labelled: DataFrame) -> float | None:
-    """Mean silhouette (Spark's squared-Euclidean form, linear cost); None when it cannot be computed."""
+    """Mean silhouette (Spark's squared-Euclidean form, linear cost); None with fewer than two clusters."""
     from pyspark.ml.evaluation import ClusteringEvaluator
-    try:
-        return float(ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
-                                         metricName="silhouette").evaluate(labelled))
-    except Exception:  # noqa: BLE001 — the reference returns None on failure
+    if labelled.where(F.col("cluster").isNotNull()).select("cluster").distinct().limit(2).count() < 2:
         return None
+    return float(ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
+                                     metricName="silhouette").evaluate(labelled))
 
 
 # ---------------------------------------------------------------- A8, A9
@@ -105,7 +104,7 @@ def _grow(columns, seed: int, psi: int):
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
+        pdf = pdf.sort_values(["row_id", *columns])
         tree = int(pdf["tree"].iloc[0])
         X = pdf[list(columns)].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, tree])
@@ -183,7 +182,10 @@ def _score(columns, forest: pd.DataFrame, psi: int, id_col: str):
 def isolation_forest(df: DataFrame, columns, id_col: str = "row_id", n_trees: int = 100, psi: int = 256,
                      contamination: float = 0.1, seed: int = 42, min_rows: int = 10) -> DataFrame:
     """Anomaly score per row (higher = more isolated) and the contamination cut-off flag."""
-    scaled = prepare(df, columns, id_col)
+    # ids may repeat, so rows are told apart by their features too, taken before scaling: sums, and so
+    # scaled values, differ in the last bits between partitionings; rows equal in all are interchangeable
+    scaled = prepare(df, columns, id_col, originals=True).select(
+        id_col, *columns, F.xxhash64(id_col, *[f"_o_{c}" for c in columns]).alias("_row"))
     par = df.sparkSession.sparkContext.defaultParallelism
     if scaled.rdd.getNumPartitions() < par:  # hashing and scoring are CPU-bound: use every core
         scaled = scaled.repartition(par)
@@ -191,17 +193,16 @@ def isolation_forest(df: DataFrame, columns, id_col: str = "row_id", n_trees: in
     scaled = scaled.checkpoint(eager=True)
     n = scaled.count()
     if n < min_rows:
-        return scaled.select(id_col, F.lit(None).cast("double").alias("anomaly_score"),
-                             F.lit(False).alias("is_anomaly")).limit(0)
+        return scaled.select(id_col, F.lit(None).cast("double").alias("anomaly_score"), F.lit(False).alias("is_anomaly"))
     psi = min(psi, n)
     # each row joins the trees whose hash falls under the threshold (≈ 2ψ rows per tree)
     frac = min(1.0, 2.0 * psi / n)
     cut = int(frac * 2 ** 31)
-    h = lambda t: F.abs(F.xxhash64(F.lit(seed), t, F.col(id_col)) % F.lit(2 ** 31))
+    h = lambda t: F.abs(F.xxhash64(F.lit(seed), t, F.col("_row")) % F.lit(2 ** 31))
     picks = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: h(t) < F.lit(cut))
     sampled = scaled.select("*", F.explode(picks).alias("tree"))
     sampled = sampled.withColumn("_h", h(F.col("tree")))
-    w = Window.partitionBy("tree").orderBy("_h", id_col)
+    w = Window.partitionBy("tree").orderBy("_h", id_col, *columns)
     sampled = sampled.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi)
     forest = (sampled.select("tree", F.col(id_col).alias("row_id"), *columns)
                      .groupBy("tree").applyInPandas(_grow(columns, seed, psi), NODE_SCHEMA))

@@ -82,3 +82,15 @@ def test_kmeans_recovers_blobs(spark):
         assert len(set(p[k * 200:(k + 1) * 200])) == 1
     assert len(set(p)) == 3
     assert ML.silhouette(lab) > 0.8
+
+
+def test_isolation_forest_with_repeated_ids_is_independent_of_partitioning(spark):
+    rows = [(i % 100, float(i * 37 % 101), float(i * 53 % 89)) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double")
+
+    def scores(d):
+        return sorted((r.row_id, round(r.anomaly_score, 9)) for r in ML.isolation_forest(d, ["a", "b"], n_trees=10, psi=64).collect())
+
+    assert scores(df.repartition(3)) == scores(df.repartition(7, "b"))
+    few = ML.isolation_forest(df.limit(5), ["a", "b"]).collect()
+    assert len(few) == 5 and all(r.anomaly_score is None and not r.is_anomaly for r in few)
