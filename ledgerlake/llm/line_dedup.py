@@ -7,19 +7,18 @@
 2. A band is four minima, one of each rotation. The minima form a grid of ``ROWS`` by four; bands
    are its rows and its diagonals, so each minimum serves in two bands. Lines of similarity 0.8
    share a band with probability 0.991, of 0.85 with 0.998, of 0.9 with 0.9998.
-3. In a bucket every line is paired with the bucket's least line (a star, not all pairs) and the
-   exact Jaccard similarity of the shingle sets is computed. Links from ``SIMILARITY`` on join.
-4. Where a bucket still holds lines of several components, the lines that are not similar to the
-   least one are paired with the least of them, and every line with its neighbour in the order of
-   a further minimum, which puts similar lines side by side. The pairs of steps 3 and 4 grow with
-   the bucket, not with its square, and put most similar lines into one component.
-5. In buckets that still hold several components, every line outside the largest of them is compared
-   with every line of another component, so that no link of a bucket is lost. Jaccard distance is a
-   metric: lines whose distances from the bucket's least line differ by more than
-   ``1 - SIMILARITY`` cannot be similar and are passed over.
-6. Components come from distributed star contraction; the first line of each stays.
-
-Lines are identified by a 64-bit hash in steps 1 to 5 and by that hash and a second one when equal
+3. In a bucket every line is paired with the bucket's hub, the line that meets most others over all
+   its buckets (a star, not all pairs), and the exact Jaccard similarity of the shingle sets is
+   computed. Links from ``SIMILARITY`` on join. Versions of one line share its hub in all buckets.
+   The lines that this leaves outside the hub's component are put through the same once more among
+   themselves, for buckets in which several families of lines meet.
+4. A line may still be similar to another line of its hub though not to the hub. Then the two must share
+   more than a given part of their differences from the hub (see ``_open_pairs``), so an index over
+   that part of the differences finds every such pair, and the exact similarity decides. No link of a
+   bucket is lost: lines left outside meet the hub's component at the first hub and one another at the second.
+5. Components come from distributed star contraction; the first line of each stays.
+
+Lines are identified by a 64-bit hash in steps 1 to 4 and by that hash and a second one when equal
 lines are put together, so a clash costs a fuzzy link at worst.
 """
 
@@ -68,7 +67,7 @@ def _rotated(h: Column, bits: int) -> Column:
 
 
 def _bands(lines: DataFrame) -> DataFrame:
-    """(_k, _line) distinct lines -> (_k, _band, _next), one row for each band of a line; ``_next`` is a further minimum."""
+    """(_k, _line) distinct lines -> (_k, _band), one row for each band of a line."""
     # encoded below the explode, so once a line
     encoded = lines.select("_k", F.encode("_line", "UTF-32").alias("_b"), F.length("_line").alias("_n"))
     hashed = (encoded.select("_k", "_b", F.explode(_offsets(F.col("_n"))).alias("_p"))
@@ -76,21 +75,26 @@ def _bands(lines: DataFrame) -> DataFrame:
               .select("_k", *[_rotated(F.col("_h"), 16 * r).alias(f"_r{r}") for r in range(4)]))
     minima = hashed.groupBy("_k").agg(*[F.min(F.col(f"_r{r}").bitwiseXOR(F.lit(m))).alias(f"m{r}_{i}")
                                         for i, m in enumerate(MASKS) for r in range(4)])
-    keys = [F.struct(F.xxhash64(F.lit(n), *[F.col(f"m{r}_{i}") for r, i in enumerate(band)]).alias("_band"),
-                     F.col(f"m0_{(band[0] + 1) % ROWS}").alias("_next")) for n, band in enumerate(BANDS)]
-    return minima.select("_k", F.explode(F.array(*keys)).alias("_b")).select("_k", "_b.*")
+    keys = [F.xxhash64(F.lit(n), *[F.col(f"m{r}_{i}") for r, i in enumerate(band)]) for n, band in enumerate(BANDS)]
+    return minima.select("_k", F.explode(F.array(*keys)).alias("_band"))
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """Lines that share a bucket with another: _k, _line, _in (buckets: band, lead = the bucket's least line, next)."""
+    """Lines that share a bucket with another: _k, _line, _in (its buckets)."""
     distinct = lines.groupBy("_k").agg(F.max("_line").alias("_line"))
-    bucket = Window.partitionBy("_band")
-    shared = (_bands(distinct).withColumns({"_lead": F.min("_k").over(bucket), "_n": F.count(F.lit(1)).over(bucket)})
-              .where("_n > 1").groupBy("_k").agg(F.collect_list(F.struct(F.col("_band").alias("band"),
-                F.col("_lead").alias("lead"), F.col("_next").alias("next"))).alias("_in")))
+    shared = (_bands(distinct).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_band")))
+              .where("_n > 1").groupBy("_k").agg(F.collect_list("_band").alias("_in")))
     return distinct.join(shared, "_k")
 
 
+def hubs(within: DataFrame) -> DataFrame:
+    """(_band, _k) lines in buckets -> with _hub, the bucket's line that meets most lines in all its buckets."""
+    bucket = Window.partitionBy("_band")
+    met = within.withColumn("_n", F.count(F.lit(1)).over(bucket)).where("_n > 1").withColumn(
+        "_met", F.sum("_n").over(Window.partitionBy("_k")))
+    return met.select("_band", "_k", F.max(F.struct("_met", "_k")).over(bucket)["_k"].alias("_hub")).where("_k <> _hub")
+
+
 def _shingles(line: Column) -> Column:
     # the one-element array holds the encoded line, so that it is encoded once
     return F.transform(F.array(F.encode(line, "UTF-32")), lambda u: F.transform(
@@ -105,64 +109,81 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.transform(F.array(F.struct(_shingles(a).alias("a"), _shingles(b).alias("b"))), similarity)[0]
 
 
-def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """(_a, _b) pairs -> (_a, _b, _j) with the exact similarity."""
+def _with_lines(pairs: DataFrame, found: DataFrame) -> DataFrame:
     text = found.select("_k", "_line")
-    one = pairs.join(text.toDF("_a", "_x"), "_a")
-    return one.join(text.toDF("_b", "_y"), "_b").select("_a", "_b", jaccard(F.col("_x"), F.col("_y")).alias("_j"))
+    return pairs.join(text.toDF("_a", "_x"), "_a").join(text.toDF("_b", "_y"), "_b")
+
+
+def _similar(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The (_a, _b) pairs of lines that are similar."""
+    return _with_lines(pairs, found).where(jaccard(F.col("_x"), F.col("_y")) >= similarity).select("_a", "_b")
 
 
 def line_links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of the lines that are similar to another: see ``components``."""
     found = staged(candidates(lines), "line-candidates")
-    within = found.select("_k", F.explode("_in").alias("_i")).select("_k", "_i.*")
-    star = staged(_verified(within.where("_k <> lead").select(F.col("lead").alias("_a"), F.col("_k").alias("_b")).distinct(),
-                            found), "line-star")
-    links = star.where(F.col("_j") >= similarity).select("_a", "_b")
-    roots = components(links, "line-links")
-    # what is left: buckets with lines of several components
-    away = within.join(star, (F.col("lead") == F.col("_a")) & (F.col("_k") == F.col("_b")), "left").join(
-        roots, F.col("_k") == F.col("node"), "left").select(
-        "band", "next", "_k", F.coalesce("root", "_k").alias("_c"),
-        (1 - F.coalesce("_j", F.lit(1.0))).alias("_d"), (F.coalesce("_j", F.lit(1.0)) < similarity).alias("_away"))
-    away = staged(away, "line-away")  # read several times
-    mixed = _mixed(away)
-    bucket, beside = Window.partitionBy("band"), Window.partitionBy("band").orderBy("next", "_k")
-    here, away_here = F.struct("_k", "_c"), F.when(F.col("_away"), F.struct("_k", "_c"))
-    beside_it = away.join(mixed, "band").withColumns({
-        "_before": F.lag(here).over(beside), "_second": F.when(F.col("_away"), F.min(away_here).over(bucket))})
-    beside_it = beside_it.select("_k", "_c", F.explode(F.array("_before", "_second")).alias("_o"))
-    across = beside_it.where(F.col("_o._c") != F.col("_c")).select(
-        F.least("_k", "_o._k").alias("_a"), F.greatest("_k", "_o._k").alias("_b")).distinct()
-    across = across.join(star.select("_a", "_b"), ["_a", "_b"], "left_anti")
-    more = _verified(across, found).where(F.col("_j") >= similarity).select("_a", "_b")
-    roots = components(roots.toDF("_a", "_b").unionByName(more), "line-near")
-    return components(roots.toDF("_a", "_b").unionByName(_open_links(away, roots, found, similarity)), "line-components")
-
-
-def _mixed(lines: DataFrame) -> DataFrame:
-    """The buckets that hold lines of several components."""
-    return lines.groupBy("band").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("band")
-
-
-def _open_links(away: DataFrame, roots: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(_a, _b): all similar lines of a bucket that are in different components. Pairs are of ids until they are distinct."""
-    reach = 1.0 - similarity + 1e-9
-    now = away.join(roots, F.col("_k") == F.col("node"), "left").select(
-        "band", "_k", F.coalesce("root", "_k").alias("_c"), "_d", F.floor(F.col("_d") / reach).cast("int").alias("_cell"))
-    now = staged(now.join(_mixed(now), "band"), "line-open")
-    sizes = now.groupBy("band", "_c").agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("_n", "_c"))["_c"].alias("_main"))
-    every = now.join(largest, "band")
-    # a line outside the largest component, at its own distance cell and both beside it
-    few = every.where(F.col("_c") != F.col("_main")).select(
-        "band", F.explode(F.array(*[F.col("_cell") + i for i in (-1, 0, 1)])).alias("_cell"), F.col("_k").alias("_k1"),
-        F.col("_c").alias("_c1"), F.col("_d").alias("_d1"))
-    pairs = few.join(every, ["band", "_cell"]).where(
-        (F.col("_c1") != F.col("_c")) & ((F.col("_c") == F.col("_main")) | (F.col("_k1") < F.col("_k")))
-        & (F.abs(F.col("_d1") - F.col("_d")) <= reach)).select(
-        F.least("_k1", "_k").alias("_a"), F.greatest("_k1", "_k").alias("_b")).distinct()
-    return _verified(pairs, found).where(F.col("_j") >= similarity).select("_a", "_b")
+    first = staged(hubs(found.select("_k", F.explode("_in").alias("_band"))), "line-hubs")
+    star = _star(first)
+    roots = components(_similar(star, found, similarity), "line-near")
+    second = _star(hubs(_placed(first, roots).where("_out").select("_band", "_k")))
+    second = staged(second, "line-second")
+    roots = components(roots.toDF("_a", "_b").unionByName(_similar(second, found, similarity)), "line-near")
+    pairs = _open_pairs(star, roots, found, similarity, False).union(_open_pairs(second, roots, found, similarity, True))
+    more = _similar(pairs.distinct(), found, similarity)
+    return components(roots.toDF("_a", "_b").unionByName(more), "line-components")
+
+
+def _star(hubs_: DataFrame) -> DataFrame:
+    return hubs_.select(F.col("_hub").alias("_a"), F.col("_k").alias("_b")).distinct()
+
+
+def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with _k and _hub, and with _c, the line's component, and _out: the hub is of another."""
+    node, root = F.col("node"), F.col("root")
+    return rows.join(roots.select(node.alias("_k"), root.alias("_rk")), "_k", "left").join(
+        roots.select(node.alias("_hub"), root.alias("_rh")), "_hub", "left").select(
+        *rows.columns, F.coalesce("_rk", "_k").alias("_c"), (F.coalesce("_rk", "_k") != F.coalesce("_rh", "_hub")).alias("_out"))
+
+
+def _open_pairs(star: DataFrame, roots: DataFrame, found: DataFrame, similarity: float, outside: bool) -> DataFrame:
+    """(_a, _b): lines of one hub, in different components, that may be similar.
+
+    One is outside the hub's component; the other is of it or, with ``outside``, of any but the first's.
+
+    Sets x and y are similar if they differ in at most ``r * (|x| + |y|)`` members, with
+    ``r = (1 - similarity) / (1 + similarity)``. Dx are the members in which x differs from the hub h.
+    x and y differ in ``|Dx| + |Dy| - 2 * |Dx & Dy|`` members, so similar ones share at least
+    ``o = (|Dx| + |Dy| - r * (|x| + |y|)) / 2`` differences. One of two lines in different components is
+    not similar to h: call it x, so ``|Dx| > r * (|x| + |h|)`` and ``o > t = (|Dy| + r * (|h| - |y|)) / 2``,
+    which is no less than 0. Differences are kept in one order for all lines of a hub (those that the
+    hub lacks first, as they tell versions apart best). The first shared one then stands among the first
+    ``|Dy| - floor(t)`` of y, and at least o members follow it, itself included, in both lists.
+    Members count by 32 bits of their hash; a clash makes a needless pair at worst.
+    """
+    at = staged(_placed(star.toDF("_hub", "_k"), roots).toDF("_a", "_b", "_c", "_out"), "line-placed")
+    mixed = at.groupBy("_a").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("_a")
+    r = (1 - similarity) / (1 + similarity)
+
+    def differences(s):
+        new, lost = F.array_sort(F.array_except(s["y"], s["x"])), F.array_sort(F.array_except(s["x"], s["y"]))
+        return F.struct(F.transform(F.concat(new, lost), lambda h: F.shiftright(h, 32).cast("int")).alias("d"),
+                        F.size(s["x"]).alias("nx"), F.size(s["y"]).alias("ny"))
+
+    sets = F.array(F.struct(F.array_distinct(_shingles(F.col("_x"))).alias("x"), F.array_distinct(_shingles(F.col("_y"))).alias("y")))
+    at = _with_lines(at.join(mixed, "_a"), found).select(
+        F.col("_a").alias("_hub"), "_b", "_c", "_out", F.transform(sets, differences)[0].alias("_i"))
+    nd, n = F.size("_i.d"), F.col("_i.ny")
+    part = nd - F.floor((nd + r * (F.col("_i.nx") - n)) / 2 - 1e-6)
+    # a line of the hub's component needs only the indexed part
+    at = staged(at.select("_hub", "_b", "_c", "_out", nd.alias("_nd"), (nd - r * n).alias("_need"), part.cast("int").alias("_part"), F.when(
+        F.col("_out"), F.col("_i.d")).otherwise(F.slice("_i.d", 1, part.cast("int"))).alias("_i")), "line-differences")
+    sides = ["_hub", "_b", "_c", "_nd", "_need"]
+    far = at.where("_out").select(*sides, F.posexplode("_i").alias("_at", "_d")).toDF("_hub", "_b1", "_c1", "_nd1", "_need1", "_at1", "_d")
+    indexed = at.where(F.lit(outside) | ~F.col("_out")).select(*sides, F.posexplode(F.slice("_i", 1, F.col("_part"))).alias("_at", "_d"))
+    left = F.least(F.col("_nd") - F.col("_at"), F.col("_nd1") - F.col("_at1"))
+    both = (far["_hub"] == indexed["_hub"]) & (far["_d"] == indexed["_d"]) & (F.col("_c") != F.col("_c1")) & (
+        left >= (F.col("_need") + F.col("_need1")) / 2 - 1e-6)
+    return far.join(indexed, both).select(F.least("_b", "_b1").alias("_a"), F.greatest("_b", "_b1").alias("_b")).distinct()
 
 
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
