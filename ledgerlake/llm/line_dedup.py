@@ -31,6 +31,7 @@ from ledgerlake.llm.common import staged, text_or_empty
 from ledgerlake.llm.components import components
 
 SHINGLE, ROWS, SIMILARITY = 8, 6, 0.8
+COMMON = 8  # a difference is common if more than one in so many lines of a hub has it
 
 
 def _signed(x: int) -> int:
@@ -155,8 +156,8 @@ def _open_pairs(star: DataFrame, roots: DataFrame, found: DataFrame, similarity:
     x and y differ in ``|Dx| + |Dy| - 2 * |Dx & Dy|`` members, so similar ones share at least
     ``o = (|Dx| + |Dy| - r * (|x| + |y|)) / 2`` differences. One of two lines in different components is
     not similar to h: call it x, so ``|Dx| > r * (|x| + |h|)`` and ``o > t = (|Dy| + r * (|h| - |y|)) / 2``,
-    which is no less than 0. Differences are kept in one order for all lines of a hub (those that the
-    hub lacks first, as they tell versions apart best). The first shared one then stands among the first
+    which is no less than 0. Differences are kept in one order for all lines of a hub: those that the
+    hub lacks first, as they tell versions apart best, and those that many lines have last. The first shared one then stands among the first
     ``|Dy| - floor(t)`` of y, and at least o members follow it, itself included, in both lists.
     Members count by 32 bits of their hash; a clash makes a needless pair at worst.
     """
@@ -172,11 +173,17 @@ def _open_pairs(star: DataFrame, roots: DataFrame, found: DataFrame, similarity:
     sets = F.array(F.struct(F.array_distinct(_shingles(F.col("_x"))).alias("x"), F.array_distinct(_shingles(F.col("_y"))).alias("y")))
     at = _with_lines(at.join(mixed, "_a"), found).select(
         F.col("_a").alias("_hub"), "_b", "_c", "_out", F.transform(sets, differences)[0].alias("_i"))
-    nd, n = F.size("_i.d"), F.col("_i.ny")
+    at = staged(at, "line-differences")
+    total = at.groupBy("_hub").agg(F.count(F.lit(1)).alias("_total"))
+    common = at.select("_hub", F.explode("_i.d").alias("_d")).groupBy("_hub", "_d").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # at most COMMON times the mean number of differences for each hub
+    common = common.join(total, "_hub").where(F.col("_n") * COMMON > F.col("_total")).groupBy("_hub").agg(F.collect_list("_d").alias("_often"))
+    d, often = F.col("_i.d"), F.coalesce("_often", F.array().cast("array<int>"))
+    nd, n = F.size(d), F.col("_i.ny")
     part = nd - F.floor((nd + r * (F.col("_i.nx") - n)) / 2 - 1e-6)
-    # a line of the hub's component needs only the indexed part
-    at = staged(at.select("_hub", "_b", "_c", "_out", nd.alias("_nd"), (nd - r * n).alias("_need"), part.cast("int").alias("_part"), F.when(
-        F.col("_out"), F.col("_i.d")).otherwise(F.slice("_i.d", 1, part.cast("int"))).alias("_i")), "line-differences")
+    at = staged(at.join(common, "_hub", "left").select(
+        "_hub", "_b", "_c", "_out", nd.alias("_nd"), (nd - r * n).alias("_need"), part.cast("int").alias("_part"),
+        F.concat(F.array_except(d, often), F.array_intersect(d, often)).alias("_i")), "line-index")
     sides = ["_hub", "_b", "_c", "_nd", "_need"]
     far = at.where("_out").select(*sides, F.posexplode("_i").alias("_at", "_d")).toDF("_hub", "_b1", "_c1", "_nd1", "_need1", "_at1", "_d")
     indexed = at.where(F.lit(outside) | ~F.col("_out")).select(*sides, F.posexplode(F.slice("_i", 1, F.col("_part"))).alias("_at", "_d"))
