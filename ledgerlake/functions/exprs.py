@@ -96,10 +96,12 @@ def parse_date_any(x) -> Column:
 
 
 def to_units(x, d: int = 6) -> Column:
-    """Value in integer units of 10^-d (BIGINT): exact, order-independent sums."""
-    return F.floor(_c(x) * F.lit(float(10 ** d)) + F.lit(0.5)).cast("bigint")
+    """Value in integer units of 10^-d, as DECIMAL(28, 0): exact, order-independent sums. NaN counts as 0."""
+    scaled = F.nanvl(_c(x).cast("double") * F.lit(float(10 ** d)) + F.lit(0.5), F.lit(0.0))
+    # from 2^53 on a double has no fraction left
+    return F.when(F.abs(scaled) < F.lit(2.0 ** 53), F.floor(scaled).cast("decimal(28,0)")).otherwise(scaled.cast("decimal(28,0)"))
 
 
 def exact_sum(x, d: int = 6) -> Column:
-    """Sum on a 10^-d grid in BIGINT: the same bits whatever the partitioning or engine."""
-    return (F.sum(to_units(x, d)) / F.lit(float(10 ** d))).cast("double")
+    """Sum on a 10^-d grid in DECIMAL(38, 0): the same bits whatever the partitioning or engine."""
+    return F.sum(to_units(x, d)).cast("double") / F.lit(float(10 ** d))

@@ -45,8 +45,13 @@ def ordinal_rank(df: DataFrame, keys, order, rank_col: str = "_rank",
     wk = Window.partitionBy(*keys)
     seg = (seg.withColumn("_before", F.sum("_c").over(wk.orderBy("_pid")) - F.col("_c"))
               .withColumn("_n", F.sum("_c").over(wk)))
-    out = srt.join(seg, keys + ["_pid"]).withColumn(rank_col, F.col("_before") + (F.col("_id") - F.col("_first")))
-    return out.drop("_id", "_pid", "_c", "_first", "_before")
+    seg = seg.select(*[F.col(k).alias(f"_seg_{i}") for i, k in enumerate(keys)], F.col("_pid").alias("_seg_pid"),
+                     "_first", "_before", "_n")
+    same = F.col("_pid") == F.col("_seg_pid")
+    for i, k in enumerate(keys):  # a NULL key is a group of its own
+        same &= F.col(k).eqNullSafe(F.col(f"_seg_{i}"))
+    out = srt.join(seg, same).withColumn(rank_col, F.col("_before") + (F.col("_id") - F.col("_first")))
+    return out.drop("_id", "_pid", "_seg_pid", "_first", "_before", *[f"_seg_{i}" for i in range(len(keys))])
 
 
 def exact_quantiles(df: DataFrame, keys, value: str, probs, names=None,

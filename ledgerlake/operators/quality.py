@@ -127,9 +127,9 @@ def iqr_outliers(df: DataFrame) -> DataFrame:
 
 
 def completeness(stats: DataFrame, warn_below: float = 0.8) -> DataFrame:
-    """Filled cells / all cells."""
+    """Filled cells / all cells; NULL for an empty table."""
     g = stats.agg(F.sum(F.col("n_rows")).alias("total_cells"), F.sum("non_null").alias("filled_cells"))
-    c = F.col("filled_cells") / F.col("total_cells")
+    c = F.try_divide("filled_cells", "total_cells")
     return g.select("total_cells", "filled_cells", c.alias("completeness"), (c < warn_below).alias("warn"))
 
 

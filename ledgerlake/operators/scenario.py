@@ -1,7 +1,6 @@
 """Stress scenarios applied to every entity.
 
-The scenario list is a parameter table: its size is checked, an over-large
-list is refused, and the list is applied to each entity row by ``explode``.
+The scenario list is a parameter table, applied to each entity row by ``explode``.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ from ledgerlake.functions.fixed import (REVENUE_SCENARIOS, EXPENSE_SCENARIOS, CO
                                         STABLE_SCENARIO)
 from ledgerlake.operators.risk import risk_factors, risk_summary
 
-MAX_SCENARIOS = 10_000
-
 
 def scenario_groups(spark) -> DataFrame:
     """The revenue, expense and combined scenario lists as one table (union by name)."""
@@ -45,20 +42,14 @@ def clean_scenarios(scenarios: DataFrame) -> DataFrame:
 def stress_test(pos: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Every entity under every scenario; runway NULL + ``unlimited_runway`` without burn.
 
-    The scenario list is a parameter table: it is read once (refused above
-    ``MAX_SCENARIOS`` rows) and applied to each entity row with ``explode`` —
-    a projection, no join and no shuffle.
+    The scenario table is a parameter: Spark gathers its rows into one array, as large as the
+    table, and each entity row meets it through a scalar subquery and ``explode``. There is no limit on
+    its length and no join; without scenarios there are no rows.
     """
     sc = clean_scenarios(scenarios)
-    rows = sc.limit(MAX_SCENARIOS + 1).collect()
-    if len(rows) > MAX_SCENARIOS:
-        raise ValueError(f"more than {MAX_SCENARIOS} scenarios")
-    if not rows:
-        raise ValueError("no scenarios given")
     fields = sc.columns
-    arr = F.array(*[F.struct(*[F.lit(r[f]).cast(sc.schema[f].dataType).alias(f) for f in fields])
-                    for r in rows])
-    j = pos.select("*", F.explode(arr).alias("_sc")).select(*pos.columns, *[F.col(f"_sc.{f}").alias(f) for f in fields])
+    every = sc.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_every"))
+    j = pos.select("*", F.explode(every.scalar()).alias("_sc")).select(*pos.columns, *[F.col(f"_sc.{f}").alias(f) for f in fields])
     adj_rev = F.col("revenue") * (1 + F.col("revenue_change") / 100)
     adj_exp = F.col("expenses") * (1 + F.col("expense_change") / 100)
     out = j.withColumn("adjusted_revenue", adj_rev).withColumn("adjusted_expenses", adj_exp)

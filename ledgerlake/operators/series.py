@@ -25,7 +25,7 @@ def monthly_resample(series: DataFrame, by=("entity_id",), ds="ds", y="y", how:
 
     One aggregate to (entity, month), one per-entity aggregate that collects the
     entity's months into a map (bounded by its calendar span) and a generated
-    month spine — no join back. ``y`` may be one column or a list.
+    month spine — no join back. ``y`` may be one column or a list. Rows without a date are left out.
     """
     ys = [y] if isinstance(y, str) else list(y)
     m = month_start(ds)
@@ -33,7 +33,7 @@ def monthly_resample(series: DataFrame, by=("entity_id",), ds="ds", y="y", how:
         aggs = [F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in ys]
     else:
         aggs = [F.avg(c).alias(c) for c in ys]
-    monthly = series.groupBy(*by, m.alias("_m")).agg(*aggs)
+    monthly = series.where(F.col(ds).isNotNull()).groupBy(*by, m.alias("_m")).agg(*aggs)
     per = monthly.groupBy(*by).agg(
         F.min("_m").alias("_lo"), F.max("_m").alias("_hi"),
         F.map_from_entries(F.collect_list(F.struct("_m", F.struct(*ys)))).alias("_mp"))

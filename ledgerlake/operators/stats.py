@@ -37,33 +37,18 @@ def correlations(df: DataFrame, target: str, columns=None, by=()) -> DataFrame:
 
 # ---- the Student-t tail from the regularised incomplete beta function (continued fraction,
 # Numerical Recipes §6.4), so no SciPy is needed at run time.
-def _betacf(a, b, x, iters=300, eps=3e-16):
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < 1e-300, 1e-300, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < 1e-300, 1e-300, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < 1e-300, 1e-300, c)
-        d = 1.0 / d
-        h = h * d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < 1e-300, 1e-300, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < 1e-300, 1e-300, c)
-        d = 1.0 / d
-        de = d * c
-        h = h * de
-        if np.all(np.abs(de - 1.0) < eps):
-            break
-    return h
+def _beta_fraction(a, b, x):
+    """The continued fraction of the incomplete beta function (DLMF 8.17.22), from its tail inwards.
+
+    It settles after a number of terms that grows with the root of the larger parameter.
+    """
+    last = 100 + int(5 * np.sqrt(max(np.max(a, initial=0.0), np.max(b, initial=0.0))))
+    tail = np.ones_like(x)
+    for m in range(last, -1, -1):
+        tail = 1.0 - (a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1) * tail)
+        if m:
+            tail = 1.0 + m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m) * tail)
+    return 1.0 / tail
 
 
 def _betainc(a, b, x):
@@ -75,8 +60,8 @@ def _betainc(a, b, x):
         bt = np.exp(lbeta + a * np.log(x) + b * np.log1p(-x))
     bt = np.where((x == 0) | (x == 1), 0.0, bt)
     sym = x < (a + 1.0) / (a + b + 2.0)
-    direct = bt * _betacf(a, b, x) / a
-    flipped = 1.0 - bt * _betacf(b, a, 1.0 - x) / b
+    direct = bt * _beta_fraction(a, b, x) / a
+    flipped = 1.0 - bt * _beta_fraction(b, a, 1.0 - x) / b
     return np.where(sym, direct, flipped)
 
 

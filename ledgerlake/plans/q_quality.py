@@ -69,7 +69,7 @@ def ingest_manifest(spark, d):
 _S3 = """sh AS (SELECT doc_id, page, strategy, table_no, count(DISTINCT row_idx) AS n_rows, count(DISTINCT col_idx) AS n_cols
       FROM cells GROUP BY 1, 2, 3, 4),
 cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, CASE WHEN strategy = 'lattice' THEN 0 ELSE 1 END) AS rk
-      FROM sh WHERE table_no = 0 AND page BETWEEN 4 AND 25 AND n_rows > 3 AND n_cols > 3),
+      FROM sh WHERE table_no = 0 AND n_rows > 3 AND n_cols > 3),
 docs AS (SELECT DISTINCT doc_id FROM cells),
 s3 AS (SELECT d.doc_id, CAST(coalesce(c.page, 0) AS BIGINT) AS page, c.strategy,
         CAST(coalesce(c.table_no, -1) AS INTEGER) AS table_no, coalesce(c.n_rows, 0) AS n_rows,

@@ -42,5 +42,5 @@ def register(name: str, oracle: str | None = None):
 def load_all():
     # importing the modules fills the registry
     from ledgerlake.plans import (q_positions, q_risk, q_scenarios, q_series,  # noqa: F401
-                                  q_quality, q_paths, q_stats, q_forecast, q_ml)
+                                  q_quality, q_stats, q_forecast, q_ml)
     return QUERIES, ORACLE

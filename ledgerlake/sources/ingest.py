@@ -55,18 +55,22 @@ def ingest_manifest(spark: SparkSession, landing_dir: str, allowed=ALLOWED_EXTEN
     return out.select("*", (~too_big & ~bad_ext).alias("is_valid"), errors.alias("errors"))
 
 
-STRATEGY_RANK = {"lattice": 0, "stream": 1}
-
-
-def first_usable_table(cells: DataFrame, first_page: int = 4, last_page: int = 25, min_rows: int = 3,
+def first_usable_table(cells: DataFrame, first_page: int | None = None, last_page: int | None = None, min_rows: int = 3,
                        min_cols: int = 3) -> DataFrame:
-    """S3: per document, the first table (by page, then lattice before stream) with > 3 rows and > 3 columns."""
+    """S3: per document, the first table (by page, then lattice before stream) with > 3 rows and > 3 columns.
+
+    All pages are read unless the caller names a first or last one.
+    """
     keys = ["doc_id", "page", "strategy", "table_no"]
     shape = cells.groupBy(*keys).agg(F.count_distinct("row_idx").alias("n_rows"),
                                      F.count_distinct("col_idx").alias("n_cols"))
     srank = F.when(F.col("strategy") == "lattice", 0).otherwise(1)
-    usable = ((F.col("table_no") == 0) & F.col("page").between(first_page, last_page)
+    usable = ((F.col("table_no") == 0)
               & (F.col("n_rows") > min_rows) & (F.col("n_cols") > min_cols))
+    if first_page is not None:
+        usable &= F.col("page") >= first_page
+    if last_page is not None:
+        usable &= F.col("page") <= last_page
     # one aggregate per document: tables that are not usable have a NULL ordering and never win,
     # so a document without any usable table keeps its row with b = NULL (no extra pass, no join)
     j = shape.groupBy("doc_id").agg(F.min_by(F.struct("page", "strategy", "table_no", "n_rows", "n_cols"),
