@@ -202,6 +202,42 @@ def test_line_dedup(spark, rows):
     assert left == {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if want.get((i, n), True)) for i, t in data}
 
 
+def test_line_links_lose_no_pair_of_a_bucket(spark):
+    """Families of versions: pairs far from the hub but near each other, found as by comparing all lines of a bucket."""
+    rng = random.Random(12)
+
+    def word():
+        return "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+
+    def edited(words, n):
+        words = list(words)
+        for k in rng.sample(range(len(words)), n):
+            words[k] = word()
+        return words
+
+    base = [word() for _ in range(50)]
+    family = [base] + [edited(base, rng.randint(1, 5)) for _ in range(60)]
+    family += [edited(v, rng.randint(1, 2)) for v in family[1:40]]  # near their own version only
+    other = base[:30] + [word() for _ in range(25)]
+    family += [other] + [edited(other, rng.randint(1, 4)) for _ in range(30)]
+    data = [(rng.getrandbits(62), " ".join(w)) for w in family]
+    lines = spark.createDataFrame(data, "_k long, _line string")
+    bands = {}
+    for r in line_dedup._bands(lines).collect():
+        bands.setdefault(r._k, set()).add(r._band)
+    data.sort()
+    sets = [{x[k:k + 8] for k in range(len(x) - 7)} for _, x in data]
+    near = [[a == b or bool(bands[a] & bands[b]) and len(s & t) >= 0.8 * len(s | t) for (b, _), t in zip(data, sets)]
+            for (a, _), s in zip(data, sets)]
+    label = brute_components(len(data), lambda i, j: near[i][j])
+    got = {r.node: r.root for r in line_dedup.line_links(lines).collect()}
+    assert got == {k: data[a][0] for (k, _), a in zip(data, label) if data[a][0] != k}
+    # the hubs alone do not find them all
+    found = line_dedup.candidates(lines)
+    star = line_dedup._star(line_dedup.hubs(found.select("_k", F.explode("_in").alias("_band"))))
+    assert components(line_dedup._similar(star, found, 0.8)).count() < len(got)
+
+
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(90)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
