@@ -1,8 +1,8 @@
 """Quality rules: robust multivariate outliers by the minimum covariance determinant.
 
 Every document has a vector of transformed statistics. For each language and source the
-location and scatter of the ``h`` share of rows with the smallest covariance determinant are
-estimated (fast MCD): many small starts are concentrated on a bounded sample of the group, and
+location and scatter of the ``half`` of its rows with the smallest covariance determinant are
+estimated (fast MCD; that half, (n + d + 1) / 2 rows, bears the largest share of junk): many small starts are concentrated on a bounded sample of the group, and
 the best start is then concentrated on all rows of the group by distributed steps. A step
 measures all rows, finds the group's h-th distance from counts on a fixed logarithmic grid, and
 sums the moments of the nearer rows. A document whose Mahalanobis distance from its group's
@@ -17,8 +17,6 @@ verdict and are kept.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +26,6 @@ from ledgerlake.llm.textstats import basic
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIMS = 4
 FLOORS = (0.08, 0.03, 0.08, 0.08)
-H = 0.75             # share of rows that the estimate rests on
 CUTOFF = 90.0        # squared distance: far beyond Gaussian tails, since clean texts have heavy tails and must stay
 SAMPLE, STARTS, STEPS = 1500, 200, 3
 GRID = 16            # cells of the distance grid in a factor of two
@@ -74,21 +71,26 @@ def _pooled(rows: DataFrame, least: int) -> DataFrame:
     return rows.join(group, F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))).drop("_gl", "_gs")
 
 
+def half(n: int) -> int:
+    """Rows that an estimate of ``n`` rows rests on: with (n + d + 1) / 2 it holds while clean rows are the majority."""
+    return min(n, (n + DIMS + 1) // 2)
+
+
 def _floor_diag():
     import numpy as np
     return np.diag(np.square(FLOORS))
 
 
-def concentrate(x, starts: int, seed: int, h: float = H):
+def concentrate(x, starts: int, seed: int):
     """Best (mean, scatter) of many concentrated random starts on the rows ``x`` (fast MCD on a sample)."""
     import numpy as np
     n, d = x.shape
-    k, rng, floor = max(d + 1, math.ceil(h * n)), np.random.default_rng(seed), _floor_diag()
+    k, rng, floor = half(n), np.random.default_rng(seed), _floor_diag()
 
     def step(mean, cov):
         off = x - mean
         dist = np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off)
-        part = x[np.argpartition(dist, min(k, n) - 1)[:k]]
+        part = x[np.argpartition(dist, k - 1)[:k]]
         mean = part.mean(axis=0)
         off = part - mean
         return mean, off.T @ off / len(part) + floor
@@ -141,7 +143,7 @@ def _distance():
 
 
 def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """One concentration step over all rows: the moments of the ``H`` share nearest to the estimate."""
+    """One concentration step over all rows: the moments of the ``half`` nearest to the estimate."""
     near = rows.join(estimates, "_group").withColumn(
         "_cell", F.floor(F.log2(_distance() + F.lit(2.0 ** -20)) * GRID).cast("int"))
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)] + [
@@ -155,7 +157,7 @@ def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
         import pandas as pd
         part = part.sort_values("_cell")
         reach = np.cumsum(part["n"].to_numpy())
-        used = int(np.searchsorted(reach, math.ceil(H * reach[-1]))) + 1
+        used = int(np.searchsorted(reach, half(int(reach[-1])))) + 1
         n, *rest = part[names].to_numpy(float)[:used].sum(axis=0)
         mean = np.array(rest[:DIMS]) / n
         cov = np.zeros((DIMS, DIMS))

@@ -267,6 +267,16 @@ def test_quality_rules(spark):
     assert got[900].base_failed and got[901].base_failed and not got[150].base_failed
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_quality_rules_a_third_of_a_source_is_junk(spark, copies):
+    rng = random.Random(4)
+    clean = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(30, 200))) for _ in range(150)]
+    junk = [" ".join(w + "%" * (2 * len(w) // 3) for w in t.split()) for t in ([clean[0]] * 75 if copies else clean[:75])]
+    data = [(i, t, "en", "s") for i, t in enumerate(clean + junk)]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(150)) and not any(got[i] for i in range(150, 225))
+
+
 def test_classifier(spark):
     q = queries.QUERIES["op8_quality_classifier"](spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
