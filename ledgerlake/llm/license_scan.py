@@ -4,11 +4,13 @@ A template is wording with markup: ``<<beginOptional>> ... <<endOptional>>`` may
 ``<<var;most=N>>`` stands for up to N words of any kind. It is compiled into an automaton over
 words; a text is accepted where, from some word on, the mandatory wording stands exactly, in
 order, with nothing in between but what the markup allows. An automaton is started wherever the
-fixed words that open its template stand, so whole texts are searched, not prefixes.
+fixed words that open its template stand, so whole texts are searched, not prefixes. A template
+holds the whole wording of a license or notice, so one that is altered after its opening is refused.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
 
 from pyspark.sql import DataFrame
@@ -19,28 +21,126 @@ from ledgerlake.llm.common import small_batches, text_or_empty
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# License notices, with markup. Several templates may give one label.
+# Fixed values. ``{a|b}`` writes a template once for each wording; list marks may be left out.
+_MARK = "".join(f"<<beginOptional>>{m}<<endOptional>> " for m in ("and", "{0}", "{1}"))
+_LINK = "<<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> <<beginOptional>>www<<endOptional>> "
+_ADDRESS = ("<<beginOptional>>Inc<<endOptional>> "
+            "<<beginOptional>>51 Franklin {Street|St} <<beginOptional>>Fifth Floor<<endOptional>> Boston, MA 02110-1301<<endOptional>> "
+            "<<beginOptional>>59 Temple Place <<beginOptional>>Suite 330<<endOptional>> Boston, MA 02111-1307<<endOptional>> "
+            "<<beginOptional>>675 Mass Ave, Cambridge, MA 02139<<endOptional>> <<beginOptional>>USA<<endOptional>>")
+
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        "<<beginOptional>>associated<<endOptional>> documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do "
+        "so, subject to the following conditions: The above copyright notice and this permission notice "
+        "<<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial "
+        "portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "{NONINFRINGEMENT|NON-INFRINGEMENT}. IN NO EVENT SHALL <<var;most=15>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE")
+
+_BSD_OPENS = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+              "that the following conditions are met: " + _MARK.format(1, "a") +
+              "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+              "following disclaimer. " + _MARK.format(2, "b") +
+              "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+              "following disclaimer in the documentation and/or other materials provided with the distribution. ")
+_BSD_ADVERTISING = ("All advertising materials mentioning features or use of this software must display the following "
+                    "acknowledgement: This product includes software developed by <<var;most=20>> ")
+_BSD_NAMES = ("{Neither the name of <<var;most=20>> nor the names of <<var;most=3>> contributors may|"
+              "The name of <<var;most=20>> may not} be used to endorse or promote products derived from this software "
+              "without specific prior written permission. ")
+_BSD_ENDS = ("THIS SOFTWARE IS PROVIDED BY <<var;most=20>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+             "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+             "DISCLAIMED. IN NO EVENT SHALL <<var;most=20>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+             "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+             "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+             "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN "
+             "ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE")
+
+_ISC_OPENS = ("Permission to use, copy, modify, {and/or|and} distribute this software for any purpose with or without fee "
+              "is hereby granted")
+_ISC_KEEPS = ", provided that the above copyright notice and this permission notice appear in all copies"
+_ISC_ENDS = (". THE SOFTWARE IS PROVIDED \"AS IS\" AND <<var;most=15>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+             "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;most=15>> BE LIABLE "
+             "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+             "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+             "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE")
+
+_APACHE = ("{Licensed|to you} under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+           "compliance with the License. You may obtain a copy of the License at " + _LINK + "apache.org/licenses/LICENSE-2.0 "
+           "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+           "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+           "See the License for the specific language governing permissions and limitations under the License")
+
+_MPL_1 = ("The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use "
+          "this file except in compliance with the License. You may obtain a copy of the License at " + _LINK +
+          "mozilla.org/MPL Software distributed under the License is distributed on an \"AS IS\" basis, WITHOUT WARRANTY OF "
+          "ANY KIND, either express or implied. See the License for the specific language governing rights and "
+          "limitations under the License")
+_MPL_2 = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+          "distributed with this file, You can obtain one at " + _LINK + "mozilla.org/MPL/2.0")
+
+
+def _gnu(name: str, version: str) -> str:
+    """The notice of a GNU license, from the grant to where the license can be had."""
+    of = "" if version == "1" else " of the License"
+    return (f"is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of "
+            f"the GNU {name} as published by the Free Software Foundation; "
+            f"{{either version {version}{of}, or (at your option) any later version|version {version} of the License}}. "
+            f"<<var;most=4>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+            f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. "
+            f"You should have received a copy of the GNU {name} along with <<var;most=4>> if not, "
+            f"{{see {_LINK} gnu.org/licenses|write to the Free Software Foundation {_ADDRESS}}}")
+
+
+def _forms(text: str) -> list[str]:
+    """One template for each choice of its ``{a|b}``, inner ones first."""
+    choice = re.search(r"\{([^{}]*)\}", text)
+    if not choice:
+        return [text]
+    return [form for part in choice[1].split("|") for form in _forms(text[:choice.start()] + part + text[choice.end():])]
+
+
+def _whole(name: str) -> str:
+    return pkgutil.get_data(__package__, f"licenses/{name}.txt").decode()
+
+
+# License names, notices, headers and whole licenses, with markup. Several templates may give one
+# label. A whole wording is accepted at its end only; a sentence that names a license has a label of its own.
 TEMPLATES = [
     ("mit-notice", "released under the MIT License"),
     ("mit-notice", "licensed under <<beginOptional>>the terms of<<endOptional>> the MIT License"),
-    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of "
-                 "<<var;most=12>> to deal in <<var;most=6>> without restriction, including without limitation the "
-                 "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of"),
-    ("apache-2.0", "licensed under the Apache License, <<beginOptional>>Version<<endOptional>> 2.0"
-                   "<<beginOptional>> (the \"License\"); you may not use this file except in compliance with "
-                   "the License<<endOptional>>"),
+    ("apache-2.0", "licensed under the Apache License, <<beginOptional>>Version<<endOptional>> 2.0"),
     ("gpl-3.0", "licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License, "
                 "<<beginOptional>>either<<endOptional>> version 3"
                 "<<beginOptional>> or <<var;most=4>> later version<<endOptional>>"),
-    ("gpl-notice", "This program is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or "
-                   "modify it under the terms of the GNU General Public License as published by "
-                   "<<var;most=6>> either version <<var;most=2>> of the License"),
-    ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                 "provided that the following conditions are met"),
     ("cc-by-nc-4.0", "licensed under <<beginOptional>>a<<endOptional>> CC BY-NC 4.0"),
     ("cc-by-nc-4.0", "licensed under <<beginOptional>>a<<endOptional>> Creative Commons "
                      "Attribution-NonCommercial 4.0 <<beginOptional>>International<<endOptional>> License"),
-]
+] + [(label, form) for label, text in [
+    ("mit-text", _MIT),
+    ("bsd-2-clause-text", _BSD_OPENS + _BSD_ENDS),
+    ("bsd-3-clause-text", _BSD_OPENS + _MARK.format(3, "c") + _BSD_NAMES + _BSD_ENDS),
+    ("bsd-4-clause-text", _BSD_OPENS + _MARK.format(3, "c") + _BSD_ADVERTISING + _MARK.format(4, "d") + _BSD_NAMES + _BSD_ENDS),
+    ("isc-text", _ISC_OPENS + _ISC_KEEPS + _ISC_ENDS),
+    ("0bsd-text", _ISC_OPENS + _ISC_ENDS),
+    ("apache-2.0-header", _APACHE),
+    ("mpl-1.1-notice", _MPL_1),
+    ("mpl-2.0-notice", _MPL_2),
+    ("gpl-1.0-notice", _gnu("General Public License", "1")),
+    ("gpl-2.0-notice", _gnu("General Public License", "2")),
+    ("gpl-3.0-notice", _gnu("General Public License", "3")),
+    ("lgpl-2.0-notice", _gnu("Library General Public License", "2")),
+    ("lgpl-2.1-notice", _gnu("Lesser General Public License", "2.1")),
+    ("lgpl-3.0-notice", _gnu("Lesser General Public License", "3")),
+    ("agpl-3.0-notice", _gnu("Affero General Public License", "3")),
+] for form in _forms(text)] + [(f"{name}-text", _whole(name)) for name in (
+    "apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.0", "lgpl-2.1", "lgpl-3.0", "mpl-1.1", "mpl-2.0")]
+
+LEAD = 16            # words at most that a place must show before an automaton is started there
 
 _SPACE_OUT = bytes(b + 32 if 0x41 <= b <= 0x5A else 32 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b
                    for b in range(256))
@@ -78,7 +178,7 @@ class Automaton:
             elif kind == "word" and not depth_ends:
                 self.mandatory.append(i)
         self.lead = []
-        for kind, value in self.steps:
+        for kind, value in self.steps[:LEAD]:
             if kind != "word":
                 break
             self.lead.append(value)
