@@ -28,22 +28,29 @@ class Encoder:
     """Ids of a text, the same as the ``tokenizers`` library's for the vocabulary file.
 
     That library is four times slower than the file's byte-pair ranks under ``tiktoken``; the
-    tests hold both against each other. Special tokens' strings are ordinary text.
+    tests hold both against each other. With ``added_tokens`` a text is split at the file's added
+    tokens first, which give their own ids, as in the library's default; without, their strings
+    are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         import tiktoken
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab, added = file["model"]["vocab"], file.get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("an added token that takes in its surroundings is not supported")
+        # longest first: where several begin at one place, the library takes the longest
+        self.added = {t["content"]: t["id"] for t in sorted(added, key=lambda t: -len(t["content"]))} if added_tokens else {}
         byte = _byte_of_char()
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if all(c in byte for c in token)}
         ranks.pop(b"<|endoftext|>", None)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.engine = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.engine = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.added)
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit words."""
-        return self.engine.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return self.engine.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -66,7 +73,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: s
            id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, and ``ids`` (binary) if asked for.
 
-    A document is the ids of its whole text and then ``end_id``; a null text is empty, so it is
+    A document is the ids of its whole text (the vocabulary's added tokens among them) and then ``end_id``; a null text is empty, so it is
     the end id alone.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(F.col(text_col)).alias("_t"))
@@ -76,7 +83,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: s
 
     def run(batches):
         import pyarrow as pa
-        encode = Encoder(vocabulary or default_vocabulary())
+        encode = Encoder(vocabulary or default_vocabulary(), added_tokens=True)
         for batch in batches:
             out = [[] for _ in range(6)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -152,6 +152,19 @@ def test_packing(docs, rows):
     assert len(bins) <= -(-sum(lengths) // 100) + 1
 
 
+def test_packing_added_tokens(spark):
+    """The ids of the contract's call: the library on the file as it is."""
+    from tokenizers import Tokenizer
+    t, rng = Tokenizer.from_file(packing.default_vocabulary()), random.Random(7)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<|", " ", "  ", "\n", "a", " it's", "é", "中", "<|ENDOFTEXT|>"]
+    texts = ["a<|endoftext|>b"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    out = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    got = {r.doc_id: (r.start, r.length, r.ids_crc32) for r in out}
+    ids = [t.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+    assert ids[0] == [64, 50256, 65, 0]
+    assert got == {i: (0, len(x), zlib.crc32(b"".join(n.to_bytes(4, "little") for n in x))) for i, x in enumerate(ids)}
+
+
 def test_license_scan(spark):
     texts = ["Released under the MIT License. mit license", "licensed under the Apache License, Version 2.0 yes",
              "licensed under Apache License 2.0", "licensed under a CC BY-NC 4.0", "licensed under the GNU General Public License, version 3",
