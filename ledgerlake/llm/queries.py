@@ -124,3 +124,36 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlake.llm.line_dedup import near_lines
     return near_lines(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@register("op13_source_audit", rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  {LOWERED} AS t FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 10),
+n AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+c AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0)::HUGEINT AS n
+      FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept ON kept.lang = g.lang
+      LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+s AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 2) // (sum(n) OVER w + 2 * count(*) OVER w) AS p
+      FROM c WINDOW w AS (PARTITION BY lang, source)),
+l AS (SELECT lang, term, 1 + 1000000000 * (n + 2) // (sum(n) OVER w + 2 * count(*) OVER w) AS q
+      FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) WINDOW w AS (PARTITION BY lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item,
+                 coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+          FROM (SELECT DISTINCT lang, source FROM d) a
+          JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN s x ON x.lang = a.lang AND x.source = a.source
+          LEFT JOIN s y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+          GROUP BY a.lang, a.source, b.source),
+terms AS (SELECT s.lang, s.source, s.term AS item, (s.p - l.q) * (s.p - l.q) // (s.p + l.q) AS value
+          FROM s JOIN l ON s.lang = l.lang AND s.term = l.term WHERE s.n > 0 AND s.p > l.q),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+      UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10
+""")
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.source_audit import audit
+    return audit(table(spark, sf_dir, "documents"))
