@@ -157,3 +157,52 @@ FROM r QUALIFY part = 'pair' OR rank <= 10
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlake.llm.source_audit import audit
     return audit(table(spark, sf_dir, "documents"))
+
+
+WHOLE_VECTORS = """e AS (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+# Parts of all vectors in long form, then two rounds of nearest entries and floored means, and the last entries.
+NEAREST = """SELECT p.r, p.part, arg_min(c.entry, {0} * 64 + c.entry) AS entry, min({0}) AS d
+  FROM p JOIN {1} c ON c.part = p.part GROUP BY p.r, p.part"""
+DISTANCE = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+MEANS = """SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM {0} c LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+      SELECT a.part, a.entry, i, sum(p.x[i])::BIGINT AS s, count(*) AS n
+      FROM {1} a JOIN p ON p.r = a.r AND p.part = a.part, unnest(generate_series(1, len(p.x))) u(i)
+      GROUP BY a.part, a.entry, i) GROUP BY part, entry) m ON m.part = c.part AND m.entry = c.entry"""
+
+
+@register("op12_vector_codes", f"""
+WITH {WHOLE_VECTORS},
+p AS (SELECT r, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS x
+      FROM e, unnest(generate_series(0, 15)) u(part)),
+c0 AS (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x FROM p JOIN e USING (r)
+       QUALIFY entry < 64),
+a0 AS ({NEAREST.format(DISTANCE, 'c0')}),
+c1 AS ({MEANS.format('c0', 'a0')}),
+a1 AS ({NEAREST.format(DISTANCE, 'c1')}),
+c2 AS ({MEANS.format('c1', 'a1')}),
+a2 AS ({NEAREST.format(DISTANCE, 'c2')}),
+o AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256
+FROM o JOIN e USING (r)
+""")
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.gnat_codes import compress
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+@register("op11_cover_search", f"""
+WITH {WHOLE_VECTORS},
+s AS (SELECT q.r, q.vec_id AS query_id, e.vec_id,
+             list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM e q JOIN e ON e.r <> q.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+""")
+def op11_cover_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.cover_search import top_products
+    return top_products(table(spark, sf_dir, "embeddings"))
