@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import staged
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: Pointer slices up to this length are sorted by numpy; longer ones are partitioned around a pivot first.
 CUT = 1 << 16
 #: Terms still equal after so many bytes are compared as whole byte strings.
@@ -110,8 +110,8 @@ def _runs(text: pa.Array, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.n
     seams = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(low))]  # words end with their text
     begins[seams] |= word[seams]
     ends[seams - 1] |= word[seams - 1]
-    start = np.flatnonzero(begins)
-    size = np.flatnonzero(ends) + 1 - start
+    start = np.flatnonzero(begins).astype(np.int32)
+    size = (np.flatnonzero(ends) + 1).astype(np.int32) - start
     del word, begins, ends
     order, new = sort_pointers(low, start, size)
     doc = np.searchsorted(offsets, start[order], side="right") - 1
@@ -130,21 +130,24 @@ def _runs(text: pa.Array, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.n
 
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms of each slice of a shard: lang, source, term, occurrences, documents."""
+    """Terms of each slice of a shard: lang, source, term, occurrences, documents.
+
+    A batch is cut into slices by group, so that a slice has few groups and a term few runs.
+    """
     for batch in batches:
         text = batch.column("text").cast(pa.large_string())
-        bytes_to = np.cumsum(np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1])) \
-            if len(text) else np.empty(0, int)
+        names = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
+        known = {x: i for i, x in enumerate(sorted(set(names)))}
+        group = np.array([known[x] for x in names], np.int64)
+        by_group = np.argsort(group, kind="stable")
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
+        ends = np.cumsum(np.diff(offsets)[by_group])
+        langs, sources = (pa.array([x[k] for x in known], pa.string()) for k in (0, 1))
         at = 0
         while at < len(text):
-            before = bytes_to[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(bytes_to, before + SLICE_BYTES, side="right")))
-            names = list(zip(batch.column("lang")[at:to].to_pylist(), batch.column("source")[at:to].to_pylist(), strict=True))
-            known = {x: i for i, x in enumerate(sorted(set(names)))}
-            group = np.array([known[x] for x in names])
-            by_group = np.argsort(group, kind="stable")
-            terms, g, count, docs = _runs(text.slice(at, to - at).take(pa.array(by_group)), group[by_group])
-            langs, sources = (pa.array([x[k] for x in known], pa.string()) for k in (0, 1))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            own = by_group[at:to]
+            terms, g, count, docs = _runs(text.take(pa.array(own)), group[own])
             if len(g):
                 yield pa.RecordBatch.from_arrays(
                     [langs.take(pa.array(g)), sources.take(pa.array(g)), terms.cast(pa.string()),
