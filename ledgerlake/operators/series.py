@@ -45,6 +45,11 @@ def monthly_resample(series: DataFrame, by=("entity_id",), ds="ds", y="y", how:
     return spine.select(*by, ds, *vals)
 
 
+def lag_count(n, max_lags: int = 12) -> F.Column:
+    """Number of lags of a series of n months: min(max_lags, max(3, n // 6))."""
+    return F.least(F.lit(max_lags), F.greatest(F.lit(3), F.floor(n / 6).cast("int")))
+
+
 def lag_features(series: DataFrame, by=("entity_id",), ds="ds", y="y", max_lags: int = 12,
                  fixed_k: int | None = None) -> DataFrame:
     """lag_1..lag_k with k = min(12, max(3, n // 6)) per entity; rows with a missing lag dropped.
@@ -54,7 +59,7 @@ def lag_features(series: DataFrame, by=("entity_id",), ds="ds", y="y", max_lags:
     """
     w = Window.partitionBy(*by).orderBy(ds)
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    k = F.lit(fixed_k) if fixed_k else F.least(F.lit(max_lags), F.greatest(F.lit(3), F.floor(n / 6).cast("int")))
+    k = F.lit(fixed_k) if fixed_k else lag_count(n, max_lags)
     out = series.withColumn("k", k)
     for i in range(1, max_lags + 1):
         out = out.withColumn(f"lag_{i}", F.when(F.col("k") >= i, F.lag(y, i).over(w)))

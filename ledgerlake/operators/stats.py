@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.bands import band_expr
+from ledgerlake.functions.quantiles import ordered_moments
+from ledgerlake.functions.student import two_sided_p
 
 
 def correlations(df: DataFrame, target: str, columns=None, by=()) -> DataFrame:
@@ -35,91 +35,33 @@ def correlations(df: DataFrame, target: str, columns=None, by=()) -> DataFrame:
     return long.withColumn("rank_abs", F.row_number().over(w))
 
 
-# ---- the Student-t tail from the regularised incomplete beta function (continued fraction,
-# Numerical Recipes §6.4), so no SciPy is needed at run time.
-def _beta_fraction(a, b, x):
-    """The continued fraction of the incomplete beta function (DLMF 8.17.22), from its tail inwards.
-
-    It settles after a number of terms that grows with the root of the larger parameter.
-    """
-    last = 100 + int(5 * np.sqrt(max(np.max(a, initial=0.0), np.max(b, initial=0.0))))
-    tail = np.ones_like(x)
-    for m in range(last, -1, -1):
-        tail = 1.0 - (a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1) * tail)
-        if m:
-            tail = 1.0 + m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m) * tail)
-    return 1.0 / tail
-
-
-def _betainc(a, b, x):
-    from math import lgamma
-    x = np.clip(x, 0.0, 1.0)
-    lbeta = np.array([lgamma(ai + bi) - lgamma(ai) - lgamma(bi) for ai, bi in zip(np.broadcast_to(a, x.shape),
-                                                                               np.broadcast_to(b, x.shape))])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        bt = np.exp(lbeta + a * np.log(x) + b * np.log1p(-x))
-    bt = np.where((x == 0) | (x == 1), 0.0, bt)
-    sym = x < (a + 1.0) / (a + b + 2.0)
-    direct = bt * _beta_fraction(a, b, x) / a
-    flipped = 1.0 - bt * _beta_fraction(b, a, 1.0 - x) / b
-    return np.where(sym, direct, flipped)
-
-
-def t_two_sided_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """P(|T| > |t|) for Student's t with ``df`` degrees of freedom."""
-    t = np.asarray(t, dtype=float)
-    df = np.asarray(df, dtype=float)
-    out = np.full(t.shape, np.nan)
-    ok = np.isfinite(t) & (df > 0)
-    x = df[ok] / (df[ok] + t[ok] ** 2)
-    out[ok] = _betainc(df[ok] / 2.0, np.full(x.shape, 0.5), x)
-    out[np.isinf(t) & (df > 0)] = 0.0
-    return out
-
-
 def correlation_pvalue(corr: DataFrame) -> DataFrame:
-    """A2: two-sided p of each r (n−2 degrees of freedom); significant = p < 0.05.
-
-    An Arrow-batched pandas UDF over the *result* rows (one per column pair).
-    """
-    @F.pandas_udf("double")
-    def pval(r: pd.Series, n: pd.Series) -> pd.Series:
-        r = r.astype(float).to_numpy()
-        n = n.astype(float).to_numpy()
-        df = n - 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = r * np.sqrt(df / (1 - r * r))
-        t = np.where(np.abs(r) >= 1, np.inf, t)
-        p = t_two_sided_p(t, df)
-        p = np.where(np.isnan(r), 1.0, p)
-        return pd.Series(p)
-
-    out = corr.withColumn("p_value", pval(F.col("r"), F.col("n")))
+    """A2: two-sided p of each r (n - 2 degrees of freedom); significant = p < 0.05. Without a correlation p is 1."""
+    out = corr.withColumn("p_value", two_sided_p(F.col("r"), F.col("n")))
     return out.withColumn("significant", F.col("p_value") < 0.05)
 
 
 def trend(series: DataFrame, by=("entity_id",), ds="ds", y="y") -> DataFrame:
-    """A3: slope / r² / direction / strength against the row number after a date sort.
+    """A3: slope / r² / p / direction / strength against the row number after a date sort.
 
-    Row numbers come from ``ordinal_rank`` (range-partitioned), so an entity
-    with a third of all rows is still ranked by many tasks; the regression is a
-    partial aggregate per entity.
+    Rows of one date are ordered by value. The moments come from ``ordered_moments``, so an entity with a third
+    of all rows is ranked by many tasks. A constant or single value has p 1.
     """
-    from ledgerlake.functions.quantiles import ordinal_rank
-    s = ordinal_rank(series.select(*by, ds, y), by, [ds, y], rank_col="_x").withColumn("_x", F.col("_x").cast("double"))
-    g = s.groupBy(*by).agg(
-        F.regr_slope(y, "_x").alias("slope"), F.regr_r2(y, "_x").alias("r_squared"),
-        F.corr(y, "_x").alias("_r"), F.min_by(y, "_x").alias("_first"), F.max_by(y, "_x").alias("_last"),
-        F.stddev_pop(y).alias("volatility"), F.count(F.lit(1)).alias("n_points"),
-        F.datediff(F.max(ds), F.min(ds)).alias("span_days"))
+    g = ordered_moments(series.select(*by, ds, y), by, [ds, y], y)
+    r = F.try_divide("sxy", F.sqrt(F.col("sxx") * F.col("syy")))
+    slope = F.try_divide("sxy", "sxx")
+    g = g.select(*by, slope.alias("slope"), r.alias("_r"), F.when((F.col("syy") == 0) & (F.col("sxx") > 0), F.lit(1.0))
+                 .otherwise(F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy"))).alias("r_squared"),
+                 "first", "last", "n", "n_values", F.sqrt(F.try_divide("syy", "n_values")).alias("volatility"),
+                 F.datediff("highest", "lowest").alias("span_days"))
     return g.select(
-        *by, "slope", "r_squared",
+        *by, "slope", "r_squared", two_sided_p(F.col("_r"), F.col("n_values")).alias("p_value"),
         F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing")
          .otherwise("stable").alias("direction"),
         band_expr("correlation_strength", F.abs(F.coalesce(F.col("_r"), F.lit(0.0)))).alias("strength"),
-        F.when(F.col("_first") != 0, (F.col("_last") - F.col("_first")) / F.col("_first") * 100)
+        F.when(F.col("first") != 0, (F.col("last") - F.col("first")) / F.col("first") * 100)
          .otherwise(F.lit(0.0)).alias("pct_change"),
-        "volatility", "n_points", "span_days")
+        "volatility", F.col("n").alias("n_points"), "span_days")
 
 
 def seasonality_flag(series: DataFrame, by=("entity_id",), ds="ds", y="y", min_points: int = 12,

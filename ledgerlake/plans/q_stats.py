@@ -8,7 +8,7 @@ from ledgerlake.functions.exprs import rnd
 from ledgerlake.operators import stats as ST
 from ledgerlake.plans.oracle_fixtures import R, with_fixtures
 from ledgerlake.plans.registry import register
-from ledgerlake.plans.sqlbits import band_sql
+from ledgerlake.plans.sqlbits import band_sql, p_value_sql
 from ledgerlake.sources import fixtures as FX
 from ledgerlake.sources.tables import Tables
 
@@ -34,7 +34,11 @@ def correlations(spark, d):
                     "strength", "rank_abs")
 
 
-@register("correlation_pvalue")
+@register("correlation_pvalue", with_fixtures(f"""
+WITH c AS ({_C}), p AS (SELECT *, {p_value_sql('r', 'n')} AS p FROM c)
+SELECT 'x1' AS target, "column", {R('r', 4)} AS r, n, {R('p', 4)} AS p_value, p < 0.05 AS significant,
+  CASE WHEN r IS NULL THEN 'no correlation' ELSE {band_sql('correlation_strength', 'abs(r)')} END AS strength,
+  CAST(row_number() OVER (ORDER BY abs(r) DESC NULLS LAST, "column") AS INTEGER) AS rank_abs FROM p""", "features"))
 def correlation_pvalue(spark, d):
     p = ST.correlation_pvalue(_corr(spark, d))
     return p.select("target", "column", rnd("r", 4).alias("r"), "n", rnd("p_value", 4).alias("p_value"),

@@ -78,3 +78,17 @@ def values_sql(rows, cols) -> str:
         return repr(v)
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(cols)}))"
+
+
+def p_value_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation by Simpson's rule: the share of cos^(n - 3) beyond asin |r| in a quarter turn.
+
+    Both integrals stop where the integrand has fallen beyond any digit.
+    """
+    def integral(low: str) -> str:
+        width = f"least(pi() / 2 - {low}, 14 / sqrt(greatest({n} - 2, 1)))"
+        return (f"{width} * list_sum(list_transform(generate_series(0, 2000), lambda i: "
+                f"(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+                f"* pow(cos({low} + i * {width} / 2000), {n} - 3)))")
+    return (f"CASE WHEN {r} IS NULL OR {n} < 3 THEN 1.0 WHEN abs({r}) >= 1 THEN 0.0 "
+            f"ELSE ({integral(f'asin(abs({r}))')}) / ({integral('0.0')}) END")

@@ -12,7 +12,7 @@ from ledgerlake.operators import forecast as FC
 from ledgerlake.operators import quality as QU
 from ledgerlake.operators import scenario as SC
 from ledgerlake.operators import series as SR
-from ledgerlake.operators.stats import _betainc
+from ledgerlake.functions.student import beta_half
 
 
 def _months(n, start=2015):
@@ -45,14 +45,17 @@ def test_completeness_of_an_empty_table(spark):
 def test_short_and_zero_series(spark):
     rng = np.random.default_rng(1)
     rows = [(1, d, float(100 + rng.normal())) for d in _months(40)] + [(2, d, 5.0) for d in _months(20)]
-    rows += [(3, d, 0.0) for d in _months(40)]
+    rows += [(3, d, 0.0) for d in _months(40)] + [(4, d, 7.0) for d in _months(3)]
+    rows += [(5, d, 50.0 + i) for i, d in enumerate(_months(6))] + [(6, d, 1.0) for d in _months(4)]
     df = spark.createDataFrame(rows, "entity_id long, ds date, y double")
-    got = FC.ml_forecast(df, "random_forest", steps=2, num_trees=5).collect()
-    by = {e: [r for r in got if r["entity_id"] == e] for e in (1, 2, 3)}
-    assert [len(by[e]) for e in (1, 2, 3)] == [2, 1, 2]
-    assert by[2][0]["status"] == "fewer than 24 months (20)" and by[2][0]["forecast"] is None
-    assert {r["status"] for r in by[1] + by[3]} == {"ok"}
-    assert abs(by[1][0]["forecast"] - 100) < 5
+    for model in ("random_forest", "gradient_boosting"):
+        got = FC.ml_forecast(df, model, steps=2, num_trees=5).collect()
+        by = {e: [r for r in got if r["entity_id"] == e] for e in range(1, 7)}
+        assert [len(by[e]) for e in range(1, 7)] == [2, 2, 2, 1, 2, 2]
+        assert by[4][0]["status"] == "no lag row: fewer than 4 months (3)" and by[4][0]["forecast"] is None
+        assert {r["status"] for e in (1, 2, 3, 5, 6) for r in by[e]} == {"ok"}
+        assert abs(by[1][0]["forecast"] - 100) < 5 and abs(by[2][0]["forecast"] - 5) < 0.5
+        assert 45 < by[5][0]["forecast"] < 60
 
 
 def test_many_scenarios_and_none(spark):
@@ -63,10 +66,12 @@ def test_many_scenarios_and_none(spark):
     assert SC.stress_test(pos, many.where("false")).count() == 0
 
 
-def test_incomplete_beta():
+def test_incomplete_beta(spark):
     # I_x(2, 1/2) and I_x(1/2, 1/2) have closed forms
     x = np.array([0.1, 0.3, 0.6, 0.9, 0.99])
     u = 1 - x
     want = 0.75 * ((2 - 2 / 3) - (2 * np.sqrt(u) - 2 / 3 * u ** 1.5))
-    assert _betainc(np.full(5, 2.0), np.full(5, 0.5), x) == pytest.approx(want, abs=1e-12)
-    assert _betainc(np.full(5, 0.5), np.full(5, 0.5), x) == pytest.approx(2 / np.pi * np.arcsin(np.sqrt(x)), abs=1e-12)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").orderBy("x")
+    at = lambda a: [r[0] for r in df.select(beta_half(F.lit(a), F.col("x"), 1 - F.col("x"))).collect()]
+    assert at(2.0) == pytest.approx(want, abs=1e-12)
+    assert at(0.5) == pytest.approx(2 / np.pi * np.arcsin(np.sqrt(x)), abs=1e-12)

@@ -42,6 +42,45 @@ def test_ar_forecast_follows_a_linear_trend(spark):
     assert f["forecast"].iloc[-1] > y[-1]
 
 
+def _ar_by_hand(y, p=5, steps=12):
+    """Conditional least squares, psi weights and the roll-out with NumPy."""
+    dy = np.diff(y)
+    q = min(p, max(0, (len(y) - 2) // 2))
+    X = np.column_stack([dy[q - i:len(dy) - i] for i in range(1, q + 1)]) if q else np.zeros((len(dy), 0))
+    t = dy[q:]
+    A = X.T @ X
+    phi = np.linalg.solve(A + 1e-9 * np.trace(A) * np.eye(q), X.T @ t) if q else np.zeros(0)
+    sigma2 = ((t - X @ phi) ** 2).sum() / max(len(t) - q, 1)
+    phi = np.r_[phi, np.zeros(p - q)]
+    d, level, path = list(dy[::-1][:p]) + [0.0] * p, y[-1], []
+    for _ in range(steps):
+        d = [float(phi @ d[:p])] + d
+        level += d[0]
+        path.append(level)
+    impulse, shock = [], np.r_[1.0, np.zeros(steps)]  # the response of the level to one shock
+    for h in range(steps):
+        impulse.append(shock[h] + sum(phi[i] * impulse[h - 1 - i] for i in range(p) if h - 1 - i >= 0))
+    psi = np.cumsum(impulse)
+    return np.array(path), 1.96 * np.sqrt(sigma2 * np.cumsum(psi ** 2))
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 7, 9, 12, 40, 90])
+def test_ar_forecast_matches_numpy_at_every_length(spark, n):
+    rng = np.random.default_rng(n)
+    y = 500 + np.cumsum(rng.normal(size=n)) * 20
+    f = FC.ar_forecast(_series(spark, y)).orderBy("step").toPandas()
+    path, half = _ar_by_hand(y)
+    assert f["forecast"].to_numpy() == pytest.approx(path, rel=1e-7)
+    assert ((f["upper_bound"] - f["lower_bound"]) / 2).to_numpy() == pytest.approx(half, rel=1e-5, abs=1e-4)
+
+
+def test_ar_forecast_of_constant_and_single_months(spark):
+    flat = FC.ar_forecast(_series(spark, [7.0] * 20)).collect()
+    assert {(r.forecast, r.lower_bound, r.upper_bound, r.status) for r in flat} == {(7.0, 7.0, 7.0, "ok")}
+    one = FC.ar_forecast(_series(spark, [7.0]).withColumnRenamed("entity_id", "shop"), by=("shop",)).collect()
+    assert {(r.shop, r.forecast, r.status) for r in one} == {(1, 7.0, "no differences: fewer than 2 months")}
+
+
 def test_seasonal_forecast_beats_naive_on_seasonal_series(spark):
     t = np.arange(48)
     y = 1000 + 10 * t + 200 * np.sin(2 * np.pi * t / 12)
@@ -52,9 +91,11 @@ def test_seasonal_forecast_beats_naive_on_seasonal_series(spark):
     assert rmse < naive
 
 
-def test_t_pvalue_matches_known_values():
+def test_t_pvalue_matches_known_values(spark):
     # two-sided p for t = 2.228 with 10 dof is 0.05; t = 0 gives 1
-    p = ST.t_two_sided_p(np.array([2.228138851986, 0.0, 3.169272672617]), np.array([10.0, 10.0, 10.0]))
+    rows = [(i, t / (t * t + 10) ** 0.5, 12) for i, t in enumerate([2.228138851986, 0.0, 3.169272672617])]
+    df = spark.createDataFrame(rows, "i int, r double, n long").orderBy("i")
+    p = [r["p_value"] for r in ST.correlation_pvalue(df).collect()]
     assert p == pytest.approx([0.05, 1.0, 0.01], abs=1e-6)
 
 
