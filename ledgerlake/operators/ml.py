@@ -2,17 +2,18 @@
 
 * k-means: Spark ML ``KMeans`` on z-scored, mean-imputed columns.
 * Isolation forest (Liu, Ting & Zhou, 2008), written from the paper:
-  1. sampling — row r joins tree t when xxhash64(seed, t, r) falls under a
-     threshold sized for ~2·ψ rows per tree; each tree then keeps its ψ rows
-     with the smallest hash (``row_number`` per tree, a group of ~2ψ rows).
-     The draw depends only on (seed, tree, row id): any partitioning or retry
-     gives the same forest;
-  2. growing — ``groupBy(tree).applyInPandas``: ≤ ψ rows per group, trees grow
+  1. sampling — rows equal in all columns are one point with a weight. A point
+     joins tree t by the rank −ln(1 − u)/m, u from xxhash64(seed, t, values) and m
+     its rows: the order in which draws without replacement meet new points.
+     Each tree keeps its ψ points of least rank, cut to ψ in every task before
+     the exchange. The draw depends only on (seed, tree, values, m): any
+     partitioning or retry gives the same forest;
+  2. growing — ``groupBy(tree).applyInPandas``: ≤ ψ points per group, trees grow
      in parallel; a tree is at most 2ψ−1 nodes, so the forest is bounded by
      T·(2ψ−1) rows and is broadcast for scoring;
   3. scoring — ``mapInPandas`` walks all trees for an Arrow batch of rows at
      once with NumPy; the anomaly cut-off is the exact (1 − contamination)
-     quantile of the scores, computed distributed.
+     quantile of the scores, selected distributed.
 """
 
 from __future__ import annotations
@@ -28,25 +29,36 @@ from pyspark.sql import types as T
 from ledgerlake.functions.quantiles import exact_quantiles
 
 
-def prepare(df: DataFrame, columns, id_col: str = "row_id", originals: bool = False) -> DataFrame:
-    """Mean-impute then z-score (population std) the feature columns, from ONE aggregate pass.
+def _scaled(df: DataFrame, columns, aggs=()):
+    """A function that mean-imputes and z-scores (population std) the columns of a frame by ``df``'s statistics, and
+    the row of ``aggs`` from the same ONE aggregate pass.
 
     Imputed values sit on the mean, so the population std of the imputed column
     is std_pop(non-NULL) · sqrt(count / n); a zero std divides by 1.
     """
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for c in columns:
-        aggs += [F.avg(c).alias(f"_mu_{c}"), F.stddev_pop(c).alias(f"_sd_{c}"), F.count(c).alias(f"_k_{c}")]
-    st = df.agg(*aggs).first()  # one row of 3k + 1 numbers
-    out = []
+    stats = [F.count(F.lit(1)).alias("_n"), *aggs]
     for c in columns:
-        n, k = st["_n"], st[f"_k_{c}"]
-        sd = (st[f"_sd_{c}"] or 0.0) * math.sqrt(k / n) if n else 0.0
-        mu = F.lit(st[f"_mu_{c}"]).cast("double")
-        out.append(((F.coalesce(F.col(c), mu) - mu) / F.lit(float(sd) if sd else 1.0)).alias(c))
+        stats += [F.avg(c).alias(f"_mu_{c}"), F.stddev_pop(c).alias(f"_sd_{c}"), F.count(c).alias(f"_k_{c}")]
+    st = df.agg(*stats).first()  # one row of 3k + 1 numbers
+
+    def scale(frame: DataFrame) -> DataFrame:
+        new = {}
+        for c in columns:
+            n, k = st["_n"], st[f"_k_{c}"]
+            sd = (st[f"_sd_{c}"] or 0.0) * math.sqrt(k / n) if n else 0.0
+            mu = F.lit(st[f"_mu_{c}"] if st[f"_mu_{c}"] is not None else 0.0).cast("double")
+            new[c] = (F.coalesce(F.col(c), mu) - mu) / F.lit(float(sd) if sd else 1.0)
+        return frame.withColumns(new)
+    return scale, st
+
+
+def prepare(df: DataFrame, columns, id_col: str = "row_id", originals: bool = False) -> DataFrame:
+    """Mean-imputed, z-scored feature columns beside the id."""
+    scale, _ = _scaled(df, columns)
     # the values before scaling, beside the scaled ones: ids may repeat, so no later join could find them
-    kept = [F.col(c).alias(f"_o_{c}") for c in columns] if originals else []
-    return df.select(id_col, *out, *kept)
+    kept = {f"_o_{c}": F.col(c) for c in columns} if originals else {}
+    out = scale(df.withColumns(kept))
+    return out.select(id_col, *columns, *kept)
 
 
 # ---------------------------------------------------------------- A5–A7
@@ -74,13 +86,43 @@ def cluster_profile(labelled: DataFrame, columns) -> DataFrame:
     return g.withColumn("percentage", F.col("size") / F.sum("size").over(Window.partitionBy()) * 100)
 
 
-def silhouette(labelled: DataFrame) -> float | None:
-    """Mean silhouette (Spark's squared-Euclidean form, linear cost); None with fewer than two clusters."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    if labelled.where(F.col("cluster").isNotNull()).select("cluster").distinct().limit(2).count() < 2:
+#: Clusters whose statistics may become literals of a plan.
+MOST_CLUSTERS = 256
+
+
+def silhouette(labelled: DataFrame, columns=None) -> float | None:
+    """Mean silhouette in its squared-Euclidean form; None with fewer than two clusters.
+
+    The mean squared distance of x to a cluster of n rows with sum s and sum of squared norms q is
+    ``|x|^2 + q/n - 2 x.s/n``, so one row of statistics per cluster gives each row's silhouette in one more
+    pass. A row alone in its cluster counts 0; rows without a cluster are left out.
+    """
+    columns = list(columns or [c[3:] for c in labelled.columns if c.startswith("_o_")])
+    rows = labelled.where(F.col("cluster").isNotNull())
+    norm = sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))
+    stats = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(norm).alias("q"),
+                                        F.array(*[F.sum(c) for c in columns]).alias("s")).limit(MOST_CLUSTERS + 1).collect()
+    if len(stats) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
+    if len(stats) < 2:
         return None
-    return float(ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
-                                     metricName="silhouette").evaluate(labelled))
+
+    def total(k):  # squared distances to all rows of a cluster, added up
+        return norm * k["n"] + k["q"] - 2 * sum((F.col(c) * v for c, v in zip(columns, k["s"], strict=True)), F.lit(0.0))
+    own = F.coalesce(*[F.when(F.col("cluster") == k["cluster"], F.lit(0.0) if k["n"] == 1 else total(k) / (k["n"] - 1)) for k in stats])
+    alone = F.col("cluster").isin([k["cluster"] for k in stats if k["n"] == 1])
+    other = F.array_min(F.array(*[F.when(F.col("cluster") != k["cluster"], total(k) / k["n"]) for k in stats]))
+    s = F.when(alone, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(other - own, F.greatest(own, other)), F.lit(0.0)))
+    return float(rows.agg(F.avg(s)).first()[0])
+
+
+def nearest_centre_check(labelled: DataFrame, model, columns) -> DataFrame:
+    """One row: records, clusters, and whether every row lies in the cluster of its nearest centre."""
+    far = [sum(((F.col(c) - float(v)) * (F.col(c) - float(v)) for c, v in zip(columns, centre, strict=True)), F.lit(0.0))
+           for centre in model.clusterCenters()]
+    own = F.element_at(F.array(*far), F.col("cluster") + 1)
+    return labelled.agg(F.count(F.lit(1)).alias("total_records"), F.countDistinct("cluster").alias("n_clusters"),
+                        F.every(own <= F.array_min(F.array(*far)) * (1 + 1e-9) + 1e-12).alias("nearest"))
 
 
 # ---------------------------------------------------------------- A8, A9
@@ -97,37 +139,36 @@ NODE_SCHEMA = T.StructType([
     T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
     T.StructField("feature", T.IntegerType()), T.StructField("split", T.DoubleType()),
     T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()),
-    T.StructField("size", T.IntegerType())])
+    T.StructField("size", T.LongType())])
 
 
-def _grow(columns, seed: int, psi: int):
+def _grow(features, seed: int, psi: int):
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row_id", *columns])
+        pdf = pdf.sort_values(["_rank", "_row"])
         tree = int(pdf["tree"].iloc[0])
-        X = pdf[list(columns)].to_numpy(dtype=float)
+        X, weight = pdf[features].to_numpy(dtype=float), pdf["_m"].to_numpy()
         rng = np.random.default_rng([seed, tree])
         nodes = []
 
         def build(idx, depth):
             node = len(nodes)
             nodes.append(None)
-            if depth >= max_depth or len(idx) <= 1:
-                nodes[node] = (tree, node, -1, 0.0, -1, -1, len(idx))
-                return node
-            sub = X[idx]
+            sub, size = X[idx], int(weight[idx].sum())
             lo, hi = sub.min(axis=0), sub.max(axis=0)
             usable = np.nonzero(hi > lo)[0]
-            if usable.size == 0:
-                nodes[node] = (tree, node, -1, 0.0, -1, -1, len(idx))
+            if depth >= max_depth or usable.size == 0:
+                nodes[node] = (tree, node, -1, 0.0, -1, -1, size)
                 return node
             f = int(rng.choice(usable))
             s = float(rng.uniform(lo[f], hi[f]))
-            left_idx, right_idx = idx[sub[:, f] < s], idx[sub[:, f] >= s]
-            left = build(left_idx, depth + 1)
-            right = build(right_idx, depth + 1)
-            nodes[node] = (tree, node, f, s, left, right, len(idx))
+            left = build(idx[sub[:, f] < s], depth + 1) if (sub[:, f] < s).any() else -1
+            if left < 0:  # the draw fell on the lowest value
+                s = float(np.nextafter(lo[f], hi[f]))
+                left = build(idx[sub[:, f] < s], depth + 1)
+            right = build(idx[sub[:, f] >= s], depth + 1)
+            nodes[node] = (tree, node, f, s, left, right, size)
             return node
 
         build(np.arange(len(X)), 0)
@@ -135,10 +176,10 @@ def _grow(columns, seed: int, psi: int):
     return grow
 
 
-def _score(columns, forest: pd.DataFrame, psi: int, id_col: str):
+def _score(features, forest: pd.DataFrame):
     """Walk every tree at once: (trees × rows) index arrays, at most depth-many NumPy steps per batch."""
     trees = sorted(forest["tree"].unique())
-    width = int(forest.groupby("tree")["node"].max().max()) + 1
+    width = int(forest["node"].max()) + 1
     nt = len(trees)
     feat = np.full((nt, width), -1, dtype=np.int64)
     split = np.zeros((nt, width))
@@ -153,12 +194,12 @@ def _score(columns, forest: pd.DataFrame, psi: int, id_col: str):
     left[ti, ni] = np.maximum(forest["left"].to_numpy(), 0)
     right[ti, ni] = np.maximum(forest["right"].to_numpy(), 0)
     corr[ti, ni] = [_c(float(x)) for x in forest["size"].to_numpy()]
-    cpsi = _c(psi)
+    usual = np.maximum(corr_of_root(forest, pos), 1e-300)[:, None]
     rows_t = np.arange(nt)[:, None]
 
     def score(batches):
         for pdf in batches:
-            X = pdf[list(columns)].to_numpy(dtype=float)
+            X = pdf[features].to_numpy(dtype=float)
             b = len(X)
             node = np.zeros((nt, b), dtype=np.int64)
             depth = np.zeros((nt, b))
@@ -173,51 +214,75 @@ def _score(columns, forest: pd.DataFrame, psi: int, id_col: str):
                 nxt = np.where(go_left, left[rows_t, node], right[rows_t, node])
                 node = np.where(inner, nxt, node)
                 depth += inner
-            mean_h = (depth + corr[rows_t, node]).mean(axis=0)
-            s = np.power(2.0, -mean_h / cpsi) if cpsi > 0 else np.full(b, 0.5)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "anomaly_score": s})
+            share = ((depth + corr[rows_t, node]) / usual).mean(axis=0)
+            yield pdf.drop(columns=features).assign(_s=np.power(2.0, -share))
     return score
 
 
+def corr_of_root(forest: pd.DataFrame, pos: dict) -> np.ndarray:
+    """Average path length for the number of rows that each tree stands for."""
+    roots = forest[forest["node"] == 0]
+    out = np.zeros(len(pos))
+    out[roots["tree"].map(pos).to_numpy()] = [_c(float(x)) for x in roots["size"].to_numpy()]
+    return out
+
+
 def isolation_forest(df: DataFrame, columns, id_col: str = "row_id", n_trees: int = 100, psi: int = 256,
-                     contamination: float = 0.1, seed: int = 42, min_rows: int = 10) -> DataFrame:
-    """Anomaly score per row (higher = more isolated) and the contamination cut-off flag."""
-    # ids may repeat, so rows are told apart by their features too, taken before scaling: sums, and so
-    # scaled values, differ in the last bits between partitionings; rows equal in all are interchangeable
-    scaled = prepare(df, columns, id_col, originals=True).select(
-        id_col, *columns, F.xxhash64(id_col, *[f"_o_{c}" for c in columns]).alias("_row"))
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if scaled.rdd.getNumPartitions() < par:  # hashing and scoring are CPU-bound: use every core
-        scaled = scaled.repartition(par)
-    # materialised once in the shared checkpoint folder: sampled, scored and counted from one copy
-    scaled = scaled.checkpoint(eager=True)
-    n = scaled.count()
-    if n < min_rows:
-        return scaled.select(id_col, F.lit(None).cast("double").alias("anomaly_score"), F.lit(False).alias("is_anomaly"))
-    psi = min(psi, n)
-    # each row joins the trees whose hash falls under the threshold (≈ 2ψ rows per tree)
-    frac = min(1.0, 2.0 * psi / n)
-    cut = int(frac * 2 ** 31)
-    h = lambda t: F.abs(F.xxhash64(F.lit(seed), t, F.col("_row")) % F.lit(2 ** 31))
-    picks = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: h(t) < F.lit(cut))
-    sampled = scaled.select("*", F.explode(picks).alias("tree"))
-    sampled = sampled.withColumn("_h", h(F.col("tree")))
-    w = Window.partitionBy("tree").orderBy("_h", id_col, *columns)
-    sampled = sampled.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= psi)
-    forest = (sampled.select("tree", F.col(id_col).alias("row_id"), *columns)
-                     .groupBy("tree").applyInPandas(_grow(columns, seed, psi), NODE_SCHEMA))
+                     contamination: float = 0.1, seed: int = 42, min_rows: int = 10,
+                     partitions: int | None = None) -> DataFrame:
+    """Each row's id and values, its anomaly score (higher = more isolated) and the contamination flag.
+
+    Rows equal in all columns are one point with a weight, so that a pile of them fills no tree and no task: a tree
+    draws rows until it has ψ different points, and a leaf counts the rows it stands for. Without equal rows this
+    is the published algorithm. Under ``min_rows`` rows there are no scores and no flags.
+    ``partitions`` deals the rows out anew before they are scored, for input in few partitions.
+    """
+    feats = [f"_f{i}" for i in range(len(columns))]
+    own = df.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(columns)],
+                    *[F.col(c).cast("double").alias(f) for c, f in zip(columns, feats, strict=True)])
+    row = F.xxhash64(*feats)
+    aggs = [F.count(F.lit(1)).alias("n"), F.approx_count_distinct(row).alias("points")]
+    scaled, st = _scaled(own, feats, aggs)
+    out = [F.col("_id").alias(id_col), *[F.col(f"_o{i}").alias(c) for i, c in enumerate(columns)]]
+    if st["n"] < min_rows:
+        return own.select(*out, F.lit(None).cast("double").alias("anomaly_score"), F.lit(False).alias("is_anomaly"))
+    # A point of m rows is drawn as soon as the first of them: its rank is the least of m exponential variates.
+    # Points beyond the cut are not needed: about 3 psi different ones are within it.
+    share = 3.0 * psi / max(st["points"], 1)
+    cut = F.lit(-math.log1p(-share) if share < 0.9 else math.inf)
+    points = own.groupBy(*feats).agg(F.count(F.lit(1)).alias("_m")).withColumn("_row", row)
+    rank = lambda t: -F.log1p(-F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col("_row")), 11) * F.lit(2.0 ** -53)) / F.col("_m")
+    drawn = points.withColumn("tree", F.explode(F.filter(
+        F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: rank(t) <= cut))).withColumn("_rank", rank(F.col("tree")))
+    first = F.row_number().over(Window.partitionBy("tree").orderBy("_rank", "_row"))  # cut to psi in every task before the exchange
+    drawn = drawn.withColumn("_n", first).where(F.col("_n") <= psi)
+    forest = scaled(drawn.select("tree", "_m", "_row", "_rank", *feats)).groupBy("tree").applyInPandas(_grow(feats, seed, psi), NODE_SCHEMA)
     # the forest is ≤ n_trees·(2ψ−1) rows: a proven bound, collected once and shipped to the scorers
     forest_pd = forest.toPandas()
-    out_schema = T.StructType([scaled.schema[id_col], T.StructField("anomaly_score", T.DoubleType())])
-    to_score = scaled.select(id_col, *columns)
-    par = spark_parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if to_score.rdd.getNumPartitions() < spark_parallelism:  # CPU-bound: use every core
-        to_score = to_score.repartition(par)
+    to_score = scaled(own)
+    if partitions:
+        to_score = to_score.repartition(partitions)
+    schema = T.StructType([f for f in to_score.schema.fields if f.name not in feats] + [T.StructField("_s", T.DoubleType())])
     # scored once: the cut-off quantile and the output both read this copy
-    scores = to_score.mapInPandas(_score(columns, forest_pd, psi, id_col), out_schema).checkpoint(eager=True)
-    cutoff = exact_quantiles(scores.withColumn("_k", F.lit(0)), ["_k"], "anomaly_score",
-                             [1.0 - contamination], ["cutoff"]).first()["cutoff"]
-    return scores.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(cutoff))
+    scores = to_score.mapInPandas(_score(feats, forest_pd), schema).checkpoint(eager=True)
+    cutoff = exact_quantiles(scores.select(F.lit(0).alias("_k"), "_s"), ["_k"], "_s", [1.0 - contamination], ["cutoff"]).first()["cutoff"]
+    return scores.select(*out, F.col("_s").alias("anomaly_score"), (F.col("_s") > F.lit(cutoff)).alias("is_anomaly"))
+
+
+def anomalies(flagged: DataFrame) -> DataFrame:
+    """The flagged rows with their ids, values and scores."""
+    return flagged.where("is_anomaly").drop("is_anomaly")
+
+
+def forest_check(flagged: DataFrame, contamination: float = 0.1) -> DataFrame:
+    """One row: records, and whether scores lie within (0, 1), the flagged share keeps to the contamination and
+    every flagged score is above all others."""
+    a = F.col("is_anomaly")
+    return flagged.agg(
+        F.count(F.lit(1)).alias("total_records"),
+        F.coalesce(F.every((F.col("anomaly_score") > 0) & (F.col("anomaly_score") < 1)), F.lit(True)).alias("scores_in_range"),
+        (F.count_if(a) <= F.count(F.lit(1)) * contamination + 1).alias("share_kept"),
+        F.coalesce(F.min(F.when(a, F.col("anomaly_score"))) > F.max(F.when(~a, F.col("anomaly_score"))), F.lit(True)).alias("flagged_on_top"))
 
 
 def anomaly_rate(flagged: DataFrame) -> DataFrame:

@@ -135,3 +135,49 @@ def test_isolation_forest_with_repeated_ids_is_independent_of_partitioning(spark
     assert scores(df.repartition(3)) == scores(df.repartition(7, "b"))
     few = ML.isolation_forest(df.limit(5), ["a", "b"]).collect()
     assert len(few) == 5 and all(r.anomaly_score is None and not r.is_anomaly for r in few)
+
+
+@pytest.mark.parametrize("seed", range(40, 50))
+def test_isolation_forest_with_a_pile_of_equal_rows(spark, seed):
+    """200,000 equal rows and three far outliers: exactly the three are flagged, whatever the seed."""
+    pile = spark.range(200_000).select(F.lit(None).cast("long").alias("row_id"), F.lit(1.0).alias("a"), F.lit(2.0).alias("tree"))
+    far = spark.createDataFrame([(1, 50.0, 2.0), (2, 1.0, -40.0), (3, -30.0, 30.0)], "row_id long, a double, tree double")
+    out = ML.isolation_forest(pile.union(far), ["a", "tree"], seed=seed, n_trees=20)
+    assert sorted(tuple(r) for r in ML.anomalies(out).select("row_id", "a", "tree").collect()) == [
+        (1, 50.0, 2.0), (2, 1.0, -40.0), (3, -30.0, 30.0)]
+    assert ML.anomaly_rate(out).first()["total_records"] == 200_003
+
+
+def test_isolation_forest_of_one_point_flags_nothing(spark):
+    df = spark.range(50).select(F.col("id").alias("row_id"), F.lit(3.0).alias("a"))
+    out = ML.isolation_forest(df, ["a"], n_trees=5)
+    assert {(round(r.anomaly_score, 9), r.is_anomaly) for r in out.collect()} == {(0.5, False)}
+    assert ML.forest_check(out).first()["total_records"] == 50
+
+
+def test_isolation_forest_piles_under_two_partitionings(spark):
+    rows = [(i, float(i % 7), float(i % 3) if i % 11 else None) for i in range(2000)] + [(5000 + i, 100.0 + i, 9.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "row_id long, row double, b double")
+    scores = [sorted((r.row_id, round(r.anomaly_score, 9), r.is_anomaly) for r in ML.isolation_forest(
+        d, ["row", "b"], n_trees=15, psi=16, partitions=p).collect()) for d, p in ((df.repartition(2), None), (df.repartition(9), 4))]
+    assert scores[0] == scores[1]
+    assert {5000, 5001, 5002, 5003, 5004} <= {i for i, _, flagged in scores[0] if flagged}
+
+
+def test_silhouette_matches_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 2)) + np.repeat([[0, 0], [4, 0], [0, 5]], 20, axis=0)
+    labels = [0] * 20 + [1] * 20 + [2] * 19 + [3]
+    rows = [(i, float(a), float(b), c) for i, ((a, b), c) in enumerate(zip(x, labels, strict=True))] + [(99, 0.0, 0.0, None)]
+    got = ML.silhouette(spark.createDataFrame(rows, "row_id long, a double, b double, cluster int"), ["a", "b"])
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    c, want = np.array(labels), []
+    for i in range(60):
+        if (c == c[i]).sum() == 1:
+            want.append(0.0)
+            continue
+        a = d[i][c == c[i]].sum() / ((c == c[i]).sum() - 1)
+        b = min(d[i][c == k].mean() for k in set(labels) - {c[i]})
+        want.append((b - a) / max(a, b))
+    assert got == pytest.approx(np.mean(want))
+    assert ML.silhouette(spark.createDataFrame(rows[:20], "row_id long, a double, b double, cluster int"), ["a", "b"]) is None
