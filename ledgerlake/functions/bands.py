@@ -3,10 +3,10 @@
 * ``band_expr`` turns a ladder into a CASE expression (codegen, no join) for
   operators that band a column they just computed.
 * ``bands_table`` + ``band_lookup`` is the R9 operator: a long table of
-  (entity, metric, value) range-joined to the broadcast band table. The join
-  is an equi-join on ``metric`` with the range as a residual predicate, so it
-  plans as a broadcast hash join. The band table has a fixed size (the
-  catalogue), which is what makes broadcasting it safe.
+  (entity, metric, value) range-joined to the band table. The join is an
+  equi-join on ``metric`` with the range as a residual predicate. A band table
+  of up to ``FEW_BANDS`` rows, counted first, is broadcast; how a longer one
+  is joined is left to the planner.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ BAND_SCHEMA = T.StructType([
 ])
 
 
+#: Rows up to which a caller's band table is broadcast (each a few hundred bytes at most).
+FEW_BANDS = 10_000
+
+
 def band_rows(families=None):
     fams = families or list(BANDS)
     out = []
@@ -80,5 +84,6 @@ def band_lookup(long_df: DataFrame, bands: DataFrame, metric_col: str = "metric"
     v = F.col(value_col)
     in_range = ((F.col("lo").isNull() | (v > F.col("lo")) | (F.col("lo_incl") & (v == F.col("lo"))))
                 & (F.col("hi").isNull() | (v < F.col("hi")) | (F.col("hi_incl") & (v == F.col("hi")))))
-    joined = long_df.join(F.broadcast(b), (F.col(metric_col) == F.col("_b_metric")) & in_range, "left")
+    few = b.limit(FEW_BANDS + 1).count() <= FEW_BANDS
+    joined = long_df.join(F.broadcast(b) if few else b, (F.col(metric_col) == F.col("_b_metric")) & in_range, "left")
     return joined.drop("_b_metric", "lo", "lo_incl", "hi", "hi_incl")

@@ -59,14 +59,22 @@ def numeric_like(x) -> Column:
     return F.regexp_replace(_c(x), r"[,$%]", "").rlike(FLOAT_TEXT)
 
 
-def strip_to_number(x, parens_negative: bool = False) -> Column:
+def strip_to_number(x) -> Column:
     """Strip every character but digits, '.' and '-', then cast; bad text -> NULL."""
     c = _c(x).cast("string")
     stripped = F.regexp_replace(c, r"[^0-9.\-]", "")
-    val = stripped.try_cast("double")
-    if parens_negative:
-        val = F.when(F.trim(c).rlike(r"^\(.*\)$"), -val).otherwise(val)
-    return val
+    return stripped.try_cast("double")
+
+
+PLAIN_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def text_to_number(x) -> Column:
+    """A number from text: ``, $ %`` go, ``(x)`` is -x and exponents count; other text is stripped to digits, '.' and '-'."""
+    t = F.trim(F.regexp_replace(_c(x).cast("string"), r"[,$%]", ""))
+    inner = F.regexp_replace(t, r"^\((.*)\)$", "$1")
+    value = F.when(inner.rlike(PLAIN_NUMBER), F.trim(inner).try_cast("double")).otherwise(strip_to_number(inner))
+    return F.when(t.rlike(r"^\(.*\)$"), -value).otherwise(value)
 
 
 # ---- fixed values: accepted date formats, in the order they are tried ----
@@ -88,11 +96,11 @@ FORMAT_SHAPES = {
 }
 
 
-def parse_date_any(x) -> Column:
-    """First format that parses the whole text wins; none -> NULL."""
+def parse_date_any(x, formats=None) -> Column:
+    """First format that parses the whole text wins; none -> NULL. By default the declared formats and ISO timestamps."""
     c = F.trim(_c(x).cast("string"))
     return F.coalesce(*[F.when(c.rlike(FORMAT_SHAPES[f]), F.try_to_timestamp(c, F.lit(f)))
-                        for f in DATE_FORMATS + ISO_TIMESTAMP_FORMATS])
+                        for f in formats or DATE_FORMATS + ISO_TIMESTAMP_FORMATS])
 
 
 def to_units(x, d: int = 6) -> Column:

@@ -16,28 +16,29 @@ def industry_benchmarks(long: DataFrame, by=("segment",), metric="metric", value
     return q.drop("n")
 
 
-def percentile_rank(v, p25, med, p75, compat: bool = False):
-    """Piecewise-linear rank against (p25, median, p75); capped at 100 unless ``compat``."""
+def percentile_rank(v, p25, med, p75):
+    """Piecewise-linear rank against (p25, median, p75). Values far above p75 rank above 100."""
     v, p25, med, p75 = (F.col(x) if isinstance(x, str) else x for x in (v, p25, med, p75))
     r = (F.when(v >= p75, F.when(p75 > med, 75 + (v - p75) / (p75 - med) * 25).otherwise(F.lit(100.0)))
           .when(v >= med, F.when(p75 > med, 50 + (v - med) / (p75 - med) * 25).otherwise(F.lit(50.0)))
           .when(v >= p25, F.when(med > p25, 25 + (v - p25) / (med - p25) * 25).otherwise(F.lit(25.0)))
           .otherwise(F.when(p25 > 0, F.greatest(F.lit(0.0), v / p25 * 25)).otherwise(F.lit(0.0))))
-    return r if compat else F.least(r, F.lit(100.0))
+    return r
 
 
 def benchmark_compare(long: DataFrame, bench: DataFrame, keys=("entity_id",), by=("segment",),
-                      metric="metric", value="value", compat: bool = False) -> DataFrame:
-    """B2: metrics that have a benchmark only (inner join), rank and performance label.
+                      metric="metric", value="value") -> DataFrame:
+    """B2: metrics that have a benchmark only (inner join), rank, the rank clipped to 100, and performance label.
 
     ``bench`` has one row per (segment, metric); how many segments there are
     depends on the data, so the broadcast decision is left to AQE's runtime size.
     """
     j = long.join(bench, [*by, metric])
-    rank = percentile_rank(F.col(value), F.col("p25"), F.col("median"), F.col("p75"), compat)
+    rank = percentile_rank(F.col(value), F.col("p25"), F.col("median"), F.col("p75"))
     return j.select(*keys, *by, metric, value, "p25", "median", "p75",
-                    rank.alias("percentile_rank")).withColumn(
-        "performance", band_expr("performance", "percentile_rank"))
+                    rank.alias("percentile_rank")).withColumns({
+        "clipped_rank": F.least("percentile_rank", F.lit(100.0)),
+        "performance": band_expr("performance", "percentile_rank")})
 
 
 def benchmark_overall(entities: DataFrame, compared: DataFrame, keys=("entity_id",)) -> DataFrame:

@@ -8,13 +8,11 @@ driver, the way Spark ML's Imputer / StandardScaler fit their models.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.functions.exprs import numeric_like, parse_date_any, strip_to_number
-
-NUMBER_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+from ledgerlake.functions.exprs import PLAIN_NUMBER, numeric_like, parse_date_any, strip_to_number, text_to_number
 
 
 def string_columns(df: DataFrame):
@@ -62,20 +60,34 @@ def numeric_text_ratios(df: DataFrame, columns=None) -> dict:
     return {c: row[c] for c in cols}
 
 
-def clean_numeric_text(df: DataFrame, threshold: float = 0.8, parens_negative: bool = False) -> DataFrame:
-    """Text columns that are > 80% numeric are stripped to digits, '.', '-' and cast."""
+def clean_numeric_text(df: DataFrame, threshold: float = 0.8, compat: bool = False) -> DataFrame:
+    """Text columns that are > 80% numeric become numbers: ``(x)`` is -x, exponents count.
+
+    ``compat`` strips to digits, '.' and '-' instead (``1e5`` is 15, ``(100)`` is 100).
+    """
+    number = strip_to_number if compat else text_to_number
     ratios = numeric_text_ratios(df)
     conv = {c for c, r in ratios.items() if r is not None and r > threshold}
-    return df.select(*[strip_to_number(F.col(c), parens_negative).alias(c) if c in conv else F.col(c)
+    return df.select(*[number(F.col(c)).alias(c) if c in conv else F.col(c)
                        for c in df.columns])
 
 
-def coerce_series(df: DataFrame, date_col: str, value_col: str, keys=()) -> DataFrame:
-    """First column to a date, second to a number; bad values NULL; NULL dates dropped."""
+def coerce_series(df: DataFrame, date_col: str, value_col: str, keys=(),
+                  observation: Observation | None = None) -> DataFrame:
+    """First column to a date, second to a number; bad values NULL; rows without a date dropped.
+
+    An ``observation`` counts what the coercion loses while the result is computed, without a second scan:
+    rows, null_dates, rejected_dates (text that is no date), rejected_values (text that is no number).
+    """
     ds = parse_date_any(F.col(date_col)).cast("date")
     v = F.col(value_col).cast("string")
-    y = F.when(v.rlike(NUMBER_TEXT), F.trim(v).try_cast("double"))
-    return df.select(*keys, ds.alias("ds"), y.alias("y")).where(F.col("ds").isNotNull())
+    y = F.when(v.rlike(PLAIN_NUMBER), F.trim(v).try_cast("double"))
+    out = df.select(*keys, ds.alias("ds"), y.alias("y"), F.col(date_col).isNull().alias("_no_date"), v.isNull().alias("_no_value"))
+    if observation is not None:
+        out = out.observe(observation, F.count(F.lit(1)).alias("rows"), F.count_if("_no_date").alias("null_dates"),
+                          F.count_if(~F.col("_no_date") & F.col("ds").isNull()).alias("rejected_dates"),
+                          F.count_if(~F.col("_no_value") & F.col("y").isNull()).alias("rejected_values"))
+    return out.where(F.col("ds").isNotNull()).drop("_no_date", "_no_value")
 
 
 def impute_mean(df: DataFrame, columns, by=()) -> DataFrame:

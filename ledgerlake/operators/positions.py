@@ -68,10 +68,16 @@ def kpis(pos: DataFrame, burn_col: str | None = None) -> DataFrame:
 
 
 def runway_series(flows: DataFrame, by=("entity_id",), ds="ds", window_months: int = 3) -> DataFrame:
-    """K5: monthly runway = running cash balance / trailing average monthly expenses."""
-    w = Window.partitionBy(*by).orderBy(ds)
-    cash = F.sum(F.col("revenue") - F.col("expenses")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    burn = F.avg("expenses").over(w.rowsBetween(-(window_months - 1), 0))
+    """K5: monthly runway = running cash balance / mean expenses of the last ``window_months`` calendar months.
+
+    A month without a row counts as a month without expenses; an entity's first months average over the
+    months since its first row.
+    """
+    month = F.year(ds) * 12 + F.month(ds)
+    w = Window.partitionBy(*by).orderBy(month)
+    cash = F.sum(F.col("revenue") - F.col("expenses")).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    months = F.least(F.lit(window_months), month - F.min(month).over(Window.partitionBy(*by)) + 1)
+    burn = F.sum("expenses").over(w.rangeBetween(-(window_months - 1), 0)) / months
     out = flows.select(*by, ds, cash.alias("cash_balance"), burn.alias("monthly_burn"))
     return out.withColumn("runway_months", F.when(F.col("monthly_burn") > 0,
                                                   sdiv(F.greatest(F.col("cash_balance"), F.lit(0.0)),

@@ -3,8 +3,8 @@
 One wide aggregate computes every per-column count (non-NULL, numeric-looking,
 date-looking, negatives, max) and the table counts (rows, empty rows, losses,
 excess cash) in a single scan; IQR fences come from the distributed exact
-quantiles; duplicates from one ``groupBy`` over all columns. Findings and the
-quality score are small derived tables.
+quantiles; duplicates from one ``groupBy`` over all columns. Findings,
+suggestions and the quality score follow from these few rows (``Profile``).
 """
 
 from __future__ import annotations
@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.functions.exprs import numeric_like, parse_date_any
+from ledgerlake.functions.exprs import DATE_FORMATS, numeric_like, parse_date_any
 from ledgerlake.functions.fixed import FINANCIAL_RULES, NEGATIVE_CHECK_WORDS, TEXT_RULES
 from ledgerlake.functions.quantiles import exact_quantiles
 from ledgerlake.operators.clean import numeric_columns, string_columns
 
 
-def column_stats(df: DataFrame) -> DataFrame:
-    """Long (column, kind, n_rows, non_null, numeric_count, date_count, negative_count, max_value)."""
+def _column_structs(df: DataFrame) -> list:
     text, nums = string_columns(df), numeric_columns(df)
     structs = []
     for c in df.columns:
@@ -49,12 +48,17 @@ def column_stats(df: DataFrame) -> DataFrame:
                            ("numeric_count", "date_count", "date_like", "negative_count")],
                          F.lit(None).cast("double").alias("max_value"))
         structs.append(s)
+    return structs
+
+
+def column_stats(df: DataFrame) -> DataFrame:
+    """Long (column, kind, n_rows, non_null, numeric_count, date_count, negative_count, max_value)."""
+    structs = _column_structs(df)
     wide = df.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*structs).alias("_cols"))
     return wide.select("n_rows", F.explode("_cols").alias("s")).select("s.*", "n_rows")
 
 
-def table_stats(df: DataFrame) -> DataFrame:
-    """One row: n_rows, n_columns, empty_rows, loss_records, excess_cash_records."""
+def _table_counts(df: DataFrame) -> list:
     cols = set(df.columns)
     allnull = F.lit(True)
     for c in df.columns:
@@ -63,9 +67,13 @@ def table_stats(df: DataFrame) -> DataFrame:
             else F.lit(None).cast("long"))
     excess = (F.count_if(F.col("cash") > F.col("expenses") / 12 * 24) if {"cash", "expenses"} <= cols
               else F.lit(None).cast("long"))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_columns"),
-                  F.count_if(allnull).alias("empty_rows"), loss.alias("loss_records"),
-                  excess.alias("excess_cash_records"))
+    return [F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_columns"),
+            F.count_if(allnull).alias("empty_rows"), loss.alias("loss_records"), excess.alias("excess_cash_records")]
+
+
+def table_stats(df: DataFrame) -> DataFrame:
+    """One row: n_rows, n_columns, empty_rows, loss_records, excess_cash_records."""
+    return df.agg(*_table_counts(df))
 
 
 def structure_check(df: DataFrame) -> DataFrame:
@@ -107,7 +115,7 @@ def extreme_value_check(stats: DataFrame, limit: float = 1e10) -> DataFrame:
     return t.select("column", "max_value", (F.col("max_value") > limit).alias("flagged"))
 
 
-def iqr_outliers(df: DataFrame) -> DataFrame:
+def iqr_outliers(df: DataFrame, n_rows: int | None = None) -> DataFrame:
     """Linear-interpolated Q1/Q3 per numeric column, fences ±1.5·IQR, outlier counts."""
     nums = numeric_columns(df)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in nums]).unpivot(
@@ -115,7 +123,7 @@ def iqr_outliers(df: DataFrame) -> DataFrame:
     q = exact_quantiles(long, ["column"], "value", [0.25, 0.75], ["q1", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("lower", F.col("q1") - 1.5 * F.col("iqr")).withColumn("upper", F.col("q3") + 1.5 * F.col("iqr"))
-    n_rows = df.count()
+    n_rows = df.count() if n_rows is None else n_rows
     # fences: one row per numeric column (bounded by the schema) -> broadcast
     cnt = long.join(F.broadcast(q.select("column", "lower", "upper")), "column").groupBy("column").agg(
         F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).alias("outliers"))
@@ -151,60 +159,109 @@ def missing_heavy_columns(stats: DataFrame, share: float = 0.1) -> DataFrame:
         "column", nulls.alias("null_count"), (nulls / F.col("n_rows")).alias("null_ratio"))
 
 
-def findings(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Errors and warnings as rows (check, column, severity) — the input of D13."""
-    stats = stats if stats is not None else column_stats(df)
-    ts = table_stats(df)
-    rows = []
-    d1 = structure_check(df).where("failed").select(F.col("check_name").alias("code"), F.lit(None).cast("string").alias("column"),
-                                                    F.lit("error").alias("severity"))
-    rows.append(d1)
-    d7 = stats.where("non_null = 0").agg(F.count(F.lit(1)).alias("k")).where("k > 0").select(
-        F.lit("empty_columns").alias("code"), F.lit(None).cast("string").alias("column"), F.lit("error").alias("severity"))
-    rows.append(d7)
-    d2 = type_ratio_profile(stats).where(F.col("flag").isNotNull()).select(
-        F.concat(F.lit("stored_as_text_"), F.col("flag")).alias("code"), "column", F.lit("warning").alias("severity"))
-    rows.append(d2)
-    rows.append(negative_value_check(stats).where("flagged").select(
-        F.lit("negative_values").alias("code"), "column", F.lit("warning").alias("severity")))
-    rows.append(extreme_value_check(stats).where("flagged").select(
-        F.lit("extreme_values").alias("code"), "column", F.lit("warning").alias("severity")))
-    rows.append(iqr_outliers(df).where("warn").select(
-        F.lit("outliers").alias("code"), "column", F.lit("warning").alias("severity")))
-    rows.append(completeness(stats).where("warn").select(
-        F.lit("low_completeness").alias("code"), F.lit(None).cast("string").alias("column"),
-        F.lit("warning").alias("severity")))
-    for name, code in (("empty_rows", "empty_rows"), ("loss_records", "loss_records"),
-                       ("excess_cash_records", "excess_cash")):
-        rows.append(ts.where(F.col(name) > 0).select(F.lit(code).alias("code"),
-                                                     F.lit(None).cast("string").alias("column"),
-                                                     F.lit("warning").alias("severity")))
-    rows.append(duplicate_rows(df).where("duplicate_rows > 0").select(
-        F.lit("duplicate_rows").alias("code"), F.lit(None).cast("string").alias("column"),
-        F.lit("warning").alias("severity")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+FINDING = "code string, column string, severity string, n long"
+TYPE_SHARE, FILLED_SHARE, MISSING_SHARE = 0.8, 0.8, 0.1
+
+
+class Profile:
+    """What all checks of one table need, from one aggregate, one selection of quantiles and one count of duplicates.
+
+    Only rows per column reach the driver: their number is the schema's, not the data's.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.names = df.sparkSession, list(df.columns)
+        row = df.agg(*_table_counts(df), F.array(*_column_structs(df)).alias("_cols")).first()
+        self.table, self.columns = row, row["_cols"]
+        self.n = row["n_rows"]
+        self.outliers = iqr_outliers(df, self.n).collect() if self.n else []
+        self.duplicates = duplicate_rows(df).first()[0]
+        cells = self.n * len(self.columns)
+        self.completeness = sum(c["non_null"] for c in self.columns) / cells if cells else None
+
+    def text_flags(self):
+        """(column, 'numeric' or 'date', values of that kind) of text columns that hold something else than text."""
+        for c in self.columns:
+            if c["kind"] == "text" and c["non_null"]:
+                if c["numeric_count"] / c["non_null"] > TYPE_SHARE:
+                    yield c["column"], "numeric", c["numeric_count"]
+                elif c["date_count"] / c["non_null"] > TYPE_SHARE:
+                    yield c["column"], "date", c["date_count"]
+
+    def findings(self) -> list[tuple]:
+        """(code, column, severity, count) of every error and warning. An empty table has one error and no other finding."""
+        if not self.n:
+            return [("empty_table", None, "error", 0)]
+        out = []
+        names = [str(c) for c in self.names]
+        if len(names) < 2:
+            out.append(("column_count", None, "error", len(names)))
+        if len(names) > len(set(names)):
+            out.append(("duplicate_names", None, "error", len(names) - len(set(names))))
+        if blank := sum(not c.strip() for c in names):
+            out.append(("blank_names", None, "error", blank))
+        if empty := sum(c["non_null"] == 0 for c in self.columns):
+            out.append(("empty_columns", None, "error", empty))
+        out += [(f"stored_as_text_{kind}", c, "warning", k) for c, kind, k in self.text_flags()]
+        for c in self.columns:
+            if c["kind"] == "number" and c["non_null"]:
+                if c["negative_count"] and any(w in c["column"].lower() for w in NEGATIVE_CHECK_WORDS):
+                    out.append(("negative_values", c["column"], "warning", c["negative_count"]))
+                if c["max_value"] > 1e10:
+                    out.append(("extreme_values", c["column"], "warning", None))
+        out += [("outliers", o["column"], "warning", o["outliers"]) for o in self.outliers if o["warn"]]
+        if self.completeness is not None and self.completeness < FILLED_SHARE:
+            out.append(("low_completeness", None, "warning", None))
+        for count, code in (("empty_rows", "empty_rows"), ("loss_records", "loss_records"), ("excess_cash_records", "excess_cash")):
+            if self.table[count]:
+                out.append((code, None, "warning", self.table[count]))
+        if self.duplicates:
+            out.append(("duplicate_rows", None, "warning", self.duplicates))
+        return out
+
+    def suggestions(self) -> list[tuple]:
+        """(code, column, count): text to convert, columns to impute, outliers to review. Here a column of
+        dates may hold numbers that read as dates too."""
+        out = []
+        for c in self.columns:
+            if c["kind"] == "text" and c["non_null"]:
+                if c["numeric_count"] / c["non_null"] > TYPE_SHARE:
+                    out.append(("convert_to_numeric", c["column"], c["numeric_count"]))
+                elif c["date_like"] / c["non_null"] > TYPE_SHARE:
+                    out.append(("convert_to_datetime", c["column"], c["date_like"]))
+        out += [("impute_missing", c["column"], self.n - c["non_null"]) for c in self.columns
+                if self.n - c["non_null"] > self.n * MISSING_SHARE]
+        return out + [("review_outliers", o["column"], o["outliers"]) for o in self.outliers if o["review"]]
+
+    def score(self) -> tuple:
+        """(errors, warnings, completeness, share of numeric-looking text columns, score). An empty table scores 0."""
+        found = self.findings()
+        errors, warnings = (sum(f[2] == s for f in found) for s in ("error", "warning"))
+        text = [c for c in self.columns if c["kind"] == "text"]
+        numeric = sum(kind == "numeric" for _, kind, _ in self.text_flags()) / len(text) if text else 0.0
+        if not self.n:
+            return errors, warnings, None, numeric, 0.0
+        score = 1.0 - errors * 0.2 - warnings * 0.05 - (1 - self.completeness) * 0.3 - numeric * 0.2
+        return errors, warnings, self.completeness, numeric, max(0.0, min(1.0, score))
+
+
+def findings(df: DataFrame) -> DataFrame:
+    """Errors and warnings of all checks as rows (code, column, severity, n)."""
+    return df.sparkSession.createDataFrame(Profile(df).findings(), FINDING)
+
+
+def suggestions(df: DataFrame) -> DataFrame:
+    """Improvements to make, as rows (code, column, n)."""
+    return df.sparkSession.createDataFrame(Profile(df).suggestions(), "code string, column string, n long")
 
 
 def quality_score(df: DataFrame) -> DataFrame:
-    """1 − .2·errors − .05·warnings − .3·(1 − completeness) − .2·(numeric-looking text share), in [0, 1]."""
-    # the profile (one row per column) is computed once and read by every check below
-    stats = column_stats(df).checkpoint(eager=True)
-    f = findings(df, stats).agg(F.count_if(F.col("severity") == "error").alias("errors"),
-                                F.count_if(F.col("severity") == "warning").alias("warnings"))
-    c = completeness(stats).first()["completeness"]
-    t = type_ratio_profile(stats).agg(
-        F.count(F.lit(1)).alias("text_columns"), F.count_if(F.col("flag") == "numeric").alias("type_issues")).first()
-    j = f.select("*", F.lit(c).cast("double").alias("completeness"),
-                 F.lit(t["text_columns"]).cast("long").alias("text_columns"),
-                 F.lit(t["type_issues"]).cast("long").alias("type_issues"))
-    ratio = F.when(F.col("text_columns") > 0, F.col("type_issues") / F.col("text_columns")).otherwise(F.lit(0.0))
-    score = (F.lit(1.0) - F.col("errors") * 0.2 - F.col("warnings") * 0.05
-             - (1 - F.col("completeness")) * 0.3 - ratio * 0.2)
-    return j.select("errors", "warnings", "completeness", ratio.alias("type_issue_ratio"),
-                    F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("quality_score"))
+    """1 − .2·errors − .05·warnings − .3·(1 − completeness) − .2·(numeric-looking text share), in [0, 1].
+
+    An empty table has one error, no completeness and score 0.
+    """
+    return df.sparkSession.createDataFrame([Profile(df).score()], "errors long, warnings long, completeness double, "
+                                           "type_issue_ratio double, quality_score double")
 
 
 def financial_validation(df: DataFrame, by=(), revenue="revenue", expenses="expenses") -> DataFrame:
@@ -221,7 +278,10 @@ def financial_validation(df: DataFrame, by=(), revenue="revenue", expenses="expe
 
 
 def rule_range_check(df: DataFrame, column_map: dict | None = None) -> DataFrame:
-    """The declared rules applied — ranges and required columns, text patterns.
+    """The declared rules applied — ranges and required columns, text patterns, date formats.
+
+    The date rule holds for the column that ``column_map`` names ``date`` (or a column of that name): a value that none
+    of the declared formats reads is a violation.
 
     One aggregate row with a count per rule, unpivoted to
     (rule_column, source_column, rule, present, n_checked, n_violations).
@@ -254,4 +314,11 @@ def rule_range_check(df: DataFrame, column_map: dict | None = None) -> DataFrame
         structs.append(F.struct(F.lit(name).alias("rule_column"), F.lit(src).alias("source_column"),
                                 F.lit("pattern").alias("rule"), F.lit(True).alias("present"),
                                 F.count(v).alias("n_checked"), F.count_if(~v.rlike(pattern)).alias("n_violations")))
+    src = cmap.get("date", cols.get("date"))
+    if src is not None:
+        v = F.col(src)
+        structs.append(F.struct(F.lit("date").alias("rule_column"), F.lit(src).alias("source_column"),
+                                F.lit("date_format").alias("rule"), F.lit(True).alias("present"),
+                                F.count(v).alias("n_checked"),
+                                F.count_if(v.isNotNull() & parse_date_any(v, DATE_FORMATS).isNull()).alias("n_violations")))
     return df.agg(F.array(*structs).alias("_r")).select(F.explode("_r").alias("r")).select("r.*")

@@ -1,6 +1,6 @@
 """Stress scenarios applied to every entity.
 
-The scenario list is a parameter table, applied to each entity row by ``explode``.
+The scenario list is a parameter table of any length, joined to each entity row by block.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from ledgerlake.functions.fixed import (REVENUE_SCENARIOS, EXPENSE_SCENARIOS, CO
 from ledgerlake.operators.risk import risk_factors, risk_summary
 
 
+#: Scenarios of a block.
+BLOCK = 10_000
+
+
 def scenario_groups(spark) -> DataFrame:
     """The revenue, expense and combined scenario lists as one table (union by name)."""
     frames = []
@@ -42,14 +46,15 @@ def clean_scenarios(scenarios: DataFrame) -> DataFrame:
 def stress_test(pos: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Every entity under every scenario; runway NULL + ``unlimited_runway`` without burn.
 
-    The scenario table is a parameter: Spark gathers its rows into one array, as large as the
-    table, and each entity row meets it through a scalar subquery and ``explode``. There is no limit on
-    its length and no join; without scenarios there are no rows.
+    The scenarios are dealt into blocks of about ``BLOCK`` rows, and an entity row is repeated once per block, so
+    that the two meet in an equi-join on the block: no list is gathered in one task or on the driver. A single
+    block, which has a counted size, is broadcast. Without scenarios there are no rows.
     """
     sc = clean_scenarios(scenarios)
-    fields = sc.columns
-    every = sc.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_every"))
-    j = pos.select("*", F.explode(every.scalar()).alias("_sc")).select(*pos.columns, *[F.col(f"_sc.{f}").alias(f) for f in fields])
+    blocks = -(-sc.count() // BLOCK)
+    sc = sc.withColumn("_block", F.pmod(F.xxhash64("name"), F.lit(max(blocks, 1))).cast("int"))
+    each = pos.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
+    j = each.join(F.broadcast(sc) if blocks <= 1 else sc, "_block").drop("_block")
     adj_rev = F.col("revenue") * (1 + F.col("revenue_change") / 100)
     adj_exp = F.col("expenses") * (1 + F.col("expense_change") / 100)
     out = j.withColumn("adjusted_revenue", adj_rev).withColumn("adjusted_expenses", adj_exp)

@@ -36,6 +36,8 @@ WITH base AS (
   SELECT o_orderkey AS row_id,
     CASE WHEN o_orderkey % 50 = 0 THEN 'n/a'
          WHEN o_orderkey % 11 = 0 THEN NULL
+         WHEN o_orderkey % 23 = 0 THEN concat('(', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), ')')
+         WHEN o_orderkey % 37 = 0 THEN concat(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), 'e2')
          WHEN o_orderkey % 3 = 0 THEN concat('$', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING))
          ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) END AS amount_text,
     CASE o_orderkey % 3
@@ -44,11 +46,12 @@ WITH base AS (
       ELSE substr(CAST(o_orderdate AS STRING), 1, 7) END AS date_text,
     CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS note,
     CAST(NULL AS STRING) AS blank,
-    o_totalprice AS revenue,
+    CASE WHEN o_orderkey % 97 = 0 THEN -o_totalprice ELSE o_totalprice END AS revenue,
     CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice * 1.2 ELSE o_totalprice * 0.7 END AS expenses,
-    CASE WHEN o_orderkey % 17 = 0 THEN o_totalprice * 2.0 ELSE o_totalprice * 0.1 END AS cash
+    CASE WHEN o_orderkey % 1009 = 0 THEN o_totalprice * 1e6 WHEN o_orderkey % 17 = 0 THEN o_totalprice * 2.0 ELSE o_totalprice * 0.1 END AS cash
   FROM orders)
 SELECT * FROM base UNION ALL SELECT * FROM base WHERE row_id % 20 = 0
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM base WHERE row_id % 500 = 0
 """,
     "segment_pnl": """
 SELECT s_nationkey AS entity_id, p_type AS business,
@@ -91,8 +94,13 @@ grid AS (
       WHEN 2 THEN CAST(CAST(l_quantity AS INT) AS STRING) ELSE CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END END
   FROM li CROSS JOIN cols)
 SELECT doc_id, 1 + doc_id % 30 AS page, CASE WHEN doc_id % 2 = 0 THEN 'lattice' ELSE 'stream' END AS strategy,
-       0 AS table_no, row_idx, col_idx, text
-FROM grid
+       0 AS table_no, row_idx, col_idx, text FROM grid
+UNION ALL SELECT doc_id, 0, 'lattice', 0, row_idx, col_idx, text FROM grid WHERE doc_id % 4 = 0 AND row_idx <= 1
+UNION ALL SELECT doc_id, 1 + doc_id % 30, CASE WHEN doc_id % 2 = 0 THEN 'lattice' ELSE 'stream' END, 1, row_idx, col_idx,
+       CASE WHEN row_idx = 1 THEN upper(text) ELSE text END FROM grid WHERE doc_id % 30 = 0
+UNION ALL SELECT doc_id, 2 + doc_id % 30, 'stream', 0, row_idx, col_idx, text FROM grid WHERE doc_id % 25 = 0
+UNION ALL SELECT doc_id, 1 + doc_id % 30, CASE WHEN doc_id % 2 = 0 THEN 'stream' ELSE 'lattice' END, 0, row_idx, col_idx, text
+FROM grid WHERE doc_id % 35 = 0
 """,
     "features": """
 SELECT l_orderkey * 10 + l_linenumber AS row_id, l_quantity AS x1,

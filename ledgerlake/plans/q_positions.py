@@ -164,8 +164,11 @@ SELECT entity_id, ds,
   {R('CASE WHEN mb > 0 THEN greatest(cb, 0) / mb ELSE 0 END', 6)} AS runway_months
 FROM (SELECT entity_id, ds,
         sum(revenue - expenses) OVER (PARTITION BY entity_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cb,
-        avg(expenses) OVER (PARTITION BY entity_id ORDER BY ds ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mb
-      FROM monthly_flows)""", "monthly_flows"))
+        sum(expenses) OVER (PARTITION BY entity_id ORDER BY ds RANGE BETWEEN INTERVAL 2 MONTH PRECEDING AND CURRENT ROW)
+          / least(3, date_diff('month', min(ds) OVER (PARTITION BY entity_id), ds) + 1) AS mb
+      FROM (SELECT * FROM monthly_flows WHERE (entity_id + month(ds)) % 5 <> 0))""", "monthly_flows"))
 def runway_series(spark, d):
-    r = P.runway_series(FX.monthly_flows(Tables(spark, d)))
+    """K5 over flows in which every entity lacks some calendar months."""
+    flows = FX.monthly_flows(Tables(spark, d)).where((F.col("entity_id") + F.month("ds")) % 5 != 0)
+    r = P.runway_series(flows)
     return r.select("entity_id", "ds", *[rnd(c, 6).alias(c) for c in ("cash_balance", "monthly_burn", "runway_months")])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerlake.functions.exprs import FLOAT_TEXT, rnd
+from ledgerlake.functions.exprs import FLOAT_TEXT, PLAIN_NUMBER, rnd
 from ledgerlake.functions.fixed import FINANCIAL_RULES, NA_STRINGS, TEXT_RULES
 from ledgerlake.operators import clean as CL
 from ledgerlake.operators import positions as P
@@ -27,12 +29,12 @@ def NUM(v):
     return f"regexp_matches(regexp_replace({v}, '[,$%]', '', 'g'), {sq(FLOAT_TEXT)})"
 
 
-def DATE(v):
+def DATE(v, first=None):
     from ledgerlake.functions.exprs import DATE_FORMATS, FORMAT_SHAPES, ISO_TIMESTAMP_FORMATS
     shapes = [FORMAT_SHAPES[f] for f in DATE_FORMATS + ISO_TIMESTAMP_FORMATS]
     return "coalesce(" + ", ".join(
         f"CASE WHEN regexp_matches(trim({v}), {sq(sh)}) THEN try_strptime(trim({v}), '{f}') END"
-        for f, sh in zip(DUCK_FORMATS, shapes)) + ")"
+        for f, sh in list(zip(DUCK_FORMATS, shapes))[:first]) + ")"
 
 
 def _messy(spark, d):
@@ -53,17 +55,20 @@ def csv_scan(spark, d):
     return IN.read_csv(spark, path, schema=m.schema)
 
 
-@register("ingest_manifest", """
-WITH f AS (SELECT regexp_extract(filename, '([^/]+)$', 1) AS file_name, size FROM read_blob('/root/testdata/sf0.01/*')),
-g AS (SELECT file_name, CASE WHEN contains(file_name, '.') THEN lower(string_split(file_name, '.')[-1]) ELSE '' END AS extension,
-        size AS size_bytes FROM f)
-SELECT file_name, extension, size_bytes,
-  NOT (size_bytes > 52428800) AND extension IN ('csv', 'xlsx', 'xls', 'pdf') AS is_valid,
-  concat_ws('; ', CASE WHEN size_bytes > 52428800 THEN 'File size exceeds maximum limit of 50MB' END,
-            CASE WHEN extension NOT IN ('csv', 'xlsx', 'xls', 'pdf') THEN 'Unsupported file type: ' || extension END) AS errors
-FROM g""")
-def ingest_manifest(spark, d):
-    return IN.ingest_manifest(spark, d)
+@register("csv_quarantine", with_fixtures("""
+SELECT row_id, CASE WHEN row_id % 29 = 0 OR row_id % 31 = 0 THEN NULL ELSE expenses END AS expenses,
+  nullif(concat_ws(',', CASE WHEN row_id % 31 = 0 AND row_id % 29 <> 0 THEN 'expenses' END,
+    CASE WHEN ends_with(amount_text, 'e2') THEN '_record' END), '') AS failed FROM messy""", "messy"))
+def csv_quarantine(spark, d):
+    """Numbers written as N/A or as other text, and lines with a cell too many, scanned with the failing fields named."""
+    k = F.col("row_id")
+    dirty = (F.when(k % 29 == 0, "N/A").when(k % 31 == 0, "oops").otherwise(F.col("expenses").cast("string")))
+    extra = F.when(F.col("amount_text").endswith("e2"), ",surplus").otherwise("")
+    lines = _messy(spark, d).select(F.concat(F.coalesce(k.cast("string"), F.lit("")), F.lit(","), F.coalesce(dirty, F.lit("")), extra))
+    path = scratch_path(spark, "csv_quarantine")
+    lines.write.text(path)
+    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("expenses", T.DoubleType())])
+    return IN.read_csv(spark, path, schema, corrupt_column="failed", header=False)
 
 
 _S3 = """sh AS (SELECT doc_id, page, strategy, table_no, count(DISTINCT row_idx) AS n_rows, count(DISTINCT col_idx) AS n_cols
@@ -97,8 +102,26 @@ JOIN rws r ON r.doc_id = c.doc_id AND r.row_idx = c.row_idx AND r.filled > 0
 LEFT JOIN nm ON nm.doc_id = c.doc_id AND nm.col_idx = c.col_idx
 WHERE c.row_idx > hdr.h""", "cells"))
 def promote_header(spark, d):
-    cells = materialize(FX.cells(Tables(spark, d)))  # read by table picking and header promotion
-    out = IN.promote_header(cells, IN.first_usable_table(cells))
+    out = IN.promote_header(FX.cells(Tables(spark, d)), first_only=True)
+    return out.select("doc_id", F.col("row_no").cast("bigint").alias("row_no"), "col_idx", "column_name", "value")
+
+
+@register("promote_all_headers", with_fixtures("""
+WITH c AS (SELECT cells.*, CASE WHEN regexp_matches(text, '^\\s*$') THEN NULL ELSE text END AS t FROM cells),
+rws AS (SELECT doc_id, page, strategy, table_no, row_idx, count(t) AS filled FROM c GROUP BY ALL),
+hdr AS (SELECT doc_id, page, strategy, table_no, coalesce(min(CASE WHEN filled > 2 THEN row_idx END), min(row_idx)) AS h
+        FROM rws GROUP BY ALL),
+b AS (SELECT c.*, hdr.h FROM c JOIN hdr USING (doc_id, page, strategy, table_no)
+      JOIN rws USING (doc_id, page, strategy, table_no, row_idx) WHERE filled > 0 AND c.row_idx > h),
+nm AS (SELECT c.doc_id, c.page, c.strategy, c.table_no, c.col_idx, c.t AS name
+       FROM c JOIN hdr ON hdr.doc_id = c.doc_id AND hdr.page = c.page AND hdr.strategy = c.strategy AND hdr.table_no = c.table_no
+         AND c.row_idx = hdr.h)
+SELECT b.doc_id, CAST(b.page AS BIGINT) AS page, b.strategy, b.table_no, CAST(b.row_idx - b.h - 1 AS BIGINT) AS row_no, b.col_idx,
+  coalesce(nm.name, 'col_' || b.col_idx) AS column_name, b.t AS value
+FROM b LEFT JOIN nm USING (doc_id, page, strategy, table_no, col_idx)""", "cells"))
+def promote_all_headers(spark, d):
+    """S4 over every table of every document."""
+    out = IN.promote_header(FX.cells(Tables(spark, d)))
     return out.withColumn("row_no", F.col("row_no").cast("bigint"))
 
 
@@ -140,9 +163,21 @@ def dedupe_rows(spark, d):
     return CL.dedupe_rows(_messy(spark, d))
 
 
-@register("clean_numeric_text", with_fixtures("""
+@register("clean_numeric_text_compat", with_fixtures("""
 SELECT row_id, TRY_CAST(regexp_replace(amount_text, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS amount_text,
   date_text, note, blank, revenue, expenses, cash FROM messy""", "messy"))
+def clean_numeric_text_compat(spark, d):
+    """C5 as the plain strip."""
+    return CL.clean_numeric_text(_messy(spark, d), compat=True)
+
+
+@register("clean_numeric_text", with_fixtures(f"""
+WITH t AS (SELECT *, trim(regexp_replace(amount_text, '[,$%]', '', 'g')) AS t0 FROM messy),
+u AS (SELECT *, CASE WHEN starts_with(t0, '(') AND ends_with(t0, ')') THEN t0[2:-2] ELSE t0 END AS t1,
+        CASE WHEN starts_with(t0, '(') AND ends_with(t0, ')') THEN -1 ELSE 1 END AS sign FROM t)
+SELECT row_id, sign * CASE WHEN regexp_matches(t1, {sq(PLAIN_NUMBER)}) THEN TRY_CAST(t1 AS DOUBLE)
+    ELSE TRY_CAST(regexp_replace(t1, '[^0-9.\\-]', '', 'g') AS DOUBLE) END AS amount_text,
+  date_text, note, blank, revenue, expenses, cash FROM u""", "messy"))
 def clean_numeric_text(spark, d):
     return CL.clean_numeric_text(_messy(spark, d))
 
@@ -159,12 +194,26 @@ def clean_pnl_columns(spark, d):
 
 @register("coerce_series", with_fixtures(f"""
 SELECT row_id, CAST({DATE('date_text')} AS DATE) AS ds,
-  CASE WHEN regexp_matches(amount_text, {sq(CL.NUMBER_TEXT)}) THEN TRY_CAST(trim(amount_text) AS DOUBLE) END AS y
+  CASE WHEN regexp_matches(amount_text, {sq(PLAIN_NUMBER)}) THEN TRY_CAST(trim(amount_text) AS DOUBLE) END AS y
 FROM messy WHERE {DATE('date_text')} IS NOT NULL""", "messy"))
 def coerce_series(spark, d):
     return CL.coerce_series(_messy(spark, d), "date_text", "amount_text", keys=["row_id"])
 
 
+@register("coercion_report", with_fixtures(f"""
+WITH c AS (SELECT date_text, amount_text, {DATE('date_text')} AS ds,
+    CASE WHEN regexp_matches(amount_text, {sq(PLAIN_NUMBER)}) THEN TRY_CAST(trim(amount_text) AS DOUBLE) END AS y FROM messy)
+SELECT count(*) AS n_rows, count_if(date_text IS NULL) AS null_dates, count_if(date_text IS NOT NULL AND ds IS NULL) AS rejected_dates,
+  count_if(amount_text IS NOT NULL AND y IS NULL) AS rejected_values, count_if(ds IS NOT NULL) AS n_kept FROM c""", "messy"))
+def coercion_report(spark, d):
+    """What the coercion loses, observed while its result is written."""
+    seen = Observation()
+    kept = materialize(CL.coerce_series(_messy(spark, d), "date_text", "amount_text", observation=seen))
+    got = seen.get
+    return kept.agg(F.count(F.lit(1)).alias("n_kept")).select(
+        F.lit(got["rows"]).alias("n_rows"), *[F.lit(got[c]).alias(c) for c in ("null_dates", "rejected_dates", "rejected_values")], "n_kept")
+
+
 @register("impute_mean", with_fixtures(f"""
 SELECT row_id, x1, {R('coalesce(x2, avg(x2) OVER ())', 6)} AS x2, x3, x4 FROM features""", "features"))
 def impute_mean(spark, d):
@@ -323,33 +372,70 @@ def missing_heavy_columns(spark, d):
     return m.select("column", "null_count", rnd("null_ratio", 6).alias("null_ratio"))
 
 
-@register("quality_score", with_fixtures(f"""
-WITH {_D2}, {_D5}, {_D6},
+_FOUND = " UNION ALL ".join(
+    ["SELECT 'empty_columns' AS code, NULL AS \"column\", 'error' AS severity, empty_cols AS n, empty_cols > 0 AS yes FROM ec",
+     """SELECT 'stored_as_text_' || flag, "column", 'warning', CASE WHEN flag = 'numeric' THEN numeric_count ELSE date_count END,
+  flag IS NOT NULL FROM d2c"""]
+    + [f"SELECT 'negative_values', '{c}', 'warning', count_if({c} < 0), count_if({c} < 0) > 0 FROM messy" for c in ("revenue", "cash")]
+    + [f"SELECT 'extreme_values', '{c}', 'warning', NULL, max({c}) > 1e10 FROM messy" for c in NUMS]
+    + ["""SELECT 'outliers', "column", 'warning', outliers, ratio > 0.1 FROM d5d""",
+       "SELECT 'low_completeness', NULL, 'warning', NULL, filled_cells / total_cells < 0.8 FROM d6",
+       "SELECT 'empty_rows', NULL, 'warning', er, er > 0 FROM ts", "SELECT 'loss_records', NULL, 'warning', loss, loss > 0 FROM ts",
+       "SELECT 'excess_cash', NULL, 'warning', excess, excess > 0 FROM ts",
+       "SELECT 'duplicate_rows', NULL, 'warning', dups, dups > 0 FROM dup"])
+_CHECKS = f"""{_D2}, {_D5}, {_D6},
 ts AS (SELECT count_if(revenue - expenses < 0) AS loss, count_if(cash > expenses / 12 * 24) AS excess,
          count_if({_ALLNULL}) AS er FROM messy),
 dup AS (SELECT (SELECT count(*) FROM messy) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS dups),
 ec AS (SELECT {" + ".join(f"CASE WHEN count({c}) = 0 THEN 1 ELSE 0 END" for c in ALL)} AS empty_cols FROM messy),
-cnt AS (SELECT
-   (SELECT CASE WHEN empty_cols > 0 THEN 1 ELSE 0 END FROM ec) AS errors,
-   (SELECT count(*) FROM d2c WHERE flag IS NOT NULL)
-   + (SELECT count_if(revenue < 0) > 0 FROM messy)::INT + (SELECT count_if(cash < 0) > 0 FROM messy)::INT
-   + (SELECT {" + ".join(f"(max({c}) > 1e10)::INT" for c in NUMS)} FROM messy)
-   + (SELECT count(*) FROM d5d WHERE ratio > 0.1)
-   + (SELECT (filled_cells / total_cells < 0.8)::INT FROM d6)
-   + (SELECT (er > 0)::INT + (loss > 0)::INT + (excess > 0)::INT FROM ts)
-   + (SELECT (dups > 0)::INT FROM dup) AS warnings,
-   (SELECT filled_cells / total_cells FROM d6) AS comp,
-   (SELECT count_if(flag = 'numeric') / count(*) FROM d2c) AS tir)
+found AS (SELECT code, "column", severity, n FROM ({_FOUND}) WHERE yes)"""
+
+
+@register("findings", with_fixtures(f"""
+WITH {_CHECKS}
+SELECT code, "column", severity, CAST(n AS BIGINT) AS n FROM found""", "messy"))
+def findings(spark, d):
+    """Every error and warning of a table, with its count."""
+    return Q.findings(materialize(_messy(spark, d)))
+
+
+@register("suggestions", with_fixtures(f"""
+WITH {_D2}, {_D5},
+s AS ({" UNION ALL ".join(f"""SELECT '{c}' AS c, count({c}) AS nn, count_if({NUM(c)}) AS num, count_if({DATE(c)} IS NOT NULL) AS dt FROM messy"""
+                         for c in TEXT)}),
+m AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, count(*) - count({c}) AS k, count(*) AS n FROM messy" for c in ALL)})
+SELECT 'convert_to_numeric' AS code, c AS "column", num AS n FROM s WHERE nn > 0 AND num / nn > 0.8
+UNION ALL SELECT 'convert_to_datetime', c, dt FROM s WHERE nn > 0 AND num / nn <= 0.8 AND dt / nn > 0.8
+UNION ALL SELECT 'impute_missing', c, k FROM m WHERE k > n * 0.1
+UNION ALL SELECT 'review_outliers', "column", outliers FROM d5d WHERE outliers > n_rows * 0.05""", "messy"))
+def suggestions(spark, d):
+    """What to convert, impute or review."""
+    return Q.suggestions(materialize(_messy(spark, d)))
+
+
+@register("quality_score", with_fixtures(f"""
+WITH {_CHECKS},
+cnt AS (SELECT (SELECT count_if(severity = 'error') FROM found) AS errors, (SELECT count_if(severity = 'warning') FROM found) AS warnings,
+   (SELECT filled_cells / total_cells FROM d6) AS comp, (SELECT count_if(flag = 'numeric') / count(*) FROM d2c) AS tir)
 SELECT CAST(errors AS BIGINT) AS errors, CAST(warnings AS BIGINT) AS warnings, {R('comp', 6)} AS completeness,
   {R('tir', 6)} AS type_issue_ratio,
   {R('greatest(0.0, least(1.0, 1.0 - errors * 0.2 - warnings * 0.05 - (1 - comp) * 0.3 - tir * 0.2))', 6)} AS quality_score
 FROM cnt""", "messy"))
 def quality_score(spark, d):
-    s = Q.quality_score(materialize(_messy(spark, d)))  # one profile reads it many times
+    s = Q.quality_score(materialize(_messy(spark, d)))  # one profile reads it several times
     return s.select("errors", "warnings", rnd("completeness", 6).alias("completeness"),
                     rnd("type_issue_ratio", 6).alias("type_issue_ratio"), rnd("quality_score", 6).alias("quality_score"))
 
 
+@register("structure_errors", with_fixtures("""
+SELECT 'row_count' AS check_name, count(*) AS value, count(*) < 1 AS failed FROM messy
+UNION ALL SELECT 'column_count', 3, false UNION ALL SELECT 'duplicate_names', 1, true
+UNION ALL SELECT 'blank_names', 1, true""", "messy"))
+def structure_errors(spark, d):
+    """D1 on a table with a repeated and a blank name."""
+    return Q.structure_check(_messy(spark, d).select("revenue", F.col("cash").alias("revenue"), F.col("note").alias("  ")))
+
+
 @register("financial_validation", with_fixtures(f"""
 WITH g AS (SELECT note, sum(CAST(floor(revenue * 10000.0 + 0.5) AS BIGINT)) / 10000.0 AS tr,
      sum(CAST(floor(expenses * 10000.0 + 0.5) AS BIGINT)) / 10000.0 AS te FROM messy GROUP BY 1)
@@ -377,9 +463,11 @@ def _d15_sql():
         if name == "category":
             parts.append(f"""SELECT '{name}', 'note', 'pattern', true, count(note),
       count_if(NOT regexp_matches(note, {sq(pat)})) FROM messy""")
+    parts.append(f"""SELECT 'date', 'date_text', 'date_format', true, count(date_text),
+      count_if(date_text IS NOT NULL AND {DATE('date_text', 6)} IS NULL) FROM messy""")
     return " UNION ALL ".join(parts)
 
 
 @register("rule_range_check", with_fixtures(_d15_sql(), "messy"))
 def rule_range_check(spark, d):
-    return Q.rule_range_check(_messy(spark, d), column_map={"category": "note"})
+    return Q.rule_range_check(_messy(spark, d), column_map={"category": "note", "date": "date_text"})

@@ -237,7 +237,7 @@ _PR = """CASE WHEN value >= p75 THEN CASE WHEN p75 > median THEN 75 + (value - p
      WHEN value >= p25 THEN CASE WHEN median > p25 THEN 25 + (value - p25) / (median - p25) * 25 ELSE 25.0 END
      ELSE CASE WHEN p25 > 0 THEN greatest(0.0, value / p25 * 25) ELSE 0.0 END END"""
 _CMP = f"""cmp AS (SELECT lg.entity_id, lg.segment, lg.metric, lg.value, bm.p25, bm.median, bm.p75,
-    least({_PR}, 100.0) AS pr FROM lg JOIN bm USING (segment, metric))"""
+    {_PR} AS pr FROM lg JOIN bm USING (segment, metric))"""
 
 
 def _long_r4(spark, d):
@@ -257,12 +257,12 @@ def industry_benchmarks(spark, d):
 @register("benchmark_compare", with_fixtures(f"""
 WITH {_R4}, {_CMP}
 SELECT entity_id, metric, {R('value', 6)} AS value, {R('pr', 4)} AS percentile_rank,
-  {band_sql('performance', 'pr')} AS performance FROM cmp""", "positions"))
+  {R('least(pr, 100.0)', 4)} AS clipped_rank, {band_sql('performance', 'pr')} AS performance FROM cmp""", "positions"))
 def benchmark_compare(spark, d):
     lg = _long_r4(spark, d)
     c = BM.benchmark_compare(lg, BM.industry_benchmarks(lg))
     return c.select("entity_id", "metric", rnd("value", 6).alias("value"),
-                    rnd("percentile_rank", 4).alias("percentile_rank"), "performance")
+                    rnd("percentile_rank", 4).alias("percentile_rank"), rnd("clipped_rank", 4).alias("clipped_rank"), "performance")
 
 
 @register("benchmark_overall", with_fixtures(f"""

@@ -68,13 +68,15 @@ def monthly_flows(t: Tables) -> DataFrame:
 
 
 def messy(t: Tables) -> DataFrame:
-    """messy(row_id, amount_text, date_text, note, blank, revenue, expenses, cash)."""
+    """messy(row_id, amount_text, date_text, note, blank, revenue, expenses, cash): some rows are repeated, some are
+    empty, some amounts are in brackets or have exponents, some revenues are negative, some cash is beyond 1e10."""
     k = F.col("o_orderkey")
     price_text = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     d = F.col("o_orderdate").cast("string")
     base = t.orders.select(
         k.alias("row_id"),
         F.when(k % 50 == 0, F.lit("n/a")).when(k % 11 == 0, F.lit(None).cast("string"))
+         .when(k % 23 == 0, F.concat(F.lit("("), price_text, F.lit(")"))).when(k % 37 == 0, F.concat(price_text, F.lit("e2")))
          .when(k % 3 == 0, F.concat(F.lit("$"), price_text)).otherwise(price_text).alias("amount_text"),
         F.when(k % 3 == 0, F.substring(d, 1, 10))
          .when(k % 3 == 1, F.concat(F.substring(d, 6, 2), F.lit("/"), F.substring(d, 9, 2), F.lit("/"),
@@ -82,10 +84,11 @@ def messy(t: Tables) -> DataFrame:
          .otherwise(F.substring(d, 1, 7)).alias("date_text"),
         F.when(k % 4 == 0, F.lit(None).cast("string")).otherwise(F.col("o_orderpriority")).alias("note"),
         F.lit(None).cast("string").alias("blank"),
-        F.col("o_totalprice").alias("revenue"),
+        F.when(k % 97 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("revenue"),
         F.when(k % 13 == 0, F.col("o_totalprice") * 1.2).otherwise(F.col("o_totalprice") * 0.7).alias("expenses"),
-        F.when(k % 17 == 0, F.col("o_totalprice") * 2.0).otherwise(F.col("o_totalprice") * 0.1).alias("cash"))
-    return base.unionByName(base.where(F.col("row_id") % 20 == 0))
+        F.when(k % 1009 == 0, F.col("o_totalprice") * 1e6).when(k % 17 == 0, F.col("o_totalprice") * 2.0).otherwise(F.col("o_totalprice") * 0.1).alias("cash"))
+    empty = base.where(F.col("row_id") % 500 == 0).select(*[F.lit(None).cast(t_).alias(c) for c, t_ in base.dtypes])
+    return base.unionByName(base.where(F.col("row_id") % 20 == 0)).unionByName(empty)
 
 
 def segment_pnl(t: Tables) -> DataFrame:
@@ -132,7 +135,11 @@ def questions(t: Tables) -> DataFrame:
 
 
 def cells(t: Tables) -> DataFrame:
-    """cells(doc_id, page, strategy, table_no, row_idx, col_idx, text): a raw cell grid per order."""
+    """cells(doc_id, page, strategy, table_no, row_idx, col_idx, text): a raw cell grid per order.
+
+    Some documents have more tables: one too short on an earlier page, a second one on the page, one on the next
+    page, and the same page read by the other strategy.
+    """
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                                                  "l_extendedprice")
     li = t.lineitem.select(
@@ -156,10 +163,19 @@ def cells(t: Tables) -> DataFrame:
          .otherwise(F.when(F.col("l_returnflag") == "N", F.lit("")).otherwise(F.col("l_returnflag")))
          .alias("text"))
     grid = head.unionByName(body)
-    return grid.select(
-        "doc_id", (1 + F.col("doc_id") % 30).alias("page"),
-        F.when(F.col("doc_id") % 2 == 0, "lattice").otherwise("stream").alias("strategy"),
-        F.lit(0).alias("table_no"), "row_idx", "col_idx", "text")
+    k, row = F.col("doc_id"), F.col("row_idx")
+    page, even = 1 + k % 30, k % 2 == 0
+    strategy = F.when(even, "lattice").otherwise("stream")
+    place = lambda p, s, n: F.struct(p.cast("bigint").alias("page"), s.alias("strategy"), F.lit(n).alias("table_no"))
+    places = F.array(
+        place(page, strategy, 0),
+        F.when((k % 4 == 0) & (row <= 1), place(F.lit(0), F.lit("lattice"), 0)),
+        F.when(k % 30 == 0, place(page, strategy, 1)),
+        F.when(k % 25 == 0, place(page + 1, F.lit("stream"), 0)),
+        F.when(k % 35 == 0, place(page, F.when(even, "stream").otherwise("lattice"), 0)))
+    return grid.select("*", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("at")).select(
+        "doc_id", "at.page", "at.strategy", "at.table_no", "row_idx", "col_idx",
+        F.when((F.col("at.table_no") == 1) & (row == 1), F.upper("text")).otherwise(F.col("text")).alias("text"))
 
 
 def features(t: Tables) -> DataFrame:

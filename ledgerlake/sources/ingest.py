@@ -6,33 +6,59 @@ parsed on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlake.functions.exprs import PLAIN_NUMBER
 from ledgerlake.functions.fixed import ALLOWED_EXTENSIONS, MAX_UPLOAD_BYTES, NA_STRINGS
 
 
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType, na_values=NA_STRINGS,
+             rejected: str = "_rejected", header: bool = True) -> DataFrame:
+    """CSV with a declared schema, read as text first.
+
+    Missing-value text becomes NULL in columns of every type, then cells are cast. ``rejected`` lists the
+    fields of a row whose text is not of their type (their cell is NULL), and ``_record`` for a line with too few
+    or too many cells.
+    """
+    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField("_record", T.StringType())])
+    text = (spark.read.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record")
+            .schema(raw).csv(path))
+    cells, bad = [], []
+    for f in schema.fields:
+        t = F.when(~F.col(f.name).isin(list(na_values)), F.col(f.name))
+        v = t
+        if isinstance(f.dataType, T.NumericType):
+            v = F.when(t.rlike(PLAIN_NUMBER), F.trim(t).try_cast(f.dataType))
+        elif not isinstance(f.dataType, T.StringType):
+            v = F.trim(t).try_cast(f.dataType)
+        cells.append(v.alias(f.name))
+        bad.append(F.when(t.isNotNull() & v.isNull(), F.lit(f.name)))
+    bad.append(F.when(F.col("_record").isNotNull(), F.lit("_record")))
+    return text.select(*cells, F.filter(F.array(*bad), lambda b: b.isNotNull()).alias(rejected))
+
+
+def split_rejected(scanned: DataFrame, rejected: str = "_rejected") -> tuple[DataFrame, DataFrame]:
+    """The good rows of a scan, and the quarantined rows with the failing fields named."""
+    bad = F.size(rejected) > 0
+    return scanned.where(~bad).drop(rejected), scanned.where(bad)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, na_values=NA_STRINGS,
-             corrupt_column: str | None = None) -> DataFrame:
-    """CSV with a header; declared schema (or inference); pandas' NA strings -> NULL.
+             corrupt_column: str | None = None, header: bool = True) -> DataFrame:
+    """CSV files, with a header line each unless told otherwise; declared schema (or inference); missing-value text -> NULL.
 
-    PERMISSIVE mode keeps malformed rows; with ``corrupt_column`` their raw text
-    is kept in that column for a quarantine output.
+    With a schema all rows are kept, a cell that is not of its type is NULL, and ``corrupt_column`` names the failing
+    fields of a row (NULL for a good one); see ``scan_csv``.
     """
-    r = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if schema is not None:
-        if corrupt_column:
-            schema = T.StructType(list(schema.fields) + [T.StructField(corrupt_column, T.StringType())])
-            r = r.option("columnNameOfCorruptRecord", corrupt_column)
-        r = r.schema(schema)
-    else:
-        r = r.option("inferSchema", True)
-    df = r.csv(path)
-    na = list(na_values)
-    return df.select(*[F.when(F.col(f.name).isin(na), F.lit(None)).otherwise(F.col(f.name)).alias(f.name)
-                       if isinstance(f.dataType, T.StringType) and f.name != corrupt_column else F.col(f.name)
-                       for f in df.schema.fields])
+        df = scan_csv(spark, path, schema, na_values, header=header)
+        named = F.when(F.size("_rejected") > 0, F.array_join("_rejected", ","))
+        return df.withColumn(corrupt_column, named).drop("_rejected") if corrupt_column else df.drop("_rejected")
+    df = spark.read.option("header", header).option("inferSchema", True).csv(path)
+    return df.select(*[F.when(~F.col(f.name).isin(list(na_values)), F.col(f.name)).alias(f.name)
+                       if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -55,26 +81,46 @@ def ingest_manifest(spark: SparkSession, landing_dir: str, allowed=ALLOWED_EXTEN
     return out.select("*", (~too_big & ~bad_ext).alias("is_valid"), errors.alias("errors"))
 
 
-def first_usable_table(cells: DataFrame, first_page: int | None = None, last_page: int | None = None, min_rows: int = 3,
-                       min_cols: int = 3) -> DataFrame:
-    """S3: per document, the first table (by page, then lattice before stream) with > 3 rows and > 3 columns.
+TABLE = ["doc_id", "page", "strategy", "table_no"]
 
-    All pages are read unless the caller names a first or last one.
-    """
-    keys = ["doc_id", "page", "strategy", "table_no"]
-    shape = cells.groupBy(*keys).agg(F.count_distinct("row_idx").alias("n_rows"),
-                                     F.count_distinct("col_idx").alias("n_cols"))
+
+def table_rows(cells: DataFrame) -> DataFrame:
+    """Cell grids at row grain: one row per table row with its cells in order (blank text NULL) and how many are filled."""
+    c = cells.select(*TABLE, "row_idx", "col_idx", F.when(~F.col("text").rlike(r"^\s*$"), F.col("text")).alias("text"))
+    return c.groupBy(*TABLE, "row_idx").agg(
+        F.array_sort(F.collect_list(F.struct("col_idx", "text"))).alias("cells"), F.count("text").alias("filled"))
+
+
+def table_shapes(rows: DataFrame, min_cells: int = 2) -> DataFrame:
+    """Per table its rows, columns and header: the first row with > ``min_cells`` filled cells, else its first row."""
+    columns = F.collect_set(F.transform("cells", lambda c: c["col_idx"]))  # rows of a table mostly share one set
+    full = F.when(F.col("filled") > min_cells, F.col("row_idx"))
+    return rows.groupBy(*TABLE).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.size(F.array_distinct(F.flatten(columns))).cast("long").alias("n_cols"),
+        F.coalesce(F.min(full), F.min("row_idx")).alias("header_idx"),
+        F.coalesce(F.min_by("cells", full), F.min_by("cells", "row_idx")).alias("header"))
+
+
+def _first_usable(shapes: DataFrame, first_page, last_page, min_rows: int, min_cols: int) -> DataFrame:
+    """Per document the first usable table ``b``: by page, then lattice before stream; NULL if there is none."""
     srank = F.when(F.col("strategy") == "lattice", 0).otherwise(1)
-    usable = ((F.col("table_no") == 0)
-              & (F.col("n_rows") > min_rows) & (F.col("n_cols") > min_cols))
+    usable = (F.col("table_no") == 0) & (F.col("n_rows") > min_rows) & (F.col("n_cols") > min_cols)
     if first_page is not None:
         usable &= F.col("page") >= first_page
     if last_page is not None:
         usable &= F.col("page") <= last_page
-    # one aggregate per document: tables that are not usable have a NULL ordering and never win,
-    # so a document without any usable table keeps its row with b = NULL (no extra pass, no join)
-    j = shape.groupBy("doc_id").agg(F.min_by(F.struct("page", "strategy", "table_no", "n_rows", "n_cols"),
-                                             F.when(usable, F.struct("page", srank.alias("r")))).alias("b"))
+    # tables that are not usable have a NULL ordering and never win, so a document without any keeps its row
+    own = F.struct(*[c for c in shapes.columns if c != "doc_id"])
+    return shapes.groupBy("doc_id").agg(F.min_by(own, F.when(usable, F.struct("page", srank.alias("r")))).alias("b"))
+
+
+def first_usable_table(cells: DataFrame, first_page: int | None = None, last_page: int | None = None, min_rows: int = 3,
+                       min_cols: int = 3) -> DataFrame:
+    """S3: per document, the first table (by page, then lattice before stream) with > 3 rows and > 3 columns.
+
+    All pages are read unless the caller names a first or last one.
+    """
+    j = _first_usable(table_shapes(table_rows(cells)).drop("header", "header_idx"), first_page, last_page, min_rows, min_cols)
     # documents without a usable table keep a row: found = false, page 0, table -1, shape 0 x 0
     return j.select("doc_id", F.coalesce("b.page", F.lit(0)).cast("bigint").alias("page"), "b.strategy",
                     F.coalesce("b.table_no", F.lit(-1)).cast("int").alias("table_no"),
@@ -82,32 +128,32 @@ def first_usable_table(cells: DataFrame, first_page: int | None = None, last_pag
                     F.col("b").isNotNull().alias("found"))
 
 
-def promote_header(cells: DataFrame, chosen: DataFrame | None = None, min_cells: int = 2) -> DataFrame:
-    """Blanks -> NULL; header = first row with > 2 filled cells (row 0 if none);
-    rows above it dropped, all-NULL rows dropped. Long output (doc_id, row_no, col_idx, column_name, value).
+def promote_header(cells: DataFrame, first_only: bool = False, min_cells: int = 2, first_page: int | None = None,
+                   last_page: int | None = None, min_rows: int = 3, min_cols: int = 3) -> DataFrame:
+    """Blanks -> NULL; header = first row with > 2 filled cells (the first row if none); rows above it and
+    all-NULL rows go. Long output: the table's keys, row_no, col_idx, column_name, value.
 
-    Two data-sized shuffles: the per-row fill count (a window over (doc, row),
-    so a large document is spread over its rows) and one join of the cells to a
-    per-document table (header row + column-name map, bounded by the width of
-    a table).
+    ``first_only`` keeps each document's first usable table (S3). Work is at row grain: the cells are shuffled
+    once into rows; the tables' headers are an aggregate of these, and one join brings rows and headers together.
     """
-    keys = ["doc_id", "page", "strategy", "table_no"]
-    c = cells if chosen is None else cells.join(chosen.where("found").select(*keys), keys, "left_semi")
-    c = c.select("doc_id", "row_idx", "col_idx",
-                 F.when(F.col("text").rlike(r"^\s*$"), F.lit(None)).otherwise(F.col("text")).alias("text"))
-    c = c.withColumn("filled", F.count("text").over(Window.partitionBy("doc_id", "row_idx")))
-    hdr = c.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("filled") > min_cells, F.col("row_idx"))),
-                                             F.min("row_idx")).alias("header_idx"))
-    default_name = F.concat(F.lit("col_"), F.col("col_idx").cast("string"))
-    # per-document tables grow with the number of documents: never broadcast them
-    names = (c.join(hdr.hint("merge"), "doc_id").where(F.col("row_idx") == F.col("header_idx"))
-              .groupBy("doc_id", "header_idx")
-              .agg(F.map_from_entries(F.collect_list(F.struct("col_idx", F.coalesce(F.col("text"), default_name))))
-                   .alias("names")))
-    body = c.join(names.hint("merge"), "doc_id").where((F.col("row_idx") > F.col("header_idx")) & (F.col("filled") > 0))
-    return body.select("doc_id", (F.col("row_idx") - F.col("header_idx") - 1).alias("row_no"), "col_idx",
-                       F.coalesce(F.element_at("names", F.col("col_idx")), default_name).alias("column_name"),
-                       F.col("text").alias("value"))
+    rows = table_rows(cells)
+    shapes = table_shapes(rows, min_cells)
+    if first_only:
+        found = _first_usable(shapes, first_page, last_page, min_rows, min_cols).where(F.col("b").isNotNull())
+        # joined by document alone, as the tables are dealt already; a document has one first table
+        tables = found.select("doc_id", *[F.col(f"b.{c}").alias(f"_{c}") for c in [*TABLE[1:], "header_idx", "header"]])
+        both = rows.join(tables, "doc_id").where(
+            " AND ".join(f"{c} = _{c}" for c in TABLE[1:])).drop(*[f"_{c}" for c in TABLE[1:]])
+        both = both.withColumnsRenamed({"_header_idx": "header_idx", "_header": "header"})
+    else:
+        both = rows.join(shapes.drop("n_rows", "n_cols"), TABLE)
+    default_name = lambda i: F.concat(F.lit("col_"), i.cast("string"))
+    names = F.map_from_entries(F.transform("header", lambda c: F.struct(
+        c["col_idx"], F.coalesce(c["text"], default_name(c["col_idx"])))))
+    body = both.where((F.col("row_idx") > F.col("header_idx")) & (F.col("filled") > 0)).withColumn("names", names)
+    return body.select(*TABLE, (F.col("row_idx") - F.col("header_idx") - 1).alias("row_no"), "names", F.explode("cells").alias("c")).select(
+        *TABLE, "row_no", "c.col_idx", F.coalesce(F.try_element_at("names", "c.col_idx"), default_name(F.col("c.col_idx"))).alias("column_name"),
+        F.col("c.text").alias("value"))
 
 
 def result_sink(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:

@@ -75,3 +75,71 @@ def test_incomplete_beta(spark):
     at = lambda a: [r[0] for r in df.select(beta_half(F.lit(a), F.col("x"), 1 - F.col("x"))).collect()]
     assert at(2.0) == pytest.approx(want, abs=1e-12)
     assert at(0.5) == pytest.approx(2 / np.pi * np.arcsin(np.sqrt(x)), abs=1e-12)
+
+
+def test_empty_table_does_not_score_best(spark):
+    df = spark.createDataFrame([], "revenue double, note string")
+    s = QU.quality_score(df).first()
+    assert (s["quality_score"], s["errors"], s["completeness"]) == (0.0, 1, None)
+    assert [tuple(r) for r in QU.findings(df).collect()] == [("empty_table", None, "error", 0)]
+    assert QU.suggestions(df).collect() == []
+
+
+def test_every_finding_and_suggestion(spark):
+    rows = [(float(i % 5), f"{i}.5", f"2024-01-{i % 28 + 1:02d}", None, None, 3e10 if i == 7 else 1.0) for i in range(100)]
+    rows += [(-1.0, "x", None, None, None, 1.0), (None,) * 6, (-1.0, "x", None, None, None, 1.0)] + [(900.0 + i, "1", None, None, "t", 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "revenue double, amount string, day string, blank string, rare string, cash double")
+    found = {(r["code"], r["column"]): (r["severity"], r["n"]) for r in QU.findings(df).collect()}
+    assert found == {
+        ("empty_columns", None): ("error", 1), ("stored_as_text_numeric", "amount"): ("warning", 120),
+        ("stored_as_text_date", "day"): ("warning", 100), ("negative_values", "revenue"): ("warning", 2),
+        ("extreme_values", "cash"): ("warning", None), ("outliers", "revenue"): ("warning", 20),
+        ("low_completeness", None): ("warning", None), ("empty_rows", None): ("warning", 1), ("duplicate_rows", None): ("warning", 1)}
+    told = {(r["code"], r["column"]) for r in QU.suggestions(df).collect()}
+    assert told == {("convert_to_numeric", "amount"), ("convert_to_datetime", "day"), ("impute_missing", "day"),
+                    ("impute_missing", "blank"), ("impute_missing", "rare"), ("review_outliers", "revenue")}
+
+
+def test_runway_of_a_gapped_entity_averages_calendar_months(spark):
+    from ledgerlake.operators.positions import runway_series
+    rows = [(1, dt.date(2024, 1, 1), 100.0, 30.0), (1, dt.date(2024, 2, 1), 0.0, 60.0), (1, dt.date(2024, 5, 1), 0.0, 9.0),
+            (1, dt.date(2024, 6, 1), 0.0, 12.0)]
+    got = runway_series(spark.createDataFrame(rows, "entity_id long, ds date, revenue double, expenses double")).orderBy("ds").collect()
+    assert [r["monthly_burn"] for r in got] == [30.0, 45.0, 3.0, 7.0]
+
+
+def test_coercion_counts_what_it_loses(spark):
+    from pyspark.sql import Observation
+    from ledgerlake.operators import clean as CL
+    df = spark.createDataFrame([("2024-01-05", "1.5"), (None, "2"), ("soon", "3"), ("2024-02-01", "many"), ("2024-03-01", None)], "d string, v string")
+    seen = Observation()
+    kept = CL.coerce_series(df, "d", "v", observation=seen)
+    assert sorted((str(r.ds), r.y) for r in kept.collect() if r.y) == [("2024-01-05", 1.5)]
+    assert seen.get == {"rows": 5, "null_dates": 1, "rejected_dates": 1, "rejected_values": 1}
+
+
+def test_text_to_number_keeps_signs_and_exponents(spark):
+    from ledgerlake.functions.exprs import strip_to_number, text_to_number
+    rows = ["1e5", "(100)", "12%", "$1,234.5", "1_000", "-3", "($2.5e1)", "abc", "", None, "Rs 7"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i")
+    got = [tuple(r) for r in df.select(text_to_number("t"), strip_to_number("t")).collect()]
+    assert [g[0] for g in got] == [1e5, -100.0, 12.0, 1234.5, 1000.0, -3.0, -25.0, None, None, None, 7.0]
+    assert [g[1] for g in got] == [15.0, 100.0, 12.0, 1234.5, 1000.0, -3.0, 2.51, None, None, None, 7.0]
+
+
+def test_long_band_tables_are_not_broadcast(spark, monkeypatch):
+    from ledgerlake.functions import bands as BD
+    table = BD.bands_table(spark)
+    df = spark.createDataFrame([("risk_score", 0.5), ("risk_score", 0.1)], "metric string, value double")
+    want = sorted(map(str, BD.band_lookup(df, table).collect()))
+    monkeypatch.setattr(BD, "FEW_BANDS", 3)
+    assert sorted(map(str, BD.band_lookup(df, table).collect())) == want
+
+
+def test_scenarios_in_blocks(spark, monkeypatch):
+    pos = spark.createDataFrame([(i, 100.0, 50.0, 10.0) for i in range(5)], "entity_id long, revenue double, expenses double, cash double")
+    sc = spark.range(70).select(F.col("id").cast("int").alias("scenario_id"), F.concat(F.lit("s"), "id").alias("name"),
+                                F.col("id").cast("int").alias("revenue_change"), F.lit(None).cast("int").alias("expense_change"))
+    want = sorted(map(str, SC.stress_test(pos, sc).collect()))
+    monkeypatch.setattr(SC, "BLOCK", 8)
+    assert sorted(map(str, SC.stress_test(pos, sc).collect())) == want and len(want) == 350

@@ -102,10 +102,7 @@ def test_esg(spark):
 def test_percentile_rank(spark):
     df = spark.createDataFrame([(v,) for v in (0.3, 0.22, 0.15, 0.05, -0.1, 0.5)], "v double")
     ranks = [r[0] for r in df.select(BM.percentile_rank(F.col("v"), F.lit(0.1), F.lit(0.2), F.lit(0.25))).collect()]
-    assert ranks == pytest.approx([100, 60, 37.5, 12.5, 0, 100])
-    compat = [r[0] for r in df.select(BM.percentile_rank(F.col("v"), F.lit(0.1), F.lit(0.2), F.lit(0.25),
-                                                         compat=True)).collect()]
-    assert compat[-1] == pytest.approx(200)
+    assert ranks == pytest.approx([100, 60, 37.5, 12.5, 0, 200])  # beyond p75 the rank goes on above 100
 
 
 def test_monthly_resample_fills_gaps(spark):

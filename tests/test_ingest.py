@@ -40,3 +40,45 @@ def test_csv_na_strings_and_quarantine(spark):
     assert rows[2]["name"] is None and rows[3]["name"] is None
     assert rows[3]["amount"] is None and rows[3]["_bad"] is not None
     assert rows[4]["amount"] is None and rows[4]["_bad"] is None
+
+
+def test_na_text_in_number_columns_is_missing_and_not_quarantined(spark):
+    d = _local(scratch_path(spark, "csvna"))
+    os.makedirs(d)
+    with open(os.path.join(d, "x.csv"), "w") as f:
+        f.write("id,amount,day,ok\n1,N/A,2024-01-05,true\n2,1e3,nan,false\n3,12 apples,2024-13-01,maybe\n4,5\n5,6,2024-02-01,true,9\n")
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("amount", T.DoubleType()),
+                           T.StructField("day", T.DateType()), T.StructField("ok", T.BooleanType())])
+    good, bad = IN.split_rejected(IN.scan_csv(spark, d, schema))
+    assert [(r.id, r.amount, str(r.day), r.ok) for r in good.orderBy("id").collect()] == [
+        (1, None, "2024-01-05", True), (2, 1000.0, "None", False)]
+    assert {r.id: r._rejected for r in bad.collect()} == {3: ["amount", "day", "ok"], 4: ["_record"], 5: ["_record"]}
+
+
+def test_headers_of_several_tables_of_a_document(spark):
+    def grid(page, strategy, no, rows):
+        return [("d", page, strategy, no, i, j, t) for i, row in enumerate(rows) for j, t in enumerate(row)]
+    wide = [["Title", " ", "", ""], ["A", "B", "C", ""], ["1", "2", "", "4"], ["", " ", "", ""], ["5", "6", "7", "8"]]
+    cells = (grid(2, "stream", 0, wide) + grid(1, "lattice", 0, wide[:2]) + grid(2, "lattice", 1, wide)
+             + grid(3, "lattice", 0, [["x", "y", "z", "w"]] * 5)
+             + [("e", 1, "lattice", 0, 0, 0, "alone"), ("e", 1, "lattice", 0, 1, 0, "cell")])
+    df = spark.createDataFrame(cells, "doc_id string, page long, strategy string, table_no int, row_idx int, col_idx int, text string")
+    first = {r.doc_id: (r.page, r.strategy, r.table_no, r.n_rows, r.n_cols, r.found) for r in IN.first_usable_table(df).collect()}
+    assert first == {"d": (2, "stream", 0, 5, 4, True), "e": (0, None, -1, 0, 0, False)}
+    got = sorted((r.row_no, r.col_idx, r.column_name, r.value) for r in IN.promote_header(df, first_only=True).collect())
+    assert got == [(0, 0, "A", "1"), (0, 1, "B", "2"), (0, 2, "C", None), (0, 3, "col_3", "4"),
+                   (2, 0, "A", "5"), (2, 1, "B", "6"), (2, 2, "C", "7"), (2, 3, "col_3", "8")]
+    whole = IN.promote_header(df)
+    assert whole.select("doc_id", "page", "strategy", "table_no").distinct().count() == 4  # the short table has no body
+    alone = whole.where("doc_id = 'e'").collect()
+    assert [(r.row_no, r.column_name, r.value) for r in alone] == [(0, "alone", "cell")]
+
+
+def test_header_promotion_shuffles_four_times(spark):
+    from ledgerlake.sources import fixtures as FX
+    from ledgerlake.sources.tables import Tables
+    cells = FX.cells(Tables(spark, "/root/testdata/sf0.001")).checkpoint()
+    out = IN.promote_header(cells, first_only=True)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 * 4 + 1  # the final plan and the initial one
