@@ -7,19 +7,18 @@
 2. A band is four minima, one of each rotation. The minima form a grid of ``ROWS`` by four; bands
    are its rows and its diagonals, so each minimum serves in two bands. Lines of similarity 0.8
    share a band with probability 0.991, of 0.85 with 0.998, of 0.9 with 0.9998.
-3. In a bucket every line is paired with the bucket's hub, the line that meets most others over all
-   its buckets (a star, not all pairs), and the exact Jaccard similarity of the shingle sets is
-   computed. Links from ``SIMILARITY`` on join. Versions of one line share its hub in all buckets.
-   The lines that this leaves outside the hub's component are put through the same once more among
-   themselves, for buckets in which several families of lines meet.
+3. The shingle sets of lines that share a bucket are hashed once and written. A bucket's hub is its line that
+   meets most others over all its buckets (pairs with a hub form a star, not all pairs). Every line is compared
+   with one hub, then with its other hubs and with a second hub of the lines outside the first one's component, but
+   only across components. Pairs whose sizes rule the similarity out are not looked at.
 4. A line may still be similar to another line of its hub though not to the hub. Then the two must share
    more than a given part of their differences from the hub (see ``_open_pairs``), so an index over
    that part of the differences finds every such pair, and the exact similarity decides. No link of a
    bucket is lost: lines left outside meet the hub's component at the first hub and one another at the second.
 5. Components come from distributed star contraction; the first line of each stays.
 
-Lines are identified by a 64-bit hash in steps 1 to 4 and by that hash and a second one when equal
-lines are put together, so a clash costs a fuzzy link at worst.
+Lines are identified by a 64-bit hash in steps 1 to 4 and by that hash and a second one where lines are
+dropped, so a clash costs a fuzzy link at worst.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import staged, text_or_empty
+from ledgerlake.llm.common import discard, staged, text_or_empty
 from ledgerlake.llm.components import components
 
 SHINGLE, ROWS, SIMILARITY = 8, 6, 0.8
@@ -81,19 +80,26 @@ def _bands(lines: DataFrame) -> DataFrame:
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """Lines that share a bucket with another: _k, _line, _in (its buckets)."""
-    distinct = lines.groupBy("_k").agg(F.max("_line").alias("_line"))
+    """Lines that share a bucket with another: _k, _k2, _in (its buckets), _s (its shingles' hashes), _n (their number).
+
+    Of lines with one ``_k`` the least ``_k2`` stands here; the others link with none.
+    """
+    distinct = lines.select("_k", "_line").distinct()
     shared = (_bands(distinct).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_band")))
               .where("_n > 1").groupBy("_k").agg(F.collect_list("_band").alias("_in")))
-    return distinct.join(shared, "_k")
+    both = distinct.join(shared, "_k").select("_k", F.struct(F.xxhash64(F.lit(1), F.col("_line")).alias("_k2"), "_line", "_in").alias("_l"))
+    one = both.groupBy("_k").agg(F.min("_l").alias("_l")).select("_k", "_l.*")
+    return one.select("_k", "_k2", "_in", F.array_distinct(_shingles(F.col("_line"))).alias("_s")).withColumn("_n", F.size("_s"))
 
 
 def hubs(within: DataFrame) -> DataFrame:
-    """(_band, _k) lines in buckets -> with _hub, the bucket's line that meets most lines in all its buckets."""
+    """(_band, _k, _n) lines in buckets -> with the bucket's line that meets most lines in all its buckets: _hub, its
+    size _hn, and how many it meets, _met."""
     bucket = Window.partitionBy("_band")
-    met = within.withColumn("_n", F.count(F.lit(1)).over(bucket)).where("_n > 1").withColumn(
-        "_met", F.sum("_n").over(Window.partitionBy("_k")))
-    return met.select("_band", "_k", F.max(F.struct("_met", "_k")).over(bucket)["_k"].alias("_hub")).where("_k <> _hub")
+    met = within.withColumn("_many", F.count(F.lit(1)).over(bucket)).where("_many > 1").withColumn(
+        "_met", F.sum("_many").over(Window.partitionBy("_k")))
+    hub = F.max(F.struct("_met", F.col("_k").alias("_hub"), F.col("_n").alias("_hn"))).over(bucket)
+    return met.select("_band", "_k", "_n", hub.alias("_h")).select("_band", "_k", "_n", "_h.*").where("_k <> _hub")
 
 
 def _shingles(line: Column) -> Column:
@@ -102,40 +108,51 @@ def _shingles(line: Column) -> Column:
         _offsets((F.octet_length(u) / 4).cast("int")), lambda p: _shingle_hash(u, p)))[0]
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Exact similarity of the shingle sets of two lines."""
-    def similarity(s):
-        return F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"]))
-
-    return F.transform(F.array(F.struct(_shingles(a).alias("a"), _shingles(b).alias("b"))), similarity)[0]
+def _sizes_allow(n: Column, other: Column, similarity: float) -> Column:
+    """Sets of similarity s or more: the smaller has at least s times the members of the larger."""
+    return F.least(n, other) >= similarity * F.greatest(n, other) - 1e-6
 
 
-def _with_lines(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    text = found.select("_k", "_line")
-    return pairs.join(text.toDF("_a", "_x"), "_a").join(text.toDF("_b", "_y"), "_b")
+def _with_sets(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    sets = found.select("_k", "_s")
+    return pairs.join(sets.toDF("_a", "_x"), "_a").join(sets.toDF("_b", "_y"), "_b")
 
 
 def _similar(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """The (_a, _b) pairs of lines that are similar."""
-    return _with_lines(pairs, found).where(jaccard(F.col("_x"), F.col("_y")) >= similarity).select("_a", "_b")
+    """The (_a, _b) pairs of lines whose shingle sets have at least this Jaccard similarity, exactly."""
+    shared = F.size(F.array_intersect("_x", "_y"))
+    return _with_sets(pairs, found).where(
+        shared >= similarity * (F.size("_x") + F.size("_y") - shared)).select("_a", "_b")
 
 
 def line_links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of the lines that are similar to another: see ``components``."""
     found = staged(candidates(lines), "line-candidates")
-    first = staged(hubs(found.select("_k", F.explode("_in").alias("_band"))), "line-hubs")
-    star = _star(first)
-    roots = components(_similar(star, found, similarity), "line-near")
-    second = _star(hubs(_placed(first, roots).where("_out").select("_band", "_k")))
-    second = staged(second, "line-second")
-    roots = components(roots.toDF("_a", "_b").unionByName(_similar(second, found, similarity)), "line-near")
-    pairs = _open_pairs(star, roots, found, similarity, False).union(_open_pairs(second, roots, found, similarity, True))
+    return _links(found, similarity)[0]
+
+
+def _links(found: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The links' components, and (_k, _k2) of all lines in them."""
+    fits = _sizes_allow(F.col("_n"), F.col("_hn"), similarity)
+    first = hubs(found.select("_k", "_n", F.explode("_in").alias("_band")))
+    # A line is compared with one hub first: the one of its buckets that meets most lines.
+    lead = F.max(F.when(fits, F.struct("_met", "_hub"))).over(Window.partitionBy("_k"))["_hub"]
+    first = staged(first.withColumns({"_fits": fits, "_lead": F.coalesce(lead == F.col("_hub"), F.lit(False))}), "line-hubs")
+    star = first.where("_fits AND _lead").select(F.col("_hub").alias("_a"), F.col("_k").alias("_b")).distinct()
+    near = components(_similar(star, found, similarity), "line-near")
+    # Then with the other hubs, and with a second one among the lines outside the hub's component, but only where
+    # two components are left.
+    apart = staged(_placed(first, near).where("_out").select("_band", "_k", "_n", "_hub", "_fits", "_lead"), "line-apart")
+    second = staged(hubs(apart.select("_band", "_k", "_n")).withColumn("_fits", fits), "line-second")
+    rest = apart.where("_fits AND NOT _lead").select("_hub", "_k").union(
+        _placed(second, near).where("_fits AND _out").select("_hub", "_k")).distinct()
+    roots = components(near.toDF("_a", "_b").union(_similar(rest.toDF("_a", "_b"), found, similarity)), "line-near")
+    discard(near, apart)
+    pairs = _open_pairs(first, roots, found, similarity, False).union(_open_pairs(second, roots, found, similarity, True))
     more = _similar(pairs.distinct(), found, similarity)
-    return components(roots.toDF("_a", "_b").unionByName(more), "line-components")
-
-
-def _star(hubs_: DataFrame) -> DataFrame:
-    return hubs_.select(F.col("_hub").alias("_a"), F.col("_k").alias("_b")).distinct()
+    out = components(roots.toDF("_a", "_b").union(more), "line-components")
+    ends = out.select(F.col("node").alias("_k")).union(out.select("root")).distinct()
+    return out, found.select("_k", "_k2").join(ends, "_k", "left_semi")
 
 
 def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -146,7 +163,7 @@ def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
         *rows.columns, F.coalesce("_rk", "_k").alias("_c"), (F.coalesce("_rk", "_k") != F.coalesce("_rh", "_hub")).alias("_out"))
 
 
-def _open_pairs(star: DataFrame, roots: DataFrame, found: DataFrame, similarity: float, outside: bool) -> DataFrame:
+def _open_pairs(first: DataFrame, roots: DataFrame, found: DataFrame, similarity: float, outside: bool) -> DataFrame:
     """(_a, _b): lines of one hub, in different components, that may be similar.
 
     One is outside the hub's component; the other is of it or, with ``outside``, of any but the first's.
@@ -161,7 +178,7 @@ def _open_pairs(star: DataFrame, roots: DataFrame, found: DataFrame, similarity:
     ``|Dy| - floor(t)`` of y, and at least o members follow it, itself included, in both lists.
     Members count by 32 bits of their hash; a clash makes a needless pair at worst.
     """
-    at = staged(_placed(star.toDF("_hub", "_k"), roots).toDF("_a", "_b", "_c", "_out"), "line-placed")
+    at = staged(_placed(first.select("_hub", "_k").distinct(), roots).toDF("_a", "_b", "_c", "_out"), "line-placed")
     mixed = at.groupBy("_a").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("_a")
     r = (1 - similarity) / (1 + similarity)
 
@@ -170,8 +187,8 @@ def _open_pairs(star: DataFrame, roots: DataFrame, found: DataFrame, similarity:
         return F.struct(F.transform(F.concat(new, lost), lambda h: F.shiftright(h, 32).cast("int")).alias("d"),
                         F.size(s["x"]).alias("nx"), F.size(s["y"]).alias("ny"))
 
-    sets = F.array(F.struct(F.array_distinct(_shingles(F.col("_x"))).alias("x"), F.array_distinct(_shingles(F.col("_y"))).alias("y")))
-    at = _with_lines(at.join(mixed, "_a"), found).select(
+    sets = F.array(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")))
+    at = _with_sets(at.join(mixed, "_a"), found).select(
         F.col("_a").alias("_hub"), "_b", "_c", "_out", F.transform(sets, differences)[0].alias("_i"))
     at = staged(at, "line-differences")
     total = at.groupBy("_hub").agg(F.count(F.lit(1)).alias("_total"))
@@ -182,13 +199,14 @@ def _open_pairs(star: DataFrame, roots: DataFrame, found: DataFrame, similarity:
     nd, n = F.size(d), F.col("_i.ny")
     part = nd - F.floor((nd + r * (F.col("_i.nx") - n)) / 2 - 1e-6)
     at = staged(at.join(common, "_hub", "left").select(
-        "_hub", "_b", "_c", "_out", nd.alias("_nd"), (nd - r * n).alias("_need"), part.cast("int").alias("_part"),
+        "_hub", "_b", "_c", "_out", n.alias("_n"), nd.alias("_nd"), (nd - r * n).alias("_need"), part.cast("int").alias("_part"),
         F.concat(F.array_except(d, often), F.array_intersect(d, often)).alias("_i")), "line-index")
-    sides = ["_hub", "_b", "_c", "_nd", "_need"]
-    far = at.where("_out").select(*sides, F.posexplode("_i").alias("_at", "_d")).toDF("_hub", "_b1", "_c1", "_nd1", "_need1", "_at1", "_d")
+    sides = ["_hub", "_b", "_c", "_n", "_nd", "_need"]
+    far = at.where("_out").select(*sides, F.posexplode("_i").alias("_at", "_d")).toDF("_hub", "_b1", "_c1", "_n1", "_nd1", "_need1", "_at1", "_d")
     indexed = at.where(F.lit(outside) | ~F.col("_out")).select(*sides, F.posexplode(F.slice("_i", 1, F.col("_part"))).alias("_at", "_d"))
     left = F.least(F.col("_nd") - F.col("_at"), F.col("_nd1") - F.col("_at1"))
     both = (far["_hub"] == indexed["_hub"]) & (far["_d"] == indexed["_d"]) & (F.col("_c") != F.col("_c1")) & (
+        _sizes_allow(F.col("_n"), F.col("_n1"), similarity)) & (
         left >= (F.col("_need") + F.col("_need1")) / 2 - 1e-6)
     return far.join(indexed, both).select(F.least("_b", "_b1").alias("_a"), F.greatest("_b", "_b1").alias("_b")).distinct()
 
@@ -204,10 +222,15 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are ignored.
     """
     lines = occurrences(docs, id_col, text_col)
-    roots = line_links(lines.select("_k", "_line"), similarity)
-    members = roots.union(roots.select("root", "root").distinct()).toDF("_node", "_root")
+    found = staged(candidates(lines), "line-candidates")
+    roots, ends = _links(found, similarity)
+    members = ends.join(roots.toDF("_k", "_root"), "_k", "left").select(
+        F.col("_k").alias("_node"), F.col("_k2").alias("_node2"), F.coalesce("_root", "_k").alias("_root"))
     members = staged(members, "line-members")
-    placed = lines.select("_id", "_doc", "_no", "_k", "_k2").join(members, F.col("_k") == F.col("_node"), "left").select(
+    discard(found)
+    # a line is a member by both hashes; one that has but the first in common with a member stays alone
+    own = (F.col("_k") == F.col("_node")) & (F.col("_k2") == F.col("_node2"))
+    placed = lines.select("_id", "_doc", "_no", "_k", "_k2").join(members, own, "left").select(
         "_id", "_doc", "_no", F.coalesce("_root", "_k").alias("_c"),
         F.when(F.col("_root").isNull(), F.col("_k2")).otherwise(0).alias("_c2"))
     firsts = placed.groupBy("_c", "_c2").agg(F.min(F.struct("_id", "_doc", "_no")).alias("_first"),
