@@ -35,20 +35,6 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
-def _merge(state, turn):
-    """Fold one turn into (role of the open block, formatted text so far, loss spans)."""
-    opened = (F.when(state["role"].isNull(), F.concat(F.lit(START), turn["role"], F.lit("\n")))
-              .when(state["role"] == turn["role"], F.lit(SEP))
-              .otherwise(F.concat(F.lit(END + START), turn["role"], F.lit("\n"))))
-    begin = state["length"] + F.length(opened)
-    finish = begin + F.length(turn["text"])
-    spans = F.when(turn["role"] == "assistant",
-                   F.concat(state["spans"], F.array(F.struct(begin.cast("long").alias("start"),
-                                                             finish.cast("long").alias("end"))))).otherwise(state["spans"])
-    return F.struct(turn["role"].alias("role"), F.concat(state["pieces"], F.array(opened, turn["text"])).alias("pieces"),
-                    finish.cast("long").alias("length"), spans.alias("spans"))
-
-
 def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                  text_col: str = "text") -> DataFrame:
     """One row per conversation: conv id, ``formatted``, ``loss_spans`` (code-point ranges of
@@ -62,13 +48,39 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     turns = df.select(F.col(conv_col).alias("_c"), F.struct(
         F.col(turn_col).alias("turn"), escape_role(F.coalesce(F.col(role_col), F.lit(""))).alias("role"),
         escape(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).alias("_turn"))
-    zero = F.expr("named_struct('role', cast(null as string), 'pieces', cast(array() as array<string>), "
-                  "'length', 0L, 'spans', cast(array() as array<struct<start: bigint, end: bigint>>))")
-    folded = turns.groupBy("_c").agg(F.sort_array(F.collect_list("_turn")).alias("_turns")).select(
-        "_c", F.aggregate("_turns", zero, _merge).alias("_f"))
-    return folded.select(F.col("_c").alias(conv_col),
-                         F.concat(F.array_join("_f.pieces", ""), F.lit(END)).alias("formatted"),
-                         F.col("_f.spans").alias("loss_spans"))
+    sorted_turns = turns.groupBy("_c").agg(F.sort_array(F.collect_list("_turn")).alias("_turns"))
+    before = lambda i: F.get("_turns", i - 1)["role"]  # noqa: E731  null for the first turn
+    blocks = sorted_turns.select("_c", "_turns", F.transform("_turns", lambda t, i: (
+        F.when(i == 0, F.concat(F.lit(START), t["role"], F.lit("\n")))
+        .when(t["role"] == before(i), F.lit(SEP))
+        .otherwise(F.concat(F.lit(END + START), t["role"], F.lit("\n"))))).alias("_open"))
+    # Where a text ends: running lengths, each block of RUN turns added up by itself, then the blocks.
+    sizes = F.zip_with("_open", "_turns", lambda o, t: (F.length(o) + F.length(t["text"])).cast("long"))
+    ended = blocks.withColumn("_sizes", sizes).withColumn("_end", _running("_sizes"))
+    spans = F.filter(F.zip_with("_end", "_turns", lambda e, t: F.when(t["role"] == "assistant", F.struct(
+        (e - F.length(t["text"])).alias("start"), e.alias("end")))), lambda s: s.isNotNull())
+    return ended.select(F.col("_c").alias(conv_col),
+                        F.concat(F.array_join(F.zip_with("_open", "_turns", lambda o, t: F.concat(o, t["text"])), ""), F.lit(END)).alias("formatted"),
+                        spans.alias("loss_spans"))
+
+
+#: Turns whose lengths are added up together.
+RUN = 64
+
+
+def _running(sizes: str) -> Column:
+    """Running sums of an array of longs. Sums within runs of ``RUN`` and over the runs copy little, however long the array."""
+    def sums(values, start):
+        return F.aggregate(values, F.array(start), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
+
+    runs = F.sequence(F.lit(0), F.ceil(F.size(sizes) / RUN).cast("int") - 1)
+    totals = F.transform(runs, lambda r: F.aggregate(F.slice(sizes, r * RUN + 1, F.lit(RUN)), F.lit(0).cast("long"), lambda a, v: a + v))
+    # the sums before each run; runs are few, as many as the RUNth part of the turns
+    starts = F.transform(F.array(totals), lambda t: F.transform(runs, lambda r: F.aggregate(
+        F.slice(t, F.lit(1), r), F.lit(0).cast("long"), lambda a, v: a + v)))[0]
+    inner = F.transform(F.array(starts), lambda s: F.transform(runs, lambda r: F.slice(
+        sums(F.slice(sizes, r * RUN + 1, F.lit(RUN)), F.element_at(s, r + 1)), F.lit(2), F.lit(RUN))))[0]
+    return F.flatten(inner)
 
 
 def read_turns(formatted: Column) -> Column:

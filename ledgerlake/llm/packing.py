@@ -14,11 +14,13 @@ import json
 import zlib
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import small_batches, staged, text_or_empty
 
+
 def default_vocabulary() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -28,7 +30,8 @@ class Encoder:
     """Ids of a text, the same as the ``tokenizers`` library's for the vocabulary file.
 
     That library is four times slower than the file's byte-pair ranks under ``tiktoken``; the
-    tests hold both against each other. With ``added_tokens`` a text is split at the file's added
+    tests hold both against each other. A text on which tiktoken's matcher gives up (white space of some
+    hundred thousand characters in a row) goes to the library itself. With ``added_tokens`` a text is split at the file's added
     tokens first, which give their own ids, as in the library's default; without, their strings
     are ordinary text.
     """
@@ -47,10 +50,22 @@ class Encoder:
         ranks.pop(b"<|endoftext|>", None)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.engine = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.added)
+        self.path, self.library = path, None
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit words."""
-        return self.engine.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
+        try:
+            ids = self.engine.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        except ValueError:  # the matcher's stack is full
+            ids = np.array(self._by_library(text), np.uint32)
+        return ids.astype("<u4", copy=False).tobytes()
+
+    def _by_library(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+            self.library = Tokenizer.from_file(self.path)
+            self.library.encode_special_tokens = not self.added
+        return self.library.encode(text, add_special_tokens=False).ids
 
 
 def _byte_of_char() -> dict[str, int]:

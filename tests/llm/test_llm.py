@@ -351,3 +351,37 @@ def test_pipeline(spark):
         counts.append(docs.count())
     assert counts[1] <= counts[0] and counts[2] == counts[1] and counts[3] <= counts[2]
     assert {"doc_id", "sequence_id", "offset"} <= set(corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns)
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    """16,000 turns in one conversation: formatted and read back whole, in seconds."""
+    import time
+    rows = [(1, i, ["user", "assistant", "assistant"][i % 3], f"t{i}<|im_end|>") for i in range(16_000)] + [(2, 0, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    chat.format_chats(df.where("turn < 40")).collect()  # compiled before the clock starts
+    began = time.time()
+    out = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    assert time.time() - began < 10
+    spans = out[1].loss_spans
+    assert len(spans) == sum(r[2] == "assistant" for r in rows)
+    said = [out[1].formatted[s.start:s.end] for s in spans]
+    assert said == [chat_escape(r[3]) for r in rows if r[2] == "assistant"]
+    assert out[2].formatted == "<|im_start|>user\n<|im_end|>\n" and out[2].loss_spans == []
+
+
+def chat_escape(text):
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+
+
+def test_white_space_of_a_million_characters_gets_the_librarys_ids():
+    from tokenizers import Tokenizer
+    path = packing.default_vocabulary()
+    library, mine = Tokenizer.from_file(path), packing.Encoder(path, added_tokens=True)
+    for run in (" ", "\t", "\n", " \n"):
+        for text in (run * 1_000_000, "word" + run * 1_000_000 + "end"):
+            got = mine(text)
+            assert np_ids(got) == library.encode(text, add_special_tokens=False).ids
+
+
+def np_ids(raw):
+    return [int.from_bytes(raw[i:i + 4], "little") for i in range(0, len(raw), 4)]
