@@ -1,25 +1,18 @@
-"""Cash-flow path risk per entity.
+"""Cash-flow path risk per entity, from the months that the entity has had.
 
 * Parameters are estimated from each entity's monthly flows (P1).
-* Normal draws come from counter hashing: md5(seed, entity, path, month)
-  gives four 32-bit uniforms, and Box–Muller turns them into the revenue and
-  the expense normal. A draw depends only on
-  its coordinates, so any partitioning, retry or engine gives the same path.
+* A path is a run of consecutive months: every month of an entity's filled grid
+  begins one, so an entity of n months has n − 11 paths of 12 months (P2). Its
+  revenue and expenses are the real ones; the question is what the entity's
+  cash would be after any year like one it has lived through. Nothing is drawn.
 * Amounts are integer cents, so running balances, finals and their means are
   exact and order-independent.
-* Draws are generated as (entity, path, month) rows inside the (entity, block)
-  partitions, so the hashing is plain codegen'd expressions; the running
-  balance window and the per-path aggregate reuse that partitioning and add
-  no exchange.
-* Paths are generated per (entity, block of paths) and shuffled at that grain,
-  so a few entities still spread over all cores, and many entities do not
-  shuffle per path.
+* A month is repeated once per path that holds it; there is no self-join. All
+  steps work per entity, whose months are bounded by its calendar span.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +20,6 @@ from ledgerlake.functions.exprs import rnd
 from ledgerlake.functions.quantiles import group_percentiles
 from ledgerlake.operators.series import monthly_resample
 
-TWO32 = float(2 ** 32)
-
 
 def flow_params(flows: DataFrame, by=("entity_id",), ds="ds", cash_months: float = 6.0) -> DataFrame:
     """Mean / sample std of gap-filled monthly revenue and expenses; amounts in cents."""
@@ -42,65 +33,40 @@ def flow_params(flows: DataFrame, by=("entity_id",), ds="ds", cash_months: float
     return g.withColumn("initial_cash", rnd(F.col("expense_mean") * cash_months, 2))
 
 
-def _uniform(h, k: int):
-    """k-th 32-bit slice (k = 0..3) of a 128-bit md5 hex digest, as a uniform in (0, 1)."""
-    return (F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("double") + 0.5) / TWO32
-
-
-def _normal(h, k: int):
-    """Box–Muller on slices k and k+1 of the digest."""
-    return F.sqrt(F.lit(-2.0) * F.log(_uniform(h, k))) * F.cos(F.lit(2 * math.pi) * _uniform(h, k + 1))
-
-
 def _cents(x):
-    return F.floor(x * 100.0 + 0.5).cast("bigint")
+    return F.floor(F.col(x) * 100.0 + 0.5).cast("bigint")
 
 
-def outcome_paths(params: DataFrame, by=("entity_id",), paths: int = 10_000, months: int = 12,
-                  seed: int = 42, block: int = 1000) -> DataFrame:
-    """One row per (entity, path, month) with revenue / expense draws in cents (clamped at 0).
+def outcome_paths(flows: DataFrame, by=("entity_id",), ds="ds", months: int = 12, cash_months: float = 6.0) -> DataFrame:
+    """One row per (entity, path, step): every run of ``months`` consecutive months of the filled grid, in cents.
 
-    Rows are generated inside the (entity, block) partitions and never shuffled
-    again: the draw itself is plain codegen'd expressions.
-    """
-    n_blocks = (paths + block - 1) // block
-    blocks = params.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_blk"))
-    # An explicit partition count: AQE must not coalesce this tiny shuffle,
-    # because each (entity, block) row expands into ``block`` paths of work.
-    n_out = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.repartition(n_out, *[F.col(c) for c in by], F.col("_blk"))
-    lo = F.col("_blk") * block
-    hi = F.least(lo + block, F.lit(paths)) - 1
-    p = blocks.select("*", F.explode(F.sequence(lo, hi)).alias("path_id"))
-    p = p.select("*", F.explode(F.sequence(F.lit(1), F.lit(months))).alias("step"))
-    keys = [F.col(c).cast("string") for c in by] + [F.col("path_id").cast("string"), F.col("step").cast("string")]
-    # one digest per (path, month): slices 0-1 drive revenue, slices 2-3 expenses
-    p = p.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *keys)))
-
-    def draw(mean, std, k):
-        return _cents(F.greatest(F.lit(0.0), F.col(mean) + F.col(std) * _normal(F.col("_h"), k)))
-
-    return p.select(*by, "_blk", "path_id", "step", _cents(F.col("initial_cash")).alias("initial_cents"),
-                    draw("revenue_mean", "revenue_std", 0).alias("revenue_cents"),
-                    draw("expense_mean", "expense_std", 2).alias("expense_cents"))
-
-
-def running_balance(draws: DataFrame, by=("entity_id",)) -> DataFrame:
-    """Balance after each month = initial + running sum of (revenue − expenses), in cents.
-
-    The window's partition keys include the generation block, so it sorts inside
-    the existing partitions (no exchange).
+    ``path_id`` counts the months from the entity's first one to the path's start; an entity with fewer months
+    has one path of all of them. Every path starts from ``cash_months`` mean months of expenses.
     """
-    w = (Window.partitionBy(*by, "_blk", "path_id").orderBy("step")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return draws.withColumn("balance_cents", F.col("initial_cents")
+    filled = monthly_resample(flows, by, ds, ["revenue", "expenses"])
+    w = Window.partitionBy(*by)
+    grid = filled.select(
+        *by, (F.row_number().over(w.orderBy(ds)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"),
+        _cents("revenue").alias("revenue_cents"), _cents("expenses").alias("expense_cents"),
+        rnd(rnd(F.avg("expenses").over(w), 2) * cash_months, 2).alias("_cash"))
+    last = F.greatest(F.col("_n") - months, F.lit(0))
+    steps = F.sequence(F.greatest(F.lit(1), F.col("_i") + 1 - last), F.least(F.lit(months), F.col("_i") + 1))
+    return grid.select(*by, "_i", F.explode(steps).alias("step"), "_cash", "revenue_cents", "expense_cents").select(
+        *by, (F.col("_i") + 1 - F.col("step")).cast("bigint").alias("path_id"), F.col("step").cast("int").alias("step"),
+        _cents("_cash").alias("initial_cents"), "revenue_cents", "expense_cents")
+
+
+def running_balance(paths: DataFrame, by=("entity_id",)) -> DataFrame:
+    """Balance after each month = initial + running sum of (revenue − expenses), in cents."""
+    w = (Window.partitionBy(*by, "path_id").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return paths.withColumn("balance_cents", F.col("initial_cents")
                             + F.sum(F.col("revenue_cents") - F.col("expense_cents")).over(w))
 
 
-def path_summary(draws: DataFrame, by=("entity_id",)) -> DataFrame:
-    """Final and minimum balance per path (cents), grouped where the paths already live."""
-    rb = running_balance(draws, by)
-    return rb.groupBy(*by, "_blk", "path_id").agg(
+def path_summary(paths: DataFrame, by=("entity_id",)) -> DataFrame:
+    """Final and minimum balance per path (cents)."""
+    rb = running_balance(paths, by)
+    return rb.groupBy(*by, "path_id").agg(
         (F.first("initial_cents") + F.sum(F.col("revenue_cents") - F.col("expense_cents"))).alias("final_cents"),
         F.min("balance_cents").alias("min_cents"))
 
@@ -108,8 +74,8 @@ def path_summary(draws: DataFrame, by=("entity_id",)) -> DataFrame:
 def tail_risk(summary: DataFrame, by=("entity_id",)) -> DataFrame:
     """Expected final cash, VaR95 / VaR99 (5th / 1st percentile, a level), 95% interval.
 
-    Percentiles are per entity over its paths: a group bounded by the path
-    count parameter, so Spark's exact ``percentile`` is safe here.
+    Percentiles are per entity over its paths: a group bounded by its months,
+    so Spark's exact ``percentile`` is safe here.
     """
     j = group_percentiles(summary, by, "final_cents", [0.01, 0.025, 0.05, 0.975],
                           ["p01", "p025", "p05", "p975"], extra=[F.avg("final_cents").alias("_mean")])

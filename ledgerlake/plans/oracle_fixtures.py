@@ -30,6 +30,13 @@ SELECT s_nationkey AS entity_id, CAST(date_trunc('month', l_shipdate) AS DATE) A
        sum(1.9 * l_quantity * p_retailprice + l_extendedprice * l_tax) AS expenses
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
 GROUP BY 1, 2
+""",
+    "supplier_flows": """
+SELECT l_suppkey AS entity_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS ds,
+       sum(l_extendedprice * (1 - l_discount)) AS revenue,
+       sum(1.3 * l_quantity * p_retailprice + l_extendedprice * l_tax) AS expenses
+FROM lineitem JOIN part ON l_partkey = p_partkey
+GROUP BY 1, 2
 """,
     "messy": """
 WITH base AS (

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.exprs import exact_sum, rnd
@@ -91,18 +89,18 @@ def scenario_compare(spark, d):
 
 
 # ---------------------------------------------------------------- P1–P6
-PATHS, MONTHS, SEED = 10_000, 12, 42
-
-
 def _params(spark, d):
     return PT.flow_params(FX.monthly_flows(Tables(spark, d)))
 
 
+def _paths(spark, d):
+    return PT.outcome_paths(FX.supplier_flows(Tables(spark, d)))
+
+
 def _summary(spark, d):
-    return PT.path_summary(PT.outcome_paths(_params(spark, d), paths=PATHS, months=MONTHS, seed=SEED))
+    return PT.path_summary(_paths(spark, d))
 
 
-_TWO32 = f"{float(2 ** 32)!r}"
 _PARAMS = f"""mf AS (SELECT entity_id, ds, sum(revenue) AS revenue, sum(expenses) AS expenses FROM monthly_flows GROUP BY 1, 2),
 sp AS (SELECT entity_id, unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS ds FROM mf GROUP BY 1),
 ff AS (SELECT sp.entity_id, coalesce(mf.revenue, 0) AS revenue, coalesce(mf.expenses, 0) AS expenses
@@ -113,23 +111,15 @@ params AS (SELECT entity_id, count(*) AS n_months, {R('avg(revenue)', 2)} AS rev
 params2 AS (SELECT *, {R('expense_mean * 6.0', 2)} AS initial_cash FROM params)"""
 
 
-def _u(h, k):
-    return f"((CAST(('0x' || substr({h}, {1 + 8 * k}, 8)) AS BIGINT) + 0.5) / {_TWO32})"
-
-
-def _z(h, k):
-    return f"(sqrt(-2.0 * ln({_u(h, k)})) * cos({2 * math.pi!r} * {_u(h, k + 1)}))"
-
-
-_DRAWS = f"""{_PARAMS},
-pp AS (SELECT p.*, r.range AS path_id FROM params2 p CROSS JOIN range(0, {PATHS}) r),
-dh AS (SELECT entity_id, path_id, s.range AS step, revenue_mean, revenue_std, expense_mean, expense_std,
-   CAST(floor(initial_cash * 100.0 + 0.5) AS BIGINT) AS initial_cents,
-   md5(concat_ws('|', '{SEED}', CAST(entity_id AS VARCHAR), CAST(path_id AS VARCHAR), CAST(s.range AS VARCHAR))) AS h
-  FROM pp CROSS JOIN range(1, {MONTHS + 1}) s),
-dr AS (SELECT entity_id, path_id, step, initial_cents,
-   CAST(floor(greatest(0.0, revenue_mean + revenue_std * {_z('h', 0)}) * 100.0 + 0.5) AS BIGINT) AS rc,
-   CAST(floor(greatest(0.0, expense_mean + expense_std * {_z('h', 2)}) * 100.0 + 0.5) AS BIGINT) AS ec FROM dh),
+_RUNS = f"""sm AS (SELECT entity_id, ds, sum(revenue) AS revenue, sum(expenses) AS expenses FROM supplier_flows GROUP BY 1, 2),
+ss AS (SELECT entity_id, unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS ds FROM sm GROUP BY 1),
+sg AS (SELECT ss.entity_id, date_diff('month', min(ss.ds) OVER w, ss.ds) AS i, count(*) OVER w AS n,
+    CAST(floor(coalesce(revenue, 0) * 100.0 + 0.5) AS BIGINT) AS rc, CAST(floor(coalesce(expenses, 0) * 100.0 + 0.5) AS BIGINT) AS ec,
+    {R('avg(coalesce(expenses, 0)) OVER w', 2)} AS mean_expenses
+  FROM ss LEFT JOIN sm ON sm.entity_id = ss.entity_id AND sm.ds = CAST(ss.ds AS DATE) WINDOW w AS (PARTITION BY ss.entity_id)),
+dr AS (SELECT a.entity_id, a.i AS path_id, b.i - a.i + 1 AS step, b.rc, b.ec,
+    CAST(floor({R('b.mean_expenses * 6.0', 2)} * 100.0 + 0.5) AS BIGINT) AS initial_cents
+  FROM sg a JOIN sg b ON a.entity_id = b.entity_id AND b.i BETWEEN a.i AND a.i + 11 WHERE a.i <= greatest(a.n - 12, 0)),
 bal AS (SELECT *, initial_cents + sum(rc - ec) OVER (PARTITION BY entity_id, path_id ORDER BY step
    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bc FROM dr),
 fin AS (SELECT entity_id, path_id, max(initial_cents) + sum(rc - ec) AS final_cents, min(bc) AS min_cents
@@ -144,33 +134,33 @@ def flow_params(spark, d):
 
 
 @register("outcome_paths", with_fixtures(f"""
-WITH {_DRAWS}
+WITH {_RUNS}
 SELECT entity_id, CAST(path_id AS BIGINT) AS path_id, CAST(step AS INTEGER) AS step,
-  rc / 100.0 AS revenue, ec / 100.0 AS expenses FROM dr""", "monthly_flows"))
+  rc / 100.0 AS revenue, ec / 100.0 AS expenses FROM dr""", "supplier_flows"))
 def outcome_paths(spark, d):
-    p = PT.outcome_paths(_params(spark, d), paths=PATHS, months=MONTHS, seed=SEED)
+    p = _paths(spark, d)
     return p.select("entity_id", "path_id", "step", (F.col("revenue_cents") / 100.0).alias("revenue"),
                     (F.col("expense_cents") / 100.0).alias("expenses"))
 
 
 @register("running_balance", with_fixtures(f"""
-WITH {_DRAWS}
+WITH {_RUNS}
 SELECT entity_id, CAST(path_id AS BIGINT) AS path_id, CAST(step AS INTEGER) AS step, bc / 100.0 AS balance FROM bal""",
-    "monthly_flows"))
+    "supplier_flows"))
 def running_balance(spark, d):
-    p = PT.outcome_paths(_params(spark, d), paths=PATHS, months=MONTHS, seed=SEED)
+    p = _paths(spark, d)
     return PT.running_balance(p).select("entity_id", "path_id", "step",
                                         (F.col("balance_cents") / 100.0).alias("balance"))
 
 
 @register("tail_risk", with_fixtures(f"""
-WITH {_DRAWS}
+WITH {_RUNS}
 SELECT entity_id, {R('avg(final_cents) / 100.0', 6)} AS expected_final_cash,
   {R('quantile_cont(final_cents, 0.05) / 100.0', 6)} AS var_95,
   {R('quantile_cont(final_cents, 0.01) / 100.0', 6)} AS var_99,
   {R('quantile_cont(final_cents, 0.025) / 100.0', 6)} AS ci_95_lower,
   {R('quantile_cont(final_cents, 0.975) / 100.0', 6)} AS ci_95_upper
-FROM fin GROUP BY 1""", "monthly_flows"))
+FROM fin GROUP BY 1""", "supplier_flows"))
 def tail_risk(spark, d):
     t = PT.tail_risk(_summary(spark, d))
     return t.select("entity_id", *[rnd(c, 6).alias(c) for c in
@@ -178,22 +168,22 @@ def tail_risk(spark, d):
 
 
 @register("breach_probability", with_fixtures(f"""
-WITH {_DRAWS}
+WITH {_RUNS}
 SELECT entity_id, {R('avg(CASE WHEN min_cents < 0 THEN 1.0 ELSE 0.0 END)', 4)} AS breach_probability,
-  count(*) AS paths FROM fin GROUP BY 1""", "monthly_flows"))
+  count(*) AS paths FROM fin GROUP BY 1""", "supplier_flows"))
 def breach_probability(spark, d):
     b = PT.breach_probability(_summary(spark, d))
     return b.select("entity_id", rnd("breach_probability", 4).alias("breach_probability"), "paths")
 
 
 @register("final_cash_histogram", with_fixtures(f"""
-WITH {_DRAWS},
+WITH {_RUNS},
 fv AS (SELECT entity_id, final_cents / 100.0 AS v FROM fin),
 mm AS (SELECT *, min(v) OVER (PARTITION BY entity_id) AS mn, max(v) OVER (PARTITION BY entity_id) AS mx FROM fv),
 bb AS (SELECT entity_id, mn, mx, CAST(CASE WHEN mx - mn > 0 THEN least(50, floor((v - mn) / (mx - mn) * 50) + 1) ELSE 1 END AS INTEGER) AS bin FROM mm)
 SELECT entity_id, bin, {R('mn + (bin - 1) * ((mx - mn) / 50)', 4)} AS lower_edge,
   {R('mn + bin * ((mx - mn) / 50)', 4)} AS upper_edge, count(*) AS paths
-FROM bb GROUP BY entity_id, bin, mn, mx""", "monthly_flows"))
+FROM bb GROUP BY entity_id, bin, mn, mx""", "supplier_flows"))
 def final_cash_histogram(spark, d):
     h = PT.final_cash_histogram(_summary(spark, d))
     return h.select("entity_id", "bin", rnd("lower_edge", 4).alias("lower_edge"),

@@ -54,6 +54,16 @@ def series(t: Tables) -> DataFrame:
               .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("y")))
 
 
+def supplier_flows(t: Tables) -> DataFrame:
+    """supplier_flows(entity_id, ds, revenue, expenses) per supplier."""
+    li = t.lineitem.select("l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    return (li.join(t.part.select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+              .groupBy(F.col("l_suppkey").alias("entity_id"), _month(F.col("l_shipdate")).alias("ds"))
+              .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+                   F.sum(F.lit(1.3) * F.col("l_quantity") * F.col("p_retailprice")
+                         + F.col("l_extendedprice") * F.col("l_tax")).alias("expenses")))
+
+
 def monthly_flows(t: Tables) -> DataFrame:
     """monthly_flows(entity_id, ds, revenue, expenses) per supplier nation."""
     li = t.lineitem.select("l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",

@@ -1,7 +1,6 @@
 """Every query with an oracle text: Spark vs DuckDB on the same Parquet tables (sf0.001).
 
-The path-risk queries (10,000 paths each) are left to ``tools/check_oracle.py``
-at sf0.01; their operators are covered by the property tests.
+``model_coverage`` fits two tree models; ``test_backtest`` covers it on small series, ``tools/check_oracle.py`` at sf0.01.
 """
 
 import duckdb
@@ -12,8 +11,7 @@ from ledgerlake.sources.tables import TABLES
 
 from conftest import SF_SMALL
 
-HEAVY = {"outcome_paths", "running_balance", "tail_risk", "breach_probability", "final_cash_histogram",
-         "ingest_manifest"}
+HEAVY = {"model_coverage"}
 NAMES = sorted(k for k in E.oracle_sql() if k not in HEAVY)
 
 

@@ -1,5 +1,7 @@
 """Properties: partitioning does not change results; bounds hold; cleaning is idempotent."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,47 +15,49 @@ from ledgerlake.sources.tables import Tables
 from conftest import SF_SMALL
 
 
-def _params(spark):
-    return spark.createDataFrame([(1, 1000.0, 200.0, 900.0, 100.0, 500.0), (2, 50.0, 10.0, 80.0, 5.0, 100.0)],
-                                 "entity_id long, revenue_mean double, revenue_std double, expense_mean double, "
-                                 "expense_std double, initial_cash double")
-
-
-def test_paths_do_not_depend_on_partitioning(spark):
-    p = _params(spark)
-    a = PT.path_summary(PT.outcome_paths(p, paths=500, months=12, block=100)).select("entity_id", "path_id", "final_cents")
-    b = PT.path_summary(PT.outcome_paths(p.repartition(3), paths=500, months=12, block=37)).select(
-        "entity_id", "path_id", "final_cents")
-    assert sorted(a.collect()) == sorted(b.collect())
-
-
-def test_paths_match_numpy_fold(spark):
-    p = _params(spark)
-    raw = PT.outcome_paths(p, paths=50, months=12).toPandas().sort_values(["entity_id", "path_id", "step"])
-    summ = PT.path_summary(PT.outcome_paths(p, paths=50, months=12)).toPandas().set_index(["entity_id", "path_id"])
-    for (e, pid), g in raw.groupby(["entity_id", "path_id"]):
-        bal = g["initial_cents"].iloc[0] + np.cumsum(g["revenue_cents"].to_numpy() - g["expense_cents"].to_numpy())
-        s = summ.loc[(e, pid)]
-        assert s["final_cents"] == bal[-1] and s["min_cents"] == bal.min()
-        assert g["revenue_cents"].min() >= 0 and g["expense_cents"].min() >= 0
-
-
-def test_tail_risk_order_and_breach_range(spark):
-    s = PT.path_summary(PT.outcome_paths(_params(spark), paths=2000, months=12))
+def _flows(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for e, n in ((1, 40), (2, 12), (3, 7), (4, 1)):
+        for k in range(n):
+            if not (e == 1 and k in (9, 10, 25)):  # months without a row count as zero
+                rows.append((e, dt.date(2015 + k // 12, k % 12 + 1, 1), float(rng.uniform(0, 900)), float(rng.uniform(0, 1000))))
+    return spark.createDataFrame(rows, "entity_id long, ds date, revenue double, expenses double"), rows
+
+
+def test_paths_are_runs_of_real_months(spark):
+    df, rows = _flows(spark)
+    got = {}
+    for r in PT.running_balance(PT.outcome_paths(df.repartition(5))).collect():
+        got.setdefault((r["entity_id"], r["path_id"]), {})[r["step"]] = r
+    summary = {(r["entity_id"], r["path_id"]): r for r in PT.path_summary(PT.outcome_paths(df)).collect()}
+    for e, n in ((1, 40), (2, 12), (3, 7), (4, 1)):
+        months = [(0, 0)] * n
+        for k, d, rev, exp in rows:
+            if k == e:
+                months[(d.year - 2015) * 12 + d.month - 1] = (int(rev * 100 + 0.5), int(exp * 100 + 0.5))
+        mean = np.floor(np.mean([r[3] for r in rows if r[0] == e] + [0] * (n - sum(r[0] == e for r in rows))) * 100 + 0.5) / 100
+        cash = int(np.floor(np.floor(mean * 6 * 100 + 0.5) / 100 * 100 + 0.5))
+        starts = range(max(n - 12, 0) + 1)
+        assert {p for k, p in got if k == e} == set(starts)
+        for p in starts:
+            flows = months[p:p + 12]
+            balance = cash + np.cumsum([a - b for a, b in flows])
+            assert [got[e, p][s + 1]["balance_cents"] for s in range(len(flows))] == balance.tolist()
+            assert (summary[e, p]["final_cents"], summary[e, p]["min_cents"]) == (balance[-1], balance.min())
+
+
+def test_tail_risk_order_breach_range_and_histogram(spark):
+    s = PT.path_summary(PT.outcome_paths(_flows(spark)[0]))
     for r in PT.tail_risk(s).collect():
         assert r["var_99"] <= r["var_95"] <= r["ci_95_upper"]
+    low = {(r["entity_id"]): [] for r in s.collect()}
+    for r in s.collect():
+        low[r["entity_id"]].append(r["min_cents"] < 0)
     for r in PT.breach_probability(s).collect():
-        assert 0.0 <= r["breach_probability"] <= 1.0
-
-
-def test_normals_look_normal(spark):
-    p = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 0.0, 0.0)],
-                              "entity_id long, revenue_mean double, revenue_std double, expense_mean double, "
-                              "expense_std double, initial_cash double")
-    # revenue clamps at 0, so test on the shifted mean where clamping is negligible
-    p = p.withColumn("revenue_mean", F.lit(1000.0)).withColumn("revenue_std", F.lit(100.0))
-    x = PT.outcome_paths(p, paths=3000, months=4).toPandas()["revenue_cents"].to_numpy() / 100.0
-    assert abs(x.mean() - 1000) < 5 and abs(x.std() - 100) < 5
+        assert r["breach_probability"] == pytest.approx(np.mean(low[r["entity_id"]])) and r["paths"] == len(low[r["entity_id"]])
+    bins = PT.final_cash_histogram(s, bins=5).groupBy("entity_id").agg(F.sum("paths").alias("n"), F.max("bin").alias("b")).collect()
+    assert {r["entity_id"]: r["n"] for r in bins} == {1: 29, 2: 1, 3: 1, 4: 1} and all(r["b"] <= 5 for r in bins)
 
 
 def test_exact_quantiles_match_numpy_any_partitioning(spark):
