@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.functions.exprs import PLAIN_NUMBER
-from ledgerlake.functions.fixed import ALLOWED_EXTENSIONS, MAX_UPLOAD_BYTES, NA_STRINGS
+from ledgerlake.functions.fixed import ALLOWED_EXTENSIONS, MAX_UPLOAD_BYTES, NA_STRINGS, UPLOAD_BAD_TYPE, UPLOAD_TOO_LARGE
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType, na_values=NA_STRINGS,
@@ -76,8 +76,8 @@ def ingest_manifest(spark: SparkSession, landing_dir: str, allowed=ALLOWED_EXTEN
     too_big = F.col("size_bytes") > max_bytes
     bad_ext = ~F.col("extension").isin(list(allowed))
     errors = F.concat_ws("; ",
-                         F.when(too_big, F.lit(f"File size exceeds maximum limit of {max_bytes // (1024 * 1024)}MB")),
-                         F.when(bad_ext, F.concat(F.lit("Unsupported file type: "), F.col("extension"))))
+                         F.when(too_big, F.lit(UPLOAD_TOO_LARGE.format(mb=max_bytes // (1024 * 1024)))),
+                         F.when(bad_ext, F.concat(F.lit(UPLOAD_BAD_TYPE), F.col("extension"))))
     return out.select("*", (~too_big & ~bad_ext).alias("is_valid"), errors.alias("errors"))
 
 
