@@ -7,10 +7,10 @@
 2. A band is four minima, one of each rotation. The minima form a grid of ``ROWS`` by four; bands
    are its rows and its diagonals, so each minimum serves in two bands. Lines of similarity 0.8
    share a band with probability 0.991, of 0.85 with 0.998, of 0.9 with 0.9998.
-3. The shingle sets of lines that share a bucket are hashed once and written. A bucket's hub is its line that
-   meets most others over all its buckets (pairs with a hub form a star, not all pairs). Every line is compared
-   with one hub, then with its other hubs and with a second hub of the lines outside the first one's component, but
-   only across components. Pairs whose sizes rule the similarity out are not looked at.
+3. A bucket's hub is its line that meets most others over all its buckets (pairs with a hub form a star, not
+   all pairs). Every line is compared with one hub by the exact Jaccard similarity of the shingle sets, then with its
+   other hubs and with a second hub of the lines outside the first one's component, but only across components.
+   Links from ``SIMILARITY`` on join.
 4. A line may still be similar to another line of its hub though not to the hub. Then the two must share
    more than a given part of their differences from the hub (see ``_open_pairs``), so an index over
    that part of the differences finds every such pair, and the exact similarity decides. No link of a
@@ -50,7 +50,12 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_doc"),
                         F.posexplode(F.split(text, "\n")).alias("_no", "_line"))
     lines = lines.where(F.col("_line").rlike(r"[^\x20\x09-\x0D]"))
-    return lines.withColumns({"_k": F.xxhash64("_line"), "_k2": F.xxhash64(F.lit(1), F.col("_line"))})
+    return lines.withColumns({"_k": F.xxhash64("_line"), "_k2": _second(F.col("_line"))})
+
+
+def _second(line: Column) -> Column:
+    """A second hash, for where lines are dropped."""
+    return F.xxhash64(F.lit(1), line)
 
 
 def _offsets(chars: Column) -> Column:
@@ -80,26 +85,21 @@ def _bands(lines: DataFrame) -> DataFrame:
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """Lines that share a bucket with another: _k, _k2, _in (its buckets), _s (its shingles' hashes), _n (their number).
-
-    Of lines with one ``_k`` the least ``_k2`` stands here; the others link with none.
-    """
-    distinct = lines.select("_k", "_line").distinct()
+    """Lines that share a bucket with another: _k, _k2, _line, _in (its buckets). Of lines with one ``_k`` one stands here."""
+    distinct = lines.groupBy("_k").agg(F.max("_line").alias("_line"))
     shared = (_bands(distinct).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_band")))
               .where("_n > 1").groupBy("_k").agg(F.collect_list("_band").alias("_in")))
-    both = distinct.join(shared, "_k").select("_k", F.struct(F.xxhash64(F.lit(1), F.col("_line")).alias("_k2"), "_line", "_in").alias("_l"))
-    one = both.groupBy("_k").agg(F.min("_l").alias("_l")).select("_k", "_l.*")
-    return one.select("_k", "_k2", "_in", F.array_distinct(_shingles(F.col("_line"))).alias("_s")).withColumn("_n", F.size("_s"))
+    return distinct.join(shared, "_k").withColumn("_k2", _second(F.col("_line")))
 
 
 def hubs(within: DataFrame) -> DataFrame:
-    """(_band, _k, _n) lines in buckets -> with the bucket's line that meets most lines in all its buckets: _hub, its
-    size _hn, and how many it meets, _met."""
+    """(_band, _k) lines in buckets -> with _hub, the bucket's line that meets most lines in all its buckets, and how
+    many it meets, _met."""
     bucket = Window.partitionBy("_band")
-    met = within.withColumn("_many", F.count(F.lit(1)).over(bucket)).where("_many > 1").withColumn(
-        "_met", F.sum("_many").over(Window.partitionBy("_k")))
-    hub = F.max(F.struct("_met", F.col("_k").alias("_hub"), F.col("_n").alias("_hn"))).over(bucket)
-    return met.select("_band", "_k", "_n", hub.alias("_h")).select("_band", "_k", "_n", "_h.*").where("_k <> _hub")
+    met = within.withColumn("_n", F.count(F.lit(1)).over(bucket)).where("_n > 1").withColumn(
+        "_met", F.sum("_n").over(Window.partitionBy("_k")))
+    hub = F.max(F.struct("_met", F.col("_k").alias("_hub"))).over(bucket)
+    return met.select("_band", "_k", hub.alias("_h")).select("_band", "_k", "_h.*").where("_k <> _hub")
 
 
 def _shingles(line: Column) -> Column:
@@ -108,21 +108,22 @@ def _shingles(line: Column) -> Column:
         _offsets((F.octet_length(u) / 4).cast("int")), lambda p: _shingle_hash(u, p)))[0]
 
 
-def _sizes_allow(n: Column, other: Column, similarity: float) -> Column:
-    """Sets of similarity s or more: the smaller has at least s times the members of the larger."""
-    return F.least(n, other) >= similarity * F.greatest(n, other) - 1e-6
+def jaccard(a: Column, b: Column) -> Column:
+    """Exact similarity of the shingle sets of two lines."""
+    def similarity(s):
+        return F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"]))
+
+    return F.transform(F.array(F.struct(_shingles(a).alias("a"), _shingles(b).alias("b"))), similarity)[0]
 
 
-def _with_sets(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    sets = found.select("_k", "_s")
-    return pairs.join(sets.toDF("_a", "_x"), "_a").join(sets.toDF("_b", "_y"), "_b")
+def _with_lines(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    text = found.select("_k", "_line")
+    return pairs.join(text.toDF("_a", "_x"), "_a").join(text.toDF("_b", "_y"), "_b")
 
 
 def _similar(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """The (_a, _b) pairs of lines whose shingle sets have at least this Jaccard similarity, exactly."""
-    shared = F.size(F.array_intersect("_x", "_y"))
-    return _with_sets(pairs, found).where(
-        shared >= similarity * (F.size("_x") + F.size("_y") - shared)).select("_a", "_b")
+    """The (_a, _b) pairs of lines that are similar."""
+    return _with_lines(pairs, found).where(jaccard(F.col("_x"), F.col("_y")) >= similarity).select("_a", "_b")
 
 
 def line_links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -133,19 +134,17 @@ def line_links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def _links(found: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The links' components, and (_k, _k2) of all lines in them."""
-    fits = _sizes_allow(F.col("_n"), F.col("_hn"), similarity)
-    first = hubs(found.select("_k", "_n", F.explode("_in").alias("_band")))
+    first = hubs(found.select("_k", F.explode("_in").alias("_band")))
     # A line is compared with one hub first: the one of its buckets that meets most lines.
-    lead = F.max(F.when(fits, F.struct("_met", "_hub"))).over(Window.partitionBy("_k"))["_hub"]
-    first = staged(first.withColumns({"_fits": fits, "_lead": F.coalesce(lead == F.col("_hub"), F.lit(False))}), "line-hubs")
-    star = first.where("_fits AND _lead").select(F.col("_hub").alias("_a"), F.col("_k").alias("_b")).distinct()
+    lead = F.max(F.struct("_met", "_hub")).over(Window.partitionBy("_k"))["_hub"]
+    first = staged(first.select("_band", "_k", "_hub", (lead == F.col("_hub")).alias("_lead")), "line-hubs")
+    star = first.where("_lead").select(F.col("_hub").alias("_a"), F.col("_k").alias("_b")).distinct()
     near = components(_similar(star, found, similarity), "line-near")
     # Then with the other hubs, and with a second one among the lines outside the hub's component, but only where
     # two components are left.
-    apart = staged(_placed(first, near).where("_out").select("_band", "_k", "_n", "_hub", "_fits", "_lead"), "line-apart")
-    second = staged(hubs(apart.select("_band", "_k", "_n")).withColumn("_fits", fits), "line-second")
-    rest = apart.where("_fits AND NOT _lead").select("_hub", "_k").union(
-        _placed(second, near).where("_fits AND _out").select("_hub", "_k")).distinct()
+    apart = staged(_placed(first, near).where("_out").select("_band", "_k", "_hub", "_lead"), "line-apart")
+    second = staged(hubs(apart.select("_band", "_k")), "line-second")
+    rest = apart.where("NOT _lead").select("_hub", "_k").union(_placed(second, near).where("_out").select("_hub", "_k")).distinct()
     roots = components(near.toDF("_a", "_b").union(_similar(rest.toDF("_a", "_b"), found, similarity)), "line-near")
     discard(near, apart)
     pairs = _open_pairs(first, roots, found, similarity, False).union(_open_pairs(second, roots, found, similarity, True))
@@ -187,8 +186,8 @@ def _open_pairs(first: DataFrame, roots: DataFrame, found: DataFrame, similarity
         return F.struct(F.transform(F.concat(new, lost), lambda h: F.shiftright(h, 32).cast("int")).alias("d"),
                         F.size(s["x"]).alias("nx"), F.size(s["y"]).alias("ny"))
 
-    sets = F.array(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")))
-    at = _with_sets(at.join(mixed, "_a"), found).select(
+    sets = F.array(F.struct(F.array_distinct(_shingles(F.col("_x"))).alias("x"), F.array_distinct(_shingles(F.col("_y"))).alias("y")))
+    at = _with_lines(at.join(mixed, "_a"), found).select(
         F.col("_a").alias("_hub"), "_b", "_c", "_out", F.transform(sets, differences)[0].alias("_i"))
     at = staged(at, "line-differences")
     total = at.groupBy("_hub").agg(F.count(F.lit(1)).alias("_total"))
@@ -201,13 +200,14 @@ def _open_pairs(first: DataFrame, roots: DataFrame, found: DataFrame, similarity
     at = staged(at.join(common, "_hub", "left").select(
         "_hub", "_b", "_c", "_out", n.alias("_n"), nd.alias("_nd"), (nd - r * n).alias("_need"), part.cast("int").alias("_part"),
         F.concat(F.array_except(d, often), F.array_intersect(d, often)).alias("_i")), "line-index")
+    # the smaller of two similar sets has at least this share of the larger one's members
+    allowed = F.least("_n", "_n1") >= similarity * F.greatest("_n", "_n1") - 1e-6
     sides = ["_hub", "_b", "_c", "_n", "_nd", "_need"]
     far = at.where("_out").select(*sides, F.posexplode("_i").alias("_at", "_d")).toDF("_hub", "_b1", "_c1", "_n1", "_nd1", "_need1", "_at1", "_d")
     indexed = at.where(F.lit(outside) | ~F.col("_out")).select(*sides, F.posexplode(F.slice("_i", 1, F.col("_part"))).alias("_at", "_d"))
     left = F.least(F.col("_nd") - F.col("_at"), F.col("_nd1") - F.col("_at1"))
     both = (far["_hub"] == indexed["_hub"]) & (far["_d"] == indexed["_d"]) & (F.col("_c") != F.col("_c1")) & (
-        _sizes_allow(F.col("_n"), F.col("_n1"), similarity)) & (
-        left >= (F.col("_need") + F.col("_need1")) / 2 - 1e-6)
+        allowed) & (left >= (F.col("_need") + F.col("_need1")) / 2 - 1e-6)
     return far.join(indexed, both).select(F.least("_b", "_b1").alias("_a"), F.greatest("_b", "_b1").alias("_b")).distinct()
 
 
