@@ -2,8 +2,8 @@
 
 Shape statistics of the whole text (``textstats.FEATURES``) are standardised, clipped and mapped to
 ``D`` cosines with Gaussian frequencies, whose inner products approximate a Gaussian kernel. Each
-partition of the fitting rows adds up its normal equations; the sums meet in the driver, at most
-``PARTS`` matrices of D + 1 rows whatever the number of rows. Ridge scores of rows kept apart from
+partition of the fitting rows adds up its normal equations, as it lies; a tree adds ``PARTS`` sums to one until the
+driver adds the last ``PARTS`` matrices of D + 1 rows, whatever the number of rows. Ridge scores of rows kept apart from
 the fit are then counted in ``CELLS`` cells, and pooling adjacent violators over those counts turns
 a score into the share of label 1.
 """
@@ -57,16 +57,27 @@ def _equations(rows: DataFrame, fourier: Fourier):
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
         total = np.zeros((D + 1, D + 2))
         for batch in batches:
             x = np.array(batch.column(0).to_pylist(), float).reshape(-1, len(FEATURES))
             if len(x):
                 z = fourier(x)
                 total += z.T @ np.hstack([z, batch.column(1).to_numpy(zero_copy_only=False).reshape(-1, 1)])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["_g", "total"])
 
-    sums = rows.repartition(PARTS, "_id").select("_x", "_y").mapInArrow(run, "total binary").collect()
-    total = sum(np.frombuffer(r[0]).reshape(D + 1, D + 2) for r in sums)
+    def add(key, parts):
+        import numpy as np
+        import pandas as pd
+        total = sum(np.frombuffer(t) for t in parts.sort_values("_at")["total"])
+        return pd.DataFrame({"_g": [key[0]], "total": [total.tobytes()]})
+
+    sums = staged(rows.select("_x", "_y").mapInArrow(run, "_g bigint, total binary"), "quality-sums")
+    while sums.count() > PARTS:  # a tree of sums, PARTS at a time
+        grouped = sums.withColumn("_at", F.col("_g")).withColumn("_g", F.call_function("div", F.col("_g"), F.lit(PARTS)))
+        sums = staged(grouped.groupBy("_g").applyInPandas(add, "_g bigint, total binary"), "quality-sums")
+    total = sum(np.frombuffer(r["total"]).reshape(D + 1, D + 2) for r in sums.orderBy("_g").collect())
     return total[:, :-1], total[:, -1]
 
 

@@ -3,13 +3,15 @@
 Distinct fingerprints are cut into tiles in order of their population count; two tiles are
 compared by numpy exclusive-or and bit counts, unless their population counts differ by more
 than the radius. So that the tiles compared grow far slower than all pairs of tiles, they are
-built within exact buckets: fingerprints within ``radius`` bits agree fully on one of
-``radius + 1`` blocks of bits, so every such pair meets in a bucket of equal blocks, and no pair
+built within exact buckets: of ``radius + 2`` blocks of bits, fingerprints within ``radius`` bits agree fully on two,
+so every such pair meets in a bucket of two equal blocks (about 21 bits), and no pair
 is missed. A compared tile pair returns its links as a spanning forest, not as all pairs.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from ledgerlake.llm.components import components
 from ledgerlake.llm.textstats import word_bounds
 
 SHINGLE, RADIUS, TILE = 4, 4, 1024
+EQUAL = 2  # blocks that a bucket's fingerprints agree on
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -76,21 +79,48 @@ def tile_forest(a, b, radius: int):
     return [(own[i], own[j]) for i, j in enumerate(label.tolist()) if i != j]
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b) links that connect the distinct fingerprints (column ``fp``) within ``radius`` bits."""
-    blocks = radius + 1
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    keys = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("v"))
-            for i in range(blocks)]
+def block_keys(radius: int, equal: int = EQUAL) -> list[tuple[tuple[int, int], ...]]:
+    """The choices of ``equal`` blocks, as (first bit, bits), out of ``radius + equal`` that 64 bits are cut into.
+
+    Fingerprints that differ in ``radius`` bits differ in as many blocks at most, so they agree on one of the choices.
+    """
+    n = radius + equal
+    cuts = [round(64 * i / n) for i in range(n + 1)]
+    return [tuple((cuts[i], cuts[i + 1] - cuts[i]) for i in some) for some in combinations(range(n), equal)]
+
+
+def tiles_of(prints: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Buckets (i, v) of fingerprints that agree on a choice of blocks, cut into tiles t by population count."""
+    def value(blocks):
+        at, v = 0, F.lit(0).cast("long")
+        for first, bits in blocks:
+            v, at = v.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1)), at)), at + bits
+        return v
+
+    keys = [F.struct(F.lit(i).alias("i"), value(blocks).alias("v")) for i, blocks in enumerate(block_keys(radius))]
     spread = prints.select("fp", F.bit_count("fp").alias("ones"), F.explode(F.array(*keys)).alias("k")).select("fp", "ones", "k.i", "k.v")
     nth = F.row_number().over(Window.partitionBy("i", "v").orderBy("ones", "fp"))
-    tiles = (spread.withColumn("t", F.floor((nth - 1) / F.lit(tile)).cast("int")).groupBy("i", "v", "t")
-             .agg(F.collect_list("fp").alias("fps"), F.min("ones").alias("low"), F.max("ones").alias("high")))
-    tiles = staged(tiles, "simhash-tiles")
+    return (spread.withColumn("t", F.floor((nth - 1) / F.lit(tile)).cast("int")).groupBy("i", "v", "t")
+            .agg(F.collect_list("fp").alias("fps"), F.min("ones").alias("low"), F.max("ones").alias("high"))
+            .where((F.size("fps") > 1) | (F.col("t") > 0)))
+
+
+def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """(i, v, t, t2): the tiles of a bucket that population counts do not rule out, by their numbers alone."""
+    heads = tiles.select("i", "v", "t", "low", "high")
+    later = heads.select("i", "v", F.col("t").alias("t2"), F.col("low").alias("low2"))
+    return heads.join(later.where("t2 > 0"), ["i", "v"]).where(
+        (F.col("t") < F.col("t2")) & (F.col("low2") - F.col("high") <= radius)).select("i", "v", "t", "t2")
+
+
+def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(a, b) links that connect the distinct fingerprints (column ``fp``) within ``radius`` bits."""
+    tiles = staged(tiles_of(prints, radius, tile), "simhash-tiles")
     within = tiles.where(F.size("fps") > 1).select("fps", F.lit(None).cast("array<bigint>").alias("other"))
-    later = tiles.where("t > 0").select("i", "v", F.col("t").alias("t2"), F.col("fps").alias("other"), F.col("low").alias("low2"))
-    across = tiles.join(later, ["i", "v"]).where((F.col("t") < F.col("t2")) & (F.col("low2") - F.col("high") <= radius))
-    pairs = within.unionByName(across.select("fps", "other"))
+    content = tiles.select("i", "v", "t", "fps")
+    # pairs are made of numbers; a pair's earlier tile then travels to its later one
+    across = (tile_pairs(tiles, radius).join(content, ["i", "v", "t"])
+              .join(content.toDF("i", "v", "t2", "other"), ["i", "v", "t2"]).select("fps", "other"))
 
     def run(batches):
         import pyarrow as pa
@@ -100,7 +130,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
                 found += tile_forest(a, b, radius)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.repartition("fps").mapInArrow(run, "a bigint, b bigint")
+    return within.unionByName(across).mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,

@@ -286,11 +286,41 @@ def test_line_links_lose_no_pair_of_a_bucket(spark):
     assert got == {k: data[a][0] for (k, _), a in zip(data, label) if data[a][0] != k}
     # the hubs alone do not find them all
     found = line_dedup.candidates(lines)
-    star = line_dedup.hubs(found.select("_k", "_n", F.explode("_in").alias("_band"))).select(
+    star = line_dedup.hubs(found.select("_k", F.explode("_in").alias("_band"))).select(
         F.col("_hub").alias("_a"), F.col("_k").alias("_b")).distinct()
     assert components(line_dedup._similar(star, found, 0.8)).count() < len(got)
 
 
+def test_a_line_that_shares_one_hash_with_a_member_stays(spark):
+    """Lines are dropped by two hashes: a line whose first hash is that of a near copy is a class of its own."""
+    near = ["the quick brown fox jumps over the lazy dog again and again" + c for c in ("", "!")]
+    lines = spark.createDataFrame([(1, near[0]), (2, near[1])], "_k long, _line string")
+    found = line_dedup.candidates(lines)
+    _, ends = line_dedup._links(line_dedup.staged(found, "test"), 0.8)
+    want = {r._k: r.h for r in lines.select("_k", line_dedup._second(F.col("_line")).alias("h")).collect()}
+    assert {r._k: r._k2 for r in ends.collect()} == want
+
+
+@pytest.mark.parametrize("share,least", [(0.82, 0.97), (0.9, 0.995)])
+def test_line_buckets_recall_against_all_pairs(spark, share, least):
+    """Of all pairs at about this similarity so many share a bucket."""
+    rng = random.Random(int(share * 100))
+    rows, pairs = [], []
+    for k in range(600):
+        base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(60, 400)))
+        cut = round((1 - share) * len(base))
+        rows += [(2 * k, base[cut // 2:]), (2 * k + 1, base[:len(base) - (cut - cut // 2)])]
+        pairs.append((2 * k, 2 * k + 1))
+    bands = {}
+    for r in line_dedup._bands(spark.createDataFrame(rows, "_k long, _line string")).collect():
+        bands.setdefault(r._k, set()).add(r._band)
+    text = dict(rows)
+    sets = {k: {t[i:i + 8] for i in range(len(t) - 7)} for k, t in text.items()}
+    similar = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(similar) > 300
+    assert sum(bool(bands[a] & bands[b]) for a, b in similar) >= least * len(similar)
+
+
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(90)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
@@ -369,6 +399,95 @@ def test_long_conversations_take_time_in_proportion(spark):
     assert out[2].formatted == "<|im_start|>user\n<|im_end|>\n" and out[2].loss_spans == []
 
 
+def test_classifier_equations_against_numpy(spark):
+    """Sums over 70 partitions, one of them with most of the rows, added up in a tree."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    k = len(quality_classifier.FEATURES)
+    x, y = rng.normal(size=(900, k)), rng.integers(0, 2, 900).astype(float)
+    fourier = quality_classifier.Fourier(x.mean(axis=0), x.std(axis=0), 0)
+    rows = spark.createDataFrame([(i if i % 3 else None, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y))],
+                                 "_id long, _x array<double>, _y double")
+    a, b = quality_classifier._equations(rows.repartition(70, "_id"), fourier)
+    z = fourier(x)
+    assert np.allclose(a, z.T @ z) and np.allclose(b, z.T @ y)
+
+
+def brute_isotonic(values, weights):
+    """Largest over starts of the least weighted mean over ends: the textbook min-max formula."""
+    n = len(values)
+    mean = lambda i, j: sum(v * w for v, w in zip(values[i:j + 1], weights[i:j + 1])) / sum(weights[i:j + 1])
+    return [max(min(mean(i, j) for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+
+
+def test_isotonic_against_the_min_max_formula():
+    rng = random.Random(2)
+    for _ in range(200):
+        n = rng.randint(1, 12)
+        values, weights = [rng.choice([0, 0.25, 0.5, 1, rng.random()]) for _ in range(n)], [rng.randint(1, 9) for _ in range(n)]
+        assert quality_classifier.pool_adjacent(values, weights) == pytest.approx(brute_isotonic(values, weights))
+
+
+def test_sharding_query_columns(spark):
+    """Every column of the query's contract: sizes, checksums, balance, gapless slots."""
+    got = queries.QUERIES["op5_sharding"](spark, SF).collect()
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(docs[r.doc_id]) + 8, zlib.crc32(docs[r.doc_id]), "rows", None)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def brute_scan(text):
+    """Base places of the license query: phrases as consecutive words."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+    places = []
+    for phrase, label in license_scan.PHRASES.items():
+        p = phrase.split()
+        places += [(i, i + len(p) - 1, label) for i in range(len(words) - len(p) + 1) if words[i:i + len(p)] == p]
+    return words, places
+
+
+def test_license_query_columns(spark):
+    texts = [None, "", "MIT License", "the mit-license, MIT  License! Apache\nLicense", "general public\x00license GPL general public",
+             "mitlicense", "é mit license é", "MIT LICENSE " * 50, "apache license general public license mit license"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for r in license_scan.scan(docs).drop("spans").collect():
+        words, places = brute_scan(texts[r.doc_id])
+        assert (r.n_words, r.n_base) == (len(words), len(places)), r
+        assert (r.first_word, r.last_word) == ((min(p[0] for p in places), max(p[0] for p in places)) if places else (None, None))
+        assert r.base_labels == ",".join(sorted({p[2] for p in places}))
+        assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_simhash_bucket_of_many_tiles(spark):
+    """1,000 fingerprints that share all blocks but the last, in 50 tiles of a bucket, linked as by all pairs."""
+    rng = random.Random(9)
+    prints = sorted({rng.getrandbits(11) for _ in range(1400)})[:1000]
+    links = simhash.near_links(spark.createDataFrame([(p,) for p in prints], "fp long"), radius=1, tile=20)
+    got = {r.node: r.root for r in components(links).collect()}
+    label = brute_components(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 1)
+    assert got == {p: prints[a] for p, a in zip(prints, label) if prints[a] != p}
+    tiles = simhash.tiles_of(spark.createDataFrame([(p,) for p in prints], "fp long"), 1, 20)
+    assert tiles.groupBy("i", "v").count().agg({"count": "max"}).first()[0] == 50
+    assert simhash.tile_pairs(tiles, 1).columns == ["i", "v", "t", "t2"]
+
+
+def test_simhash_choices_of_blocks_cover_every_difference():
+    rng = random.Random(10)
+    keys = simhash.block_keys(4)
+    for _ in range(3000):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), 4):
+            b ^= 1 << bit
+        assert any(all((a ^ b) >> first & ((1 << bits) - 1) == 0 for first, bits in key) for key in keys)
+
+
 def chat_escape(text):
     return re.sub(r"<(\\*)\|", r"<\1\\|", text)
 
