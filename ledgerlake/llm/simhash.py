@@ -57,13 +57,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def tile_forest(a, b, radius: int):
-    """Links within ``radius`` bits between tiles ``a`` and ``b`` (or within ``a``), as (node, least index) stars."""
+    """Links within ``radius`` bits between tiles ``a`` and ``b`` (or within ``a``), as stars: nodes and their centres."""
     import numpy as np
     x = np.asarray(a, np.int64).view(np.uint64)
     y = x if b is None else np.asarray(b, np.int64).view(np.uint64)
     near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
     if near.sum() <= (len(x) if b is None else 0):
-        return []  # each fingerprint is near itself only
+        return np.empty(0, np.int64), np.empty(0, np.int64)  # each fingerprint is near itself only
     left, right = np.arange(len(x)), np.arange(len(y)) + (0 if b is None else len(x))
     far = len(x) + len(y)
     while True:
@@ -74,9 +74,10 @@ def tile_forest(a, b, radius: int):
         if (new_left == left).all() and (new_right == right).all():
             break
         left, right = new_left, new_right
-    own = list(a) if b is None else [*a, *b]
+    own = x if b is None else np.concatenate([x, y])
     label = left if b is None else np.concatenate([left, right])
-    return [(own[i], own[j]) for i, j in enumerate(label.tolist()) if i != j]
+    node = np.flatnonzero(label != np.arange(len(own)))
+    return own[node].view(np.int64), own[label[node]].view(np.int64)
 
 
 def block_keys(radius: int, equal: int = EQUAL) -> list[tuple[tuple[int, int], ...]]:
@@ -125,10 +126,10 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            found = []
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found += tile_forest(a, b, radius)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            for a, b in zip(batch.column(0), batch.column(1)):  # a pair's links go out before the next pair comes in
+                links = tile_forest(a.values.to_numpy(), b.values.to_numpy() if b.is_valid else None, radius)
+                if len(links[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in links], names=["a", "b"])
 
     return within.unionByName(across).mapInArrow(run, "a bigint, b bigint")
 
