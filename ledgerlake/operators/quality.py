@@ -189,7 +189,8 @@ class Profile:
                     yield c["column"], "date", c["date_count"]
 
     def findings(self) -> list[tuple]:
-        """(code, column, severity, count) of every error and warning. An empty table has one error and no other finding."""
+        """(code, column, severity, count) of every error and warning: of values, columns or rows, and of empty cells
+        where the table is incomplete. An empty table has one error and no other finding."""
         if not self.n:
             return [("empty_table", None, "error", 0)]
         out = []
@@ -208,10 +209,10 @@ class Profile:
                 if c["negative_count"] and any(w in c["column"].lower() for w in NEGATIVE_CHECK_WORDS):
                     out.append(("negative_values", c["column"], "warning", c["negative_count"]))
                 if c["max_value"] > 1e10:
-                    out.append(("extreme_values", c["column"], "warning", None))
+                    out.append(("extreme_values", c["column"], "warning", 1))
         out += [("outliers", o["column"], "warning", o["outliers"]) for o in self.outliers if o["warn"]]
         if self.completeness is not None and self.completeness < FILLED_SHARE:
-            out.append(("low_completeness", None, "warning", None))
+            out.append(("low_completeness", None, "warning", self.n * len(self.columns) - sum(c["non_null"] for c in self.columns)))
         for count, code in (("empty_rows", "empty_rows"), ("loss_records", "loss_records"), ("excess_cash_records", "excess_cash")):
             if self.table[count]:
                 out.append((code, None, "warning", self.table[count]))

@@ -58,7 +58,6 @@ WITH base AS (
     CASE WHEN o_orderkey % 1009 = 0 THEN o_totalprice * 1e6 WHEN o_orderkey % 17 = 0 THEN o_totalprice * 2.0 ELSE o_totalprice * 0.1 END AS cash
   FROM orders)
 SELECT * FROM base UNION ALL SELECT * FROM base WHERE row_id % 20 = 0
-UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM base WHERE row_id % 500 = 0
 """,
     "segment_pnl": """
 SELECT s_nationkey AS entity_id, p_type AS business,
@@ -121,8 +120,13 @@ SELECT o_custkey AS entity_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS
 FROM orders GROUP BY 1, 2
 """
 
+FIXTURE_SQL["messy_all"] = """
+SELECT * FROM messy
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM messy WHERE row_id % 500 = 0
+"""
+
 # Dependencies between fixtures (a CTE must come after the ones it reads).
-FIXTURE_DEPS = {}
+FIXTURE_DEPS = {"messy_all": ["messy"]}
 
 
 def with_fixtures(body: str, *names: str) -> str:

@@ -41,6 +41,10 @@ def _messy(spark, d):
     return FX.messy(Tables(spark, d))
 
 
+def _messy_all(spark, d):
+    return FX.messy_all(Tables(spark, d))
+
+
 # ---------------------------------------------------------------- S1–S6
 _NA = ", ".join(sq(x) for x in NA_STRINGS)
 
@@ -232,18 +236,18 @@ def standardize(spark, d):
 
 # ---------------------------------------------------------------- D1–D15
 @register("structure_check", with_fixtures("""
-SELECT 'row_count' AS check_name, count(*) AS value, count(*) < 1 AS failed FROM messy
+SELECT 'row_count' AS check_name, count(*) AS value, count(*) < 1 AS failed FROM messy_all
 UNION ALL SELECT 'column_count', 8, false UNION ALL SELECT 'duplicate_names', 0, false
-UNION ALL SELECT 'blank_names', 0, false""", "messy"))
+UNION ALL SELECT 'blank_names', 0, false""", "messy_all"))
 def structure_check(spark, d):
-    return Q.structure_check(_messy(spark, d))
+    return Q.structure_check(_messy_all(spark, d))
 
 
 def _d2_sql():
     parts = []
     for c in TEXT:
         parts.append(f"""SELECT '{c}' AS "column", count({c}) AS non_null,
-      count_if({NUM(c)}) AS numeric_count, count_if(NOT {NUM(c)} AND {DATE(c)} IS NOT NULL) AS date_count FROM messy""")
+      count_if({NUM(c)}) AS numeric_count, count_if(NOT {NUM(c)} AND {DATE(c)} IS NOT NULL) AS date_count FROM messy_all""")
     return " UNION ALL ".join(parts)
 
 
@@ -257,39 +261,39 @@ d2c AS (SELECT *, CASE WHEN numeric_ratio > 0.8 THEN 'numeric' WHEN date_ratio >
 @register("type_ratio_profile", with_fixtures(f"""
 WITH {_D2}
 SELECT "column", non_null, numeric_count, date_count, text_count, {R('numeric_ratio', 6)} AS numeric_ratio,
-  {R('date_ratio', 6)} AS date_ratio, flag FROM d2c""", "messy"))
+  {R('date_ratio', 6)} AS date_ratio, flag FROM d2c""", "messy_all"))
 def type_ratio_profile(spark, d):
-    t = Q.type_ratio_profile(Q.column_stats(_messy(spark, d)))
+    t = Q.type_ratio_profile(Q.column_stats(_messy_all(spark, d)))
     return t.select("column", "non_null", "numeric_count", "date_count", "text_count",
                     rnd("numeric_ratio", 6).alias("numeric_ratio"), rnd("date_ratio", 6).alias("date_ratio"), "flag")
 
 
 @register("negative_value_check", with_fixtures("""
-SELECT 'revenue' AS "column", count_if(revenue < 0) AS negative_count, count_if(revenue < 0) > 0 AS flagged FROM messy
-UNION ALL SELECT 'cash', count_if(cash < 0), count_if(cash < 0) > 0 FROM messy""", "messy"))
+SELECT 'revenue' AS "column", count_if(revenue < 0) AS negative_count, count_if(revenue < 0) > 0 AS flagged FROM messy_all
+UNION ALL SELECT 'cash', count_if(cash < 0), count_if(cash < 0) > 0 FROM messy_all""", "messy_all"))
 def negative_value_check(spark, d):
-    return Q.negative_value_check(Q.column_stats(_messy(spark, d)))
+    return Q.negative_value_check(Q.column_stats(_messy_all(spark, d)))
 
 
 @register("extreme_value_check", with_fixtures(" UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", CAST(max({c}) AS DOUBLE) AS max_value, max({c}) > 1e10 AS flagged FROM messy"""
-    for c in NUMS), "messy"))
+    f"""SELECT '{c}' AS "column", CAST(max({c}) AS DOUBLE) AS max_value, max({c}) > 1e10 AS flagged FROM messy_all"""
+    for c in NUMS), "messy_all"))
 def extreme_value_check(spark, d):
-    return Q.extreme_value_check(Q.column_stats(_messy(spark, d)))
+    return Q.extreme_value_check(Q.column_stats(_messy_all(spark, d)))
 
 
 def _d5_sql():
     parts = []
     for c in NUMS:
         parts.append(f"""SELECT '{c}' AS "column", quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3,
-      count({c}) AS nn, (SELECT count(*) FROM messy) AS n_rows FROM messy""")
+      count({c}) AS nn, (SELECT count(*) FROM messy_all) AS n_rows FROM messy_all""")
     return " UNION ALL ".join(parts)
 
 
 def _d5_cnt_sql():
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count_if({c} < f.lower OR {c} > f.upper) AS outliers
-      FROM messy, (SELECT * FROM d5b WHERE "column" = '{c}') f""" for c in NUMS)
+      FROM messy_all, (SELECT * FROM d5b WHERE "column" = '{c}') f""" for c in NUMS)
 
 
 _D5 = f"""d5 AS ({_d5_sql()}),
@@ -302,73 +306,73 @@ d5d AS (SELECT b.*, c.outliers, c.outliers / b.nn AS ratio FROM d5b b JOIN d5c c
 WITH {_D5}
 SELECT "column", {R('q1', 6)} AS q1, {R('q3', 6)} AS q3, {R('iqr', 6)} AS iqr, {R('lower', 6)} AS lower,
   {R('upper', 6)} AS upper, outliers, nn AS non_null, {R('ratio', 6)} AS outlier_ratio, ratio > 0.1 AS warn,
-  outliers > n_rows * 0.05 AS review FROM d5d""", "messy"))
+  outliers > n_rows * 0.05 AS review FROM d5d""", "messy_all"))
 def iqr_outliers(spark, d):
-    o = Q.iqr_outliers(_messy(spark, d))
+    o = Q.iqr_outliers(_messy_all(spark, d))
     return o.select("column", *[rnd(c, 6).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")], "outliers",
                     "non_null", rnd("outlier_ratio", 6).alias("outlier_ratio"), "warn", "review")
 
 
 _COUNTS = " + ".join(f"count({c})" for c in ALL)
-_D6 = f"d6 AS (SELECT count(*) * 8 AS total_cells, {_COUNTS} AS filled_cells FROM messy)"
+_D6 = f"d6 AS (SELECT count(*) * 8 AS total_cells, {_COUNTS} AS filled_cells FROM messy_all)"
 
 
 @register("completeness", with_fixtures(f"""
 WITH {_D6}
 SELECT total_cells, filled_cells, {R('filled_cells / total_cells', 6)} AS completeness,
-  filled_cells / total_cells < 0.8 AS warn FROM d6""", "messy"))
+  filled_cells / total_cells < 0.8 AS warn FROM d6""", "messy_all"))
 def completeness(spark, d):
-    c = Q.completeness(Q.column_stats(_messy(spark, d)))
+    c = Q.completeness(Q.column_stats(_messy_all(spark, d)))
     return c.select("total_cells", "filled_cells", rnd("completeness", 6).alias("completeness"), "warn")
 
 
 @register("empty_columns", with_fixtures(" UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count({c}) AS non_null, count({c}) = 0 AS is_empty FROM messy""" for c in ALL),
-    "messy"))
+    f"""SELECT '{c}' AS "column", count({c}) AS non_null, count({c}) = 0 AS is_empty FROM messy_all""" for c in ALL),
+    "messy_all"))
 def empty_columns(spark, d):
-    return Q.empty_columns(Q.column_stats(_messy(spark, d)))
+    return Q.empty_columns(Q.column_stats(_messy_all(spark, d)))
 
 
 _ALLNULL = " AND ".join(f"{c} IS NULL" for c in ALL)
 
 
 @register("empty_rows", with_fixtures(f"""
-SELECT count_if({_ALLNULL}) AS empty_rows, count_if({_ALLNULL}) > 0 AS warn FROM messy""", "messy"))
+SELECT count_if({_ALLNULL}) AS empty_rows, count_if({_ALLNULL}) > 0 AS warn FROM messy_all""", "messy_all"))
 def empty_rows(spark, d):
-    t = Q.table_stats(_messy(spark, d))
+    t = Q.table_stats(_messy_all(spark, d))
     return t.select("empty_rows", (F.col("empty_rows") > 0).alias("warn"))
 
 
 @register("duplicate_rows", with_fixtures("""
-SELECT (SELECT count(*) FROM messy) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS duplicate_rows""",
-    "messy"))
+SELECT (SELECT count(*) FROM messy_all) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy_all)) AS duplicate_rows""",
+    "messy_all"))
 def duplicate_rows(spark, d):
-    return Q.duplicate_rows(_messy(spark, d))
+    return Q.duplicate_rows(_messy_all(spark, d))
 
 
 @register("loss_records", with_fixtures("""
-SELECT count_if(revenue - expenses < 0) AS loss_records, count_if(revenue - expenses < 0) > 0 AS warn FROM messy""",
-    "messy"))
+SELECT count_if(revenue - expenses < 0) AS loss_records, count_if(revenue - expenses < 0) > 0 AS warn FROM messy_all""",
+    "messy_all"))
 def loss_records(spark, d):
-    t = Q.table_stats(_messy(spark, d))
+    t = Q.table_stats(_messy_all(spark, d))
     return t.select("loss_records", (F.col("loss_records") > 0).alias("warn"))
 
 
 @register("excess_cash_records", with_fixtures("""
 SELECT count_if(cash > expenses / 12 * 24) AS excess_cash_records, count_if(cash > expenses / 12 * 24) > 0 AS warn
-FROM messy""", "messy"))
+FROM messy_all""", "messy_all"))
 def excess_cash_records(spark, d):
-    t = Q.table_stats(_messy(spark, d))
+    t = Q.table_stats(_messy_all(spark, d))
     return t.select("excess_cash_records", (F.col("excess_cash_records") > 0).alias("warn"))
 
 
 @register("missing_heavy_columns", with_fixtures(f"""
-WITH n AS (SELECT count(*) AS n FROM messy),
-c AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, count(*) - count({c}) AS null_count FROM messy" for c in ALL)})
+WITH n AS (SELECT count(*) AS n FROM messy_all),
+c AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, count(*) - count({c}) AS null_count FROM messy_all" for c in ALL)})
 SELECT col AS "column", null_count, {R('null_count / n', 6)} AS null_ratio FROM c, n WHERE null_count > n * 0.1""",
-    "messy"))
+    "messy_all"))
 def missing_heavy_columns(spark, d):
-    m = Q.missing_heavy_columns(Q.column_stats(_messy(spark, d)))
+    m = Q.missing_heavy_columns(Q.column_stats(_messy_all(spark, d)))
     return m.select("column", "null_count", rnd("null_ratio", 6).alias("null_ratio"))
 
 
@@ -376,41 +380,41 @@ _FOUND = " UNION ALL ".join(
     ["SELECT 'empty_columns' AS code, NULL AS \"column\", 'error' AS severity, empty_cols AS n, empty_cols > 0 AS yes FROM ec",
      """SELECT 'stored_as_text_' || flag, "column", 'warning', CASE WHEN flag = 'numeric' THEN numeric_count ELSE date_count END,
   flag IS NOT NULL FROM d2c"""]
-    + [f"SELECT 'negative_values', '{c}', 'warning', count_if({c} < 0), count_if({c} < 0) > 0 FROM messy" for c in ("revenue", "cash")]
-    + [f"SELECT 'extreme_values', '{c}', 'warning', NULL, max({c}) > 1e10 FROM messy" for c in NUMS]
+    + [f"SELECT 'negative_values', '{c}', 'warning', count_if({c} < 0), count_if({c} < 0) > 0 FROM messy_all" for c in ("revenue", "cash")]
+    + [f"SELECT 'extreme_values', '{c}', 'warning', 1, max({c}) > 1e10 FROM messy_all" for c in NUMS]
     + ["""SELECT 'outliers', "column", 'warning', outliers, ratio > 0.1 FROM d5d""",
-       "SELECT 'low_completeness', NULL, 'warning', NULL, filled_cells / total_cells < 0.8 FROM d6",
+       "SELECT 'low_completeness', NULL, 'warning', total_cells - filled_cells, filled_cells / total_cells < 0.8 FROM d6",
        "SELECT 'empty_rows', NULL, 'warning', er, er > 0 FROM ts", "SELECT 'loss_records', NULL, 'warning', loss, loss > 0 FROM ts",
        "SELECT 'excess_cash', NULL, 'warning', excess, excess > 0 FROM ts",
        "SELECT 'duplicate_rows', NULL, 'warning', dups, dups > 0 FROM dup"])
 _CHECKS = f"""{_D2}, {_D5}, {_D6},
 ts AS (SELECT count_if(revenue - expenses < 0) AS loss, count_if(cash > expenses / 12 * 24) AS excess,
-         count_if({_ALLNULL}) AS er FROM messy),
-dup AS (SELECT (SELECT count(*) FROM messy) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS dups),
-ec AS (SELECT {" + ".join(f"CASE WHEN count({c}) = 0 THEN 1 ELSE 0 END" for c in ALL)} AS empty_cols FROM messy),
+         count_if({_ALLNULL}) AS er FROM messy_all),
+dup AS (SELECT (SELECT count(*) FROM messy_all) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy_all)) AS dups),
+ec AS (SELECT {" + ".join(f"CASE WHEN count({c}) = 0 THEN 1 ELSE 0 END" for c in ALL)} AS empty_cols FROM messy_all),
 found AS (SELECT code, "column", severity, n FROM ({_FOUND}) WHERE yes)"""
 
 
 @register("findings", with_fixtures(f"""
 WITH {_CHECKS}
-SELECT code, "column", severity, CAST(n AS BIGINT) AS n FROM found""", "messy"))
+SELECT code, "column", severity, CAST(n AS BIGINT) AS n FROM found""", "messy_all"))
 def findings(spark, d):
     """Every error and warning of a table, with its count."""
-    return Q.findings(materialize(_messy(spark, d)))
+    return Q.findings(materialize(_messy_all(spark, d)))
 
 
 @register("suggestions", with_fixtures(f"""
 WITH {_D2}, {_D5},
-s AS ({" UNION ALL ".join(f"""SELECT '{c}' AS c, count({c}) AS nn, count_if({NUM(c)}) AS num, count_if({DATE(c)} IS NOT NULL) AS dt FROM messy"""
+s AS ({" UNION ALL ".join(f"""SELECT '{c}' AS c, count({c}) AS nn, count_if({NUM(c)}) AS num, count_if({DATE(c)} IS NOT NULL) AS dt FROM messy_all"""
                          for c in TEXT)}),
-m AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, count(*) - count({c}) AS k, count(*) AS n FROM messy" for c in ALL)})
+m AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, count(*) - count({c}) AS k, count(*) AS n FROM messy_all" for c in ALL)})
 SELECT 'convert_to_numeric' AS code, c AS "column", num AS n FROM s WHERE nn > 0 AND num / nn > 0.8
 UNION ALL SELECT 'convert_to_datetime', c, dt FROM s WHERE nn > 0 AND num / nn <= 0.8 AND dt / nn > 0.8
 UNION ALL SELECT 'impute_missing', c, k FROM m WHERE k > n * 0.1
-UNION ALL SELECT 'review_outliers', "column", outliers FROM d5d WHERE outliers > n_rows * 0.05""", "messy"))
+UNION ALL SELECT 'review_outliers', "column", outliers FROM d5d WHERE outliers > n_rows * 0.05""", "messy_all"))
 def suggestions(spark, d):
     """What to convert, impute or review."""
-    return Q.suggestions(materialize(_messy(spark, d)))
+    return Q.suggestions(materialize(_messy_all(spark, d)))
 
 
 @register("quality_score", with_fixtures(f"""
@@ -420,30 +424,30 @@ cnt AS (SELECT (SELECT count_if(severity = 'error') FROM found) AS errors, (SELE
 SELECT CAST(errors AS BIGINT) AS errors, CAST(warnings AS BIGINT) AS warnings, {R('comp', 6)} AS completeness,
   {R('tir', 6)} AS type_issue_ratio,
   {R('greatest(0.0, least(1.0, 1.0 - errors * 0.2 - warnings * 0.05 - (1 - comp) * 0.3 - tir * 0.2))', 6)} AS quality_score
-FROM cnt""", "messy"))
+FROM cnt""", "messy_all"))
 def quality_score(spark, d):
-    s = Q.quality_score(materialize(_messy(spark, d)))  # one profile reads it several times
+    s = Q.quality_score(materialize(_messy_all(spark, d)))  # one profile reads it several times
     return s.select("errors", "warnings", rnd("completeness", 6).alias("completeness"),
                     rnd("type_issue_ratio", 6).alias("type_issue_ratio"), rnd("quality_score", 6).alias("quality_score"))
 
 
 @register("structure_errors", with_fixtures("""
-SELECT 'row_count' AS check_name, count(*) AS value, count(*) < 1 AS failed FROM messy
+SELECT 'row_count' AS check_name, count(*) AS value, count(*) < 1 AS failed FROM messy_all
 UNION ALL SELECT 'column_count', 3, false UNION ALL SELECT 'duplicate_names', 1, true
-UNION ALL SELECT 'blank_names', 1, true""", "messy"))
+UNION ALL SELECT 'blank_names', 1, true""", "messy_all"))
 def structure_errors(spark, d):
     """D1 on a table with a repeated and a blank name."""
-    return Q.structure_check(_messy(spark, d).select("revenue", F.col("cash").alias("revenue"), F.col("note").alias("  ")))
+    return Q.structure_check(_messy_all(spark, d).select("revenue", F.col("cash").alias("revenue"), F.col("note").alias("  ")))
 
 
 @register("financial_validation", with_fixtures(f"""
 WITH g AS (SELECT note, sum(CAST(floor(revenue * 10000.0 + 0.5) AS BIGINT)) / 10000.0 AS tr,
-     sum(CAST(floor(expenses * 10000.0 + 0.5) AS BIGINT)) / 10000.0 AS te FROM messy GROUP BY 1)
+     sum(CAST(floor(expenses * 10000.0 + 0.5) AS BIGINT)) / 10000.0 AS te FROM messy_all GROUP BY 1)
 SELECT note, tr AS total_revenue, te AS total_expenses, tr - te AS total_profit,
   {R('CASE WHEN tr > 0 THEN (tr - te) / tr ELSE 0 END', 6)} AS profit_margin,
-  tr - te < 0 AS loss_warning, te > tr * 0.9 AS high_expense_warning FROM g""", "messy"))
+  tr - te < 0 AS loss_warning, te > tr * 0.9 AS high_expense_warning FROM g""", "messy_all"))
 def financial_validation(spark, d):
-    v = Q.financial_validation(_messy(spark, d), by=["note"])
+    v = Q.financial_validation(_messy_all(spark, d), by=["note"])
     return v.select("note", "total_revenue", "total_expenses", "total_profit",
                     rnd("profit_margin", 6).alias("profit_margin"), "loss_warning", "high_expense_warning")
 
@@ -454,20 +458,20 @@ def _d15_sql():
     for name, lo, hi, req in FINANCIAL_RULES:
         if name in present:
             parts.append(f"""SELECT '{name}' AS rule_column, '{name}' AS source_column, 'range' AS rule, true AS present,
-      count({name}) AS n_checked, count_if({name} < {lo!r} OR {name} > {hi!r}) AS n_violations FROM messy""")
+      count({name}) AS n_checked, count_if({name} < {lo!r} OR {name} > {hi!r}) AS n_violations FROM messy_all""")
             if req:
-                parts.append(f"""SELECT '{name}', '{name}', 'required', true, count(*), count_if({name} IS NULL) FROM messy""")
+                parts.append(f"""SELECT '{name}', '{name}', 'required', true, count(*), count_if({name} IS NULL) FROM messy_all""")
         elif req:
-            parts.append(f"""SELECT '{name}', NULL, 'required', false, count(*), count(*) FROM messy""")
+            parts.append(f"""SELECT '{name}', NULL, 'required', false, count(*), count(*) FROM messy_all""")
     for name, pat in TEXT_RULES:
         if name == "category":
             parts.append(f"""SELECT '{name}', 'note', 'pattern', true, count(note),
-      count_if(NOT regexp_matches(note, {sq(pat)})) FROM messy""")
+      count_if(NOT regexp_matches(note, {sq(pat)})) FROM messy_all""")
     parts.append(f"""SELECT 'date', 'date_text', 'date_format', true, count(date_text),
-      count_if(date_text IS NOT NULL AND {DATE('date_text', 6)} IS NULL) FROM messy""")
+      count_if(date_text IS NOT NULL AND {DATE('date_text', 6)} IS NULL) FROM messy_all""")
     return " UNION ALL ".join(parts)
 
 
-@register("rule_range_check", with_fixtures(_d15_sql(), "messy"))
+@register("rule_range_check", with_fixtures(_d15_sql(), "messy_all"))
 def rule_range_check(spark, d):
-    return Q.rule_range_check(_messy(spark, d), column_map={"category": "note", "date": "date_text"})
+    return Q.rule_range_check(_messy_all(spark, d), column_map={"category": "note", "date": "date_text"})

@@ -78,8 +78,8 @@ def monthly_flows(t: Tables) -> DataFrame:
 
 
 def messy(t: Tables) -> DataFrame:
-    """messy(row_id, amount_text, date_text, note, blank, revenue, expenses, cash): some rows are repeated, some are
-    empty, some amounts are in brackets or have exponents, some revenues are negative, some cash is beyond 1e10."""
+    """messy(row_id, amount_text, date_text, note, blank, revenue, expenses, cash): some rows are repeated, some
+    amounts are in brackets or have exponents, some revenues are negative, some cash is beyond 1e10."""
     k = F.col("o_orderkey")
     price_text = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     d = F.col("o_orderdate").cast("string")
@@ -97,8 +97,13 @@ def messy(t: Tables) -> DataFrame:
         F.when(k % 97 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("revenue"),
         F.when(k % 13 == 0, F.col("o_totalprice") * 1.2).otherwise(F.col("o_totalprice") * 0.7).alias("expenses"),
         F.when(k % 1009 == 0, F.col("o_totalprice") * 1e6).when(k % 17 == 0, F.col("o_totalprice") * 2.0).otherwise(F.col("o_totalprice") * 0.1).alias("cash"))
-    empty = base.where(F.col("row_id") % 500 == 0).select(*[F.lit(None).cast(t_).alias(c) for c, t_ in base.dtypes])
-    return base.unionByName(base.where(F.col("row_id") % 20 == 0)).unionByName(empty)
+    return base.unionByName(base.where(F.col("row_id") % 20 == 0))
+
+
+def messy_all(t: Tables) -> DataFrame:
+    """``messy`` and some rows whose every cell is NULL."""
+    m = messy(t)
+    return m.unionByName(m.where(F.col("row_id") % 500 == 0).select(*[F.lit(None).cast(kind).alias(c) for c, kind in m.dtypes]))
 
 
 def segment_pnl(t: Tables) -> DataFrame:

@@ -93,8 +93,8 @@ def test_every_finding_and_suggestion(spark):
     assert found == {
         ("empty_columns", None): ("error", 1), ("stored_as_text_numeric", "amount"): ("warning", 120),
         ("stored_as_text_date", "day"): ("warning", 100), ("negative_values", "revenue"): ("warning", 2),
-        ("extreme_values", "cash"): ("warning", None), ("outliers", "revenue"): ("warning", 20),
-        ("low_completeness", None): ("warning", None), ("empty_rows", None): ("warning", 1), ("duplicate_rows", None): ("warning", 1)}
+        ("extreme_values", "cash"): ("warning", 1), ("outliers", "revenue"): ("warning", 20),
+        ("low_completeness", None): ("warning", 123 * 6 - 122 * 2 - 122 - 100 - 20), ("empty_rows", None): ("warning", 1), ("duplicate_rows", None): ("warning", 1)}
     told = {(r["code"], r["column"]) for r in QU.suggestions(df).collect()}
     assert told == {("convert_to_numeric", "amount"), ("convert_to_datetime", "day"), ("impute_missing", "day"),
                     ("impute_missing", "blank"), ("impute_missing", "rare"), ("review_outliers", "revenue")}
