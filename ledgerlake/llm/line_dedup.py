@@ -30,7 +30,6 @@ from ledgerlake.llm.common import discard, staged, text_or_empty
 from ledgerlake.llm.components import components
 
 SHINGLE, ROWS, SIMILARITY = 8, 6, 0.8
-COMMON = 8  # a difference is common if more than one in so many lines of a hub has it
 
 
 def _signed(x: int) -> int:
@@ -121,9 +120,14 @@ def _with_lines(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(text.toDF("_a", "_x"), "_a").join(text.toDF("_b", "_y"), "_b")
 
 
+def _compared(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(_a, _b, _j): pairs of lines with their similarity."""
+    return _with_lines(pairs, found).select("_a", "_b", jaccard(F.col("_x"), F.col("_y")).alias("_j"))
+
+
 def _similar(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """The (_a, _b) pairs of lines that are similar."""
-    return _with_lines(pairs, found).where(jaccard(F.col("_x"), F.col("_y")) >= similarity).select("_a", "_b")
+    return _compared(pairs, found).where(F.col("_j") >= similarity).select("_a", "_b")
 
 
 def line_links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -139,15 +143,20 @@ def _links(found: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     lead = F.max(F.struct("_met", "_hub")).over(Window.partitionBy("_k"))["_hub"]
     first = staged(first.select("_band", "_k", "_hub", (lead == F.col("_hub")).alias("_lead")), "line-hubs")
     star = first.where("_lead").select(F.col("_hub").alias("_a"), F.col("_k").alias("_b")).distinct()
-    near = components(_similar(star, found, similarity), "line-near")
+    seen = staged(_compared(star, found), "line-compared")
+    linked = F.col("_j") >= similarity
+    near = components(seen.where(linked).select("_a", "_b"), "line-near")
     # Then with the other hubs, and with a second one among the lines outside the hub's component, but only where
     # two components are left.
     apart = staged(_placed(first, near).where("_out").select("_band", "_k", "_hub", "_lead"), "line-apart")
     second = staged(hubs(apart.select("_band", "_k")), "line-second")
     rest = apart.where("NOT _lead").select("_hub", "_k").union(_placed(second, near).where("_out").select("_hub", "_k")).distinct()
-    roots = components(near.toDF("_a", "_b").union(_similar(rest.toDF("_a", "_b"), found, similarity)), "line-near")
+    again = staged(_compared(rest.toDF("_a", "_b"), found), "line-compared")
+    roots = components(near.toDF("_a", "_b").union(again.where(linked).select("_a", "_b")), "line-near")
     discard(near, apart)
-    pairs = _open_pairs(first, roots, found, similarity, False).union(_open_pairs(second, roots, found, similarity, True))
+    seen = seen.union(again)
+    pairs = _open_pairs(first, seen, roots, found, similarity, False).union(
+        _open_pairs(second, seen, roots, found, similarity, True))
     more = _similar(pairs.distinct(), found, similarity)
     out = components(roots.toDF("_a", "_b").union(more), "line-components")
     ends = out.select(F.col("node").alias("_k")).union(out.select("root")).distinct()
@@ -162,7 +171,7 @@ def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
         *rows.columns, F.coalesce("_rk", "_k").alias("_c"), (F.coalesce("_rk", "_k") != F.coalesce("_rh", "_hub")).alias("_out"))
 
 
-def _open_pairs(first: DataFrame, roots: DataFrame, found: DataFrame, similarity: float, outside: bool) -> DataFrame:
+def _open_pairs(first: DataFrame, seen: DataFrame, roots: DataFrame, found: DataFrame, similarity: float, outside: bool) -> DataFrame:
     """(_a, _b): lines of one hub, in different components, that may be similar.
 
     One is outside the hub's component; the other is of it or, with ``outside``, of any but the first's.
@@ -172,13 +181,25 @@ def _open_pairs(first: DataFrame, roots: DataFrame, found: DataFrame, similarity
     x and y differ in ``|Dx| + |Dy| - 2 * |Dx & Dy|`` members, so similar ones share at least
     ``o = (|Dx| + |Dy| - r * (|x| + |y|)) / 2`` differences. One of two lines in different components is
     not similar to h: call it x, so ``|Dx| > r * (|x| + |h|)`` and ``o > t = (|Dy| + r * (|h| - |y|)) / 2``,
-    which is no less than 0. Differences are kept in one order for all lines of a hub: those that the
-    hub lacks first, as they tell versions apart best, and those that many lines have last. The first shared one then stands among the first
-    ``|Dy| - floor(t)`` of y, and at least o members follow it, itself included, in both lists.
-    Members count by 32 bits of their hash; a clash makes a needless pair at worst.
+    which is no less than 0. Differences are kept in one order for all lines of a hub, the rarest first. The first shared
+    one then stands among the first ``|Dy| - floor(t)`` of y and, as no similar y is larger than ``|x| / similarity``, among
+    the first ``|Dx| + 1 - (|Dx| - r * (|x| + |x| / similarity)) / 2`` of x, and at least o members follow it, itself
+    included, in both lists. Those that one line alone has are shared by none.
+    Members count by 32 bits of their hash; a clash makes a needless pair at worst. Pairs whose distances from the hub
+    differ by more than 1 - similarity are left out before that.
     """
-    at = staged(_placed(first.select("_hub", "_k").distinct(), roots).toDF("_a", "_b", "_c", "_out"), "line-placed")
-    mixed = at.groupBy("_a").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("_a")
+    at = _placed(first.select("_hub", "_k").distinct(), roots).toDF("_a", "_b", "_c", "_out")
+    at = staged(at.join(seen, ["_a", "_b"], "left").withColumn("_far", 1 - F.col("_j")).drop("_j"), "line-placed")
+    # Jaccard distance is a metric: similar lines lie about equally far from the hub. All lines outside the hub's
+    # component have been compared with it; one that has not been may lie at any distance.
+    apart, inner = F.lit(1 - similarity + 1e-9), F.lit(outside) | ~F.col("_out")
+    mixed = at.groupBy("_a").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"),
+                                 F.min(F.when(F.col("_out"), F.coalesce("_far", F.lit(0.0)))).alias("_least"),
+                                 F.max(F.when(inner, F.coalesce("_far", F.lit(1.0)))).alias("_most"))
+    mixed = mixed.where((F.col("_lo") != F.col("_hi")) & (F.col("_least") <= F.col("_most") + apart)).select("_a", "_least", "_most")
+    at = at.join(mixed, "_a").where(
+        (F.col("_out") & (F.coalesce("_far", F.lit(0.0)) <= F.col("_most") + apart))
+        | (inner & (F.coalesce("_far", F.lit(1.0)) >= F.col("_least") - apart))).select("_a", "_b", "_c", "_out")
     r = (1 - similarity) / (1 + similarity)
 
     def differences(s):
@@ -187,27 +208,30 @@ def _open_pairs(first: DataFrame, roots: DataFrame, found: DataFrame, similarity
                         F.size(s["x"]).alias("nx"), F.size(s["y"]).alias("ny"))
 
     sets = F.array(F.struct(F.array_distinct(_shingles(F.col("_x"))).alias("x"), F.array_distinct(_shingles(F.col("_y"))).alias("y")))
-    at = _with_lines(at.join(mixed, "_a"), found).select(
+    at = _with_lines(at, found).select(
         F.col("_a").alias("_hub"), "_b", "_c", "_out", F.transform(sets, differences)[0].alias("_i"))
     at = staged(at, "line-differences")
-    total = at.groupBy("_hub").agg(F.count(F.lit(1)).alias("_total"))
-    common = at.select("_hub", F.explode("_i.d").alias("_d")).groupBy("_hub", "_d").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    # at most COMMON times the mean number of differences for each hub
-    common = common.join(total, "_hub").where(F.col("_n") * COMMON > F.col("_total")).groupBy("_hub").agg(F.collect_list("_d").alias("_often"))
-    d, often = F.col("_i.d"), F.coalesce("_often", F.array().cast("array<int>"))
-    nd, n = F.size(d), F.col("_i.ny")
-    part = nd - F.floor((nd + r * (F.col("_i.nx") - n)) / 2 - 1e-6)
-    at = staged(at.join(common, "_hub", "left").select(
-        "_hub", "_b", "_c", "_out", n.alias("_n"), nd.alias("_nd"), (nd - r * n).alias("_need"), part.cast("int").alias("_part"),
-        F.concat(F.array_except(d, often), F.array_intersect(d, often)).alias("_i")), "line-index")
+    nd, n = F.size("_i.d"), F.col("_i.ny")
+    head = at.select("_hub", "_b", "_c", "_out", n.alias("_n"), nd.alias("_nd"),
+                     (2 * nd / (nd + n + F.col("_i.nx"))).alias("_far"), (nd - r * n).alias("_need"),
+                     # how many of its differences a line is found by, and how many it looks with
+                     (nd - F.floor((nd + r * (F.col("_i.nx") - n)) / 2 - 1e-6)).alias("_part"),
+                     (nd + 1 - F.greatest(F.lit(1), F.ceil((nd - r * (1 + 1 / similarity) * n) / 2 - 1e-6))).alias("_looks"))
+    each = at.select("_hub", "_b", F.explode("_i.d").alias("_d"))
+    often = each.groupBy("_hub", "_d").agg(F.count(F.lit(1)).alias("_often"))
+    in_order = Window.partitionBy("_hub", "_b").orderBy("_often", "_d")
+    placed = each.join(often, ["_hub", "_d"]).withColumn("_at", F.row_number().over(in_order) - 1).where("_often > 1")
+    placed = staged(placed.select("_hub", "_b", "_d", "_at").join(head, ["_hub", "_b"]).where(
+        (F.col("_out") & (F.col("_at") < F.col("_looks"))) | (inner & (F.col("_at") < F.col("_part")))), "line-index")
     # the smaller of two similar sets has at least this share of the larger one's members
     allowed = F.least("_n", "_n1") >= similarity * F.greatest("_n", "_n1") - 1e-6
-    sides = ["_hub", "_b", "_c", "_n", "_nd", "_need"]
-    far = at.where("_out").select(*sides, F.posexplode("_i").alias("_at", "_d")).toDF("_hub", "_b1", "_c1", "_n1", "_nd1", "_need1", "_at1", "_d")
-    indexed = at.where(F.lit(outside) | ~F.col("_out")).select(*sides, F.posexplode(F.slice("_i", 1, F.col("_part"))).alias("_at", "_d"))
+    sides = ["_hub", "_b", "_c", "_n", "_far", "_nd", "_need"]
+    far = placed.where(F.col("_out") & (F.col("_at") < F.col("_looks"))).select(*sides, "_at", "_d").toDF(
+        "_hub", "_b1", "_c1", "_n1", "_far1", "_nd1", "_need1", "_at1", "_d")
+    indexed = placed.where(inner & (F.col("_at") < F.col("_part"))).select(*sides, "_at", "_d")
     left = F.least(F.col("_nd") - F.col("_at"), F.col("_nd1") - F.col("_at1"))
     both = (far["_hub"] == indexed["_hub"]) & (far["_d"] == indexed["_d"]) & (F.col("_c") != F.col("_c1")) & (
-        allowed) & (left >= (F.col("_need") + F.col("_need1")) / 2 - 1e-6)
+        allowed) & (F.abs(F.col("_far") - F.col("_far1")) <= apart) & (left >= (F.col("_need") + F.col("_need1")) / 2 - 1e-6)
     return far.join(indexed, both).select(F.least("_b", "_b1").alias("_a"), F.greatest("_b", "_b1").alias("_b")).distinct()
 
 
@@ -233,6 +257,7 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = lines.select("_id", "_doc", "_no", "_k", "_k2").join(members, own, "left").select(
         "_id", "_doc", "_no", F.coalesce("_root", "_k").alias("_c"),
         F.when(F.col("_root").isNull(), F.col("_k2")).otherwise(0).alias("_c2"))
+    placed = staged(placed, "line-placed")  # numbers only; the texts are not read again
     firsts = placed.groupBy("_c", "_c2").agg(F.min(F.struct("_id", "_doc", "_no")).alias("_first"),
                                              F.count(F.lit(1)).alias("class_size"))
     firsts = staged(firsts.where("class_size > 1"), "line-firsts").toDF("_f", "_f2", "_first", "class_size")
