@@ -265,7 +265,9 @@ def isolation_forest(df: DataFrame, columns, id_col: str = "row_id", n_trees: in
     schema = T.StructType([f for f in to_score.schema.fields if f.name not in feats] + [T.StructField("_s", T.DoubleType())])
     # scored once: the cut-off quantile and the output both read this copy
     scores = to_score.mapInPandas(_score(feats, forest_pd), schema).checkpoint(eager=True)
-    cutoff = exact_quantiles(scores.select(F.lit(0).alias("_k"), "_s"), ["_k"], "_s", [1.0 - contamination], ["cutoff"]).first()["cutoff"]
+    # one group for all rows; its key is a column, so that its bracket meets the rows by an equi-join
+    one = scores.select(F.isnull("_s").alias("_k"), "_s")
+    cutoff = exact_quantiles(one, ["_k"], "_s", [1.0 - contamination], ["cutoff"]).first()["cutoff"]
     return scores.select(*out, F.col("_s").alias("anomaly_score"), (F.col("_s") > F.lit(cutoff)).alias("is_anomaly"))
 
 
