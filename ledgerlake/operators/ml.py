@@ -11,8 +11,8 @@
   2. growing — ``groupBy(tree).applyInPandas``: ≤ ψ points per group, trees grow
      in parallel; a tree is at most 2ψ−1 nodes, so the forest is bounded by
      T·(2ψ−1) rows and is broadcast for scoring;
-  3. scoring — ``mapInPandas`` walks all trees for an Arrow batch of rows at
-     once with NumPy; the anomaly cut-off is the exact (1 − contamination)
+  3. scoring — ``mapInArrow`` walks the trees over an Arrow batch of rows with
+     NumPy, one level a step; the anomaly cut-off is the exact (1 − contamination)
      quantile of the scores, selected distributed.
 """
 
@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,46 +177,61 @@ def _grow(features, seed: int, psi: int):
     return grow
 
 
-def _score(features, forest: pd.DataFrame):
-    """Walk every tree at once: (trees × rows) index arrays, at most depth-many NumPy steps per batch."""
+def _score(features, forest: pd.DataFrame, names):
+    """Mean share of the usual path length over all trees, for Arrow batches whose last columns are the features.
+
+    Each tree is laid out as a complete one: the children of node i are 2i + 1 and 2i + 2, and a leaf above the
+    lowest level hands its value down to all places below it. So a row's leaf is met in a fixed number of steps, and a
+    step over a batch is three ``take``s and a comparison.
+    """
     trees = sorted(forest["tree"].unique())
-    width = int(forest["node"].max()) + 1
-    nt = len(trees)
-    feat = np.full((nt, width), -1, dtype=np.int64)
-    split = np.zeros((nt, width))
-    left = np.zeros((nt, width), dtype=np.int64)
-    right = np.zeros((nt, width), dtype=np.int64)
-    corr = np.zeros((nt, width))
-    pos = {t: i for i, t in enumerate(trees)}
-    ti = forest["tree"].map(pos).to_numpy()
-    ni = forest["node"].to_numpy()
-    feat[ti, ni] = forest["feature"].to_numpy()
-    split[ti, ni] = forest["split"].to_numpy()
-    left[ti, ni] = np.maximum(forest["left"].to_numpy(), 0)
-    right[ti, ni] = np.maximum(forest["right"].to_numpy(), 0)
-    corr[ti, ni] = [_c(float(x)) for x in forest["size"].to_numpy()]
-    usual = np.maximum(corr_of_root(forest, pos), 1e-300)[:, None]
-    rows_t = np.arange(nt)[:, None]
+    usual = np.maximum(corr_of_root(forest, {t: i for i, t in enumerate(trees)}), 1e-300)
+    by_tree = {t: {n.node: n for n in g.itertuples()} for t, g in forest.groupby("tree")}
+
+    def deepest(nodes, node=0):
+        n = nodes[node]
+        return 0 if n.feature < 0 else 1 + max(deepest(nodes, n.left), deepest(nodes, n.right))
+    laid = []
+    for t, u in zip(trees, usual, strict=True):
+        nodes = by_tree[t]
+        depth = deepest(nodes)
+        inner = 2 ** depth - 1
+        feat, split, share = np.zeros(inner, dtype=np.intp), np.zeros(inner), np.zeros(inner + 1)
+
+        def place(node, at, level):
+            n = nodes[node]  # noqa: B023
+            if n.feature >= 0:
+                feat[at], split[at] = n.feature, n.split  # noqa: B023
+                place(n.left, 2 * at + 1, level + 1)
+                place(n.right, 2 * at + 2, level + 1)
+            else:
+                below = depth - level  # noqa: B023
+                first = (at + 1) * 2 ** below - 1 - inner  # noqa: B023
+                share[first:first + 2 ** below] = (level + _c(float(n.size))) / u  # noqa: B023
+        place(0, 0, 0)
+        laid.append((depth, inner, feat, split, share))
 
     def score(batches):
-        for pdf in batches:
-            X = pdf[features].to_numpy(dtype=float)
-            b = len(X)
-            node = np.zeros((nt, b), dtype=np.int64)
-            depth = np.zeros((nt, b))
-            cols_b = np.arange(b)[None, :]
-            while True:
-                f = feat[rows_t, node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                xv = X[cols_b, np.maximum(f, 0)]
-                go_left = xv < split[rows_t, node]
-                nxt = np.where(go_left, left[rows_t, node], right[rows_t, node])
-                node = np.where(inner, nxt, node)
-                depth += inner
-            share = ((depth + corr[rows_t, node]) / usual).mean(axis=0)
-            yield pdf.drop(columns=features).assign(_s=np.power(2.0, -share))
+        for batch in batches:
+            b = batch.num_rows
+            if not b:
+                continue
+            k = batch.num_columns - len(features)
+            x = np.concatenate([batch.column(k + i).to_numpy(zero_copy_only=False) for i in range(len(features))])
+            rows, total = np.arange(b), np.zeros(b)
+            for depth, inner, feat, split, share in laid:
+                node, start = np.zeros(b, dtype=np.intp), feat * b
+                for _ in range(depth):
+                    at = start.take(node)
+                    at += rows
+                    left = x.take(at) < split.take(node)
+                    node += node
+                    node += 2
+                    node -= left
+                node -= inner
+                total += share.take(node)
+            found = pa.array(np.power(2.0, -(total / len(laid))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], found], names=names)
     return score
 
 
@@ -251,20 +267,23 @@ def isolation_forest(df: DataFrame, columns, id_col: str = "row_id", n_trees: in
     share = 3.0 * psi / max(st["points"], 1)
     cut = F.lit(-math.log1p(-share) if share < 0.9 else math.inf)
     points = own.groupBy(*feats).agg(F.count(F.lit(1)).alias("_m")).withColumn("_row", row)
-    rank = lambda t: -F.log1p(-F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col("_row")), 11) * F.lit(2.0 ** -53)) / F.col("_m")
-    drawn = points.withColumn("tree", F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: rank(t) <= cut))).withColumn("_rank", rank(F.col("tree")))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "tree", "_row"), 11) * F.lit(2.0 ** -53)
+    rank = -F.log1p(-u) / F.col("_m")
+    # no rank is below u/m, so one comparison rules out almost all pairs of a point and a tree before any logarithm
+    drawn = points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).where(
+        u <= cut * F.lit(1 + 1e-9) * F.col("_m")).withColumn("_rank", rank).where(F.col("_rank") <= cut)
     first = F.row_number().over(Window.partitionBy("tree").orderBy("_rank", "_row"))  # cut to psi in every task before the exchange
     drawn = drawn.withColumn("_n", first).where(F.col("_n") <= psi)
     forest = scaled(drawn.select("tree", "_m", "_row", "_rank", *feats)).groupBy("tree").applyInPandas(_grow(feats, seed, psi), NODE_SCHEMA)
     # the forest is ≤ n_trees·(2ψ−1) rows: a proven bound, collected once and shipped to the scorers
     forest_pd = forest.toPandas()
-    to_score = scaled(own)
+    ids = df.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(columns)])
     if partitions:
-        to_score = to_score.repartition(partitions)
-    schema = T.StructType([f for f in to_score.schema.fields if f.name not in feats] + [T.StructField("_s", T.DoubleType())])
+        ids = ids.repartition(partitions)
+    to_score = scaled(ids.select("*", *[F.col(f"_o{i}").cast("double").alias(f) for i, f in enumerate(feats)]))
+    schema = T.StructType([*ids.schema.fields, T.StructField("_s", T.DoubleType())])
     # scored once: the cut-off quantile and the output both read this copy
-    scores = to_score.mapInPandas(_score(feats, forest_pd), schema).checkpoint(eager=True)
+    scores = to_score.mapInArrow(_score(feats, forest_pd, schema.names), schema).checkpoint(eager=True)
     # one group for all rows; its key is a column, so that its bracket meets the rows by an equi-join
     one = scores.select(F.isnull("_s").alias("_k"), "_s")
     cutoff = exact_quantiles(one, ["_k"], "_s", [1.0 - contamination], ["cutoff"]).first()["cutoff"]

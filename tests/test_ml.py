@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,33 @@ def test_silhouette_matches_all_pairs(spark):
         want.append((b - a) / max(a, b))
     assert got == pytest.approx(np.mean(want))
     assert ML.silhouette(spark.createDataFrame(rows[:20], "row_id long, a double, b double, cluster int"), ["a", "b"]) is None
+
+
+def test_isolation_forest_scores_keep_long_ids_beside_null_ones(spark):
+    """2^53 + 1 is no double: ids must not pass through one on their way through the scorer."""
+    rows = [(2 ** 53 + 1, 50.0), (None, 49.0)] + [(i, float(i % 7)) for i in range(60)]
+    out = ML.isolation_forest(spark.createDataFrame(rows, "row_id long, a double").coalesce(1), ["a"], n_trees=5, psi=16)
+    assert {r.row_id for r in out.where("a > 40").collect()} == {2 ** 53 + 1, None}
+
+
+def test_forest_scores_match_a_walk_node_by_node():
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    forest = []
+    for tree in range(7):
+        pick = pd.DataFrame(x[rng.choice(300, 32, replace=False)], columns=["f0", "f1", "f2"]).assign(
+            tree=tree, _m=1, _rank=np.arange(32.0), _row=np.arange(32))
+        forest.append(ML._grow(["f0", "f1", "f2"], 1, 32)(pick))
+    forest = pd.concat(forest)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), *[pa.array(x[:, i]) for i in range(3)]], names=["id", "f0", "f1", "f2"])
+    got, = ML._score(["f0", "f1", "f2"], forest, ["id", "_s"])([batch])
+    for i, row in enumerate(x):
+        shares = []
+        for _, nodes in forest.groupby("tree"):
+            at = {n.node: n for n in nodes.itertuples()}
+            n, depth = at[0], 0
+            while n.feature >= 0:
+                n, depth = at[n.left if row[n.feature] < n.split else n.right], depth + 1
+            shares.append((depth + ML._c(n.size)) / ML._c(32))
+        assert got.column("_s")[i].as_py() == pytest.approx(2.0 ** -np.mean(shares), rel=1e-12)
