@@ -82,3 +82,25 @@ def test_header_promotion_shuffles_four_times(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2 * 4 + 1  # the final plan and the initial one
+
+
+def test_cells_are_dealt_out_once(spark):
+    """Lines dealt by document serve the cells, the rows, the tables and the documents; other cells are dealt out once."""
+    from ledgerlake.sources import fixtures as FX
+    from ledgerlake.sources.tables import Tables
+    cells = FX.cells(Tables(spark, "/root/testdata/sf0.001"))
+    loose = spark.createDataFrame(cells.limit(200).collect(), cells.schema)
+    for c in (cells, loose):
+        for out in (IN.promote_header(c, first_only=True), IN.promote_header(c)):
+            assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert IN.first_usable_table(cells)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_cells_without_a_row_or_column_index(spark):
+    rows = [("d", 1, "lattice", 0, i, j, f"{i}{j}") for i in range(3) for j in range(3)]
+    rows += [("d", 1, "lattice", 0, None, j, "x") for j in range(3)] + [("d", 1, "lattice", 0, i, None, "y") for i in range(1, 3)]
+    df = spark.createDataFrame(rows, "doc_id string, page long, strategy string, table_no int, row_idx int, col_idx int, text string")
+    first = IN.first_usable_table(df).first()
+    assert (first.n_rows, first.n_cols, first.found) == (4, 4, True)
+    got = sorted((r.row_no, r.col_idx if r.col_idx is not None else -1, r.column_name or "", r.value) for r in IN.promote_header(df, first_only=True).collect())
+    assert [g for g in got if g[1] >= 0] == [(i - 1, j, f"0{j}", f"{i}{j}") for i in (1, 2) for j in range(3)]
