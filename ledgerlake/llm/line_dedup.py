@@ -30,6 +30,8 @@ from ledgerlake.llm.common import discard, staged, text_or_empty
 from ledgerlake.llm.components import components
 
 SHINGLE, ROWS, SIMILARITY = 8, 6, 0.8
+# shingles of a line that one row brings to the aggregate: one look-up and one update of the minima for all of them
+BATCH = 8
 
 
 def _signed(x: int) -> int:
@@ -70,15 +72,25 @@ def _rotated(h: Column, bits: int) -> Column:
     return F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits)) if bits else h
 
 
+def _hashed(lines: DataFrame) -> DataFrame:
+    """(_k, _line) -> _k and _h{j}_{r}: hash j of ``BATCH`` neighbouring shingles, rotated r times by 16 bits.
+
+    The last row of a line repeats the last shingle, which no minimum minds.
+    """
+    last = F.greatest(F.length("_line") - SHINGLE, F.lit(0))
+    # encoded below the explode, so once a line
+    encoded = lines.select("_k", F.encode("_line", "UTF-32").alias("_b"), last.alias("_last"))
+    rows = encoded.select("_k", "_b", "_last", F.explode(F.sequence(F.lit(0), F.col("_last"), F.lit(BATCH))).alias("_p"))
+    hashes = rows.select("_k", *[_shingle_hash(F.col("_b"), F.least(F.col("_p") + j, F.col("_last")) * 4 + 1).alias(f"_h{j}")
+                                 for j in range(BATCH)])
+    return hashes.select("_k", *[_rotated(F.col(f"_h{j}"), 16 * r).alias(f"_h{j}_{r}") for j in range(BATCH) for r in range(4)])
+
+
 def _bands(lines: DataFrame) -> DataFrame:
     """(_k, _line) distinct lines -> (_k, _band), one row for each band of a line."""
-    # encoded below the explode, so once a line
-    encoded = lines.select("_k", F.encode("_line", "UTF-32").alias("_b"), F.length("_line").alias("_n"))
-    hashed = (encoded.select("_k", "_b", F.explode(_offsets(F.col("_n"))).alias("_p"))
-              .select("_k", _shingle_hash(F.col("_b"), F.col("_p")).alias("_h"))
-              .select("_k", *[_rotated(F.col("_h"), 16 * r).alias(f"_r{r}") for r in range(4)]))
-    minima = hashed.groupBy("_k").agg(*[F.min(F.col(f"_r{r}").bitwiseXOR(F.lit(m))).alias(f"m{r}_{i}")
-                                        for i, m in enumerate(MASKS) for r in range(4)])
+    minima = _hashed(lines).groupBy("_k").agg(*[
+        F.min(F.least(*[F.col(f"_h{j}_{r}").bitwiseXOR(F.lit(m)) for j in range(BATCH)])).alias(f"m{r}_{i}")
+        for i, m in enumerate(MASKS) for r in range(4)])
     keys = [F.xxhash64(F.lit(n), *[F.col(f"m{r}_{i}") for r, i in enumerate(band)]) for n, band in enumerate(BANDS)]
     return minima.select("_k", F.explode(F.array(*keys)).alias("_band"))
 
@@ -108,11 +120,8 @@ def _shingles(line: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Exact similarity of the shingle sets of two lines."""
-    def similarity(s):
-        return F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"]))
-
-    return F.transform(F.array(F.struct(_shingles(a).alias("a"), _shingles(b).alias("b"))), similarity)[0]
+    """Exact similarity of two shingle sets, given as arrays that may repeat members."""
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
 def _with_lines(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -120,14 +129,20 @@ def _with_lines(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(text.toDF("_a", "_x"), "_a").join(text.toDF("_b", "_y"), "_b")
 
 
+def _with_shingles(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs with the shingles of both lines, _x and _y: columns, as set functions run compiled on columns only."""
+    return _with_lines(pairs, found).select(*pairs.columns, _shingles(F.col("_x")).alias("_x"), _shingles(F.col("_y")).alias("_y"))
+
+
 def _compared(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """(_a, _b, _j): pairs of lines with their similarity."""
-    return _with_lines(pairs, found).select("_a", "_b", jaccard(F.col("_x"), F.col("_y")).alias("_j"))
+    return _with_shingles(pairs, found).select("_a", "_b", jaccard(F.col("_x"), F.col("_y")).alias("_j"))
 
 
 def _similar(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """The (_a, _b) pairs of lines that are similar."""
-    return _compared(pairs, found).where(F.col("_j") >= similarity).select("_a", "_b")
+    # written first: a filter above the comparison would be pushed below the shingles and make them again
+    return staged(_compared(pairs, found), "line-compared").where(F.col("_j") >= similarity).select("_a", "_b")
 
 
 def line_links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -202,26 +217,24 @@ def _open_pairs(first: DataFrame, seen: DataFrame, roots: DataFrame, found: Data
         | (inner & (F.coalesce("_far", F.lit(1.0)) >= F.col("_least") - apart))).select("_a", "_b", "_c", "_out")
     r = (1 - similarity) / (1 + similarity)
 
-    def differences(s):
-        new, lost = F.array_sort(F.array_except(s["y"], s["x"])), F.array_sort(F.array_except(s["x"], s["y"]))
-        return F.struct(F.transform(F.concat(new, lost), lambda h: F.shiftright(h, 32).cast("int")).alias("d"),
-                        F.size(s["x"]).alias("nx"), F.size(s["y"]).alias("ny"))
-
-    sets = F.array(F.struct(F.array_distinct(_shingles(F.col("_x"))).alias("x"), F.array_distinct(_shingles(F.col("_y"))).alias("y")))
-    at = _with_lines(at, found).select(
-        F.col("_a").alias("_hub"), "_b", "_c", "_out", F.transform(sets, differences)[0].alias("_i"))
+    x, y = F.col("_x"), F.col("_y")
+    lost_or_new = F.transform(F.concat(F.array_except(y, x), F.array_except(x, y)), lambda h: F.shiftright(h, 32).cast("int"))
+    at = _with_shingles(at, found).select(
+        F.col("_a").alias("_hub"), "_b", "_c", "_out", lost_or_new.alias("_d"),
+        F.size(F.array_distinct(x)).alias("_nx"), F.size(F.array_distinct(y)).alias("_ny"))
     at = staged(at, "line-differences")
-    nd, n = F.size("_i.d"), F.col("_i.ny")
+    nd, n, nx = F.size("_d"), F.col("_ny"), F.col("_nx")
     head = at.select("_hub", "_b", "_c", "_out", n.alias("_n"), nd.alias("_nd"),
-                     (2 * nd / (nd + n + F.col("_i.nx"))).alias("_far"), (nd - r * n).alias("_need"),
+                     (2 * nd / (nd + n + nx)).alias("_far"), (nd - r * n).alias("_need"),
                      # how many of its differences a line is found by, and how many it looks with
-                     (nd - F.floor((nd + r * (F.col("_i.nx") - n)) / 2 - 1e-6)).alias("_part"),
+                     (nd - F.floor((nd + r * (nx - n)) / 2 - 1e-6)).alias("_part"),
                      (nd + 1 - F.greatest(F.lit(1), F.ceil((nd - r * (1 + 1 / similarity) * n) / 2 - 1e-6))).alias("_looks"))
-    each = at.select("_hub", "_b", F.explode("_i.d").alias("_d"))
-    often = each.groupBy("_hub", "_d").agg(F.count(F.lit(1)).alias("_often"))
-    in_order = Window.partitionBy("_hub", "_b").orderBy("_often", "_d")
-    placed = each.join(often, ["_hub", "_d"]).withColumn("_at", F.row_number().over(in_order) - 1).where("_often > 1")
-    placed = staged(placed.select("_hub", "_b", "_d", "_at").join(head, ["_hub", "_b"]).where(
+    each = at.select("_hub", "_b", F.explode("_d").alias("_d"))
+    shared = each.withColumn("_often", F.count(F.lit(1)).over(Window.partitionBy("_hub", "_d"))).where("_often > 1")
+    # counted from the end, so that the differences which one line alone has need no place
+    from_end = Window.partitionBy("_hub", "_b").orderBy(F.desc("_often"), F.desc("_d"))
+    placed = shared.select("_hub", "_b", "_d", F.row_number().over(from_end).alias("_back")).join(head, ["_hub", "_b"])
+    placed = staged(placed.withColumn("_at", F.col("_nd") - F.col("_back")).drop("_back").where(
         (F.col("_out") & (F.col("_at") < F.col("_looks"))) | (inner & (F.col("_at") < F.col("_part")))), "line-index")
     # the smaller of two similar sets has at least this share of the larger one's members
     allowed = F.least("_n", "_n1") >= similarity * F.greatest("_n", "_n1") - 1e-6

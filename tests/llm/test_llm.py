@@ -301,6 +301,23 @@ def test_a_line_that_shares_one_hash_with_a_member_stays(spark):
     assert {r._k: r._k2 for r in ends.collect()} == want
 
 
+def test_shingles_reach_the_minima_in_batches(spark):
+    """Every shingle of a line, and nothing else, in an eighth of the rows."""
+    import xxhash
+
+    texts = ["", "a", "é" * 7, "shingles", "a shingle", "0123456789abcde", "0123456789abcdef", "\U0001F600 smiles " * 9, "-" * 300]
+    got, rows = {}, {}
+    for r in line_dedup._hashed(spark.createDataFrame(list(enumerate(texts)), "_k long, _line string")).collect():
+        rows[r._k] = rows.get(r._k, 0) + 1
+        for j in range(line_dedup.BATCH):
+            own = [r[f"_h{j}_{n}"] & (1 << 64) - 1 for n in range(4)]
+            assert own == [(own[0] << 16 * n | own[0] >> 64 - 16 * n) & (1 << 64) - 1 for n in range(4)]
+            got.setdefault(r._k, set()).add(own[0])
+    parts = [[t[k:k + 8] for k in range(max(1, len(t) - 7))] for t in texts]
+    assert got == {k: {xxhash.xxh64_intdigest(x.encode("utf-32-be"), 42) for x in p} for k, p in enumerate(parts)}
+    assert rows == {k: -(-len(p) // line_dedup.BATCH) for k, p in enumerate(parts)}
+
+
 @pytest.mark.parametrize("share,least", [(0.82, 0.97), (0.9, 0.995)])
 def test_line_buckets_recall_against_all_pairs(spark, share, least):
     """Of all pairs at about this similarity so many share a bucket."""
